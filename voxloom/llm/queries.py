@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import mixing, packing, sharding
+from voxloom.llm import mixing, packing, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_virtual_slots": sharding.op2_virtual_slots,
         "op3_entropy_balancing": mixing.op3_entropy_balancing,
         "op8_column_generation": packing.op8_column_generation,
+        "op9_tiled_simhash": simhash.op9_tiled_simhash,
     }
 
 
