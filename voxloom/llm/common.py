@@ -41,12 +41,13 @@ def fold(doc_id: Column | str) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def ordered_start(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+def ordered_start(df: DataFrame, order: list[str], value: str, out: str, keep_rank: bool = False) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over all rows before this one in ``order``.
 
     Rows are range partitioned and sorted, written once (so that range bounds are
     fixed), and summed within a range; the totals of the ranges, one row each, give
-    every range its base. No single task sees more than one range.
+    every range its base. No single task sees more than one range. ``keep_rank`` also
+    leaves _range and _rank, the row's range and its place in that range.
     """
     spark = df.sparkSession
     kept = materialise(
@@ -58,8 +59,7 @@ def ordered_start(df: DataFrame, order: list[str], value: str, out: str) -> Data
     base = totals.select("_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
     within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     # one row per range: bounded by the number of partitions
-    return (
-        kept.join(F.broadcast(base), "_range")
-        .withColumn(out, (F.col("_base") + F.coalesce(F.sum(value).over(within), F.lit(0))).cast("long"))
-        .drop("_range", "_base")
-    )
+    found = kept.join(F.broadcast(base), "_range").withColumn(out, (F.col("_base") + F.coalesce(F.sum(value).over(within), F.lit(0))).cast("long"))
+    if keep_rank:
+        return found.withColumn("_rank", (F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1).cast("long")).drop("_base")
+    return found.drop("_range", "_base")

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import mixing, packing, sharding, simhash
+from voxloom.llm import castore, mixing, packing, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_virtual_slots": sharding.op2_virtual_slots,
         "op3_entropy_balancing": mixing.op3_entropy_balancing,
+        "op7_content_store": castore.op7_content_store,
         "op8_column_generation": packing.op8_column_generation,
         "op9_tiled_simhash": simhash.op9_tiled_simhash,
     }
