@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import castore, mixing, packing, sharding, simhash
+from voxloom.llm import castore, langid, mixing, packing, quality, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_char_ftrl": langid.op1_char_ftrl,
         "op2_virtual_slots": sharding.op2_virtual_slots,
         "op3_entropy_balancing": mixing.op3_entropy_balancing,
+        "op5_word_ftrl": quality.op5_word_ftrl,
         "op7_content_store": castore.op7_content_store,
         "op8_column_generation": packing.op8_column_generation,
         "op9_tiled_simhash": simhash.op9_tiled_simhash,
