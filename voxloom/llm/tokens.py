@@ -1,7 +1,7 @@
 """Token ids of whole texts by a stored tokenizer, with a bounded cache of words.
 
 The tokenizer file drops white space and never joins words across it, so a text's ids
-are the ids of its blank-separated words in order. Each distinct word is encoded by the
+are the ids of its ASCII-blank-separated words in order. Each distinct word is encoded by the
 ``tokenizers`` library and then found in a cache. A word of plain marks, digits and
 Latin letters goes to the library's merge model directly, cut as the file's own pattern
 cuts it; any other word, and any word with an apostrophe, goes through the library's
@@ -14,14 +14,16 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Words kept per worker process; the cache starts anew beyond that. About 200 bytes each.
-CACHE_WORDS = 900_000
-#: str.split() takes these for white space, the tokenizer does not.
-NOT_BLANK = "\x1c\x1d\x1e\x1f"
-BLANK_RUN = re.compile(r"[^\x20\x09-\x0D]+")
+#: Words and pieces of words in a generation of a worker's cache; two generations are kept, about 200 bytes an entry.
+CACHE_WORDS, CACHE_PIECES = 400_000, 400_000
+#: Bytes of text whose words are numbered at once.
+RUN_BYTES = 12_000_000
 #: Letters, marks and digits whose pieces are known without the library's pattern.
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 PLAIN = re.compile(f"[!-&(-~{LETTERS}]+")
@@ -43,17 +45,24 @@ def _byte_letters() -> dict[int, str]:
     return out
 
 
-class _Words(dict):
-    """word -> ids; a missing word is encoded on first use."""
+class _Made(dict):
+    """key -> ids; a missing key comes from the generation before or is made."""
 
-    def __init__(self, owner: WordTokenizer):
+    def __init__(self, make, before: dict | None = None):
         super().__init__()
-        self.owner = owner
+        self.make, self.before = make, before or {}
 
-    def __missing__(self, word: str) -> bytes:
-        found = self[word] = self.owner.encode_word(word)
+    def __missing__(self, key: str) -> bytes:
+        found = self[key] = self.before.get(key) or self.make(key)
         return found
 
+    def aged(self, limit: int) -> _Made:
+        """Itself, or past the limit a new generation that falls back on this one."""
+        if len(self) <= limit:
+            return self
+        self.before = {}
+        return _Made(self.make, self)
+
 
 class WordTokenizer:
     """Encodes texts to little-endian ids of ``width`` bytes."""
@@ -65,34 +74,63 @@ class WordTokenizer:
         self.lib = Tokenizer.from_str(spec)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.model = self.lib.model
         self.width = 2 if self.lib.get_vocab_size() <= 1 << 16 else 4
+        self.code = "H" if self.width == 2 else "I"
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
         raw = json.loads(spec)
         self.special = tuple(t["content"] for t in raw["added_tokens"])
         pre = raw["pre_tokenizer"]["pretokenizers"]
         self.direct = pre[0]["pattern"].get("Regex") == KNOWN_PATTERN and [n["type"] for n in raw["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]
         self.letters = _byte_letters()
-        self.cache = _Words(self)
+        self.tokenize = self.lib.model.tokenize
+        self.pieces, self.words = _Made(self._piece), _Made(self._word)
 
     def pack(self, ids: list[int]) -> bytes:
         return np.asarray(ids, dtype=self.dtype).tobytes()
 
-    def encode_word(self, word: str) -> bytes:
-        if not self.direct or not PLAIN.fullmatch(word) or any(s in word for s in self.special):
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.tokenize(piece)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if not self.direct or not PLAIN.fullmatch(word) or ("|" in word and any(s in word for s in self.special)):
             return self.pack(self.lib.encode(word, add_special_tokens=False).ids)
-        ids = []
-        tokenize, letters = self.model.tokenize, self.letters
-        for piece in PIECES.findall(word.lower()):
-            ids += [t.id for t in tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(letters))]
-        w = self.width
-        return b"".join([i.to_bytes(w, "little") for i in ids])
+        return b"".join(map(self.pieces.__getitem__, PIECES.findall(word.lower())))
 
     def encode(self, text: str) -> bytes:
-        words = BLANK_RUN.findall(text) if any(c in text for c in NOT_BLANK) else text.split()
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        return b"".join(map(self.cache.__getitem__, words))
+        return next(self.encode_arrow(pa.array([text], pa.large_string())))
+
+    def encode_arrow(self, texts: pa.Array):
+        """Yields the ids of each text; null is the empty text.
+
+        Arrow splits a run of texts at ASCII blanks and numbers its distinct words; only
+        those meet the caches, and one gather lays the ids of all words out in order.
+        """
+        if not len(texts):
+            return
+        texts = texts.cast(pa.large_string()).fill_null("")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + RUN_BYTES, side="right")))
+            lists = pc.ascii_split_whitespace(texts.slice(at, until - at))
+            numbered = lists.flatten().dictionary_encode()
+            self.words, self.pieces = self.words.aged(CACHE_WORDS), self.pieces.aged(CACHE_PIECES)
+            found = list(map(self.words.__getitem__, numbered.dictionary.to_numpy(zero_copy_only=False).tolist()))
+            ids = np.frombuffer(b"".join(found), dtype=self.dtype)
+            sizes = np.fromiter(map(len, found), dtype=np.int32, count=len(found)) // self.width
+            starts = np.cumsum(sizes, dtype=np.int32) - sizes
+            word = numbered.indices.to_numpy()
+            n = sizes[word]
+            upto = np.r_[np.int64(0), np.cumsum(n, dtype=np.int64)]
+            place = np.repeat(starts[word] - upto[:-1].astype(np.int32), n)
+            place += np.arange(len(place), dtype=np.int32)
+            raw = ids[place].tobytes()
+            cut = (upto[lists.offsets.to_numpy()] * self.width).tolist()
+            for a, b in zip(cut, cut[1:]):
+                yield raw[a:b]
+            at = until
 
 
 _worker: dict[int, WordTokenizer] = {}
@@ -108,10 +146,10 @@ def worker_tokenizer(spec: str) -> WordTokenizer:
 
 
 def encode_all(spec: str, texts, end: bytes = b""):
-    """Yields the ids of each text, then ``end``; null is the empty text."""
-    tok = worker_tokenizer(spec)
-    for t in texts:
-        yield tok.encode(t or "") + end
+    """Yields the ids of each text of an Arrow array, a series or a list, then ``end``."""
+    arrow = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string(), from_pandas=True)
+    for raw in worker_tokenizer(spec).encode_arrow(arrow):
+        yield raw + end
 
 
 def read_spec(path: str) -> str:
