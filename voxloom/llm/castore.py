@@ -39,7 +39,7 @@ from voxloom.llm.tokens import encode_all, read_spec, worker_tokenizer
 
 END_ID = 2
 DIGEST = 16
-MIN_CHUNK, MASK, MAX_CHUNK = 64, 255, 1024
+MIN_CHUNK, MASK, MAX_CHUNK = 256, 1023, 4096
 #: Recipes under one Merkle node.
 BLOCK = 4096
 
