@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import castore, langid, mixing, packing, quality, sharding, simhash
+from voxloom.llm import audio, castore, graph_ann, langid, mixing, packing, quality, sharding, simhash, wordpiece
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,10 +14,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_char_ftrl": langid.op1_char_ftrl,
         "op2_virtual_slots": sharding.op2_virtual_slots,
         "op3_entropy_balancing": mixing.op3_entropy_balancing,
+        "op4_longest_match": wordpiece.op4_longest_match,
         "op5_word_ftrl": quality.op5_word_ftrl,
+        "op6_chroma_prints": audio.op6_chroma_prints,
         "op7_content_store": castore.op7_content_store,
         "op8_column_generation": packing.op8_column_generation,
         "op9_tiled_simhash": simhash.op9_tiled_simhash,
+        "op10_pruned_graph": graph_ann.op10_pruned_graph,
     }
 
 

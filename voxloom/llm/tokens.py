@@ -53,7 +53,10 @@ class _Made(dict):
         self.make, self.before = make, before or {}
 
     def __missing__(self, key: str) -> bytes:
-        found = self[key] = self.before.get(key) or self.make(key)
+        found = self.before.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
         return found
 
     def aged(self, limit: int) -> _Made:
