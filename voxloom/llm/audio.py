@@ -36,7 +36,7 @@ SPAN = 8
 #: Leading bits that must agree for a vote.
 LEAD = 16
 #: Positions and share of a reference that must lie over the recording, and share of bits that may differ there.
-MIN_POSITIONS, MIN_OVERLAP, MAX_ERROR = 4, 0.75, 0.15
+MIN_POSITIONS, MIN_OVERLAP, MAX_ERROR = 4, 0.75, 0.12
 BLOCK_INTS = 1 << 20
 #: Cuts of a filter's log ratio into four levels, and the levels' Gray code.
 CUTS = (-0.2, 0.0, 0.2)

@@ -30,6 +30,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ from voxloom.llm.tokens import encode_all, read_spec, worker_tokenizer
 END_ID = 2
 DIGEST = 16
 MIN_CHUNK, MASK, MAX_CHUNK = 256, 1023, 4096
+#: Documents that a worker turns into records at a time.
+SLICE = 1024
 #: Recipes under one Merkle node.
 BLOCK = 4096
 
@@ -77,37 +80,54 @@ def digest(payload: bytes) -> bytes:
     return hashlib.blake2b(payload, digest_size=DIGEST).digest()
 
 
+def cut_rows(tok, spec: str, batch: pa.RecordBatch, end_id: int, weights: np.ndarray, seen: set[bytes]) -> pa.RecordBatch:
+    """Reference records of a batch (rid, doc_id, text), and records of chunks not in ``seen``."""
+    width = tok.width
+    refs: list[list] = [[] for _ in range(6)]
+    fresh: list[list] = [[] for _ in range(3)]
+    for rid, doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encode_all(spec, batch.column(2), tok.pack([end_id])), strict=True):
+        ends = cuts(np.frombuffer(raw, dtype=tok.dtype), weights)
+        sizes = [b - a for a, b in zip([0, *ends], ends)]
+        payloads = [raw[(b - n) * width : b * width] for b, n in zip(ends, sizes, strict=True)]
+        digests = list(map(digest, payloads))
+        k = len(ends)
+        for column, values in zip(refs, ([rid.to_bytes(8, "big")] * k, digests, sizes, [rid] * k, [doc_id] * k, range(k)), strict=True):
+            column.extend(values)
+        for d, n, payload in zip(digests, sizes, payloads, strict=True):
+            if d not in seen:
+                seen.add(d)
+                for column, value in zip(fresh, (d, n, payload), strict=True):
+                    column.append(value)
+    n_refs, n_fresh = len(refs[0]), len(fresh[0])
+    none = [None] * n_fresh
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([1] * n_refs + [0] * n_fresh, pa.int8()),
+            pa.array(refs[0] + fresh[0], pa.binary()),
+            pa.array(refs[1] + fresh[0], pa.binary()),
+            pa.array(refs[2] + fresh[1], pa.int32()),
+            pa.array([None] * n_refs + fresh[2], pa.binary()),
+            pa.array(refs[3] + none, pa.int64()),
+            pa.array(refs[4] + none, pa.int64()),
+            pa.array(refs[5] + none, pa.int32()),
+        ],
+        ["kind", "dealt", "digest", "n_ids", "payload", "rid", "doc_id", "pos"],
+    )
+
+
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID) -> None:
     """Tokenize ``docs`` (doc_id, text) into a store at ``path``."""
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(read_spec(tokenizer_path))
 
-    def chunked(frames):
+    def chunked(batches):
         seen: set[bytes] = set()
         weights = id_weights()
-        for frame in frames:
-            tok = worker_tokenizer(spec.value)
-            end, width = tok.pack([end_id]), tok.width
-            cols: list[list] = [[] for _ in range(8)]
-            add = [c.append for c in cols]
-            for rid, doc_id, raw in zip(frame["rid"], frame["doc_id"], encode_all(spec.value, frame["text"], end), strict=True):
-                ids = np.frombuffer(raw, dtype=tok.dtype)
-                last = 0
-                own = int(rid).to_bytes(8, "big")
-                for pos, at in enumerate(cuts(ids, weights)):
-                    payload = raw[last * width : at * width]
-                    d = digest(payload)
-                    for put, v in zip(add, (1, own, d, at - last, None, rid, doc_id, pos), strict=True):
-                        put(v)
-                    if d not in seen:
-                        seen.add(d)
-                        for put, v in zip(add, (0, d, d, at - last, payload, None, None, None), strict=True):
-                            put(v)
-                    last = at
-            out = pd.DataFrame(dict(zip(("kind", "dealt", "digest", "n_ids", "payload", "rid", "doc_id", "pos"), cols, strict=True)))
-            yield out.astype({"rid": "Int64", "doc_id": "Int64", "pos": "Int32"})
-
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(chunked, ROWS)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                yield cut_rows(worker_tokenizer(spec.value), spec.value, batch.slice(at, SLICE), end_id, weights, seen)
+
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(chunked, ROWS)
     # chunk records meet by digest, references by document; one exchange serves both
     first = F.row_number().over(Window.partitionBy("dealt").orderBy("kind", "pos"))
     kept = rows.withColumn("_n", first).where("kind = 1 or _n = 1").drop("_n", "dealt")

@@ -21,9 +21,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words and pieces of words in a generation of a worker's cache; two generations are kept, about 200 bytes an entry.
-CACHE_WORDS, CACHE_PIECES = 400_000, 400_000
+CACHE_WORDS, CACHE_PIECES = 200_000, 250_000
 #: Bytes of text whose words are numbered at once.
-RUN_BYTES = 12_000_000
+RUN_BYTES = 8_000_000
 #: Letters, marks and digits whose pieces are known without the library's pattern.
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 PLAIN = re.compile(f"[!-&(-~{LETTERS}]+")
