@@ -9,8 +9,8 @@ All stages but the last return the columns of ``documents``.
 * quality drops texts that the classifier scores below its threshold.
 * near_duplicates keeps of each class of near copies the row with the smallest id (of
   rows that agree in id, one). Word shingles have five words. Two texts link when the
-  256-bit fingerprints of their shingles differ in at most RADIUS bits, the distance at
-  which a similarity of 0.8 still links with 95 %; unlike pairs are some 128 bits apart.
+  512-bit fingerprints of their shingles differ in at most RADIUS bits, the distance at
+  which a similarity of 0.8 still links with 95 %; unlike texts are some 256 bits apart.
 * mix repeats or leaves out rows so that each source meets its token target.
 * pack cuts and packs what is left into sequences of 4096 ids.
 
@@ -28,8 +28,8 @@ from voxloom.llm.common import materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MIN_LANGUAGE = 0.5
-SHINGLE, WORDS = 5, 4
-RADIUS, FIRST_RADIUS = 48, 20
+SHINGLE, WORDS = 5, 8
+RADIUS, FIRST_RADIUS = 91, 20
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
