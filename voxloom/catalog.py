@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from voxloom.plans import points
+
+MODULES = (points,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
