@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.plans import points
+from voxloom.plans import joins, points
 
-MODULES = (points,)
+MODULES = (points, joins)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
