@@ -5,8 +5,9 @@ fingerprints within a radius of differing bits link, and a document's class is i
 connected component. Distinct fingerprints are sorted by population count and cut into
 tiles; each pair of tiles is compared whole with numpy exclusive-or and bit counts,
 unless their population counts lie further apart than the radius, when no pair can
-link. A tile pair returns a spanning forest of its links, never all of them, so a large
-group of near copies costs no more rows than it has members. Components of the forests
+link. A tile first finds its own classes; a pair of tiles then returns a forest of links
+between classes, never all links, so a large group of near copies costs about as many rows
+as it has members. Components of the forests
 come from distributed label propagation over stars with stored rounds.
 
 The comparison is exact and so grows with the square of the distinct fingerprints; the
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import materialise, partitions
+from voxloom.llm.common import bounded, materialise
 
 WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
@@ -38,6 +39,7 @@ TILE = 16384
 #: Rows of one tile held against all of another at once.
 BLOCK = 128
 MAX_ROUNDS = 40
+TILES = "tile long, low int, high int, fps binary, ids binary, roots binary"
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -84,7 +86,7 @@ def fingerprints(docs: DataFrame, k: int = 3, words: int = 1) -> DataFrame:
             fps = [fingerprint(t, k, words).astype(">u8").tobytes() for t in frame["text"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "fp": fps})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp binary")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp binary")
 
 
 def forest(u: np.ndarray, v: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -111,9 +113,14 @@ def forest(u: np.ndarray, v: np.ndarray, label: np.ndarray) -> np.ndarray:
     return np.concatenate(kept) if kept else np.zeros(0, dtype=np.int64)
 
 
-def compare(a: np.ndarray, b: np.ndarray, radius: int, first_radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links between rows of a and of b (n x words)."""
-    label = np.arange(len(a) if same else len(a) + len(b))
+def compare(a: np.ndarray, b: np.ndarray, radius: int, first_radius: int, same: bool, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Forest of links between rows of a and of b (n x words).
+
+    ``label`` (a root per row, first of a, then of b) tells what hangs together already;
+    it is brought up to date, and only links that join two of its trees come back.
+    """
+    if label is None:
+        label = np.arange(len(a) if same else len(a) + len(b))
     shift = 0 if same else len(a)
     left, right = [], []
     lead = np.ascontiguousarray(b[:, 0])
@@ -137,8 +144,12 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int, first_radius: int, same:
     return (np.concatenate(left), np.concatenate(right)) if left else (empty, empty)
 
 
-def tiles(distinct: DataFrame, n_tiles: int, words: int) -> DataFrame:
-    """(tile, low, high, fps, ids) of distinct (fp, doc_id), in order of population count."""
+def tiles(distinct: DataFrame, n_tiles: int, words: int, radius: int, first_radius: int) -> DataFrame:
+    """(tile, low, high, fps, ids, roots) of distinct (fp, doc_id), in order of population count.
+
+    A tile is compared with itself at once; roots gives each row the place of its class's
+    first row in the tile, so that pairs of tiles only have to link classes.
+    """
 
     def run(frames):
         fps, ids, n = [], [], 0
@@ -147,7 +158,9 @@ def tiles(distinct: DataFrame, n_tiles: int, words: int) -> DataFrame:
         def out(fps, ids, tile, n):
             fp = np.frombuffer(b"".join(fps), dtype=">u8").astype("<u8").reshape(-1, words)
             pop = np.bitwise_count(fp).sum(axis=1)
-            return pd.DataFrame({"tile": [(tile << 20) + n], "low": [int(pop.min())], "high": [int(pop.max())], "fps": [fp.tobytes()], "ids": [np.array(ids, dtype="<i8").tobytes()]})
+            roots = np.arange(len(fp))
+            compare(fp, fp, radius, first_radius, True, roots)
+            return pd.DataFrame({"tile": [(tile << 20) + n], "low": [int(pop.min())], "high": [int(pop.max())], "fps": [fp.tobytes()], "ids": [np.array(ids, dtype="<i8").tobytes()], "roots": [roots.astype("<i4").tobytes()]})
 
         for frame in frames:
             for fp, doc, part in zip(frame["fp"], frame["doc_id"], frame["_part"], strict=True):
@@ -162,33 +175,41 @@ def tiles(distinct: DataFrame, n_tiles: int, words: int) -> DataFrame:
 
     pop = F.aggregate(F.sequence(F.lit(0), F.lit(words - 1)), F.lit(0), lambda acc, i: acc + F.bit_count(F.conv(F.substring(F.hex("fp"), i * 16 + 1, 16), 16, -10).cast("long")))
     ordered = distinct.withColumn("_pop", pop).repartitionByRange(n_tiles, "_pop", "fp").sortWithinPartitions("_pop", "fp").withColumn("_part", F.spark_partition_id())
-    return ordered.select("fp", "doc_id", "_part").mapInPandas(run, "tile long, low int, high int, fps binary, ids binary")
+    return ordered.select("fp", "doc_id", "_part").mapInPandas(run, TILES)
 
 
 def links(distinct: DataFrame, radius: int, words: int, first_radius: int | None = None) -> DataFrame:
     """Edges (a, b) of a forest with the components of all links among distinct (fp, doc_id)."""
     first_radius = radius if first_radius is None else first_radius
     n = distinct.count()
-    stored = materialise(tiles(distinct, max(1, -(-n // TILE)), words), "tiles")
+    stored = materialise(tiles(distinct, max(1, -(-n // TILE)), words, radius, first_radius), "tiles")
     # one short row per tile: its number and its range of population counts
     meta = np.array([(r["tile"], r["low"], r["high"]) for r in stored.select("tile", "low", "high").collect()], dtype=np.int64).reshape(-1, 3)
     meta = meta[np.argsort(meta[:, 0])]
 
+    def within(frames):
+        for frame in frames:
+            for ids, roots in zip(frame["ids"], frame["roots"], strict=True):
+                i, r = np.frombuffer(ids, dtype="<i8"), np.frombuffer(roots, dtype="<i4")
+                child = np.flatnonzero(r != np.arange(len(r)))
+                yield pd.DataFrame({"a": i[child], "b": i[r[child]]})
+
     def pairs(frames):
         for frame in frames:
-            for tile, low, high, fps, ids in frame.itertuples(index=False):
-                near = meta[(meta[:, 1] - high <= radius) & (low - meta[:, 2] <= radius), 0]
-                yield pd.DataFrame({"a": np.minimum(near, tile), "b": np.maximum(near, tile), "tile": tile, "fps": [fps] * len(near), "ids": [ids] * len(near)})
+            for tile, low, high, fps, ids, roots in frame.itertuples(index=False):
+                near = meta[(meta[:, 1] - high <= radius) & (low - meta[:, 2] <= radius) & (meta[:, 0] != tile), 0]
+                yield pd.DataFrame({"a": np.minimum(near, tile), "b": np.maximum(near, tile), "tile": tile, "fps": [fps] * len(near), "ids": [ids] * len(near), "roots": [roots] * len(near)})
 
     def run(key, frame):
         a, b = key
-        by = {t: (np.frombuffer(f, dtype="<u8").reshape(-1, words), np.frombuffer(i, dtype="<i8")) for t, f, i in zip(frame["tile"], frame["fps"], frame["ids"], strict=True)}
-        (fa, ia), (fb, ib) = by[a], by[b]
-        i, j = compare(fa, fb, radius, first_radius, a == b)
+        by = {t: (np.frombuffer(f, dtype="<u8").reshape(-1, words), np.frombuffer(i, dtype="<i8"), np.frombuffer(r, dtype="<i4").astype(np.int64)) for t, f, i, r in zip(frame["tile"], frame["fps"], frame["ids"], frame["roots"], strict=True)}
+        (fa, ia, ra), (fb, ib, rb) = by[a], by[b]
+        i, j = compare(fa, fb, radius, first_radius, False, np.concatenate([ra, rb + len(ra)]))
         return pd.DataFrame({"a": ia[i], "b": ib[j]})
 
-    dealt = stored.select("tile", "low", "high", "fps", "ids").mapInPandas(pairs, "a long, b long, tile long, fps binary, ids binary")
-    return dealt.groupBy("a", "b").applyInPandas(run, "a long, b long")
+    dealt = stored.mapInPandas(pairs, "a long, b long, tile long, fps binary, ids binary, roots binary")
+    across = dealt.groupBy("a", "b").applyInPandas(run, "a long, b long")
+    return stored.select("ids", "roots").mapInPandas(within, "a long, b long").unionByName(across)
 
 
 def components(edges: DataFrame) -> DataFrame:
