@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voxloom.llm.common import bounded
+
 RATE, FRAME, HOP = 8000, 64, 16
 LOW_HZ, HIGH_HZ = 28.0, 3520.0
 #: Frames under one position.
@@ -197,7 +199,7 @@ def fingerprints(media: DataFrame, key: str, column: str) -> DataFrame:
         for frame in frames:
             yield pd.DataFrame({"key": frame["key"].astype("Int64"), "fp": [media_print(d).astype("<u4").tobytes() for d in frame["data"]]})
 
-    return media.select(F.col(key).cast("long").alias("key"), F.col(column).alias("data")).mapInPandas(run, "key long, fp binary")
+    return bounded(media).select(F.col(key).cast("long").alias("key"), F.col(column).alias("data")).mapInPandas(run, "key long, fp binary")
 
 
 def align(media: DataFrame, key: str, column: str, references: DataFrame) -> DataFrame:
@@ -212,7 +214,7 @@ def align(media: DataFrame, key: str, column: str, references: DataFrame) -> Dat
     sc = media.sparkSession.sparkContext
     passes = []
     schema = "rid long, key long, n_ints int, fp_crc32 long, ref_id long, ref_offset int, bit_error double, votes int"
-    source = media.select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("key"), F.col(column).alias("data"))
+    source = bounded(media).select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("key"), F.col(column).alias("data"))
     for block in range(n_blocks):
         own = refs.where(F.pmod(F.xxhash64("key"), F.lit(n_blocks)) == block).groupBy("key").agg(F.min("fp").alias("fp")).collect()
         shared = sc.broadcast(References({r["key"]: np.frombuffer(bytes(r["fp"]), "<u4").astype(np.uint32) for r in own}))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import ordered_start, scratch_path
+from voxloom.llm.common import bounded, ordered_start, scratch_path
 from voxloom.llm.crc import carry, finish, raw_crc
 from voxloom.llm.tokens import encode_all, read_spec, worker_tokenizer
 
@@ -127,7 +127,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = E
             for at in range(0, batch.num_rows, SLICE):
                 yield cut_rows(worker_tokenizer(spec.value), spec.value, batch.slice(at, SLICE), end_id, weights, seen)
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(chunked, ROWS)
+    rows = bounded(docs).select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(chunked, ROWS)
     # chunk records meet by digest, references by document; one exchange serves both
     first = F.row_number().over(Window.partitionBy("dealt").orderBy("kind", "pos"))
     kept = rows.withColumn("_n", first).where("kind = 1 or _n = 1").drop("_n", "dealt")

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import fold
+from voxloom.llm.common import bounded, fold
 from voxloom.llm.ftrl import FTRL, temperature
 
 WIDTH = 1 << 15
@@ -130,7 +130,7 @@ def _sample(train: DataFrame, counts: dict[str, int], rows: int) -> DataFrame:
 
 def train_model(docs: DataFrame, fit_rows: int = FIT_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> LanguageModel:
     """Learn from the rows of ``docs`` (doc_id, text, lang) outside the held-out fold."""
-    train = docs.where(F.col("lang").isNotNull() & (fold("doc_id") != 0)).select("doc_id", "text", "lang")
+    train = bounded(docs).where(F.col("lang").isNotNull() & (fold("doc_id") != 0)).select("doc_id", "text", "lang")
     counts = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     classes = sorted(counts)
     if not classes:
@@ -173,7 +173,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         found = [shared.value.predict(t) for t in text]
         return pd.DataFrame({"lang_pred": [p for p, _ in found], "score": [s for _, s in found]})
 
-    return docs.withColumn("_lang", scored(F.col("text")))
+    return bounded(docs).withColumn("_lang", scored(F.col("text")))
 
 
 def op1_char_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:

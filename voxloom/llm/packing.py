@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import materialise
+from voxloom.llm.common import bounded, materialise
 from voxloom.llm.tokens import encode_all, read_spec, worker_tokenizer
 
 CAPACITY = 4096
@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
             out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
             yield out.astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, PIECES)
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, PIECES)
 
 
 def knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:

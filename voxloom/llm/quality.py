@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import fold
+from voxloom.llm.common import bounded, fold
 from voxloom.llm.ftrl import FTRL
 
 WIDTH = 1 << 18
@@ -40,7 +40,7 @@ EPOCHS = 5
 THRESHOLD = 0.3
 TOKEN = re.compile(r"[^\W\d_]+|\d|[^\w\s]|_")
 #: Words kept in a worker's hash cache.
-CACHE = 500_000
+CACHE = 150_000
 
 
 
@@ -130,7 +130,7 @@ def train_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
             yield pd.DataFrame({"doc_id": frame["doc_id"], "_key": frame["_key"], "y": frame["y"], "at": [a.astype(np.int32) for a, _ in made], "v": [v.astype(np.float32) for _, v in made]})
 
     # fit_rows rows at most on the small side
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInPandas(vectors, "doc_id long, _key long, y int, at array<int>, v array<float>")
+    rows = bounded(docs).select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInPandas(vectors, "doc_id long, _key long, y int, at array<int>, v array<float>")
     found = rows.orderBy("_key", "doc_id").limit(fit_rows).toPandas()
     x = [(np.asarray(a), np.asarray(v, dtype=float)) for a, v in zip(found["at"], found["v"], strict=True)]
     y = found["y"].tolist()
@@ -149,7 +149,7 @@ def scored(docs: DataFrame, model: QualityModel) -> DataFrame:
     def score(text: pd.Series) -> pd.Series:
         return pd.Series([shared.value.score(t) for t in text], dtype="float64")
 
-    return docs.withColumn("_quality", score(F.col("text")))
+    return bounded(docs).withColumn("_quality", score(F.col("text")))
 
 
 def op5_word_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxloom.llm.common import bounded
 from voxloom.llm.tokens import RUN_BYTES, _byte_letters, _Made, read_spec
 
 CACHE_WORDS = 500_000
@@ -160,7 +161,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             pieces, words = count_texts(spec.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pieces), pa.array(words)], ["doc_id", "n_tokens", "n_words"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, n_words long")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, n_words long")
 
 
 def op4_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
