@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.plans import joins, points
+from voxloom.plans import joins, points, rings
 
-MODULES = (points, joins)
+MODULES = (points, joins, rings)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
