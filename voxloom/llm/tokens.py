@@ -20,13 +20,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words and pieces of words in a generation of a worker's cache; two generations are kept, about 200 bytes an entry.
-CACHE_WORDS, CACHE_PIECES = 150_000, 200_000
+#: Words in a generation of a worker's cache; two generations are kept, about 200 bytes a word.
+CACHE_WORDS = 600_000
 #: Bytes of text whose words are numbered at once.
 RUN_BYTES = 8_000_000
 #: Letters, marks and digits whose pieces are known without the library's pattern.
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 PLAIN = re.compile(f"[!-&(-~{LETTERS}]+")
+STEM = re.compile(f"([{LETTERS}]+)([.,!?;:$&%*#()]*)")
 PIECES = re.compile(f"[{LETTERS}]+|[0-9]|[^0-9{LETTERS}]+")
 #: The pattern and steps of a file for which the direct way holds.
 KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -86,7 +87,7 @@ class WordTokenizer:
         self.direct = pre[0]["pattern"].get("Regex") == KNOWN_PATTERN and [n["type"] for n in raw["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]
         self.letters = _byte_letters()
         self.tokenize = self.lib.model.tokenize
-        self.pieces, self.words = _Made(self._piece), _Made(self._word)
+        self.words = _Made(self._word)
 
     def pack(self, ids: list[int]) -> bytes:
         return np.asarray(ids, dtype=self.dtype).tobytes()
@@ -97,9 +98,18 @@ class WordTokenizer:
         return array(self.code, [t.id for t in self.tokenize(piece)]).tobytes()
 
     def _word(self, word: str) -> bytes:
+        """Ids of a word that is not in the cache; its lower-case stem and its marks may be."""
+        m = STEM.fullmatch(word) if self.direct else None
+        if m:
+            stem, marks = m.groups()
+            low = stem.lower()
+            if marks:
+                return self.words[low] + self.words[marks]
+            return self._piece(word) if low == word else self.words[low]
         if not self.direct or not PLAIN.fullmatch(word) or ("|" in word and any(s in word for s in self.special)):
             return self.pack(self.lib.encode(word, add_special_tokens=False).ids)
-        return b"".join(map(self.pieces.__getitem__, PIECES.findall(word.lower())))
+        pieces = PIECES.findall(word.lower())
+        return self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self.words.__getitem__, pieces))
 
     def encode(self, text: str) -> bytes:
         return next(self.encode_arrow(pa.array([text], pa.large_string())))
@@ -119,7 +129,7 @@ class WordTokenizer:
             until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + RUN_BYTES, side="right")))
             lists = pc.ascii_split_whitespace(texts.slice(at, until - at))
             numbered = lists.flatten().dictionary_encode()
-            self.words, self.pieces = self.words.aged(CACHE_WORDS), self.pieces.aged(CACHE_PIECES)
+            self.words = self.words.aged(CACHE_WORDS)
             found = list(map(self.words.__getitem__, numbered.dictionary.to_numpy(zero_copy_only=False).tolist()))
             ids = np.frombuffer(b"".join(found), dtype=self.dtype)
             sizes = np.fromiter(map(len, found), dtype=np.int32, count=len(found)) // self.width
