@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.plans import joins, points, rings
+from voxloom.plans import joins, points, rings, text
 
-MODULES = (points, joins, rings)
+MODULES = (points, joins, rings, text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
