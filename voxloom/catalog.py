@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.plans import joins, points, rings, text
+from voxloom.plans import joins, kernels, points, rings, text
 
-MODULES = (points, joins, rings, text)
+MODULES = (points, joins, rings, text, kernels)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
