@@ -29,6 +29,7 @@ class FTRL:
         return self._solve(self.z, self.n, self.l1), self._solve(self.bz, self.bn, 0.0)
 
     def learn(self, idx: np.ndarray, val: np.ndarray, label: int, weight: float = 1.0) -> None:
+        val = np.asarray(val, dtype=float)
         z, n = self.z[idx], self.n[idx]
         w = self._solve(z, n, self.l1)
         b = self._solve(self.bz, self.bn, 0.0)

@@ -35,7 +35,7 @@ from voxloom.llm.common import bounded, fold
 from voxloom.llm.ftrl import FTRL
 
 WIDTH = 1 << 18
-FIT_ROWS = 4000
+FIT_ROWS = 2500
 EPOCHS = 5
 THRESHOLD = 0.3
 TOKEN = re.compile(r"[^\W\d_]+|\d|[^\w\s]|_")
@@ -132,8 +132,9 @@ def train_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     # fit_rows rows at most on the small side
     rows = bounded(docs).select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInPandas(vectors, "doc_id long, _key long, y int, at array<int>, v array<float>")
     found = rows.orderBy("_key", "doc_id").limit(fit_rows).toPandas()
-    x = [(np.asarray(a), np.asarray(v, dtype=float)) for a, v in zip(found["at"], found["v"], strict=True)]
+    x = list(zip(found["at"], found["v"], strict=True))  # 32-bit arrays: 8 bytes an n-gram
     y = found["y"].tolist()
+    del found
     have = {k: max(1, y.count(k)) for k in (0, 1)}
     weight = {k: (counts[k] / total) / (have[k] / max(1, len(y))) for k in (0, 1)}
     fit = FTRL(WIDTH, 2, alpha=0.3, l1=2e-3, l2=1e-3).fit(x, y, EPOCHS, [weight[k] for k in y])
