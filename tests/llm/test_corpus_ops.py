@@ -355,3 +355,19 @@ def test_graph_search(spark):
 def test_fold(spark):
     got = spark.range(50).select("id", fold("id").alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in got)
+
+
+def test_cuts_do_not_depend_on_the_stream_before():
+    rng = np.random.default_rng(9)
+    weights = castore.id_weights()
+    streams = [rng.integers(0, 49408, n).astype("<u2") for n in (0, 1, 255, 256, 257, 20000, 3, 9000)]
+    bounds = np.cumsum([0, *map(len, streams)]).tolist()
+    many = castore.cuts_of_many(np.concatenate(streams), bounds, weights)
+    assert many == [castore.cuts(s, weights) for s in streams]
+    for s, ends in zip(streams, many):
+        assert ends[-1] == len(s) and all(0 < b - a <= castore.MAX_CHUNK for a, b in zip([0, *ends], ends) if len(s))
+    # the same passage is cut alike after another beginning
+    tail = streams[5]
+    moved = castore.cuts(np.concatenate([streams[7], tail]), weights)
+    shared = {e - 9000 for e in moved} & set(many[5])
+    assert len(shared) >= len(many[5]) - 3

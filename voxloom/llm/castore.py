@@ -57,22 +57,38 @@ def id_weights(n: int = 1 << 16) -> np.ndarray:
 
 
 def cuts(ids: np.ndarray, weights: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream."""
+    """Ends of the chunks of one id stream."""
+    return cuts_of_many(ids, [0, len(ids)], weights)[0]
+
+
+def cuts_of_many(ids: np.ndarray, bounds: list[int], weights: np.ndarray) -> list[list[int]]:
+    """Ends of the chunks of the streams ids[bounds[i]:bounds[i + 1]], from each stream's own start.
+
+    One pass hashes all streams laid end to end. A hash looks back 16 ids and a chunk has
+    at least MIN_CHUNK, so no cut depends on the stream before.
+    """
     h = weights[ids & (len(weights) - 1)]
     for step in (1, 2, 4, 8):  # sums over the last 2, 4, 8, 16 ids, older ones shifted
         h[step:] = h[step:] + (h[:-step] << np.uint32(step))
-    out, last, n = [], 0, len(ids)
-    for at in ((np.flatnonzero((h >> np.uint32(16)) & np.uint32(MASK) == 0)) + 1).tolist():
-        while at - last > MAX_CHUNK:
+    found = np.flatnonzero((h >> np.uint32(16)) & np.uint32(MASK) == 0) + 1
+    first = np.searchsorted(found, bounds).tolist()
+    found = found.tolist()
+    out = []
+    for i, (start, end) in enumerate(zip(bounds, bounds[1:])):
+        n, last, ends = end - start, 0, []
+        for at in found[first[i] : first[i + 1]]:
+            at -= start
+            while at - last > MAX_CHUNK:
+                last += MAX_CHUNK
+                ends.append(last)
+            if at - last >= MIN_CHUNK and at < n:
+                ends.append(at)
+                last = at
+        while n - last > MAX_CHUNK:
             last += MAX_CHUNK
-            out.append(last)
-        if at - last >= MIN_CHUNK and at < n:
-            out.append(at)
-            last = at
-    while n - last > MAX_CHUNK:
-        last += MAX_CHUNK
-        out.append(last)
-    out.append(n)
+            ends.append(last)
+        ends.append(n)
+        out.append(ends)
     return out
 
 
@@ -85,8 +101,10 @@ def cut_rows(tok, spec: str, batch: pa.RecordBatch, end_id: int, weights: np.nda
     width = tok.width
     refs: list[list] = [[] for _ in range(6)]
     fresh: list[list] = [[] for _ in range(3)]
-    for rid, doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encode_all(spec, batch.column(2), tok.pack([end_id])), strict=True):
-        ends = cuts(np.frombuffer(raw, dtype=tok.dtype), weights)
+    raws = list(encode_all(spec, batch.column(2), tok.pack([end_id])))
+    bounds = np.cumsum([0, *(len(r) // width for r in raws)]).tolist()
+    every = cuts_of_many(np.frombuffer(b"".join(raws), dtype=tok.dtype), bounds, weights)
+    for rid, doc_id, raw, ends in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raws, every, strict=True):
         sizes = [b - a for a, b in zip([0, *ends], ends)]
         payloads = [raw[(b - n) * width : b * width] for b, n in zip(ends, sizes, strict=True)]
         digests = list(map(digest, payloads))
