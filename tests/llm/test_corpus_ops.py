@@ -132,6 +132,9 @@ def test_mixing(spark, odd, none):
     got = mixing.mix_documents(odd).collect()
     assert len(got) == 11 and all(r._size * r._copies <= 2 * r._size for r in got)
     assert mixing.mixed(none).count() == 0
+    clash = odd.withColumns({c: F.lit(1) for c in ("rate", "k", "start", "_size", "_rank", "mean", "target", "source_size")})
+    again = mixing.mix_documents(clash)
+    assert sorted(again.select("doc_id", "_size", "_copies").collect(), key=str) == sorted(mixing.mix_documents(odd).select("doc_id", "_size", "_copies").collect(), key=str)
 
 
 def test_longest_match():

@@ -41,6 +41,8 @@ SALTS = 256
 MAX_STEPS = 60
 #: Phases of the systematic rounding that are tried.
 PHASES = 16
+#: Names of the operator's own columns.
+OWN = ("_size", "_source_size", "_target", "_copies", "_copy", "_salt", "_rank", "_tie", "_from", "_rate", "_ls", "_lz", "_lt")
 
 
 def words(text: Column) -> Column:
@@ -155,7 +157,7 @@ def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = Window.partitionBy("source", "_size").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     earlier = fine.withColumn("_earlier", F.coalesce(F.sum("_n").over(parts), F.lit(0)))
     located = earlier.join(rated, earlier["source"].eqNullSafe(rated["_s"]) & (earlier["_size"] == rated["_sz"])).select(
-        F.col("source").alias("_ls"), F.col("_size").alias("_lz"), F.col("_salt").alias("_lt"), "rate", (F.col("start") + F.col("_earlier") * F.col("rate")).alias("_from"), "_source_size", "_target"
+        F.col("source").alias("_ls"), F.col("_size").alias("_lz"), F.col("_salt").alias("_lt"), F.col("rate").alias("_rate"), (F.col("start") + F.col("_earlier") * F.col("rate")).alias("_from"), "_source_size", "_target"
     )
     return keyed, located
 
@@ -168,19 +170,21 @@ def _source_index(spark: SparkSession, sources: list, kind: str) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` with _size, _source_size, _target and _copies added."""
+    """Every row of ``docs`` with _size, _source_size, _target and _copies added (columns named as in OWN give way)."""
+    docs = docs.drop(*OWN)
     columns = docs.columns
     keyed, located = plan(docs)
     rows = keyed.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
     rank = F.row_number().over(Window.partitionBy("source", "_size", "_salt").orderBy("doc_id", "_tie"))
     rows = rows.withColumn("_tie", F.xxhash64("text")).withColumn("_rank", rank)
     joined = rows.join(located, rows["source"].eqNullSafe(located["_ls"]) & (rows["_size"] == located["_lz"]) & (rows["_salt"] == located["_lt"]))
-    upto = lambda n: F.floor((F.col("_from") + n * F.col("rate")) / F.lit(UNIT))
+    upto = lambda n: F.floor((F.col("_from") + n * F.col("_rate")) / F.lit(UNIT))
     return joined.withColumn("_copies", (upto(F.col("_rank")) - upto(F.col("_rank") - 1)).cast("int")).select(*columns, "_size", "_source_size", "_target", "_copies")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """``docs`` with every row repeated as the mix says: the mixture itself."""
+    docs = docs.drop(*OWN)
     rows = mix_documents(docs)
     return rows.where(F.col("_copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
