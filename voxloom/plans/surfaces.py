@@ -21,7 +21,7 @@ def units(spark, sf):
 
 def q_plane_lines(spark, sf):
     p = units(spark, sf).where("i < 40").select(F.col("i").alias("pid"), *(F.col(c).alias("n" + c) for c in "xyz"), (F.col("i") % 5 - 2.0).alias("d"))
-    return S.plane_lines(p).select("a", "b", *(F.round(c, 5).alias(c) for c in ("px", "py", "pz", "ux", "uy", "uz")))
+    return S.plane_lines(p).select("a", "b", *((F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("px", "py", "pz", "ux", "uy", "uz")))
 
 
 def q_ray_hits(spark, sf):
@@ -72,7 +72,7 @@ QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 SQL = {
     "plane_lines": f"""WITH {UNIT}, p AS (SELECT i, x, y, z, i % 5 - 2.0::DOUBLE AS d FROM un WHERE i < 40), q AS (SELECT a.i AS a, b.i AS b, a.x AS ax, a.y AS ay, a.z AS az, a.d AS ad, b.x AS bx, b.y AS b_y, b.z AS bz, b.d AS bd, a.x * b.x + a.y * b.y + a.z * b.z AS k FROM p a JOIN p b ON a.i < b.i),
  r AS (SELECT *, (bd * k - ad) / (1 - k * k) AS s, (ad * k - bd) / (1 - k * k) AS t FROM q WHERE abs(k) < 0.99)
- SELECT a, b, round(s * ax + t * bx, 5) AS px, round(s * ay + t * b_y, 5) AS py, round(s * az + t * bz, 5) AS pz, round(ay * bz - az * b_y, 5) AS ux, round(az * bx - ax * bz, 5) AS uy, round(ax * b_y - ay * bx, 5) AS uz FROM r""",
+ SELECT a, b, round(s * ax + t * bx, 5) + 0.0::DOUBLE AS px, round(s * ay + t * b_y, 5) + 0.0::DOUBLE AS py, round(s * az + t * bz, 5) + 0.0::DOUBLE AS pz, round(ay * bz - az * b_y, 5) AS ux, round(az * bx - ax * bz, 5) AS uy, round(ax * b_y - ay * bx, 5) AS uz FROM r""",
     "ray_hits": """WITH t AS (SELECT s_suppkey AS face, (s_suppkey % 6)::DOUBLE AS ax, (s_suppkey % 7)::DOUBLE AS ay, s_suppkey % 5 + 1.0::DOUBLE AS az FROM supplier WHERE s_suppkey < 60), r AS (SELECT n_nationkey AS ray, n_nationkey % 5 + 0.3::DOUBLE AS ox, n_nationkey % 4 + 0.4::DOUBLE AS oy FROM nation),
  h AS (SELECT ray, face, (az + (oy - ay) * 0.25) / (1 - 0.05 * 0.25::DOUBLE) AS t, ax, ay, ox, oy FROM r, t),
  k AS (SELECT *, (ox + 0.1 * t - ax) / 2 AS u, (oy + 0.05 * t - ay) / 2 AS w FROM h), m AS (SELECT *, row_number() OVER (PARTITION BY ray ORDER BY t, face) AS n FROM k WHERE u >= 0 AND w >= 0 AND u + w <= 1 AND t > 1e-9)
