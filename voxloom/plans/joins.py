@@ -80,9 +80,9 @@ def q_chamfer_filter(spark, sf):
 
 def q_scale_candidates(spark, sf):
     p = table(spark, sf, "part")
-    a = p.where("p_partkey <= 40").select(F.col("p_retailprice").alias("ea"))
-    b = p.where("p_partkey BETWEEN 41 AND 80").select(F.col("p_retailprice").alias("eb"))
-    ratio = a.crossJoin(F.broadcast(b)).select((F.col("ea") / F.col("eb")).alias("s")).where("s BETWEEN 0.2 AND 2.5")
+    a = p.select("p_brand", F.col("p_partkey").alias("ka"), F.col("p_retailprice").alias("ea"))
+    b = p.select("p_brand", F.col("p_partkey").alias("kb"), F.col("p_retailprice").alias("eb"))
+    ratio = a.join(b, "p_brand").where("ka < kb").select((F.col("ea") / F.col("eb")).alias("s")).where("s BETWEEN 0.2 AND 2.5")
     return ratio.groupBy(G.histogram_bin("s", 0.2, 2.5, 200).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -103,7 +103,7 @@ def q_line_intersections(spark, sf):
 
 
 def q_arc_intersections(spark, sf):
-    n = vectors(spark, sf).where("vec_id < 60").withColumn("grp", F.col("vec_id") % 3)
+    n = vectors(spark, sf).withColumn("grp", F.col("vec_id") % 3)
     o = n.select(*(F.col(c).alias("o_" + c) for c in n.columns))
     pairs = n.join(o, (F.col("grp") + 1) % 3 == F.col("o_grp"))
     c = G.cross(("x", "y", "z"), ("o_x", "o_y", "o_z"))
@@ -116,7 +116,7 @@ def q_arc_distance(spark, sf):
     v = vectors(spark, sf)
     ux, uy, uz = G.unit(("x", "y", "z"))
     u = v.select("vec_id", ux.alias("x"), uy.alias("y"), uz.alias("z"))
-    arcs = u.where("vec_id < 30").select((F.col("vec_id") % 4).alias("grp"), F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("z").alias("nz"))
+    arcs = u.select((F.col("vec_id") % 4).alias("grp"), F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("z").alias("nz"))
     d = F.asin(F.least(F.abs(G.dot(("x", "y", "z"), ("nx", "ny", "nz"))), F.lit(1.0)))
     near = u.crossJoin(F.broadcast(arcs)).groupBy("vec_id", "grp").agg(F.min(d).alias("d"))
     every = u.select("vec_id").crossJoin(spark.range(5).select(F.col("id").alias("grp")))
@@ -124,8 +124,8 @@ def q_arc_distance(spark, sf):
 
 
 def q_cost_matrix(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("ch", "d")).where("ch < 24")
-    t, r = e.where("vec_id < 40"), e.where("vec_id BETWEEN 40 AND 63")
+    e = table(spark, sf, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("ch", "d"))
+    t, r = e.where("label % 2 = 0"), e.where("label % 2 = 1")
     both = t.select(F.col("vec_id").alias("t"), "ch", F.col("d").alias("a")).join(r.select(F.col("vec_id").alias("r"), "ch", F.col("d").alias("b")), "ch")
     return both.groupBy("t", "r").agg((-F.count_if(F.abs(F.col("a").cast("double") - F.col("b").cast("double")) < 0.1)).alias("cost"))
 
@@ -153,23 +153,23 @@ def q_name_lookup(spark, sf):
 
 def q_aspect_match(spark, sf):
     p = table(spark, sf, "part")
-    a = p.where("p_partkey <= 60").select(F.col("p_partkey").alias("a"), (F.col("p_retailprice") / F.col("p_size")).alias("ra"))
-    b = p.where("p_partkey BETWEEN 61 AND 120").select(F.col("p_partkey").alias("b"), (F.col("p_retailprice") / F.col("p_size")).alias("rb"))
-    pairs = a.crossJoin(F.broadcast(b)).select("a", "b", F.abs(F.col("ra") - F.col("rb")).alias("d"))
+    a = p.where("p_size <= 25").select("p_brand", F.col("p_partkey").alias("a"), (F.col("p_retailprice") / F.col("p_size")).alias("ra"))
+    b = p.where("p_size > 25").select("p_brand", F.col("p_partkey").alias("b"), (F.col("p_retailprice") / F.col("p_size")).alias("rb"))
+    pairs = a.join(b, "p_brand").select("a", "b", F.abs(F.col("ra") - F.col("rb")).alias("d"))
     r = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
     two = pairs.withColumn("k", r).where("k <= 2").groupBy("a").agg(F.min_by("b", "k").alias("b"), F.min("d").alias("d"), F.max("d").alias("second"))
     return two.select("a", "b", F.round("d", 6).alias("d"), F.round(F.try_divide("second", "d"), 4).alias("contrast"))
 
 
 def q_boundary_distance(spark, sf):
-    pts = cloud(spark, sf).where("pid % 50 = 0").groupBy("pid").agg(F.min("x").alias("x"), F.min("z").alias("z"))
+    pts = cloud(spark, sf).groupBy("pid").agg(F.min("x").alias("x"), F.min("z").alias("z"))
     ring = spark.sql("SELECT * FROM VALUES (0, 5.0D, 10.0D, 45.0D, 10.0D), (1, 45.0D, 10.0D, 45.0D, 80.0D), (2, 45.0D, 80.0D, 5.0D, 60.0D), (3, 5.0D, 60.0D, 5.0D, 10.0D) AS t(i, ax, ay, bx, by)")
     d = pts.crossJoin(F.broadcast(ring)).groupBy("pid").agg(F.min(G.segment_distance("x", "z", "ax", "ay", "bx", "by")).alias("d"), (F.sum(F.coalesce(G.edge_crossing("x", "z", "ax", "ay", "bx", "by"), F.lit(False)).cast("int")) % 2 == 1).alias("inside"))
     return d.select("pid", F.round("d", 6).alias("d"), "inside")
 
 
 def q_assignments(spark, sf):
-    n = table(spark, sf, "nation").where("n_nationkey < 5").select(F.col("n_nationkey").alias("room"), ((F.col("n_nationkey") * 7 + 3) % 11).alias("w"))
+    n = table(spark, sf, "region").select(F.col("r_regionkey").alias("room"), ((F.col("r_regionkey") * 7 + 3) % 11).alias("w"))
     score = lambda p, q: (F.col(f"w{p}") * (q + 1) % 5)
     all_ = n.select(F.col("room").alias("r0"), F.col("w").alias("w0")).crossJoin(n.select(F.col("room").alias("r1"), F.col("w").alias("w1"))).crossJoin(n.select(F.col("room").alias("r2"), F.col("w").alias("w2")))
     scored = all_.withColumn("score", score(0, 0) + score(1, 1) + score(2, 2))
@@ -220,29 +220,29 @@ SQL = {
  reach AS (SELECT a AS n, b AS m FROM e UNION SELECT reach.n, e.b FROM reach JOIN e ON reach.m = e.a), c AS (SELECT n, least(n, min(m)) AS k FROM reach GROUP BY n)
  SELECT k AS component, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM c JOIN v ON v.vec_id = c.n GROUP BY k""",
     "chamfer_filter": f"WITH {VEC} SELECT vec_id FROM v a WHERE vec_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM v b WHERE b.vec_id % 2 = 1 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 0.06 * 0.06::DOUBLE)",
-    "scale_candidates": "WITH s AS (SELECT a.p_retailprice / b.p_retailprice AS s FROM part a, part b WHERE a.p_partkey <= 40 AND b.p_partkey BETWEEN 41 AND 80) SELECT least(CAST(floor((s - 0.2::DOUBLE) / ((2.5::DOUBLE - 0.2::DOUBLE) / 200)) AS INT), 199) AS bin, count(*) AS n FROM s WHERE s BETWEEN 0.2 AND 2.5 GROUP BY 1",
+    "scale_candidates": "WITH s AS (SELECT a.p_retailprice / b.p_retailprice AS s FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey) SELECT least(CAST(floor((s - 0.2::DOUBLE) / ((2.5::DOUBLE - 0.2::DOUBLE) / 200)) AS INT), 199) AS bin, count(*) AS n FROM s WHERE s BETWEEN 0.2 AND 2.5 GROUP BY 1",
     "corner_pair_ratios": "SELECT a.n_nationkey AS k, b.n_nationkey AS o_k, round(sqrt(pow(a.n_nationkey % 5 - b.n_nationkey % 5, 2) + pow(a.n_nationkey // 5 - b.n_nationkey // 5, 2)), 6) AS d FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
     "line_intersections": f"""WITH {SEG}, p AS (SELECT a.*, b.id AS o_id, b.dx AS ex, b.dy AS ey, b.dz AS ez, a.px - b.px AS wx, a.py - b.py AS wy, a.pz - b.pz AS wz FROM seg a JOIN seg b ON (a.grp + 1) % 3 = b.grp),
  k AS (SELECT *, dx * dx + dy * dy + dz * dz AS a, dx * ex + dy * ey + dz * ez AS b, ex * ex + ey * ey + ez * ez AS c, dx * wx + dy * wy + dz * wz AS f, ex * wx + ey * wy + ez * wz AS g FROM p),
  s AS (SELECT *, (b * g - c * f) / (a * c - b * b) AS s, (a * g - b * f) / (a * c - b * b) AS t FROM k),
  h AS (SELECT *, sqrt(pow(wx + s * dx - t * ex, 2) + pow(wy + s * dy - t * ey, 2) + pow(wz + s * dz - t * ez, 2)) AS gap FROM s)
  SELECT id, o_id, grp, round(px + s * dx, 6) AS x, round(py + s * dy, 6) AS y, round(pz + s * dz, 6) AS z, round(gap, 6) AS gap FROM h WHERE s BETWEEN -0.2 AND 4.2 AND t BETWEEN -0.2 AND 4.2 AND gap < 0.2""",
-    "arc_intersections": f"""WITH {VEC}, n AS (SELECT *, vec_id % 3 AS grp FROM v WHERE vec_id < 60), p AS (SELECT a.vec_id, b.vec_id AS o_vec_id, a.y * b.z - a.z * b.y AS cx, a.z * b.x - a.x * b.z AS cy, a.x * b.y - a.y * b.x AS cz FROM n a JOIN n b ON (a.grp + 1) % 3 = b.grp),
+    "arc_intersections": f"""WITH {VEC}, n AS (SELECT *, vec_id % 3 AS grp FROM v), p AS (SELECT a.vec_id, b.vec_id AS o_vec_id, a.y * b.z - a.z * b.y AS cx, a.z * b.x - a.x * b.z AS cy, a.x * b.y - a.y * b.x AS cz FROM n a JOIN n b ON (a.grp + 1) % 3 = b.grp),
  l AS (SELECT *, sqrt(cx * cx + cy * cy + cz * cz) AS len FROM p) SELECT vec_id, o_vec_id, s AS sign, round(s * cx / len, 6) AS x, round(s * cy / len, 6) AS y, round(s * cz / len, 6) AS z FROM l, (VALUES (1), (-1)) t(s) WHERE len > 1e-6""",
     "arc_distance": f"""WITH {VEC}, u AS (SELECT vec_id, x / k AS x, y / k AS y, z / k AS z FROM (SELECT *, greatest(sqrt(x * x + y * y + z * z), 1e-10) AS k FROM v)),
- d AS (SELECT q.vec_id, a.vec_id % 4 AS grp, min(asin(least(abs(q.x * a.x + q.y * a.y + q.z * a.z), 1.0))) AS d FROM u q, u a WHERE a.vec_id < 30 GROUP BY 1, 2)
+ d AS (SELECT q.vec_id, a.vec_id % 4 AS grp, min(asin(least(abs(q.x * a.x + q.y * a.y + q.z * a.z), 1.0))) AS d FROM u q, u a GROUP BY 1, 2)
  SELECT u.vec_id, g AS grp, round(coalesce(d, pi()), 6) AS d FROM u CROSS JOIN range(5) t(g) LEFT JOIN d ON d.vec_id = u.vec_id AND d.grp = g""",
-    "cost_matrix": "WITH e AS (SELECT vec_id, i AS ch, embedding[i + 1]::DOUBLE AS d FROM embeddings, range(24) t(i)) SELECT t.vec_id AS t, r.vec_id AS r, -count(*) FILTER (abs(t.d - r.d) < 0.1) AS cost FROM e t JOIN e r USING (ch) WHERE t.vec_id < 40 AND r.vec_id BETWEEN 40 AND 63 GROUP BY 1, 2",
+    "cost_matrix": "WITH e AS (SELECT vec_id, label, i AS ch, embedding[i + 1]::DOUBLE AS d FROM embeddings, range(64) t(i)) SELECT t.vec_id AS t, r.vec_id AS r, -count(*) FILTER (abs(t.d - r.d) < 0.1) AS cost FROM e t JOIN e r USING (ch) WHERE t.label % 2 = 0 AND r.label % 2 = 1 GROUP BY 1, 2",
     "mutual_nearest": f"""WITH {VEC}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d FROM v a, v b WHERE a.label % 2 = 0 AND b.label % 2 = 1),
  r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS ra, row_number() OVER (PARTITION BY b ORDER BY d, a) AS rb FROM p) SELECT a, b, round(d, 8) AS d FROM r WHERE ra = 1 AND rb = 1""",
     "merge_offsets": "WITH n AS (SELECT CAST(o_custkey % 16 AS INT) AS tile, count(*) AS n_vertices FROM orders GROUP BY 1) SELECT tile, n_vertices, CAST(coalesce(sum(n_vertices) OVER (ORDER BY tile ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM n",
     "name_lookup": "SELECT coalesce(n_name, '(skipped)') AS name, count(*) AS n FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey + CASE WHEN c_custkey % 10 = 0 THEN 100 ELSE 0 END GROUP BY 1",
-    "aspect_match": """WITH p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, abs(a.p_retailprice / a.p_size - b.p_retailprice / b.p_size) AS d FROM part a, part b WHERE a.p_partkey <= 60 AND b.p_partkey BETWEEN 61 AND 120),
+    "aspect_match": """WITH p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, abs(a.p_retailprice / a.p_size - b.p_retailprice / b.p_size) AS d FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size <= 25 AND b.p_size > 25),
  r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM p) SELECT x.a, x.b, round(x.d, 6) AS d, round(CASE WHEN x.d = 0 THEN NULL ELSE y.d / x.d END, 4) AS contrast FROM r x JOIN r y ON x.a = y.a AND x.k = 1 AND y.k = 2""",
-    "boundary_distance": f"""WITH {CLOUD}, p AS (SELECT pid, min(x) AS x, min(z) AS y FROM pts WHERE pid % 50 = 0 GROUP BY pid), r AS (SELECT * FROM (VALUES (5.0::DOUBLE, 10.0::DOUBLE, 45.0::DOUBLE, 10.0::DOUBLE), (45, 10, 45, 80), (45, 80, 5, 60), (5, 60, 5, 10)) t(ax, ay, bx, b_y)),
+    "boundary_distance": f"""WITH {CLOUD}, p AS (SELECT pid, min(x) AS x, min(z) AS y FROM pts GROUP BY pid), r AS (SELECT * FROM (VALUES (5.0::DOUBLE, 10.0::DOUBLE, 45.0::DOUBLE, 10.0::DOUBLE), (45, 10, 45, 80), (45, 80, 5, 60), (5, 60, 5, 10)) t(ax, ay, bx, b_y)),
  k AS (SELECT *, least(greatest(((x - ax) * (bx - ax) + (y - ay) * (b_y - ay)) / ((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)), 0), 1) AS t, (ay > y) <> (b_y > y) AND x < (bx - ax) * (y - ay) / (b_y - ay) + ax AS hit FROM p, r)
  SELECT pid, round(min(sqrt(pow(ax + t * (bx - ax) - x, 2) + pow(ay + t * (b_y - ay) - y, 2))), 6) AS d, count(*) FILTER (hit) % 2 = 1 AS inside FROM k GROUP BY pid""",
-    "assignments": """WITH n AS (SELECT n_nationkey AS room, (n_nationkey * 7 + 3) % 11 AS w FROM nation WHERE n_nationkey < 5), s AS (SELECT a.room AS r0, b.room AS r1, c.room AS r2, a.w * 1 % 5 + b.w * 2 % 5 + c.w * 3 % 5 AS score FROM n a, n b, n c),
+    "assignments": """WITH n AS (SELECT r_regionkey AS room, (r_regionkey * 7 + 3) % 11 AS w FROM region), s AS (SELECT a.room AS r0, b.room AS r1, c.room AS r2, a.w * 1 % 5 + b.w * 2 % 5 + c.w * 3 % 5 AS score FROM n a, n b, n c),
  r AS (SELECT *, row_number() OVER o AS rank, score - lead(score) OVER o AS margin FROM s WINDOW o AS (ORDER BY score DESC, r0, r1, r2)) SELECT r0, r1, r2, score, CAST(rank AS INT) AS rank, margin FROM r WHERE rank <= 3""",
     "best_view": """WITH f AS (SELECT p_partkey AS face, p_size - 25.0::DOUBLE AS x, p_partkey % 37 - 18.0::DOUBLE AS y, p_retailprice / 100 AS z FROM part), c AS (SELECT * FROM (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE, 5.0::DOUBLE), (1, 10, 5, 8), (2, -12, 3, 12), (3, 4, -15, 2)) t(cam, tx, ty, tz)),
  b AS (SELECT face, cam, (tx - x) * (tx - x) + (ty - y) * (ty - y) + (tz - z) * (tz - z) AS d2, tz - z AS dz FROM f, c), r AS (SELECT face, cam, row_number() OVER (PARTITION BY face ORDER BY abs(dz / sqrt(d2)) / d2 DESC, cam) AS k FROM b WHERE dz / sqrt(d2) > 0.25 AND d2 < 400),

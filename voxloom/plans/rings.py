@@ -10,13 +10,13 @@ from voxloom.operators import rings as R
 from voxloom.plans.points import CLOUD, cloud
 from voxloom.session import table
 
-RING = "ring AS (SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i, (o_orderkey % 101)::DOUBLE AS x, (o_orderkey % 67)::DOUBLE AS y FROM orders WHERE o_custkey <= 400)"
+RING = "ring AS (SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i, (o_orderkey % 101)::DOUBLE AS x, (o_orderkey % 67)::DOUBLE AS y FROM orders)"
 HOUR = "h AS (SELECT event_type AS k, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS t, count(*)::DOUBLE AS v FROM events GROUP BY 1, 2)"
-MASK = "m AS (SELECT DISTINCT CAST(l_suppkey % 12 AS INT) AS id, CAST(l_quantity AS INT) AS u, CAST(l_partkey % 40 AS INT) AS v FROM lineitem WHERE l_orderkey % 3 = 0)"
+MASK = "m AS (SELECT DISTINCT CAST(l_suppkey % 12 AS INT) AS id, CAST(l_quantity AS INT) AS u, CAST(l_partkey % 40 AS INT) AS v FROM lineitem)"
 
 
 def ring(spark, sf):
-    o = table(spark, sf, "orders").where("o_custkey <= 400")
+    o = table(spark, sf, "orders")
     i = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
     return o.select(F.col("o_custkey").alias("k"), i.alias("i"), (F.col("o_orderkey") % 101).cast("double").alias("x"), (F.col("o_orderkey") % 67).cast("double").alias("y"))
 
@@ -27,7 +27,7 @@ def hourly(spark, sf):
 
 
 def mask(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_orderkey % 3 = 0")
+    li = table(spark, sf, "lineitem")
     return li.select((F.col("l_suppkey") % 12).cast("int").alias("id"), F.col("l_quantity").cast("int").alias("u"), (F.col("l_partkey") % 40).cast("int").alias("v")).distinct()
 
 

@@ -20,19 +20,19 @@ def units(spark, sf):
 
 
 def q_plane_lines(spark, sf):
-    p = units(spark, sf).where("i < 40").select(F.col("i").alias("pid"), *(F.col(c).alias("n" + c) for c in "xyz"), (F.col("i") % 5 - 2.0).alias("d"))
+    p = units(spark, sf).select(F.col("i").alias("pid"), *(F.col(c).alias("n" + c) for c in "xyz"), (F.col("i") % 5 - 2.0).alias("d"))
     return S.plane_lines(p).select("a", "b", *((F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("px", "py", "pz", "ux", "uy", "uz")))
 
 
 def q_ray_hits(spark, sf):
-    s = table(spark, sf, "supplier").where("s_suppkey < 60").select(F.col("s_suppkey").alias("face"), (F.col("s_suppkey") % 6).cast("double").alias("ax"), (F.col("s_suppkey") % 7).cast("double").alias("ay"), (F.col("s_suppkey") % 5 + 1.0).alias("az"))
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("face"), (F.col("s_suppkey") % 6).cast("double").alias("ax"), (F.col("s_suppkey") % 7).cast("double").alias("ay"), (F.col("s_suppkey") % 5 + 1.0).alias("az"))
     tri = s.select("face", "ax", "ay", "az", (F.col("ax") + 2).alias("bx"), F.col("ay").alias("by"), F.col("az").alias("bz"), F.col("ax").alias("cx"), (F.col("ay") + 2).alias("cy"), (F.col("az") + 0.5).alias("cz"), F.lit(0).alias("kx"), F.lit(0).alias("ky"))
     rays = table(spark, sf, "nation").select(F.col("n_nationkey").alias("ray"), (F.col("n_nationkey") % 5 + 0.3).alias("ox"), (F.col("n_nationkey") % 4 + 0.4).alias("oy"), F.lit(0.0).alias("oz"), F.lit(0.1).alias("dx"), F.lit(0.05).alias("dy"), F.lit(1.0).alias("dz"), F.lit(0).alias("kx"), F.lit(0).alias("ky"))
     return S.ray_hits(rays, tri).select("ray", "face", F.round("t", 6).alias("t"))
 
 
 def q_texture_bake(spark, sf):
-    s = table(spark, sf, "supplier").where("s_suppkey < 40").select(F.col("s_suppkey").alias("face"), (F.col("s_suppkey") % 6 / 8.0).alias("u0"), (F.col("s_suppkey") % 5 / 8.0).alias("v0"))
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("face"), (F.col("s_suppkey") % 6 / 8.0).alias("u0"), (F.col("s_suppkey") % 5 / 8.0).alias("v0"))
     f = s.select("face", "u0", "v0", (F.col("u0") + 0.3).alias("u1"), F.col("v0").alias("v1"), F.col("u0").alias("u2"), (F.col("v0") + 0.3).alias("v2"), *(F.lit(float(k == i)).alias(c + str(i)) for i in range(3) for k, c in enumerate("rgb")))
     return S.bake(f, 33).select("u", "v", "face", *(F.round(c, 5).alias(c) for c in "rgb"))
 
@@ -48,7 +48,7 @@ def q_mask_components(spark, sf):
 
 
 def q_orthogonal_triple(spark, sf):
-    return S.orthogonal_triple(units(spark, sf).where("i < 80"))
+    return S.orthogonal_triple(units(spark, sf))
 
 
 def q_octahedra(spark, sf):
@@ -58,8 +58,8 @@ def q_octahedra(spark, sf):
 
 def q_scale_consensus(spark, sf):
     p = table(spark, sf, "part")
-    a, b = p.where("p_partkey <= 60").select(F.col("p_size").alias("ea")), p.where("p_partkey BETWEEN 61 AND 120").select(F.col("p_size").alias("eb"))
-    ratio = a.crossJoin(F.broadcast(b)).select((F.col("ea") / F.col("eb")).alias("s"))
+    a, b = (p.select("p_brand", F.col("p_partkey").alias("k" + c), F.col("p_size").alias("e" + c)) for c in "ab")
+    ratio = a.join(b, "p_brand").where("ka < kb").select((F.col("ea") / F.col("eb")).alias("s"))
     return S.histogram_consensus(ratio, F.col("s"), 0.2, 2.5, 200, 3, 5)
 
 
@@ -70,14 +70,14 @@ def q_translation_grid(spark, sf):
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 
 SQL = {
-    "plane_lines": f"""WITH {UNIT}, p AS (SELECT i, x, y, z, i % 5 - 2.0::DOUBLE AS d FROM un WHERE i < 40), q AS (SELECT a.i AS a, b.i AS b, a.x AS ax, a.y AS ay, a.z AS az, a.d AS ad, b.x AS bx, b.y AS b_y, b.z AS bz, b.d AS bd, a.x * b.x + a.y * b.y + a.z * b.z AS k FROM p a JOIN p b ON a.i < b.i),
+    "plane_lines": f"""WITH {UNIT}, p AS (SELECT i, x, y, z, i % 5 - 2.0::DOUBLE AS d FROM un), q AS (SELECT a.i AS a, b.i AS b, a.x AS ax, a.y AS ay, a.z AS az, a.d AS ad, b.x AS bx, b.y AS b_y, b.z AS bz, b.d AS bd, a.x * b.x + a.y * b.y + a.z * b.z AS k FROM p a JOIN p b ON a.i < b.i),
  r AS (SELECT *, (bd * k - ad) / (1 - k * k) AS s, (ad * k - bd) / (1 - k * k) AS t FROM q WHERE abs(k) < 0.99)
  SELECT a, b, round(s * ax + t * bx, 5) + 0.0::DOUBLE AS px, round(s * ay + t * b_y, 5) + 0.0::DOUBLE AS py, round(s * az + t * bz, 5) + 0.0::DOUBLE AS pz, round(ay * bz - az * b_y, 5) AS ux, round(az * bx - ax * bz, 5) AS uy, round(ax * b_y - ay * bx, 5) AS uz FROM r""",
-    "ray_hits": """WITH t AS (SELECT s_suppkey AS face, (s_suppkey % 6)::DOUBLE AS ax, (s_suppkey % 7)::DOUBLE AS ay, s_suppkey % 5 + 1.0::DOUBLE AS az FROM supplier WHERE s_suppkey < 60), r AS (SELECT n_nationkey AS ray, n_nationkey % 5 + 0.3::DOUBLE AS ox, n_nationkey % 4 + 0.4::DOUBLE AS oy FROM nation),
+    "ray_hits": """WITH t AS (SELECT s_suppkey AS face, (s_suppkey % 6)::DOUBLE AS ax, (s_suppkey % 7)::DOUBLE AS ay, s_suppkey % 5 + 1.0::DOUBLE AS az FROM supplier), r AS (SELECT n_nationkey AS ray, n_nationkey % 5 + 0.3::DOUBLE AS ox, n_nationkey % 4 + 0.4::DOUBLE AS oy FROM nation),
  h AS (SELECT ray, face, (az + (oy - ay) * 0.25) / (1 - 0.05 * 0.25::DOUBLE) AS t, ax, ay, ox, oy FROM r, t),
  k AS (SELECT *, (ox + 0.1 * t - ax) / 2 AS u, (oy + 0.05 * t - ay) / 2 AS w FROM h), m AS (SELECT *, row_number() OVER (PARTITION BY ray ORDER BY t, face) AS n FROM k WHERE u >= 0 AND w >= 0 AND u + w <= 1 AND t > 1e-9)
  SELECT ray, face, round(t, 6) AS t FROM m WHERE n = 1""",
-    "texture_bake": """WITH f AS (SELECT s_suppkey AS face, s_suppkey % 6 / 8.0::DOUBLE AS u0, s_suppkey % 5 / 8.0::DOUBLE AS v0 FROM supplier WHERE s_suppkey < 40), t AS (SELECT CAST(i AS INT) AS u, CAST(j AS INT) AS v, i / 32.0::DOUBLE AS x, j / 32.0::DOUBLE AS y FROM range(33) a(i), range(33) b(j)),
+    "texture_bake": """WITH f AS (SELECT s_suppkey AS face, s_suppkey % 6 / 8.0::DOUBLE AS u0, s_suppkey % 5 / 8.0::DOUBLE AS v0 FROM supplier), t AS (SELECT CAST(i AS INT) AS u, CAST(j AS INT) AS v, i / 32.0::DOUBLE AS x, j / 32.0::DOUBLE AS y FROM range(33) a(i), range(33) b(j)),
  w AS (SELECT u, v, face, (x - u0) / 0.3::DOUBLE AS g, (y - v0) / 0.3::DOUBLE AS b FROM f, t), k AS (SELECT *, 1 - g - b AS r, row_number() OVER (PARTITION BY u, v ORDER BY face DESC) AS n FROM w WHERE g > -0.01 AND g < 1.01 AND b > -0.01 AND b < 1.01 AND 1 - g - b > -0.01 AND 1 - g - b < 1.01)
  SELECT u, v, face, round(r, 5) AS r, round(g, 5) AS g, round(b, 5) AS b FROM k WHERE n = 1""",
     "cube_rays": """WITH p AS (SELECT c, (i + 0.5) / 16 * 2 - 1 AS a, (j + 0.5) / 16 * 2 - 1 AS b FROM range(6) f(c), range(16) t(i), range(16) u(j)), d AS (SELECT c, sum(1 / sqrt(a * a + b * b + 1)) AS s FROM p GROUP BY c)
@@ -85,8 +85,8 @@ SQL = {
     "mask_components": f"""WITH RECURSIVE {MASK}, p AS (SELECT DISTINCT u, v, v::BIGINT * 1048576 + u AS id FROM m WHERE id = 3 AND (u * 5 + v * 3) % 4 < 2), e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON abs(a.u - b.u) <= 1 AND abs(a.v - b.v) <= 1 AND a.id <> b.id),
  reach AS (SELECT id AS n, id AS o FROM p UNION SELECT reach.n, e.b FROM reach JOIN e ON reach.o = e.a), c AS (SELECT n, min(o) AS k FROM reach GROUP BY n)
  SELECT k AS component, count(*) AS n, min(u) AS u, min(v) AS v FROM c JOIN p ON p.id = c.n GROUP BY k HAVING count(*) >= 4""",
-    "orthogonal_triple": f"""WITH {UNIT}, d AS (SELECT * FROM un WHERE i < 80) SELECT a.i AS i, b.i AS j, c.i AS k FROM d a JOIN d b ON a.i < b.i AND abs(a.x * b.x + a.y * b.y + a.z * b.z) < 0.1 JOIN d c ON b.i < c.i AND abs(a.x * c.x + a.y * c.y + a.z * c.z) < 0.1 AND abs(b.x * c.x + b.y * c.y + b.z * c.z) < 0.1 ORDER BY 1, 2, 3 LIMIT 1""",
+    "orthogonal_triple": f"""WITH {UNIT}, d AS (SELECT * FROM un) SELECT a.i AS i, b.i AS j, c.i AS k FROM d a JOIN d b ON a.i < b.i AND abs(a.x * b.x + a.y * b.y + a.z * b.z) < 0.1 JOIN d c ON b.i < c.i AND abs(a.x * c.x + a.y * c.y + a.z * c.z) < 0.1 AND abs(b.x * c.x + b.y * c.y + b.z * c.z) < 0.1 ORDER BY 1, 2, 3 LIMIT 1""",
     "octahedra": "SELECT k AS kind, count(*) * n AS n FROM nation, (VALUES ('v', 6), ('f', 8)) t(k, n) GROUP BY k, n",
-    "scale_consensus": """WITH s AS (SELECT a.p_size / b.p_size AS s FROM part a, part b WHERE a.p_partkey <= 60 AND b.p_partkey BETWEEN 61 AND 120), h AS (SELECT least(CAST(floor((s - 0.2::DOUBLE) / ((2.5::DOUBLE - 0.2::DOUBLE) / 200)) AS INT), 199) AS bin, count(*) AS mass FROM s WHERE s BETWEEN 0.2 AND 2.5 GROUP BY 1)
+    "scale_consensus": """WITH s AS (SELECT a.p_size / b.p_size AS s FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey), h AS (SELECT least(CAST(floor((s - 0.2::DOUBLE) / ((2.5::DOUBLE - 0.2::DOUBLE) / 200)) AS INT), 199) AS bin, count(*) AS mass FROM s WHERE s BETWEEN 0.2 AND 2.5 GROUP BY 1)
  SELECT bin, mass FROM h t WHERE mass >= greatest((SELECT sum(mass) / 200 FROM h), 1) AND NOT EXISTS (SELECT 1 FROM h o WHERE abs(o.bin - t.bin) <= 3 AND o.bin <> t.bin AND (o.mass > t.mass OR (o.mass = t.mass AND o.bin < t.bin))) ORDER BY mass DESC, bin LIMIT 5""",
 }

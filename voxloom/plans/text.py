@@ -90,7 +90,7 @@ def q_artifact_resolver(spark, sf):
 def q_missing_paths(spark, sf):
     p = table(spark, sf, "part")
     listing = p.select(F.concat(F.lit("d/"), F.col("p_partkey").cast("string")).alias("path"))
-    rec = table(spark, sf, "customer").where("c_custkey < 3000").select("c_custkey", F.concat(F.lit("d/"), (F.col("c_custkey") * 2).cast("string")).alias("path"))
+    rec = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("d/"), (F.col("c_custkey") * 2).cast("string")).alias("path"))
     return T.missing_paths(rec, listing).select("c_custkey", "path")
 
 
@@ -145,7 +145,7 @@ SQL = {
     "json_translation": "SELECT n_nationkey, n_nationkey + 0.5::DOUBLE AS x, -20.0::DOUBLE AS y, 7.0::DOUBLE AS z FROM nation WHERE n_nationkey % 4 <> 0",
     "data_uri": "SELECT n_nationkey, 'data:' || CASE WHEN n_nationkey % 2 = 0 THEN 'image/png' ELSE 'image/jpeg' END || ';base64,' || base64(encode(n_name)) AS uri FROM nation",
     "artifact_resolver": "WITH c AS (SELECT s_suppkey AS stage, k AS rank, s_suppkey * 3 + k * k AS p FROM supplier, range(3) t(k)), f AS (SELECT stage, rank, p FROM c WHERE p IN (SELECT p_partkey FROM part WHERE p_partkey % 3 <> 0)) SELECT stage, 'd/' || min_by(p, rank) AS path FROM f GROUP BY stage",
-    "missing_paths": "SELECT c_custkey, 'd/' || (c_custkey * 2) AS path FROM customer WHERE c_custkey < 3000 AND c_custkey * 2 NOT IN (SELECT p_partkey FROM part)",
+    "missing_paths": "SELECT c_custkey, 'd/' || (c_custkey * 2) AS path FROM customer WHERE c_custkey * 2 NOT IN (SELECT p_partkey FROM part)",
     "project_merge": "SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 6 = 0 THEN 'done' ELSE 'new' END AS status, CASE WHEN s_suppkey % 3 = 0 THEN 1.0 ELSE round(s_acctbal, 2) END AS size FROM supplier",
     "stage_latest_state": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, event_type, epoch_us(ts) AS us FROM r WHERE k = 1",
     "stage_fanout": "SELECT s AS stage, r_name AS pano FROM region, (VALUES (3), (7)) t(s) UNION ALL SELECT 4, NULL",
