@@ -216,6 +216,22 @@ def test_audio_query_edges(spark, odd, none):
     assert again == got
 
 
+def test_audio_finds_short_references_at_every_sample():
+    rng = np.random.default_rng(11)
+    text = lambda n: rng.choice(np.frombuffer(b"etaoinshrdlu  ", np.uint8), n).tobytes()
+    for size in (12, 40, 81, 130, 200, 223, 230, 240, 400):
+        ref, other = text(size), text(size)
+        heard = audio.raw_pcm8(ref)
+        shifted = [audio.fingerprint(audio.chroma(heard[p:])).astype("<u4").tobytes() for p in range(audio.HOP)]
+        refs = audio.load([{"key": 3, "shifted": shifted, "samples": heard.tobytes() if size < audio.LONG else None, "rate": audio.RATE}])
+        for before in range(100, 116):
+            x = audio.raw_pcm8(text(before) + ref + text(150))
+            found = refs.matches(audio.fingerprint(audio.chroma(x)), x, audio.RATE)
+            assert (0, before) in {(r, at) for _, _, r, at in found}, (size, before)
+            x = audio.raw_pcm8(text(before) + other + text(150))
+            assert size < 81 or not refs.matches(audio.fingerprint(audio.chroma(x)), x, audio.RATE)
+
+
 def test_crc_of_parts():
     rng = np.random.default_rng(2)
     parts = [rng.bytes(int(n)) for n in rng.integers(0, 900, 9)]

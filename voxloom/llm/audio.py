@@ -4,7 +4,11 @@ A recording (WAV, or raw 8-bit PCM) becomes frames of energy in the twelve pitch
 Sixteen rectangle filters slide over the frames through an integral image; each gives two
 Gray-coded bits, so every position is one packed 32-bit integer. Two fingerprints align
 by a histogram of the offsets at which integers agree in their leading bits; the share of
-differing bits over the overlap at the best offset tells whether they are one recording.
+differing bits over the overlap tells for every offset with a vote whether the one holds the
+other there. References are printed from every sample below a hop on, so that the place in a
+recording need not be a multiple of the hop. A reference under LONG samples has too few
+positions; it is looked for by the codes of single frames and held against the recording by
+the bits of a finer fingerprint.
 
 The registered query reads the text bytes of ``documents`` as 8-bit mono PCM, the media
 column at hand, and finds in each of them the recordings of the reference set
@@ -13,8 +17,7 @@ most BLOCK_INTS integers, so that what is broadcast does not grow with it.
 
 Edge cases: null and empty media have no fingerprint and align with nothing; a recording
 shorter than one position is padded with silence; repeated rows are alike; ties go to
-the smaller reference id and offset; a reference of
-fewer than MIN_POSITIONS positions is never found; an unreadable WAV raises nothing and has no
+the smaller reference id and offset; one under 19 samples is tried at every sample; an unreadable WAV raises nothing and has no
 fingerprint; extra columns are ignored.
 """
 
@@ -26,10 +29,10 @@ from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import bounded
+from voxloom.llm.common import bounded, materialise
 
 RATE, FRAME, HOP = 8000, 64, 16
 LOW_HZ, HIGH_HZ = 28.0, 3520.0
@@ -40,6 +43,14 @@ LEAD = 16
 #: Positions and share of a reference that must lie over the recording, and share of bits that may differ there.
 MIN_POSITIONS, MIN_OVERLAP, MAX_ERROR = 4, 0.75, 0.12
 BLOCK_INTS = 1 << 20
+#: From so many samples on a reference has MIN_POSITIONS at every shift below a hop; shorter ones are also looked for by single frames.
+LONG = FRAME + (SPAN - 1 + MIN_POSITIONS - 1) * HOP + HOP - 1
+#: (frame, hop) at which the recording is searched for frames of short references; one lies whole within any frame + hop - 1 samples.
+TIERS = ((FRAME, HOP), (16, 4))
+#: Frame and hop of the bits that decide about a short reference.
+FINE_FRAME, FINE_HOP = 32, 4
+#: Votes or positions compared at once.
+STEP = 1 << 20
 #: Cuts of a filter's log ratio into four levels, and the levels' Gray code.
 CUTS = (-0.2, 0.0, 0.2)
 GRAY = (0, 1, 3, 2)
@@ -90,8 +101,13 @@ def chroma(x: np.ndarray, rate: int = RATE, frame: int = FRAME, hop: int = HOP)
     if len(x) == 0:
         return np.zeros((0, 12), dtype=np.float32)
     least = frame + (SPAN - 1) * hop
-    if len(x) < least:
-        x = np.pad(x, (0, least - len(x)))
+    return frames(np.pad(x, (0, least - len(x))) if len(x) < least else x, rate, frame, hop)
+
+
+def frames(x: np.ndarray, rate: int, frame: int, hop: int) -> np.ndarray:
+    """As ``chroma``, but of whole frames only."""
+    if len(x) < frame:
+        return np.zeros((0, 12), dtype=np.float32)
     window = np.hanning(frame).astype(np.float32)
     n = 1 + (len(x) - frame) // hop
     parts = []
@@ -136,41 +152,134 @@ def fingerprint(c: np.ndarray) -> np.ndarray:
     return out
 
 
+def codes(c: np.ndarray) -> np.ndarray:
+    """One integer per chroma frame: the fourth roots of its twelve energies in sixteen steps (one class is often much the strongest)."""
+    level = np.minimum((np.sqrt(np.sqrt(np.maximum(c, 0))) * 16).astype(np.int64), 15)
+    return level @ (np.int64(16) ** np.arange(12, dtype=np.int64))
+
+
+def expand(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... n[i] numbers for each i, one after the other."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 class References:
-    """Fingerprints of a reference set, sorted by their leading bits."""
-
-    def __init__(self, prints: dict[int, np.ndarray]):
-        self.ids = sorted(prints)
-        self.prints = [prints[i] for i in self.ids]
-        ints = np.concatenate([*self.prints, np.zeros(0, dtype=np.uint32)]).astype(np.uint32)
-        ref = np.repeat(np.arange(len(self.ids)), [len(p) for p in self.prints])
-        pos = np.concatenate([np.arange(len(p)) for p in self.prints] + [np.zeros(0, dtype=np.int64)])
-        lead = ints >> np.uint32(32 - LEAD)
-        order = np.argsort(lead, kind="stable")
-        self.lead, self.ref, self.pos = lead[order], ref[order], pos[order]
+    """Fingerprints of a reference set at every shift below a hop, sorted by their leading bits.
 
-    def best(self, fp: np.ndarray) -> tuple[int, int, float, int] | None:
-        """(reference id, offset, share of differing bits, votes) with the least error, or None."""
+    ``prints``: (key, [fingerprint of the samples from p on, for p in 0..HOP-1]) of each
+    reference, or {key: fingerprint} for the first shift only. ``short``: (samples, rate)
+    of the references under LONG samples, by their place in ``prints``.
+    """
+
+    def __init__(self, prints, short: dict[int, tuple[np.ndarray, int]] | None = None):
+        items = [(k, [v]) for k, v in sorted(prints.items())] if isinstance(prints, dict) else prints
+        self.ids = [k for k, _ in items]
+        # an entry is a reference at a shift at which it has positions enough
+        entries = [(r, p, fp) for r, (_, fps) in enumerate(items) for p, fp in enumerate(fps) if len(fp) >= MIN_POSITIONS]
+        self.of, self.shift = (np.array([e[i] for e in entries], dtype=np.int64) for i in (0, 1))
+        self.size = np.array([len(e[2]) for e in entries], dtype=np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.ints = np.concatenate([*(e[2] for e in entries), np.zeros(0, dtype=np.uint32)]).astype(np.uint32)
+        lead = self.ints >> np.uint32(32 - LEAD)
+        order = np.argsort(lead, kind="stable")
+        self.lead = lead[order]
+        self.entry = np.repeat(np.arange(len(entries)), self.size)[order].astype(np.int32)
+        self.pos = (expand(np.zeros(len(entries), dtype=np.int64), self.size))[order].astype(np.int32)
+        self.short = short or {}
+        self.fine = {r: fine_print(*v) for r, v in self.short.items()}
+        self.tiers = []
+        for (frame, hop), least, most in zip(TIERS, (TIERS[0][0] + TIERS[0][1] - 1, TIERS[1][0] + TIERS[1][1] - 1), (LONG, TIERS[0][0] + TIERS[0][1] - 1), strict=True):
+            own = [(r, x, rate) for r, (x, rate) in self.short.items() if least <= len(x) < most]
+            if own:
+                found = [codes(frames(x, rate, frame, 1)) for _, x, rate in own]
+                code = np.concatenate(found)
+                order = np.argsort(code, kind="stable")
+                ref = np.repeat([r for r, _, _ in own], [len(f) for f in found])
+                at = np.concatenate([np.arange(len(f)) for f in found])
+                self.tiers.append((frame, hop, code[order], ref[order], at[order]))
+        self.tiny = [r for r, (x, _) in self.short.items() if len(x) < TIERS[1][0] + TIERS[1][1] - 1]
+
+    def matches(self, fp: np.ndarray, x: np.ndarray | None = None, rate: int = RATE, c: np.ndarray | None = None) -> list[tuple]:
+        """(share of differing bits, votes, reference, sample at which it begins) of all that pass, each once, in order.
+
+        ``x``, ``rate`` and ``c`` (samples and chroma of the recording) are for the short references.
+        """
+        found: dict[tuple[int, int], tuple[float, int]] = {}
+        for entry, offset, error, votes in self._voted(fp):
+            found[int(self.of[entry]), HOP * offset - int(self.shift[entry])] = (error, votes)
+        if x is not None:
+            for r, at, votes in self._short(x, rate, c):
+                error = self._fine_error(r, at, x, rate)
+                if error <= MAX_ERROR and ((r, at) not in found or (error, -votes) < (found[r, at][0], -found[r, at][1])):
+                    found[r, at] = (error, votes)
+        key = lambda r: (self.ids[r] is None, self.ids[r] or 0)
+        return sorted(((e, v, r, at) for (r, at), (e, v) in found.items()), key=lambda m: (m[0], -m[1], key(m[2]), m[3]))
+
+    def _voted(self, fp: np.ndarray):
+        """(entry, offset, error, votes) of every voted offset that passes the overlap and error tests."""
         lead = fp >> np.uint32(32 - LEAD)
         a, b = np.searchsorted(self.lead, lead, side="left"), np.searchsorted(self.lead, lead, side="right")
         n = b - a
-        if not n.any():
-            return None
-        at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        offset = np.repeat(np.arange(len(fp)), n) - self.pos[at]
-        pairs, votes = np.unique(np.stack([self.ref[at], offset]), axis=1, return_counts=True)
-        # per reference the offset with most votes, the smaller one on a tie
-        order = np.lexsort((pairs[1], -votes, pairs[0]))
-        first = order[np.r_[True, pairs[0, order][1:] != pairs[0, order][:-1]]]
-        found = None
-        for i in first:
-            r, off = int(pairs[0, i]), int(pairs[1, i])
-            error, overlap = bit_error(fp, self.prints[r], off)
-            if overlap >= max(MIN_POSITIONS, MIN_OVERLAP * len(self.prints[r])) and error <= MAX_ERROR:
-                key = (error, -int(votes[i]), self.ids[r], off)
-                if found is None or key < found:
-                    found = key
-        return None if found is None else (found[2], found[3], found[0], -found[1])
+        parts = []
+        # at most about STEP votes are held at once
+        cuts = np.searchsorted(np.cumsum(n), np.arange(STEP, n.sum() + STEP, STEP)) + 1
+        for lo, hi in zip(np.r_[0, cuts[:-1]], cuts, strict=True) if len(cuts) else ():
+            if hi > lo and n[lo:hi].any():
+                at = expand(a[lo:hi], n[lo:hi])
+                offset = np.repeat(np.arange(lo, min(hi, len(fp))), n[lo:hi]) - self.pos[at]
+                parts.append(np.unique((self.entry[at].astype(np.int64) << 32) + offset + (1 << 31), return_counts=True))
+        if not parts:
+            return
+        keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        votes = np.bincount(back, np.concatenate([p[1] for p in parts])).astype(np.int64)
+        entry, offset = keys >> 32, (keys & 0xFFFFFFFF) - (1 << 31)
+        low, high = np.maximum(offset, 0), np.minimum(len(fp), offset + self.size[entry])
+        keep = high - low >= np.maximum(MIN_POSITIONS, MIN_OVERLAP * self.size[entry])
+        entry, offset, votes, low, over = entry[keep], offset[keep], votes[keep], low[keep], (high - low)[keep]
+        cuts = np.searchsorted(np.cumsum(over), np.arange(STEP, over.sum() + STEP, STEP)) + 1
+        for lo, hi in zip(np.r_[0, cuts[:-1]], cuts, strict=True) if len(cuts) else ():
+            e, o, m = entry[lo:hi], offset[lo:hi], over[lo:hi]
+            if not len(e):
+                continue
+            differ = np.bitwise_count(fp[expand(low[lo:hi], m)] ^ self.ints[expand(self.start[e] + low[lo:hi] - o, m)]).astype(np.int64)
+            error = np.add.reduceat(differ, np.cumsum(m) - m) / (32 * m)
+            for i in np.flatnonzero(error <= MAX_ERROR):
+                yield int(e[i]), int(o[i]), float(error[i]), int(votes[lo + i])
+
+    def _short(self, x: np.ndarray, rate: int, c: np.ndarray | None):
+        """(reference, sample, frames that agree): places where a frame of a short reference has the code of a frame here."""
+        for frame, hop, code, ref, pos in self.tiers:
+            own = codes(c if c is not None and (frame, hop) == (FRAME, HOP) else frames(x, rate, frame, hop))
+            a = np.searchsorted(code, own, side="left")
+            hit = np.flatnonzero(code[np.minimum(a, len(code) - 1)] == own)
+            for lo in range(0, len(hit), 4096):
+                i = hit[lo : lo + 4096]
+                n = np.searchsorted(code, own[i], side="right") - a[i]
+                at = expand(a[i], n)
+                keys, votes = np.unique((ref[at].astype(np.int64) << 40) + np.repeat(i * hop, n) - pos[at] + (1 << 39), return_counts=True)
+                for k, v in zip(keys.tolist(), votes.tolist(), strict=True):
+                    yield k >> 40, (k & ((1 << 40) - 1)) - (1 << 39), v
+        for r in self.tiny:
+            for at in range(len(x) - len(self.short[r][0]) + 1):
+                yield r, at, 0
+
+    def _fine_error(self, r: int, at: int, x: np.ndarray, rate: int) -> float:
+        ref, ref_rate = self.short[r]
+        lo, hi = max(0, at), min(len(x), at + len(ref))
+        if rate != ref_rate or hi - lo < MIN_OVERLAP * len(ref):
+            return 1.0
+        mine = fine_print(x[lo:hi], rate)
+        return bit_error(mine, self.fine[r] if hi - lo == len(ref) else fine_print(ref[lo - at : hi - at], rate), 0)[0]
+
+    def best(self, fp: np.ndarray) -> tuple[int, int, float, int] | None:
+        """(reference id, offset, share of differing bits, votes) with the least error, or None."""
+        for error, votes, r, at in self.matches(fp)[:1]:
+            return self.ids[r], -(-at // HOP), error, votes
+        return None
+
+
+def fine_print(x: np.ndarray, rate: int) -> np.ndarray:
+    return fingerprint(chroma(x, rate, FINE_FRAME, FINE_HOP))
 
 
 def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
@@ -182,59 +291,101 @@ def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
     return float(differ) / (32 * (hi - lo)), hi - lo
 
 
+def samples(data: bytes | None) -> tuple[np.ndarray, int] | None:
+    """(samples, rate) of a WAV, or of any other bytes as raw 8-bit PCM; None if there is nothing to hear."""
+    if not data:
+        return None
+    return decode_wav(data) if data[:4] == b"RIFF" else (raw_pcm8(data), RATE)
+
+
 def media_print(data: bytes | None) -> np.ndarray:
     """Fingerprint of a WAV, or of any other bytes as raw 8-bit PCM."""
-    if not data:
-        return np.zeros(0, dtype=np.uint32)
-    if data[:4] == b"RIFF":
-        wav = decode_wav(data)
-        return np.zeros(0, dtype=np.uint32) if wav is None else fingerprint(chroma(*wav))
-    return fingerprint(chroma(raw_pcm8(data)))
+    heard = samples(data)
+    return np.zeros(0, dtype=np.uint32) if heard is None else fingerprint(chroma(*heard))
+
+
+PRINTS = "key long, fp binary, shifted array<binary>, samples binary, rate int"
 
 
 def fingerprints(media: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, fp): fp is the packed integers, little-endian."""
+    """(key, fp, shifted, samples, rate): fp is the packed integers, little-endian.
+
+    shifted has the integers from each sample below a hop on, the first of them fp; samples
+    (32-bit floats) are those of media under LONG samples.
+    """
 
     def run(frames):
         for frame in frames:
-            yield pd.DataFrame({"key": frame["key"].astype("Int64"), "fp": [media_print(d).astype("<u4").tobytes() for d in frame["data"]]})
+            rows = []
+            for k, d in zip(frame["key"], frame["data"], strict=True):
+                x, rate = samples(d) or (np.zeros(0, dtype=np.float32), RATE)
+                fps = [fingerprint(chroma(x[p:], rate)).astype("<u4").tobytes() for p in range(HOP if len(x) else 1)]
+                rows.append((k, fps[0], fps, x.astype("<f4").tobytes() if len(x) < LONG else None, rate))
+            out = pd.DataFrame(rows, columns=["key", "fp", "shifted", "samples", "rate"])
+            yield out.astype({"key": "Int64"})
+
+    return bounded(media).select(F.col(key).cast("long").alias("key"), F.col(column).alias("data")).mapInPandas(run, PRINTS)
+
+
+def load(rows) -> References:
+    """References of rows as ``fingerprints`` gives them."""
+    numbers = lambda b: np.frombuffer(bytes(b), "<u4").astype(np.uint32)
+    items, short = [], {}
+    for r in rows:
+        heard = None if r["samples"] is None else np.frombuffer(bytes(r["samples"]), "<f4").astype(np.float32)
+        if heard is not None:
+            short[len(items)] = (heard, r["rate"])
+        # what lies past the end of a shift that is padded is no part of the reference
+        whole = [p for p in range(len(r["shifted"])) if heard is None or len(heard) - p >= FRAME + (SPAN - 1) * HOP]
+        items.append((r["key"], [numbers(r["shifted"][p]) for p in whole]))
+    return References(items, short)
+
 
-    return bounded(media).select(F.col(key).cast("long").alias("key"), F.col(column).alias("data")).mapInPandas(run, "key long, fp binary")
+FOUND = "array<struct<bit_error:double,votes:int,ref_id:long,ref_sample:long>>"
 
 
 def align(media: DataFrame, key: str, column: str, references: DataFrame) -> DataFrame:
-    """(key, n_ints, fp_crc32, ref_id, ref_offset, bit_error, votes) of every row of ``media``.
+    """(key, n_ints, fp_crc32, ref_id, ref_offset, bit_error, votes, matches) of every row of ``media``.
 
-    ``references``: (key, fp) as ``fingerprints`` gives them. One block of references is
-    broadcast at a time; with several, the best of a row's blocks is kept.
+    ``references``: as ``fingerprints`` gives them. matches holds the (reference, sample) of least error. One block of references is broadcast at a time.
     """
-    refs = references.where(F.col("key").isNotNull() & (F.length("fp") > 0))
-    total = refs.agg(F.sum(F.length("fp") / 4)).first()[0] or 0
+    refs = references.where(F.col("key").isNotNull() & (F.length("fp") > 0)).dropDuplicates(["key"])
+    refs = materialise(refs, "references")
+    total = refs.agg(F.sum(F.length("fp") / 4 * HOP)).first()[0] or 0
     n_blocks = max(1, int(-(-total // BLOCK_INTS)))
+    part = F.pmod(F.xxhash64("key", "fp"), F.lit(n_blocks))
+    blocks = [r[0] for r in refs.select(part).distinct().collect()] or [0]
     sc = media.sparkSession.sparkContext
     passes = []
-    schema = "rid long, key long, n_ints int, fp_crc32 long, ref_id long, ref_offset int, bit_error double, votes int"
+    schema = f"rid long, key long, n_ints int, fp_crc32 long, matches {FOUND}"
     source = bounded(media).select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("key"), F.col(column).alias("data"))
-    for block in range(n_blocks):
-        own = refs.where(F.pmod(F.xxhash64("key"), F.lit(n_blocks)) == block).groupBy("key").agg(F.min("fp").alias("fp")).collect()
-        shared = sc.broadcast(References({r["key"]: np.frombuffer(bytes(r["fp"]), "<u4").astype(np.uint32) for r in own}))
+    for block in sorted(blocks):
+        shared = sc.broadcast(load(refs.where(part == block).collect()))
 
         def run(frames, shared=shared):
+            own = shared.value
             for frame in frames:
                 rows = []
                 for rid, k, data in zip(frame["rid"], frame["key"], frame["data"], strict=True):
-                    fp = media_print(data)
-                    hit = shared.value.best(fp) if len(fp) else None
-                    rows.append((rid, k, len(fp), zlib.crc32(fp.astype("<u4").tobytes()), *(hit if hit else (None, None, None, None))))
-                out = pd.DataFrame(rows, columns=["rid", "key", "n_ints", "fp_crc32", "ref_id", "ref_offset", "bit_error", "votes"])
-                yield out.astype({"key": "Int64", "ref_id": "Int64", "ref_offset": "Int32", "votes": "Int32", "bit_error": "Float64"})
+                    heard = samples(data)
+                    c = chroma(*heard) if heard else np.zeros((0, 12), dtype=np.float32)
+                    fp = fingerprint(c)
+                    # a padded recording's last frames are silence, so it is framed again
+                    hits = own.matches(fp, *heard, c if len(heard[0]) >= FRAME + (SPAN - 1) * HOP else None) if len(fp) else []
+                    rows.append((rid, k, len(fp), zlib.crc32(fp.astype("<u4").tobytes()), [(e, v, own.ids[r], at) for e, v, r, at in hits[:1]]))
+                out = pd.DataFrame(rows, columns=["rid", "key", "n_ints", "fp_crc32", "matches"])
+                yield out.astype({"key": "Int64"})
 
         passes.append(source.mapInPandas(run, schema))
     found = reduce(DataFrame.unionByName, passes)
-    if n_blocks > 1:
-        w = Window.partitionBy("rid").orderBy(F.col("bit_error").asc_nulls_last(), F.col("votes").desc(), "ref_id", "ref_offset")
-        found = found.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    return found.drop("rid")
+    if len(passes) > 1:
+        order = lambda m: F.struct(m["bit_error"], -m["votes"], m["ref_id"].isNull(), m["ref_id"], m["ref_sample"])
+        after = lambda a, b: F.when(order(a) < order(b), -1).when(order(a) > order(b), 1).otherwise(0)
+        # one row per block
+        joined = found.groupBy("rid").agg(*(F.first(c).alias(c) for c in ("key", "n_ints", "fp_crc32")), F.flatten(F.collect_list("matches")).alias("matches"))
+        found = joined.withColumn("matches", F.array_sort("matches", after))
+    top = F.get("matches", F.lit(0))
+    return found.select("key", "n_ints", "fp_crc32", top["ref_id"].alias("ref_id"), F.ceil(top["ref_sample"] / HOP).cast("int").alias("ref_offset"), top["bit_error"].alias("bit_error"), top["votes"].alias("votes"), "matches")
 
 
 def op6_chroma_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
