@@ -232,6 +232,28 @@ def test_audio_finds_short_references_at_every_sample():
             assert size < 81 or not refs.matches(audio.fingerprint(audio.chroma(x)), x, audio.RATE)
 
 
+def test_audio_finds_every_reference_and_place(spark):
+    rng = np.random.default_rng(12)
+    text = lambda n: bytes(rng.choice(np.frombuffer(b"etaoinshrdlu  ", np.uint8), n)).decode()
+    a, b, c, d = text(90), text(300), text(260), text(500)
+    media = spark.createDataFrame([(1, text(37) + a + text(50) + b + text(61) + a + text(20) + c + text(33) + b), (2, text(700)), (3, d[:490])], "doc_id long, text string")
+    named = spark.createDataFrame([(1, a), (2, b), (2, c), (2, c), (None, d)], "item_id long, text string")
+    as_media = lambda t: t.withColumn("media", t["text"].cast("binary"))
+    texts = {r.doc_id: r.text for r in media.collect()}
+    old = audio.BLOCK_INTS
+    for block in (old, 300):
+        audio.BLOCK_INTS = block
+        try:
+            got = {r.key: r for r in audio.align(as_media(media), "doc_id", "media", audio.fingerprints(as_media(named), "item_id", "media")).collect()}
+        finally:
+            audio.BLOCK_INTS = old
+        want = {(k, at) for k, t in ((1, a), (2, b), (2, c)) for at in range(len(texts[1])) if texts[1].startswith(t, at)}
+        assert len(want) == 5 and want <= {(m.ref_id, m.ref_sample) for m in got[1].matches}
+        assert len({(m.ref_id, m.ref_sample) for m in got[1].matches}) == len(got[1].matches)
+        assert got[2].matches == [] and got[2].ref_id is None
+        assert (None, 0) in {(m.ref_id, m.ref_sample) for m in got[3].matches} and got[3].bit_error == 0
+
+
 def test_crc_of_parts():
     rng = np.random.default_rng(2)
     parts = [rng.bytes(int(n)) for n in rng.integers(0, 900, 9)]

@@ -17,7 +17,8 @@ most BLOCK_INTS integers, so that what is broadcast does not grow with it.
 
 Edge cases: null and empty media have no fingerprint and align with nothing; a recording
 shorter than one position is padded with silence; repeated rows are alike; ties go to
-the smaller reference id and offset; one under 19 samples is tried at every sample; an unreadable WAV raises nothing and has no
+the smaller reference id and offset; references that share an id or have none are all
+looked for; one under 19 samples is tried at every sample; an unreadable WAV raises nothing and has no
 fingerprint; extra columns are ignored.
 """
 
@@ -347,9 +348,11 @@ FOUND = "array<struct<bit_error:double,votes:int,ref_id:long,ref_sample:long>>"
 def align(media: DataFrame, key: str, column: str, references: DataFrame) -> DataFrame:
     """(key, n_ints, fp_crc32, ref_id, ref_offset, bit_error, votes, matches) of every row of ``media``.
 
-    ``references``: as ``fingerprints`` gives them. matches holds the (reference, sample) of least error. One block of references is broadcast at a time.
+    ``references``: as ``fingerprints`` gives them. matches holds every (reference, sample)
+    that passes the overlap and error tests, least error first, and the columns before it
+    the first of them. One block of references is broadcast at a time.
     """
-    refs = references.where(F.col("key").isNotNull() & (F.length("fp") > 0)).dropDuplicates(["key"])
+    refs = references.where(F.length("fp") > 0).dropDuplicates(["key", "shifted", "samples", "rate"])
     refs = materialise(refs, "references")
     total = refs.agg(F.sum(F.length("fp") / 4 * HOP)).first()[0] or 0
     n_blocks = max(1, int(-(-total // BLOCK_INTS)))
@@ -372,7 +375,7 @@ def align(media: DataFrame, key: str, column: str, references: DataFrame) -> Dat
                     fp = fingerprint(c)
                     # a padded recording's last frames are silence, so it is framed again
                     hits = own.matches(fp, *heard, c if len(heard[0]) >= FRAME + (SPAN - 1) * HOP else None) if len(fp) else []
-                    rows.append((rid, k, len(fp), zlib.crc32(fp.astype("<u4").tobytes()), [(e, v, own.ids[r], at) for e, v, r, at in hits[:1]]))
+                    rows.append((rid, k, len(fp), zlib.crc32(fp.astype("<u4").tobytes()), [(e, v, own.ids[r], at) for e, v, r, at in hits]))
                 out = pd.DataFrame(rows, columns=["rid", "key", "n_ints", "fp_crc32", "matches"])
                 yield out.astype({"key": "Int64"})
 
