@@ -8,9 +8,10 @@ All stages but the last return the columns of ``documents``.
   probability of at least MIN_LANGUAGE; it learns from the stage's own input.
 * quality drops texts that the classifier scores below its threshold.
 * near_duplicates keeps of each class of near copies the row with the smallest id (of
-  rows that agree in id, one). Word shingles have five words. Two texts link when the
-  512-bit fingerprints of their shingles differ in at most RADIUS bits, the distance at
-  which a similarity of 0.8 still links with 95 %; unlike texts are some 256 bits apart.
+  rows that agree in id, one). Word shingles have five words. Two texts link when
+  the Jaccard similarity of their shingle sets is at least SIMILAR. Only pairs whose 512-bit
+  fingerprints differ in at most RADIUS bits are candidates: at 0.8 some 78 +- 8 bits
+  differ (96 +- 9 in texts of 4 and 5 shingles); unlike texts are some 256 bits apart.
 * mix repeats or leaves out rows so that each source meets its token target.
 * pack cuts and packs what is left into sequences of 4096 ids.
 
@@ -29,7 +30,8 @@ from voxloom.llm.common import materialise
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MIN_LANGUAGE = 0.5
 SHINGLE, WORDS = 5, 8
-RADIUS, FIRST_RADIUS = 91, 20
+SIMILAR = 0.8
+RADIUS, FIRST_RADIUS = 136, 24
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id())
     rows = keyed.select(F.col("_row").alias("doc_id"), "text")
-    classes = materialise(simhash.near_duplicates(rows, SHINGLE, RADIUS, WORDS, FIRST_RADIUS), "classes")
+    classes = materialise(simhash.similar_classes(rows, SHINGLE, SIMILAR, RADIUS, WORDS, FIRST_RADIUS), "classes")
     named = classes.join(keyed.select(F.col("_row").alias("_r"), F.col("doc_id").alias("_id")), classes["doc_id"] == F.col("_r"))
     kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_r").alias("r"))).alias("k"))
     return keyed.join(kept.select(F.col("k.r").alias("_row")), "_row", "left_semi").select(*COLUMNS)

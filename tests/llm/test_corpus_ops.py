@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from voxloom.llm import audio, castore, crc, ftrl, graph_ann, langid, mixing, packing, quality, sharding, simhash, tokens, wordpiece
 from voxloom.llm.common import fold, ordered_start, scratch_path
 
@@ -364,6 +365,40 @@ def test_simhash(spark, odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_pipeline_drops_only_similar_texts(spark):
+    rng = np.random.default_rng(4)
+    words = np.array([f"w{i}" for i in range(3000)])
+    texts = ["", " ", "one two"]
+    for _ in range(60):
+        base = rng.choice(words, 120)
+        texts.append(" ".join(base))
+        for changes in (1, 2, 3, 4, 5):
+            other = base.copy()
+            other[rng.choice(120, changes, replace=False)] = "zz"
+            texts.append(" ".join(other))
+    for n in (5, 6, 8, 9, 12):  # short texts
+        base = rng.choice(words, n)
+        texts += [" ".join(base), " ".join(base[:-1])]
+    # one line, often repeated, in texts that share nothing else
+    line = "the same line of five words and more "
+    texts += [line * 40 + " ".join(rng.choice(words, 60)) for _ in range(6)]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (not sets[i] and not sets[j]) or (sets[i] | sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    for size in (simhash.SET_TILE, 7):
+        old, simhash.SET_TILE = simhash.SET_TILE, size
+        try:
+            kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+        finally:
+            simhash.SET_TILE = old
+        assert kept == set(root)
+
+
 def test_graph_search(spark):
     rng = np.random.default_rng(8)
     v = rng.normal(size=(900, 16)).astype(np.float32)

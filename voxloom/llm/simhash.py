@@ -39,6 +39,8 @@ TILE = 16384
 #: Rows of one tile held against all of another at once.
 BLOCK = 128
 MAX_ROUNDS = 40
+#: Shingle sets in a tile that is verified.
+SET_TILE = 2048
 TILES = "tile long, low int, high int, fps binary, ids binary, roots binary"
 
 
@@ -66,7 +68,11 @@ def _mixed(h: np.ndarray, word: int) -> np.ndarray:
 
 def fingerprint(text: str | None, k: int = 3, words: int = 1) -> np.ndarray:
     """``words`` 64-bit numbers; a bit is set if it is in over half of the shingles' hashes."""
-    h = shingle_hashes(text, k)
+    return of_hashes(shingle_hashes(text, k), words)
+
+
+def of_hashes(h: np.ndarray, words: int) -> np.ndarray:
+    """The fingerprint of shingle hashes."""
     out = np.zeros(words, dtype=np.uint64)
     for w in range(words if len(h) else 0):
         counts = np.zeros(64, dtype=np.int64)
@@ -246,6 +252,127 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, words: int = 1
     return stored.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingle_sets(docs: DataFrame, k: int, words: int, keep: bool) -> DataFrame:
+    """(doc_id, fp, digest, n, shingles): fingerprint, hash and size of the set of shingles; the set only on ``keep``."""
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
+                h = np.unique(shingle_hashes(text, k))
+                rows.append((doc, b"" if keep else of_hashes(h, words).astype(">u8").tobytes(), xxhash.xxh128_digest(h.tobytes()), len(h), h.tobytes() if keep else None))
+            yield pd.DataFrame(rows, columns=["doc_id", "fp", "digest", "n", "shingles"])
+
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp binary, digest binary, n long, shingles binary")
+
+
+def similar(a: list[np.ndarray], b: list[np.ndarray], ca: np.ndarray, cb: np.ndarray, least: float, same: bool, label: np.ndarray) -> tuple[list[int], list[int]]:
+    """Forest of pairs of sets with one candidate class (ca, cb ascending) and Jaccard of at least ``least``.
+
+    ``label`` as in ``compare``; pairs that hang together already are not looked at again.
+    """
+    shift = 0 if same else len(a)
+    size = np.array([len(x) for x in b], dtype=np.int64)
+    left, right = [], []
+    low, high = np.searchsorted(cb, ca, side="left"), np.searchsorted(cb, ca, side="right")
+    for i, x in enumerate(a):
+        lo = max(int(low[i]), i + 1) if same else int(low[i])
+        hi = int(high[i])
+        if hi <= lo:
+            continue
+        near = (label[lo + shift : hi + shift] != label[i]) & (np.minimum(size[lo:hi], len(x)) >= least * np.maximum(size[lo:hi], len(x)))
+        for j in (lo + np.flatnonzero(near)).tolist():
+            if label[j + shift] == label[i]:
+                continue
+            both = len(np.intersect1d(x, b[j], assume_unique=True))
+            if both / (len(x) + len(b[j]) - both) >= least:
+                one, two = label[i], label[j + shift]
+                label[label == max(one, two)] = min(one, two)
+                left.append(i)
+                right.append(j)
+    return left, right
+
+
+def similar_links(sets: DataFrame, n: int, least: float) -> DataFrame:
+    """Edges (a, b) of a forest with the components of all similar pairs of (doc_id, class, shingles) within a class.
+
+    Sets lie in tiles in order of class, so that a tile meets only those that share a class with it.
+    """
+    schema = "tile long, low long, high long, ids binary, classes binary, sizes binary, sets binary, roots binary"
+
+    def cut(frames):
+        rows, part, n = [], None, 0
+
+        def out():
+            ids, classes = (np.array([r[i] for r in rows], dtype="<i8") for i in (0, 1))
+            sets = [np.frombuffer(r[2], dtype="<u8") for r in rows]
+            roots = np.arange(len(rows))
+            similar(sets, sets, classes, classes, least, True, roots)
+            return pd.DataFrame({"tile": [(part << 20) + n], "low": [int(classes[0])], "high": [int(classes[-1])], "ids": [ids.tobytes()], "classes": [classes.tobytes()], "sizes": [np.array([len(x) for x in sets], dtype="<i8").tobytes()], "sets": [b"".join(r[2] for r in rows)], "roots": [roots.astype("<i8").tobytes()]})
+
+        for frame in frames:
+            for doc, cls, shingles, at in zip(frame["doc_id"], frame["class"], frame["shingles"], frame["_part"], strict=True):
+                part = int(at)
+                rows.append((doc, cls, bytes(shingles)))
+                if len(rows) == SET_TILE:
+                    yield out()
+                    rows, n = [], n + 1
+        if rows:
+            yield out()
+
+    ordered = sets.repartitionByRange(max(1, -(-n // SET_TILE)), "class", "doc_id").sortWithinPartitions("class", "doc_id").withColumn("_part", F.spark_partition_id())
+    stored = materialise(ordered.select("doc_id", "class", "shingles", "_part").mapInPandas(cut, schema), "set-tiles")
+    # one short row per tile
+    meta = np.array([(r["tile"], r["low"], r["high"]) for r in stored.select("tile", "low", "high").collect()], dtype=np.int64).reshape(-1, 3)
+
+    def within(frames):
+        for frame in frames:
+            for ids, roots in zip(frame["ids"], frame["roots"], strict=True):
+                i, r = np.frombuffer(ids, dtype="<i8"), np.frombuffer(roots, dtype="<i8")
+                child = np.flatnonzero(r != np.arange(len(r)))
+                yield pd.DataFrame({"a": i[child], "b": i[r[child]]})
+
+    columns = ["ids", "classes", "sizes", "sets", "roots"]
+
+    def pairs(frames):
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                near = meta[(meta[:, 1] <= row.high) & (meta[:, 2] >= row.low) & (meta[:, 0] != row.tile), 0]
+                for other in near.tolist():
+                    yield pd.DataFrame([(min(other, row.tile), max(other, row.tile), row.tile, *(getattr(row, c) for c in columns))], columns=["a", "b", "tile", *columns])
+
+    def run(key, frame):
+        by = {}
+        for row in frame.itertuples(index=False):
+            sizes = np.frombuffer(row.sizes, dtype="<i8")
+            found = np.split(np.frombuffer(row.sets, dtype="<u8"), np.cumsum(sizes)[:-1])
+            by[row.tile] = (found, *(np.frombuffer(getattr(row, c), dtype="<i8") for c in ("classes", "ids", "roots")))
+        (sa, ca, ia, ra), (sb, cb, ib, rb) = by[key[0]], by[key[1]]
+        i, j = similar(sa, sb, ca, cb, least, False, np.concatenate([ra, rb + len(ra)]))
+        return pd.DataFrame({"a": ia[np.array(i, dtype=int)], "b": ib[np.array(j, dtype=int)]})
+
+    dealt = stored.mapInPandas(pairs, "a long, b long, tile long, ids binary, classes binary, sizes binary, sets binary, roots binary")
+    return stored.select("ids", "roots").mapInPandas(within, "a long, b long").unionByName(dealt.groupBy("a", "b").applyInPandas(run, "a long, b long"))
+
+
+def similar_classes(docs: DataFrame, k: int, least: float, radius: int, words: int, first_radius: int) -> DataFrame:
+    """(doc_id, component_id) of every row: components of the pairs whose sets of k-word shingles have Jaccard ``least`` or more.
+
+    Fingerprints of the sets within the radius only give the candidates; each link is
+    verified on the sets. doc_id is unique and not null.
+    """
+    stored = materialise(shingle_sets(docs, k, words, False), "fingerprints")
+    distinct = materialise(stored.groupBy("fp", "digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "distinct")
+    near = components(links(distinct.where("n > 0").select("fp", "doc_id"), radius, words, first_radius))
+    # a component's smallest node is not among its nodes
+    candidates = materialise(near.union(near.select("component", "component")).distinct(), "candidates")
+    texts = docs.join(candidates, docs["doc_id"] == candidates["node"]).select("doc_id", "text", "component")
+    sets = materialise(shingle_sets(texts, k, words, True).select("doc_id", "shingles"), "sets").join(candidates.select(F.col("node").alias("doc_id"), F.col("component").alias("class")), "doc_id")
+    found = components(similar_links(sets, candidates.count(), least))
+    classes = distinct.join(found, distinct["doc_id"] == found["node"], "left").select("fp", "digest", F.coalesce("component", "doc_id").alias("component_id"))
+    return stored.join(classes, ["fp", "digest"]).select("doc_id", "component_id")
+
+
 def op9_tiled_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
