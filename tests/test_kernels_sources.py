@@ -129,3 +129,27 @@ def test_streams_equal_batches(spark, tmp_path):
     last = drain(logs.stage_states(stream()), spark, "states", "update").groupBy("user_id").agg(F.max("seen").alias("n"))
     want = batch.groupBy("user_id").count()
     assert last.join(want, "user_id").where("n <> count").count() == 0 and last.count() == want.count()
+
+
+def test_floor_plane_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    room = np.c_[rng.uniform(0, 4, 30), rng.uniform(0, 4, 30), rng.uniform(0.5, 2, 30)]
+    flat = np.c_[rng.uniform(0, 4, 40), rng.uniform(0, 4, 40), rng.normal(0, 0.01, 40)]
+    tilt = np.array([[1, 0, 0], [0, 0.8, -0.6], [0, 0.6, 0.8]])
+    clouds = {"two": flat[:2], "three": flat[:3], "line": np.c_[np.arange(5.0), np.arange(5.0), np.arange(5.0)], "floor": np.r_[flat, room], "ceiling": np.r_[flat, room * [1, 1, -1]], "tilted": np.r_[flat, room] @ tilt.T}
+    for name, xyz in clouds.items():
+        points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(xyz)], "pid long, x double, y double, z double").repartition(3)
+        want = None
+        for h in range(1000):
+            i = np.argsort(kernels.draw(np.arange(len(xyz)), h))[:3]
+            normal = np.cross(xyz[i[1]] - xyz[i[0]], xyz[i[2]] - xyz[i[0]]) if len(i) == 3 else np.zeros(3)
+            if np.linalg.norm(normal) <= 1e-9:
+                continue
+            normal = normal / np.linalg.norm(normal)
+            on = np.abs((xyz - xyz[i[0]]) @ normal) <= 0.05
+            if want is None or on.sum() > want[1]:
+                height = xyz[:, 2] if np.hypot(*normal[:2]) < 1e-6 else xyz @ normal
+                want = (h, int(on.sum()), bool(not on.all() and np.median(height[~on]) < np.median(height[on])))
+        got = [(r.h, r.inliers, r.flip) for r in kernels.floor_plane(points).collect()]
+        assert got == ([] if want is None else [want]), name
+        assert (want is None) == (name in ("two", "line"))

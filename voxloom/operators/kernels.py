@@ -206,14 +206,36 @@ def assign_optimally(cost: np.ndarray) -> list[int]:
     return out
 
 
+def draw(pids: np.ndarray, h: int) -> np.ndarray:
+    """64-bit hash of each point id under hypothesis h."""
+    x = pids.astype(np.int64).view(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (h + 1)) & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
 def plane_hypotheses(points: DataFrame, n: int, tolerance: float) -> DataFrame:
-    """(h, a, b, c, d, inliers) of planes through hashed triples of points, most inliers first.
+    """(h, a, b, c, d, inliers) of planes through hashed triples of points (pid unique).
 
-    Triples are the three points of least hash per hypothesis, found by one aggregate, and
-    travel to the points as a table of n rows.
+    Triples are the three points of least hash per hypothesis. Every partition gives its own
+    three, so that a hypothesis gathers three rows a partition, and the planes travel to the
+    points as a table of n rows. Triples on a line have no plane.
     """
-    draws = points.select("x", "y", "z", F.explode(F.array(*(F.struct(F.lit(h).alias("h"), F.xxhash64(F.lit(h), "pid").alias("k")) for h in range(n)))).alias("s"))
-    best = draws.where(F.pmod("s.k", F.lit(997)) < 40).groupBy("s.h").agg(F.slice(F.sort_array(F.collect_list(F.struct("s.k", "x", "y", "z"))), 1, 3).alias("p")).where(F.size("p") == 3)
+
+    def least(frames):
+        held: list[pd.DataFrame] = []
+        for f in frames:
+            pids = f["pid"].to_numpy()
+            parts = list(held)
+            for h in range(n):
+                k = draw(pids, h)
+                i = np.argpartition(k, 2)[:3] if len(k) > 3 else np.arange(len(k))
+                parts.append(pd.DataFrame({"h": h, "k": k[i], **{c: f[c].to_numpy()[i] for c in "xyz"}}))
+            held = [pd.concat(parts).sort_values(["h", "k"]).groupby("h").head(3)] if parts else []
+        yield from held
+
+    drawn = points.select("pid", "x", "y", "z").mapInPandas(least, "h int, k long, x double, y double, z double")
+    best = drawn.groupBy("h").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "x", "y", "z"))), 1, 3).alias("p")).where(F.size("p") == 3)
     p = [[F.col("p")[i][c] for c in "xyz"] for i in range(3)]
     e, g = [p[1][i] - p[0][i] for i in range(3)], [p[2][i] - p[0][i] for i in range(3)]
     normal = [e[1] * g[2] - e[2] * g[1], e[2] * g[0] - e[0] * g[2], e[0] * g[1] - e[1] * g[0]]
@@ -225,6 +247,22 @@ def plane_hypotheses(points: DataFrame, n: int, tolerance: float) -> DataFrame:
     return points.select("x", "y", "z").crossJoin(F.broadcast(planes)).groupBy("h", "a", "b", "c", "d").agg(F.count_if(near).alias("inliers"))
 
 
+def floor_plane(points: DataFrame, n: int = 1000, tolerance: float = 0.05) -> DataFrame:
+    """(h, a, b, c, d, inliers, flip) of the plane with most inliers, the smaller h on a tie.
+
+    flip: with the normal turned to +z the other points lie, by their median, below the
+    plane's, so that the cloud has to be turned over. No row where no three points span a plane.
+    """
+    best = plane_hypotheses(points, n, tolerance).orderBy(F.col("inliers").desc(), "h").limit(1)
+    p = points.select("x", "y", "z").crossJoin(F.broadcast(best))
+    along = F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c") * F.col("z")
+    # a normal along z is left as it is
+    height = F.when(F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b")) < 1e-6, F.col("z")).otherwise(along)
+    on = F.abs(along + F.col("d")) <= tolerance
+    sides = p.groupBy("h", "a", "b", "c", "d", "inliers").agg(F.percentile(F.when(on, height), F.lit(0.5)).alias("floor"), F.percentile(F.when(~on, height), F.lit(0.5)).alias("room"))
+    return sides.select("h", "a", "b", "c", "d", "inliers", F.coalesce(F.col("room") < F.col("floor"), F.lit(False)).alias("flip"))
+
+
 def merge_arcs(arcs: DataFrame, angle: float, passes: int = 3) -> DataFrame:
     """(pano, line_id, nx, ny, nz, len) greedily merged by normal direction, longest first, per panorama."""
 

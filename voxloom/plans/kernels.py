@@ -39,7 +39,7 @@ def q_direction_vote(spark, sf):
 
 def q_plane_inliers(spark, sf):
     pts = cloud(spark, sf).groupBy("pid").agg(*(F.min(c).alias(c) for c in "xyz"))
-    return K.plane_hypotheses(pts, 24, 0.5).orderBy(F.col("inliers").desc(), "h").limit(1).select("h", "inliers")
+    return K.floor_plane(pts).select("h", "inliers", "flip")
 
 
 def q_cell_normals(spark, sf):
