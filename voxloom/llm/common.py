@@ -15,10 +15,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def scratch_path(spark: SparkSession, kind: str) -> str:
     """A fresh path in the folder that ``spark.checkpoint.dir`` names.
 
-    A local temporary folder is used only where the setting is absent, as in tests.
+    A local temporary folder is used only where the setting is absent and the master is
+    local, as in tests; elsewhere executors would not see it, so a missing setting raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/voxloom-scratch"
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
