@@ -15,8 +15,10 @@ fingerprinting, which grows with the text, is the larger part until some 10^6 te
 
 Edge cases: null, empty and blank texts have fingerprint zero and link like any other;
 texts of fewer words than a shingle form one shingle; equal texts share a fingerprint
-and so a class; null ids count as the largest id; repeated rows are kept; an empty table
-gives no rows; extra columns are ignored.
+and so a class; a null id never names a class, and a class of null ids alone has the null
+component_id; repeated ids and rows are kept, each with its own text's class; an empty
+table gives no rows; extra columns are ignored. Links run between fingerprints, never
+between ids, so rows that share an id or have none are not joined by that.
 """
 
 from __future__ import annotations
@@ -38,9 +40,10 @@ SEED = 42
 TILE = 16384
 #: Rows of one tile held against all of another at once.
 BLOCK = 128
-MAX_ROUNDS = 40
-#: Shingle sets in a tile that is verified.
-SET_TILE = 2048
+#: Most tasks that the pairs of tiles are dealt to.
+MAX_TASKS = 20_000
+#: Shingle sets in a tile that is verified, and bytes of them.
+SET_TILE, SET_BYTES = 2048, 16 << 20
 TILES = "tile long, low int, high int, fps binary, ids binary, roots binary"
 
 
@@ -151,7 +154,7 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int, first_radius: int, same:
 
 
 def tiles(distinct: DataFrame, n_tiles: int, words: int, radius: int, first_radius: int) -> DataFrame:
-    """(tile, low, high, fps, ids, roots) of distinct (fp, doc_id), in order of population count.
+    """(tile, low, high, fps, ids, roots) of distinct (fp, node), in order of population count.
 
     A tile is compared with itself at once; roots gives each row the place of its class's
     first row in the tile, so that pairs of tiles only have to link classes.
@@ -169,10 +172,10 @@ def tiles(distinct: DataFrame, n_tiles: int, words: int, radius: int, first_radi
             return pd.DataFrame({"tile": [(tile << 20) + n], "low": [int(pop.min())], "high": [int(pop.max())], "fps": [fp.tobytes()], "ids": [np.array(ids, dtype="<i8").tobytes()], "roots": [roots.astype("<i4").tobytes()]})
 
         for frame in frames:
-            for fp, doc, part in zip(frame["fp"], frame["doc_id"], frame["_part"], strict=True):
+            for fp, node, part in zip(frame["fp"], frame["node"], frame["_part"], strict=True):
                 tile = int(part)
                 fps.append(fp)
-                ids.append(doc)
+                ids.append(node)
                 if len(fps) == TILE:
                     yield out(fps, ids, tile, n)
                     fps, ids, n = [], [], n + 1
@@ -181,11 +184,11 @@ def tiles(distinct: DataFrame, n_tiles: int, words: int, radius: int, first_radi
 
     pop = F.aggregate(F.sequence(F.lit(0), F.lit(words - 1)), F.lit(0), lambda acc, i: acc + F.bit_count(F.conv(F.substring(F.hex("fp"), i * 16 + 1, 16), 16, -10).cast("long")))
     ordered = distinct.withColumn("_pop", pop).repartitionByRange(n_tiles, "_pop", "fp").sortWithinPartitions("_pop", "fp").withColumn("_part", F.spark_partition_id())
-    return ordered.select("fp", "doc_id", "_part").mapInPandas(run, TILES)
+    return ordered.select("fp", "node", "_part").mapInPandas(run, TILES)
 
 
 def links(distinct: DataFrame, radius: int, words: int, first_radius: int | None = None) -> DataFrame:
-    """Edges (a, b) of a forest with the components of all links among distinct (fp, doc_id)."""
+    """Edges (a, b) of a forest with the components of all links among distinct (fp, node)."""
     first_radius = radius if first_radius is None else first_radius
     n = distinct.count()
     stored = materialise(tiles(distinct, max(1, -(-n // TILE)), words, radius, first_radius), "tiles")
@@ -214,17 +217,29 @@ def links(distinct: DataFrame, radius: int, words: int, first_radius: int | None
         return pd.DataFrame({"a": ia[i], "b": ib[j]})
 
     dealt = stored.mapInPandas(pairs, "a long, b long, tile long, fps binary, ids binary, roots binary")
-    across = dealt.groupBy("a", "b").applyInPandas(run, "a long, b long")
+    across = spread_pairs(dealt, len(meta)).groupBy("a", "b").applyInPandas(run, "a long, b long")
     return stored.select("ids", "roots").mapInPandas(within, "a long, b long").unionByName(across)
 
 
+def _digest(edges: DataFrame):
+    return edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+
+
+def spread_pairs(dealt: DataFrame, n_tiles: int) -> DataFrame:
+    """Pairs of tiles over about as many tasks: they are few and small, but each is much work, so they must not be coalesced by size."""
+    pairs = max(1, n_tiles * (n_tiles - 1) // 2)
+    return dealt.repartition(max(1, min(pairs, MAX_TASKS)), "a", "b")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, by alternating large and small stars.
 
-    Every round is stored; rounds grow with the logarithm of the longest path.
+    Every round is stored; rounds grow with the logarithm of the longest path, and the loop
+    ends only when a round changes nothing.
     """
     both = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    for _ in range(MAX_ROUNDS):
+    was = _digest(both)
+    while True:
         around = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = around.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -232,24 +247,22 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u")
         nxt = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         nxt = materialise(nxt, "edges")
-        same = nxt.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        was = both.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        both = nxt
-        if same == was:
+        both, now = nxt, _digest(nxt)
+        if now == was:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+        was = now
     return both.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, words: int = 1, first_radius: int | None = None) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of ``docs``."""
+    """(doc_id, fp, component_id) of every row of ``docs``; component_id is the least id of the class."""
     stored = materialise(fingerprints(docs, k, words), "fingerprints")
-    top = F.lit(2**63 - 1)
-    distinct = materialise(stored.groupBy("fp").agg(F.min(F.coalesce("doc_id", top)).alias("doc_id")), "distinct")
+    # a node is a fingerprint; it is numbered where it is stored, once
+    distinct = materialise(stored.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "distinct")
     found = components(links(distinct, radius, words, first_radius))
-    classes = distinct.join(found, distinct["doc_id"] == found["node"], "left").select("fp", F.coalesce("component", "doc_id").alias("component_id"))
-    return stored.join(classes, "fp").select("doc_id", "fp", "component_id")
+    linked = distinct.join(found, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    named = linked.groupBy("class").agg(F.min("least").alias("component_id"))
+    return stored.join(linked.join(named, "class").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def shingle_sets(docs: DataFrame, k: int, words: int, keep: bool) -> DataFrame:
@@ -273,6 +286,10 @@ def similar(a: list[np.ndarray], b: list[np.ndarray], ca: np.ndarray, cb: np.nda
     """
     shift = 0 if same else len(a)
     size = np.array([len(x) for x in b], dtype=np.int64)
+    # postings of b: each shingle's rows lie together
+    flat, row = np.concatenate(b), np.repeat(np.arange(len(b)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
     left, right = [], []
     low, high = np.searchsorted(cb, ca, side="left"), np.searchsorted(cb, ca, side="right")
     for i, x in enumerate(a):
@@ -281,27 +298,35 @@ def similar(a: list[np.ndarray], b: list[np.ndarray], ca: np.ndarray, cb: np.nda
         if hi <= lo:
             continue
         near = (label[lo + shift : hi + shift] != label[i]) & (np.minimum(size[lo:hi], len(x)) >= least * np.maximum(size[lo:hi], len(x)))
-        for j in (lo + np.flatnonzero(near)).tolist():
-            if label[j + shift] == label[i]:
-                continue
-            both = len(np.intersect1d(x, b[j], assume_unique=True))
-            if both / (len(x) + len(b[j]) - both) >= least:
-                one, two = label[i], label[j + shift]
+        j = lo + np.flatnonzero(near)
+        if not len(j):
+            continue
+        # x has each shingle once, so at most all of the postings are gathered
+        first = np.searchsorted(flat, x, side="left")
+        times = np.searchsorted(flat, x, side="right") - first
+        at = np.repeat(first - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        both = np.bincount(row[at], minlength=len(b))[j]
+        for k in j[both / (len(x) + size[j] - both) >= least].tolist():
+            one, two = label[i], label[k + shift]
+            if one != two:
                 label[label == max(one, two)] = min(one, two)
                 left.append(i)
-                right.append(j)
+                right.append(k)
     return left, right
 
 
-def similar_links(sets: DataFrame, n: int, least: float) -> DataFrame:
-    """Edges (a, b) of a forest with the components of all similar pairs of (doc_id, class, shingles) within a class.
+def similar_links(sets: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) of a forest with the components of all similar pairs of (doc_id, class, n, shingles) within a class.
 
-    Sets lie in tiles in order of class, so that a tile meets only those that share a class with it.
+    Sets lie in tiles in order of class, so that a tile meets only those that share a class
+    with it. A tile is bounded in rows and in bytes (one longer set is a tile by itself).
     """
+    size = sets.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).first()
+    n_parts = max(1, -(-size["rows"] // SET_TILE), -(-8 * int(size["n"] or 0) // SET_BYTES))
     schema = "tile long, low long, high long, ids binary, classes binary, sizes binary, sets binary, roots binary"
 
     def cut(frames):
-        rows, part, n = [], None, 0
+        rows, part, n, held = [], None, 0, 0
 
         def out():
             ids, classes = (np.array([r[i] for r in rows], dtype="<i8") for i in (0, 1))
@@ -314,13 +339,14 @@ def similar_links(sets: DataFrame, n: int, least: float) -> DataFrame:
             for doc, cls, shingles, at in zip(frame["doc_id"], frame["class"], frame["shingles"], frame["_part"], strict=True):
                 part = int(at)
                 rows.append((doc, cls, bytes(shingles)))
-                if len(rows) == SET_TILE:
+                held += len(shingles)
+                if len(rows) >= SET_TILE or held >= SET_BYTES:
                     yield out()
-                    rows, n = [], n + 1
+                    rows, n, held = [], n + 1, 0
         if rows:
             yield out()
 
-    ordered = sets.repartitionByRange(max(1, -(-n // SET_TILE)), "class", "doc_id").sortWithinPartitions("class", "doc_id").withColumn("_part", F.spark_partition_id())
+    ordered = sets.repartitionByRange(n_parts, "class", "doc_id").sortWithinPartitions("class", "doc_id").withColumn("_part", F.spark_partition_id())
     stored = materialise(ordered.select("doc_id", "class", "shingles", "_part").mapInPandas(cut, schema), "set-tiles")
     # one short row per tile
     meta = np.array([(r["tile"], r["low"], r["high"]) for r in stored.select("tile", "low", "high").collect()], dtype=np.int64).reshape(-1, 3)
@@ -352,7 +378,7 @@ def similar_links(sets: DataFrame, n: int, least: float) -> DataFrame:
         return pd.DataFrame({"a": ia[np.array(i, dtype=int)], "b": ib[np.array(j, dtype=int)]})
 
     dealt = stored.mapInPandas(pairs, "a long, b long, tile long, ids binary, classes binary, sizes binary, sets binary, roots binary")
-    return stored.select("ids", "roots").mapInPandas(within, "a long, b long").unionByName(dealt.groupBy("a", "b").applyInPandas(run, "a long, b long"))
+    return stored.select("ids", "roots").mapInPandas(within, "a long, b long").unionByName(spread_pairs(dealt, len(meta)).groupBy("a", "b").applyInPandas(run, "a long, b long"))
 
 
 def similar_classes(docs: DataFrame, k: int, least: float, radius: int, words: int, first_radius: int) -> DataFrame:
@@ -363,16 +389,17 @@ def similar_classes(docs: DataFrame, k: int, least: float, radius: int, words: i
     """
     stored = materialise(shingle_sets(docs, k, words, False), "fingerprints")
     distinct = materialise(stored.groupBy("fp", "digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "distinct")
-    near = components(links(distinct.where("n > 0").select("fp", "doc_id"), radius, words, first_radius))
+    near = components(links(distinct.where("n > 0").select("fp", F.col("doc_id").alias("node")), radius, words, first_radius))
     # a component's smallest node is not among its nodes
     candidates = materialise(near.union(near.select("component", "component")).distinct(), "candidates")
     texts = docs.join(candidates, docs["doc_id"] == candidates["node"]).select("doc_id", "text", "component")
-    sets = materialise(shingle_sets(texts, k, words, True).select("doc_id", "shingles"), "sets").join(candidates.select(F.col("node").alias("doc_id"), F.col("component").alias("class")), "doc_id")
-    found = components(similar_links(sets, candidates.count(), least))
+    sets = materialise(shingle_sets(texts, k, words, True).select("doc_id", "n", "shingles"), "sets").join(candidates.select(F.col("node").alias("doc_id"), F.col("component").alias("class")), "doc_id")
+    found = components(similar_links(sets, least))
     classes = distinct.join(found, distinct["doc_id"] == found["node"], "left").select("fp", "digest", F.coalesce("component", "doc_id").alias("component_id"))
     return stored.join(classes, ["fp", "digest"]).select("doc_id", "component_id")
 
 
 def op9_tiled_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every row of ``documents``: 3-word shingles, at most 3 differing bits."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
