@@ -6,19 +6,31 @@ its own graph: points enter in batches that double, a greedy beam search over th
 so far proposes neighbours, and relaxed pruning (an edge goes when a kept neighbour is
 closer to its end by the factor ALPHA) keeps few but diverse edges, with pruned reverse
 edges. A query runs a beam search in every shard; the beams' ends are scored again in
-double precision on the original vectors and merged.
+double precision on the original vectors and merged. A shard returns all that tie with its
+last place, and a beam whose own end still ties is widened until it doesn't, so that the
+cut by the smaller vec_id is made over all of them.
+
+Vectors keep their component type; only the graph works on a copy in 32 bits. Vectors whose
+largest components differ by a factor of 2 ** BAND or more lie in different graphs (a band
+each, scaled by itself), so that neither huge nor tiny ones lose their digits there. Where
+the edges lead to fewer nodes than are asked for, the shard is scanned instead.
 
 Every row is indexed: rows with equal vectors share one node and come back by the k + 1
 smallest ids, found by a tree of partial top lists so that no group of copies is one
-task's. The graph's memory is bounded by SHARD_ROWS.
+task's. The graph's memory is bounded by SHARD_ROWS. A query set that is a share of the
+rows meets every shard, so the searches grow with rows x rows / SHARD_ROWS; larger shards
+lower that, at some recall for a given beam.
 
 Edge cases: vectors that are null, empty, zero or hold a null or non-finite component, and
 rows without an id, take no part; vectors of different lengths never meet; rows that
-repeat id and vector count once; an empty table gives no rows; extra columns are ignored.
+repeat id and vector count once; a score that overflows is infinite (one that is not a
+number ranks last); an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,13 +38,19 @@ from pyspark.sql import functions as F
 
 from voxloom.llm.common import materialise
 
-SHARD_ROWS = 4096
+SHARD_ROWS = 8192
 DEGREE, BUILD_BEAM, ALPHA = 32, 48, 1.2
 SEARCH_BEAM, EXPAND = 96, 4
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 8192
+#: Powers of two in one band of magnitudes.
+BAND = 6
+#: Scores this close, relative to the largest, may tie in 32 bits.
+TIE = 1e-5
 #: Searches that run as one array program.
 LANES = 512
 TREE = (64, 8, 1)
+#: Most tasks that shards and query blocks are dealt to.
+MAX_TASKS = 20_000
 
 
 def _distances(x: np.ndarray, at: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -149,11 +167,16 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v, h1, h2, dim) of rows that take part; h1 and h2 stand for the vector."""
+    """(vec_id, v, h1, h2, dim, band) of rows that take part; h1 and h2 stand for the vector."""
     ok = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))) & F.exists("embedding", lambda c: c != 0)
-    v = F.transform("embedding", lambda c: F.when(c == 0, F.lit(0.0)).otherwise(c).cast("float"))
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    kind = kind if kind in ("float", "double") else "double"
+    # no negative zeros: they'd hash apart
+    v = F.transform("embedding", lambda c: F.when(c == 0, F.lit(0).cast(kind)).otherwise(c.cast(kind)))
     rows = vectors.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
-    return rows.select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"), F.size("v").alias("dim"))
+    largest = F.array_max(F.transform("v", lambda c: F.abs(c.cast("double"))))
+    band = F.floor(F.log2(largest) / BAND).cast("int")
+    return rows.select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"), F.size("v").alias("dim"), band.alias("band"))
 
 
 def smallest_ids(rows: DataFrame, keep: int) -> DataFrame:
@@ -165,73 +188,127 @@ def smallest_ids(rows: DataFrame, keep: int) -> DataFrame:
     return part
 
 
-def build_index(distinct: DataFrame, shards: int, longest: float) -> DataFrame:
-    """One row per (dim, shard): vectors, keys and edges of its graph."""
+def _lifted(v: np.ndarray, band: int) -> tuple[np.ndarray, float]:
+    """The graph's points and their length: scaled vectors in 32 bits with the coordinate that makes all lengths equal."""
+    small = np.ldexp(v.astype(np.float64), -BAND * band)
+    squares = (small * small).sum(axis=1)
+    longest = float(squares.max())
+    return np.hstack([small, np.sqrt(np.maximum(longest - squares, 0))[:, None]]).astype(np.float32), math.sqrt(longest)
+
+
+def _directions(q: np.ndarray, length: float) -> np.ndarray:
+    """Queries as points of that length: the order of inner products knows no query's length."""
+    unit = q.astype(np.float64) / np.abs(q).max(axis=1, keepdims=True).astype(np.float64)
+    unit *= length / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    return np.hstack([unit, np.zeros((len(q), 1))]).astype(np.float32)
+
+
+def build_index(distinct: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row per (dim, band, shard): vectors, keys and edges of its graph. ``groups``: (dim, band, shards)."""
+    dtype = "<f4" if distinct.schema["v"].dataType.elementType.simpleString() == "float" else "<f8"
 
     def build(key, frame):
-        v = np.stack(frame["v"].to_numpy()).astype(np.float32)
-        gap = np.maximum(longest - (v.astype(np.float64) ** 2).sum(axis=1), 0)
-        edges, entry = build_graph(np.hstack([v, np.sqrt(gap)[:, None].astype(np.float32)]))
+        v = np.stack(frame["v"].to_numpy()).astype(dtype)
+        edges, entry = build_graph(_lifted(v, int(key[1]))[0])
         keys = frame[["h1", "h2"]].to_numpy(dtype="<i8")
-        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "n": [len(v)], "entry": [entry], "vectors": [v.astype("<f4").tobytes()], "keys": [keys.tobytes()], "edges": [edges.astype("<i4").tobytes()]})
+        return pd.DataFrame({"dim": [key[0]], "band": [key[1]], "shard": [key[2]], "entry": [entry], "vectors": [v.tobytes()], "keys": [keys.tobytes()], "edges": [edges.astype("<i4").tobytes()]})
+
+    # few groups, each much work: one task a shard
+    dealt = distinct.join(groups, ["dim", "band"]).withColumn("shard", F.pmod("h1", "shards").cast("int"))
+    return spread(dealt, groups.agg(F.sum("shards")).first()[0] or 1, "dim", "band", "shard").groupBy("dim", "band", "shard").applyInPandas(build, "dim int, band int, shard int, entry int, vectors binary, keys binary, edges binary")
+
+
+def spread(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """``df`` over so many tasks that adaptive execution leaves as they are."""
+    return df.repartition(int(max(1, min(tasks, MAX_TASKS))), *keys)
+
 
-    return distinct.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int")).groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, n int, entry int, vectors binary, keys binary, edges binary")
+def search_shard(v: np.ndarray, x: np.ndarray, edges: np.ndarray, entry: int, q: np.ndarray, lifted: np.ndarray, keep: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lane, node, score) of each query's ``keep`` best and of all that tie with the last of them."""
+    lanes = np.arange(len(q))
+    out: list[tuple] = []
+    while len(lanes):
+        ids, dist = beam_search(x, edges, entry, lifted[lanes], beam)
+        found = np.isfinite(dist)
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = np.einsum("ijk,ik->ij", v[np.maximum(ids, 0)].astype(np.float64), q[lanes].astype(np.float64))
+        rank = np.where(found & ~np.isnan(score), score, -np.inf)
+        order = np.argsort(-rank, axis=1, kind="stable")
+        at = min(keep, beam) - 1
+        last = np.take_along_axis(rank, order[:, at : at + 1], axis=1)
+        # the beam is full and its far end can't be told from the last place: look further
+        with np.errstate(invalid="ignore"):
+            slack = TIE * np.maximum(np.abs(last), np.abs(rank).max(axis=1, where=np.isfinite(rank), initial=0)[:, None])
+            open_ = (found.all(axis=1) & (rank.min(axis=1) >= last[:, 0] - slack[:, 0])) if beam < len(x) else np.zeros(len(lanes), dtype=bool)
+        few = found.sum(axis=1) < min(keep, len(x))
+        for lane in np.flatnonzero(few):
+            with np.errstate(over="ignore", invalid="ignore"):
+                every = v.astype(np.float64) @ q[lanes[lane]].astype(np.float64)
+            value = np.where(np.isnan(every), -np.inf, every)
+            node = np.flatnonzero(value >= np.sort(value)[-min(keep, len(x))])
+            out.append((np.full(len(node), lanes[lane]), node, every[node]))
+        take = found & (rank >= last) & ~(open_ | few)[:, None]
+        lane, slot = np.nonzero(take)
+        out.append((lanes[lane], ids[lane, slot], score[lane, slot]))
+        lanes, beam = lanes[open_], min(2 * beam, len(x))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
 
 
-def search_index(index: DataFrame, queries: DataFrame, shards: int, blocks: int, keep: int, longest: float) -> DataFrame:
-    """(q1, q2, h1, h2, score): the ``keep`` best distinct vectors of each query in each shard."""
+def search_index(index: DataFrame, queries: DataFrame, groups: DataFrame, blocks: int, keep: int) -> DataFrame:
+    """(q1, q2, h1, h2, score): the ``keep`` best distinct vectors of each query in each shard, ties included."""
+    dtype = "<f4" if queries.schema["v"].dataType.elementType.simpleString() == "float" else "<f8"
 
     def search(key, graphs, wanted):
         cols = {"q1": [], "q2": [], "h1": [], "h2": [], "score": []}
         if len(graphs) and len(wanted):
             g, dim = graphs.iloc[0], int(key[0])
-            v = np.frombuffer(g["vectors"], dtype="<f4").reshape(-1, dim)
+            v = np.frombuffer(g["vectors"], dtype=dtype).reshape(-1, dim)
             keys, edges = np.frombuffer(g["keys"], dtype="<i8").reshape(-1, 2), np.frombuffer(g["edges"], dtype="<i4").reshape(len(v), -1).astype(np.int64)
-            gap = np.sqrt(np.maximum(longest - (v.astype(np.float64) ** 2).sum(axis=1), 0))
-            x = np.hstack([v, gap[:, None].astype(np.float32)])
-            every = np.stack(wanted["v"].to_numpy()).astype(np.float32)
+            x, length = _lifted(v, int(key[1]))
+            every = np.stack(wanted["v"].to_numpy()).astype(dtype)
             for at in range(0, len(every), LANES):
                 q = every[at : at + LANES]
-                ids, dist = beam_search(x, edges, int(g["entry"]), np.hstack([q, np.zeros((len(q), 1), dtype=np.float32)]), max(SEARCH_BEAM, keep))
-                score = np.where(np.isfinite(dist), np.einsum("ijk,ik->ij", v[np.maximum(ids, 0)].astype(np.float64), q.astype(np.float64)), -np.inf)
-                best = np.argsort(-score, axis=1, kind="stable")[:, :keep]
-                s, i = np.take_along_axis(score, best, axis=1), np.take_along_axis(ids, best, axis=1)
-                lane, slot = np.nonzero(np.isfinite(s))
+                lane, node, score = search_shard(v, x, edges, int(g["entry"]), q, _directions(q, length), keep, max(SEARCH_BEAM, keep))
                 cols["q1"].append(wanted["h1"].to_numpy()[at + lane])
                 cols["q2"].append(wanted["h2"].to_numpy()[at + lane])
-                cols["h1"].append(keys[i[lane, slot], 0])
-                cols["h2"].append(keys[i[lane, slot], 1])
-                cols["score"].append(s[lane, slot])
+                cols["h1"].append(keys[node, 0])
+                cols["h2"].append(keys[node, 1])
+                cols["score"].append(score)
         return pd.DataFrame({k: np.concatenate(c) if c else np.zeros(0, dtype=np.int64 if k != "score" else float) for k, c in cols.items()})
 
     block = F.pmod("h2", F.lit(blocks)).cast("int")
-    dealt = queries.withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    keys = ["dim", "band", "shard", "block"]
+    tasks = (groups.agg(F.sum("shards")).first()[0] or 1) * blocks
+    shards = groups.select("dim", "band", F.explode(F.sequence(F.lit(0), F.col("shards").cast("int") - 1)).alias("shard"))
+    # every query meets every shard of its length
+    dealt = queries.drop("band").withColumn("block", block).join(shards, "dim")
     copied = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return copied.groupBy("dim", "shard", "block").cogroup(dealt.groupBy("dim", "shard", "block")).applyInPandas(search, "q1 long, q2 long, h1 long, h2 long, score double")
+    return spread(copied, tasks, *keys).groupBy(*keys).cogroup(spread(dealt, tasks, *keys).groupBy(*keys)).applyInPandas(search, "q1 long, q2 long, h1 long, h2 long, score double")
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row that ``is_query`` marks."""
     rows = materialise(usable(vectors), "vectors")
-    distinct = materialise(rows.groupBy("h1", "h2", "dim").agg(F.any_value("v").alias("v")), "distinct-vectors")
-    size = distinct.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))).alias("longest")).first()
-    shards, longest = max(1, -(-size["n"] // SHARD_ROWS)), float(size["longest"] or 0.0)
-    index = materialise(build_index(distinct, shards, longest), "graph")
+    distinct = materialise(rows.groupBy("h1", "h2", "dim", "band").agg(F.any_value("v").alias("v")), "distinct-vectors")
+    groups = materialise(distinct.groupBy("dim", "band").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).alias("shards")), "vector-groups")
+    index = materialise(build_index(distinct, groups), "graph")
     asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("h1").alias("q1"), F.col("h2").alias("q2")).distinct()
     keys = asked.select("q1", "q2").distinct()
     queries = distinct.join(keys, (distinct["h1"] == keys["q1"]) & (distinct["h2"] == keys["q2"]), "left_semi")
     blocks = max(1, -(-keys.count() // QUERY_BLOCK))
-    found = search_index(index, queries, shards, blocks, k + 1, longest)
-    per_query = Window.partitionBy("q1", "q2").orderBy(F.col("score").desc(), "h1", "h2")
-    found = found.withColumn("_n", F.row_number().over(per_query)).where(F.col("_n") <= k + 1).drop("_n")
+    found = search_index(index, queries, groups, blocks, k + 1)
+    high = (F.isnan("score").asc(), F.col("score").desc())
+    # rank, not row_number: what ties with the last place is cut by vec_id below
+    found = found.withColumn("_n", F.rank().over(Window.partitionBy("q1", "q2").orderBy(*high))).where(F.col("_n") <= k + 1).drop("_n")
     rows_of = found.join(smallest_ids(rows, k + 1), ["h1", "h2"]).select("q1", "q2", "score", "vec_id")
-    best = Window.partitionBy("q1", "q2").orderBy(F.col("score").desc(), "vec_id")
+    best = Window.partitionBy("q1", "q2").orderBy(*high, "vec_id")
     rows_of = rows_of.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1).drop("_n")
-    final = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    final = Window.partitionBy("query_id").orderBy(*high, "vec_id")
     out = asked.join(rows_of, ["q1", "q2"]).where("vec_id <> query_id").withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
     return out.select("query_id", "rank", "vec_id", "score")
 
 
 def op10_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every row of ``embeddings`` whose vec_id is divisible by 20."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return nearest(vectors, F.col("vec_id") % 20 == 0, 20)
