@@ -3,7 +3,8 @@
 Sparse multinomial logistic regression on TF-IDF of character 1- to 3-grams, trained by
 follow-the-regularised-leader with elastic-net penalties, then calibrated by one
 temperature. Document frequencies cover every training document; the weights are fitted
-on a sample of at most FIT_ROWS documents, spread evenly over the languages, and the
+on a sample of at most FIT_ROWS documents, spread evenly over the languages (each gets
+the same quota; what a rare one can't fill is shared by the others), and the
 temperature on another of at most CALIBRATION_ROWS. Only rows outside the held-out fold
 (crc32 of the id's text mod 5 = 0) with a language are learned from.
 
@@ -11,8 +12,9 @@ Scoring runs map-only: the text's n-grams are hashed by array arithmetic, counte
 vector of fixed width and multiplied with the non-zero weights.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; without any
-training row every text is ``und``; very long texts are counted in blocks; repeated rows
-and ids are predicted alike; extra columns are ignored.
+training row every text is ``und``; very long texts are counted in blocks, with the same
+counts as in one piece; repeated rows and ids are predicted alike; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxloom.llm.common import bounded, fold
@@ -37,22 +39,22 @@ UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def gram_indices(text: str) -> np.ndarray:
-    """Hashed 1-, 2- and 3-grams of the lower-cased text, with a blank at either end."""
-    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    one = c * np.uint32(0x9E3779B1)
-    two = (one[:-1] ^ (c[1:] + np.uint32(0x7F4A7C15))) * np.uint32(0x85EBCA6B)
-    three = (two[:-1] ^ (c[2:] + np.uint32(0x165667B1))) * np.uint32(0xC2B2AE35)
-    every = np.concatenate([one, two, three])
+def gram_indices(codes: np.ndarray, own: int) -> np.ndarray:
+    """Hashed 1-, 2- and 3-grams that begin in the first ``own`` of these code points."""
+    one = codes * np.uint32(0x9E3779B1)
+    two = (one[:-1] ^ (codes[1:] + np.uint32(0x7F4A7C15))) * np.uint32(0x85EBCA6B)
+    three = (two[:-1] ^ (codes[2:] + np.uint32(0x165667B1))) * np.uint32(0xC2B2AE35)
+    every = np.concatenate([one[:own], two[:own], three[:own]])
     return (every ^ (every >> np.uint32(15))) & np.uint32(WIDTH - 1)
 
 
 def gram_counts(text: str) -> np.ndarray:
-    """Counts by hashed n-gram; long texts block by block, with the n-grams across blocks."""
+    """Counts by hashed n-gram of the lower-cased text with a blank at either end, block by block."""
+    whole = f" {text.lower()} "
     counts = np.zeros(WIDTH, dtype=np.int64)
-    for at in range(0, max(1, len(text)), BLOCK):
-        part = text[at : at + BLOCK + (2 if at + BLOCK < len(text) else 0)]
-        counts += np.bincount(gram_indices(part), minlength=WIDTH)
+    for at in range(0, len(whole), BLOCK):
+        part = np.frombuffer(whole[at : at + BLOCK + 2].encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        counts += np.bincount(gram_indices(part, BLOCK), minlength=WIDTH)
     return counts
 
 
@@ -118,20 +120,38 @@ def document_frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
     return df, n
 
 
+def quotas(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """Rows of each language: as even as the languages' own counts allow, ``rows`` in all at most (one each at least)."""
+    left, take = rows, {}
+    order = sorted(counts, key=lambda k: (counts[k], k))
+    for i, lang in enumerate(order):
+        take[lang] = min(counts[lang], max(1, left // (len(order) - i)))
+        left = max(0, left - take[lang])
+    return take
+
+
 def _sample(train: DataFrame, counts: dict[str, int], rows: int) -> DataFrame:
-    """At most ``rows`` texts, about as many of each language, by a hash of the id."""
-    quota = max(1, rows // max(1, len(counts)))
-    share = F.lit(0.0)
+    """Each language's quota of texts, the first by a hash of the id.
+
+    A hash threshold of about twice the quota comes first, so that the rank within a
+    language sorts a bounded number of rows however many it has.
+    """
+    take = quotas(counts, rows)
+    share, quota = F.lit(0.0), F.lit(0)
     for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.1 * quota / n))).otherwise(share)
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, (2.0 * take[lang] + 64) / n))).otherwise(share)
+        quota = F.when(F.col("lang") == lang, F.lit(take[lang])).otherwise(quota)
     key = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30))
-    return train.withColumn("_key", key).where(F.col("_key") < share * F.lit(1 << 30))
+    near = train.withColumn("_key", key).where(F.col("_key") < share * F.lit(1 << 30))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_key", "doc_id"))
+    return near.withColumn("_n", rank).where(F.col("_n") <= quota).drop("_n")
 
 
 def train_model(docs: DataFrame, fit_rows: int = FIT_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> LanguageModel:
     """Learn from the rows of ``docs`` (doc_id, text, lang) outside the held-out fold."""
     train = bounded(docs).where(F.col("lang").isNotNull() & (fold("doc_id") != 0)).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    by = {(r["lang"], r["c"]): r["n"] for r in train.groupBy("lang", (fold("doc_id") == 1).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows a language
+    counts = {lang: by.get((lang, False), 0) + by.get((lang, True), 0) for lang, _ in by}
     classes = sorted(counts)
     if not classes:
         return LanguageModel([], np.ones(WIDTH), np.zeros((WIDTH, 1)), np.zeros(1), 1.0)
@@ -146,12 +166,12 @@ def train_model(docs: DataFrame, fit_rows: int = FIT_ROWS, calibration_rows: int
             yield pd.DataFrame({"_key": keep["_key"], "doc_id": keep["doc_id"].astype("Int64"), "lang": keep["lang"], "at": [a.astype(np.int32) for a, _ in made], "v": [v.astype(np.float32) for _, v in made]})
 
     def fetch(rows: DataFrame, limit: int):
-        found = rows.mapInPandas(vectors, "_key long, doc_id long, lang string, at array<int>, v array<float>").orderBy("_key", "doc_id").limit(limit).toPandas()
+        found = rows.mapInPandas(vectors, "_key long, doc_id long, lang string, at array<int>, v array<float>").orderBy("_key", "doc_id", "lang").limit(limit).toPandas()
         return [(np.asarray(a), np.asarray(v, dtype=float)) for a, v in zip(found["at"], found["v"], strict=True)], [classes.index(x) for x in found["lang"]]
 
     calibrating = fold("doc_id") == 1
-    fit_x, fit_y = fetch(_sample(train.where(~calibrating), counts, fit_rows), fit_rows)
-    cal_x, cal_y = fetch(_sample(train.where(calibrating), {k: max(1, v // 4) for k, v in counts.items()}, calibration_rows), calibration_rows)
+    fit_x, fit_y = fetch(_sample(train.where(~calibrating), {k: n for (k, c), n in by.items() if not c}, fit_rows), max(fit_rows, len(classes)))
+    cal_x, cal_y = fetch(_sample(train.where(calibrating), {k: n for (k, c), n in by.items() if c}, calibration_rows), max(calibration_rows, len(classes)))
     if len(classes) == 1:
         return LanguageModel(classes, idf, np.zeros((WIDTH, 1)), np.zeros(1), 1.0)
     fit = FTRL(WIDTH, len(classes), alpha=1.0, l1=2e-3, l2=1e-3).fit(fit_x, fit_y, EPOCHS)
@@ -177,6 +197,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def op1_char_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and calibrated probability of every text of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = identify(docs.select("doc_id", "text"), train_model(docs))
     return found.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "_lang.lang_pred", "_lang.score")
