@@ -9,14 +9,17 @@ before), so that layout and noise carry over to words never seen. The value of a
 is the square root of its share among the n-grams of its kind, which makes texts of any
 length comparable.
 
-The weights are fitted on a sample of at most FIT_ROWS labelled rows outside the held-out
-fold (crc32 of the id's text mod 5 = 0), all of the rarer label first, with rows weighted
-back to the labels' true shares, so that scores are probabilities.
+The weights are fitted on a sample of at most FIT_ROWS labelled documents outside the
+held-out fold (crc32 of the id's text mod 5 = 0), all of the rarer label first, with rows
+weighted back to the labels' true shares, so that scores are probabilities. Labels are
+held against the documents before any count or pick, so a label without a document
+(labels may cover much more than the documents given) weighs nothing.
 
 Edge cases: null and empty texts score by the bias alone; without labels of both kinds
-every score is the share of label 1 (1 without labels); a row labelled twice counts by
-its mean label, a tie as 1; null labels are skipped; repeated rows score alike; extra
-columns are ignored.
+among the documents every score is the share of label 1 (1 without labels); a document
+labelled twice counts by its mean label, a tie as 1; null labels are skipped; of rows that
+repeat an id the least text is learned from; repeated rows score alike; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import bounded, fold
+from voxloom.llm.common import bounded, fold, materialise
 from voxloom.llm.ftrl import FTRL
 
 WIDTH = 1 << 18
@@ -95,6 +98,12 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at).astype(np.int64), np.concatenate(v)
 
 
+def merged(at: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same vector with each place once: n-grams of two kinds may share one, and an update must see their sum."""
+    u, back = np.unique(at, return_inverse=True)
+    return u, np.bincount(back, v, minlength=len(u))
+
+
 @dataclass
 class QualityModel:
     weights: np.ndarray
@@ -110,6 +119,7 @@ def train_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     """Learn from labelled rows outside the held-out fold; ``labels``: (doc_id, quality)."""
     spark = docs.sparkSession
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id") != 0)).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
+    usable = materialise(usable.join(docs.select("doc_id"), "doc_id", "left_semi"), "labels")
     counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
     if len(counts) < 2:
@@ -126,11 +136,12 @@ def train_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
 
     def vectors(frames):
         for frame in frames:
-            made = [features(t) for t in frame["text"]]
+            made = [merged(*features(t)) for t in frame["text"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "_key": frame["_key"], "y": frame["y"], "at": [a.astype(np.int32) for a, _ in made], "v": [v.astype(np.float32) for _, v in made]})
 
     # fit_rows rows at most on the small side
-    rows = bounded(docs).select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInPandas(vectors, "doc_id long, _key long, y int, at array<int>, v array<float>")
+    texts = bounded(docs).select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "_key", "y").agg(F.min("text").alias("text"))
+    rows = texts.mapInPandas(vectors, "doc_id long, _key long, y int, at array<int>, v array<float>")
     found = rows.orderBy("_key", "doc_id").limit(fit_rows).toPandas()
     x = list(zip(found["at"], found["v"], strict=True))  # 32-bit arrays: 8 bytes an n-gram
     y = found["y"].tolist()
@@ -154,6 +165,7 @@ def scored(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def op5_word_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every text of ``documents``, learned from ``labels``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     found = scored(docs, model)
