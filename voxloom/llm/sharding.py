@@ -5,9 +5,13 @@ versioned table maps each slot to a shard, and rebalancing edits that table. The
 first version deals slots to shards by their measured bytes, largest first, always
 to the lightest shard, so shards come out near equal in bytes (law ``bytes``).
 
-Edge cases: a null or empty text counts one byte; a null id hashes like any value;
-rows that agree in id and text share a slot; an empty table gives no rows and a map
-that spreads empty slots evenly. Columns beyond the id and the text are ignored.
+A record's virtual slot is a hash of its id and its text's checksum, so equal texts under
+different ids scatter over slots and shards: a large group of copies can't fill one shard.
+Rows that agree in id and text are one record and share a virtual slot.
+
+Edge cases: a null or empty text counts one byte; a null id hashes like any value; an
+empty table gives no rows and a map that spreads empty slots evenly. Columns beyond the
+id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -17,9 +21,11 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import materialise
+from voxloom.llm.common import materialise, scratch_path
 
 SLOTS = 4096
+#: Parts in which the rows of one virtual slot are ranked.
+SALTS = 16
 MAP_SCHEMA = "version int, virtual_slot int, shard int, bytes long, n_rows long"
 
 
@@ -93,39 +99,62 @@ def map_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 
 
 def save_map(spark: SparkSession, rows: list[tuple], path: str) -> None:
-    """Append one version to the map table; earlier versions stay readable."""
-    map_table(spark, rows).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    """Store one version of the map; other versions stay as they are, and a version stored again is replaced, not doubled."""
+    kept = map_table(spark, rows).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    kept.partitionBy("version").parquet(path)
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """The newest version of the stored map, or the one asked for."""
-    every = spark.read.parquet(path)
+    every = spark.read.schema(MAP_SCHEMA).parquet(path)
     if version is None:
         version = every.agg(F.max("version")).first()[0]
     return every.where(F.col("version") == version)
 
 
+def stored_map(spark: SparkSession, path: str) -> list[tuple]:
+    """Rows of the newest version at ``path``; none if nothing is stored there."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+        return []
+    return [(r["version"], r["virtual_slot"], r["shard"], r["bytes"], r["n_rows"]) for r in load_map(spark, path).orderBy("virtual_slot").collect()]  # one row a slot
+
+
 def assign(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     """Adds shard and slot, the row's place in its shard, gapless from 0.
 
-    Places come from two levels: the rows before a virtual slot in its shard, known
-    from the map, and the row's rank in its virtual slot. No task ranks a whole shard.
+    Places come from three levels: the rows before a virtual slot in its shard, those before
+    a part of it (SALTS parts by a hash of the row's number, so that copies of one record
+    spread too), and the row's rank in its part. ``rows`` carries _row, a number of its own.
     """
-    before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    base = slot_map.select("virtual_slot", "shard", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("_base"))
-    rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
-    # the map has one row per virtual slot, a fixed number
-    return rows.withColumn("_rank", rank).join(F.broadcast(base), "virtual_slot").withColumn("slot", (F.col("_base") + F.col("_rank") - 1).cast("long")).drop("_rank", "_base")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
+    # one row per part of a virtual slot: a fixed number
+    parts = salted.groupBy("virtual_slot", "_salt").agg(F.count(F.lit(1)).alias("_n")).join(F.broadcast(slot_map.select("virtual_slot", "shard")), "virtual_slot")
+    before = Window.partitionBy("shard").orderBy("virtual_slot", "_salt").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.select("virtual_slot", "_salt", "shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    rank = F.row_number().over(Window.partitionBy("virtual_slot", "_salt").orderBy("doc_id", "text_crc32", "size", "_row"))
+    ranked = salted.withColumn("_rank", rank).join(F.broadcast(base), ["virtual_slot", "_salt"])
+    return ranked.withColumn("slot", (F.col("_base") + F.col("_rank") - 1).cast("long")).drop("_rank", "_base", "_salt", "_row")
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
-    """Shard, slot and virtual slot of every document; stores the map if a path is given."""
+    """Shard, slot and virtual slot of every document, by the map stored at ``map_path``.
+
+    Without a stored map the first version is dealt from the measured bytes and stored;
+    with one, its newest version is loaded, edited for the bytes and shards of now, and
+    stored as the next version if a slot moved. Rows are placed by the map as read back.
+    """
     spark = docs.sparkSession
-    rows = materialise(sized(docs, slots), "sized")
-    slot_map = initial_map(slot_bytes(rows, slots), shards)
-    if map_path:
-        save_map(spark, slot_map, map_path)
-    return assign(rows, map_table(spark, slot_map))
+    path = map_path or scratch_path(spark, "slot-map")
+    rows = materialise(sized(docs, slots).withColumn("_row", F.monotonically_increasing_id()), "sized")
+    loads = slot_bytes(rows, slots)
+    old = stored_map(spark, path)
+    if old and len(old) != slots:
+        raise ValueError(f"the stored map has {len(old)} slots, not {slots}: virtual slots are fixed for good")
+    new = rebalance(old, loads, shards) if old else initial_map(loads, shards)
+    if [r[2] for r in new] != [r[2] for r in old]:
+        save_map(spark, new, path)
+    return assign(rows, load_map(spark, path))
 
 
 def shard_of(doc_id: Column, text_crc32: Column, slots: int = SLOTS) -> Column:
