@@ -21,11 +21,16 @@ by weight (solved in closed form by sorting on the level at which a source satur
 
 Edge cases: null and empty texts have size 0 and take 0 words; a source without words has
 target 0; repeated rows and repeated ids are separate documents; extra columns pass
-through ``mix_documents`` untouched; an empty table gives no rows.
+through ``mix_documents`` untouched, whatever their names; an empty table gives no rows.
+
+Sources are rows of tables throughout (targets, multipliers, phases), so their number is
+not bounded by the driver; targets are ranked over one short row a source.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +46,10 @@ SALTS = 256
 MAX_STEPS = 60
 #: Phases of the systematic rounding that are tried.
 PHASES = 16
-#: Names of the operator's own columns.
-OWN = ("_size", "_source_size", "_target", "_copies", "_copy", "_salt", "_rank", "_tie", "_from", "_rate", "_ls", "_lz", "_lt")
+#: The dual's multipliers lie between minus and plus this.
+BRACKET = 64.0
+#: Columns that ``mix_documents`` adds.
+ADDED = ("_size", "_source_size", "_target", "_copies")
 
 
 def words(text: Column) -> Column:
@@ -74,123 +81,115 @@ def tilted(lam: Column, z: Column) -> Column:
     return F.round(F.least(F.lit(float(CAP)), F.exp(F.least(lam * z, F.lit(1.0)))) * UNIT).cast("long")
 
 
-def _rows(spark: SparkSession, rows: list[tuple], names: tuple[str, ...]) -> DataFrame:
-    """A literal table, one row a source."""
-    if not rows:
-        return spark.sql("SELECT " + ", ".join(f"CAST(0 AS DOUBLE) AS {n}" if i else f"CAST(0 AS INT) AS {n}" for i, n in enumerate(names)) + " WHERE false")
-    return spark.sql("SELECT * FROM VALUES " + ", ".join("(" + ", ".join(repr(v) + "D" if isinstance(v, float) else str(v) for v in r) + ")" for r in rows) + " AS t(" + ", ".join(names) + ")")
+def dual_state(hist: DataFrame) -> DataFrame:
+    """One row a source: s0, s1, source_size, target, mean size, and where Newton begins (lam, low, high, open, full)."""
+    sizes = hist.groupBy("s0", "s1").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
+    named = sizes.withColumn("source", F.when(~F.col("s1"), F.col("s0")))
+    wanted = targets(named.select("source", "source_size")).select(F.coalesce("source", F.lit("")).alias("s0"), F.col("source").isNull().alias("s1"), "target")
+    state = sizes.join(wanted, ["s0", "s1"]).withColumn("mean", F.greatest(F.col("source_size") / F.col("docs"), F.lit(1e-9)))
+    full, none = F.col("target") >= F.col("source_size") * CAP, (F.col("source_size") == 0) | (F.col("target") <= 0)
+    return state.select(
+        "s0", "s1", "source_size", "target", "mean", F.when(none, F.lit(-BRACKET)).otherwise(F.lit(0.0)).alias("lam"),
+        F.lit(-BRACKET).alias("low"), F.lit(BRACKET).alias("high"), (~none & ~full).alias("open"), (full & ~none).alias("full"),
+    )
+
+
+def newton_step(hist: DataFrame, state: DataFrame) -> DataFrame:
+    """``state`` after one step of every open source: one aggregation of the histogram."""
+    z = F.col("size") / F.col("mean")
+    mass = F.col("size") * F.col("n") * tilted(F.col("lam"), z)
+    slope = F.when(F.col("lam") * z < F.log(F.lit(float(CAP))), mass / F.lit(UNIT) * z).otherwise(F.lit(0.0))
+    at = hist.join(state.where("open").select("s0", "s1", "lam", "mean"), ["s0", "s1"])
+    found = at.groupBy("s0", "s1").agg(F.sum(mass.cast("decimal(38,0)")).cast("double").alias("g"), F.sum(F.round(slope * 1024).cast("decimal(38,0)")).cast("double").alias("h"))
+    gap, slope = F.col("g") / UNIT - F.col("target"), F.col("h") / 1024
+    s = state.join(found, ["s0", "s1"], "left").withColumn("gap", gap).withColumn("slope", slope)
+    met = ~F.col("open") | (F.abs("gap") <= F.greatest(F.lit(0.5), 1e-9 * F.col("target")))
+    s = s.withColumn("met", met).withColumn("high", F.when(~F.col("met") & (F.col("gap") > 0), F.col("lam")).otherwise(F.col("high"))).withColumn("low", F.when(~F.col("met") & (F.col("gap") <= 0), F.col("lam")).otherwise(F.col("low")))
+    step = F.when(F.col("slope") > 0, F.col("lam") - F.try_divide("gap", "slope"))
+    lam = F.when((step > F.col("low")) & (step < F.col("high")), step).otherwise((F.col("low") + F.col("high")) / 2)
+    s = s.withColumn("lam", F.when(F.col("met"), F.col("lam")).otherwise(lam)).withColumn("open", ~F.col("met") & (F.col("high") - F.col("low") >= 1e-12))
+    return s.select(*state.columns)
+
+
+def solve(hist: DataFrame) -> DataFrame:
+    """Newton on the dual. ``hist``: (s0, s1, size, n). The state of all sources is a stored table; only the number of open ones meets the driver."""
+    state = materialise(dual_state(hist), "mix-dual")
+    for _ in range(MAX_STEPS):
+        if state.where("open").limit(1).count() == 0:
+            return state
+        state = materialise(newton_step(hist, state), "mix-dual")
+    left = state.where("open").count()
+    if left:
+        warnings.warn(f"{left} sources are not within half a word of their targets after {MAX_STEPS} steps", stacklevel=2)
+    return state
 
 
-def solve(hist: DataFrame, wanted: dict[int, tuple[float, float, int]]) -> dict[int, float]:
-    """Newton on the dual. ``hist``: (k, size, n); ``wanted``: k -> (target, mean size, words).
+def locate(parts: DataFrame) -> DataFrame:
+    """(s0, s1, size, salt, rate, from, source_size, target) of every part (s0, s1, size, salt, n) of the documents.
 
-    Each step is one aggregation of the histogram; only one row per source comes back.
-    """
-    spark = hist.sparkSession
-    lam = {k: 0.0 for k in wanted}
-    low, high = {k: -64.0 for k in wanted}, {k: 64.0 for k in wanted}
-    open_ = set()
-    for k, (target, mean, total) in wanted.items():
-        if total == 0 or target <= 0:
-            lam[k] = -64.0
-        elif target >= CAP * total:
-            lam[k] = float("inf")
-        else:
-            open_.add(k)
-    for _ in range(MAX_STEPS):
-        if not open_:
-            break
-        state = _rows(spark, [(k, lam[k], float(wanted[k][1])) for k in sorted(open_)], ("k", "lam", "mean"))
-        z = F.col("size") / F.col("mean")
-        mass = F.col("size") * F.col("n") * tilted(F.col("lam"), z)
-        slope = F.when(F.col("lam") * z < F.log(F.lit(float(CAP))), (mass / F.lit(UNIT) * z)).otherwise(F.lit(0.0))
-        found = hist.join(F.broadcast(state), "k").groupBy("k").agg(F.sum(mass.cast("decimal(38,0)")).alias("g"), F.sum(F.round(slope * 1024).cast("decimal(38,0)")).alias("h")).collect()
-        for r in found:
-            k, target = r["k"], wanted[r["k"]][0]
-            gap, slope_k = float(r["g"]) / UNIT - target, float(r["h"]) / 1024
-            if abs(gap) <= max(0.5, 1e-9 * target):
-                open_.discard(k)
-                continue
-            if gap > 0:
-                high[k] = lam[k]
-            else:
-                low[k] = lam[k]
-            step = lam[k] - gap / slope_k if slope_k > 0 else float("nan")
-            lam[k] = step if low[k] < step < high[k] else (low[k] + high[k]) / 2
-            if high[k] - low[k] < 1e-12:
-                open_.discard(k)
-    return lam
-
-
-def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents with copies, sources with targets).
-
-    Adds to every row of ``docs``: _size, _source_size, _target, _copies (0, 1 or 2).
+    from is the running sum of rates before the part's first row, in units, phase included.
     """
-    spark = docs.sparkSession
-    keyed = docs.withColumn("_size", words(F.col("text")))
-    narrow = keyed.select(F.col("source"), "_size", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int").alias("_salt"))
-    fine = materialise(narrow.groupBy("source", "_size", "_salt").agg(F.count(F.lit(1)).alias("_n")), "mix-parts")
-    hist = fine.groupBy("source", "_size").agg(F.sum("_n").alias("_n"))
-    wanted = targets(hist.groupBy("source").agg(F.sum(F.col("_size") * F.col("_n")).alias("source_size"), F.sum("_n").alias("_docs")).select("source", "source_size"))
-    counts = hist.groupBy("source").agg(F.sum("_n").alias("_docs"))
-    found = wanted.join(counts, wanted["source"].eqNullSafe(counts["source"])).select(wanted["source"], "source_size", "target", "_docs").orderBy(F.col("source").asc_nulls_last()).collect()
-    index = {k: r for k, r in enumerate(found)}
-    ids = materialise(_source_index(spark, [r["source"] for r in found], docs.schema["source"].dataType.simpleString()), "mix-sources")
-    small = hist.join(F.broadcast(ids), hist["source"].eqNullSafe(ids["_s"])).select("k", F.col("_size").alias("size"), F.col("_n").alias("n"))
-    small = materialise(small, "mix-histogram")
-    lam = solve(small, {k: (float(r["target"]), r["source_size"] / r["_docs"], r["source_size"]) for k, r in index.items()})
-    # saturated sources take the cap; an exponent over log(CAP) does that
-    dual = _rows(spark, [(k, min(lam[k], 1e6), float(max(1e-9, r["source_size"] / r["_docs"])), float(r["target"]), int(r["source_size"]), int(lam[k] > 1e5)) for k, r in index.items()], ("k", "lam", "mean", "target", "source_size", "full"))
-    rated = small.join(F.broadcast(dual), "k").withColumn(
-        "rate", F.when(F.col("full") == 1, F.lit(CAP * UNIT).cast("long")).when(F.col("size") == 0, F.lit(UNIT).cast("long")).otherwise(tilted(F.col("lam"), F.col("size") / F.col("mean")))
-    )
-    before = Window.partitionBy("k").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    hist = materialise(parts.groupBy("s0", "s1", "size").agg(F.sum("n").alias("n")), "mix-histogram")
+    dual = solve(hist)
+    rate = F.when(F.col("full"), F.lit(CAP * UNIT).cast("long")).when(F.col("size") == 0, F.lit(UNIT).cast("long")).otherwise(tilted(F.col("lam"), F.col("size") / F.col("mean")))
+    before = Window.partitionBy("s0", "s1").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rated = hist.join(dual, ["s0", "s1"]).select("s0", "s1", "size", "n", "source_size", "target", rate.alias("rate"))
     rated = materialise(rated.withColumn("start", F.coalesce(F.sum(F.col("rate") * F.col("n")).over(before), F.lit(0))), "mix-rates")
     shifts = [UNIT * (2 * i + 1) // (2 * PHASES) for i in range(PHASES)]
     whole = lambda x: F.floor(x / F.lit(UNIT))
-    tried = rated.groupBy("k").agg(*(F.sum(F.col("size") * (whole(F.col("start") + F.col("rate") * F.col("n") + u) - whole(F.col("start") + u))).alias(f"t{i}") for i, u in enumerate(shifts))).collect()
-    phase = {r["k"]: min(range(PHASES), key=lambda i: (abs(r[f"t{i}"] - float(index[r["k"]]["target"])), i)) for r in tried}
-    shift = _rows(spark, [(k, float(shifts[i])) for k, i in sorted(phase.items())], ("k", "shift"))
-    rated = rated.join(F.broadcast(shift), "k").withColumn("start", F.col("start") + F.col("shift").cast("long"))
-    rated = rated.join(F.broadcast(ids), "k").select(F.col("_s"), F.col("size").alias("_sz"), "rate", "start", F.col("source_size").cast("long").alias("_source_size"), F.col("target").alias("_target"))
-    parts = Window.partitionBy("source", "_size").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = fine.withColumn("_earlier", F.coalesce(F.sum("_n").over(parts), F.lit(0)))
-    located = earlier.join(rated, earlier["source"].eqNullSafe(rated["_s"]) & (earlier["_size"] == rated["_sz"])).select(
-        F.col("source").alias("_ls"), F.col("_size").alias("_lz"), F.col("_salt").alias("_lt"), F.col("rate").alias("_rate"), (F.col("start") + F.col("_earlier") * F.col("rate")).alias("_from"), "_source_size", "_target"
-    )
-    return keyed, located
-
-
-def _source_index(spark: SparkSession, sources: list, kind: str) -> DataFrame:
-    quoted = ["NULL" if s is None else "'" + str(s).replace("\\", "\\\\").replace("'", "\\'") + "'" for s in sources]
-    if not quoted:
-        return spark.sql(f"SELECT CAST(0 AS INT) AS k, CAST(NULL AS {kind}) AS _s WHERE false")
-    return spark.sql("SELECT k, CAST(s AS " + kind + ") AS _s FROM VALUES " + ", ".join(f"({k}, {q})" for k, q in enumerate(quoted)) + " AS t(k, s)")
-
-
-def mix_documents(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` with _size, _source_size, _target and _copies added (columns named as in OWN give way)."""
-    docs = docs.drop(*OWN)
+    tried = rated.groupBy("s0", "s1", "target").agg(*(F.sum(F.col("size") * (whole(F.col("start") + F.col("rate") * F.col("n") + u) - whole(F.col("start") + u))).alias(f"t{i}") for i, u in enumerate(shifts)))
+    best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"t{i}") - F.col("target")).alias("miss"), F.lit(i).alias("i"), F.lit(u).cast("long").alias("shift")) for i, u in enumerate(shifts))))
+    rated = rated.join(tried.select("s0", "s1", best["shift"].alias("shift")), ["s0", "s1"]).withColumn("start", F.col("start") + F.col("shift"))
+    earlier = Window.partitionBy("s0", "s1", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("earlier", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    return placed.join(rated, ["s0", "s1", "size"]).select("s0", "s1", "size", "salt", "rate", (F.col("start") + F.col("earlier") * F.col("rate")).alias("from"), F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"))
+
+
+def mix_documents(docs: DataFrame, size: Column | None = None, tie: Column | None = None) -> DataFrame:
+    """Every row of ``docs`` with the columns of ADDED after its own.
+
+    ``size`` and ``tie`` (words and a hash of the text) default to those of column text. A
+    column of ``docs`` that is named like an added one keeps its name; the added one then
+    gets further underscores in front.
+    """
     columns = docs.columns
-    keyed, located = plan(docs)
-    rows = keyed.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
-    rank = F.row_number().over(Window.partitionBy("source", "_size", "_salt").orderBy("doc_id", "_tie"))
-    rows = rows.withColumn("_tie", F.xxhash64("text")).withColumn("_rank", rank)
-    joined = rows.join(located, rows["source"].eqNullSafe(located["_ls"]) & (rows["_size"] == located["_lz"]) & (rows["_salt"] == located["_lt"]))
-    upto = lambda n: F.floor((F.col("_from") + n * F.col("_rate")) / F.lit(UNIT))
-    return joined.withColumn("_copies", (upto(F.col("_rank")) - upto(F.col("_rank") - 1)).cast("int")).select(*columns, "_size", "_source_size", "_target", "_copies")
+    size = words(F.col("text")) if size is None else size
+    tie = F.xxhash64("text") if tie is None else tie
+    # own columns have names that no input column can have: those are numbered meanwhile
+    made = docs.select("*", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_0"), F.col("source").isNull().alias("_1"), size.alias("_2"), tie.alias("_3"), F.col("doc_id").alias("_4"))
+    keyed = made.toDF(*(f"c{i}" for i in range(len(columns))), "s0", "s1", "size", "tie", "id").withColumn("salt", F.pmod(F.xxhash64("id", "tie"), F.lit(SALTS)).cast("int"))
+    parts = materialise(keyed.groupBy("s0", "s1", "size", "salt").agg(F.count(F.lit(1)).alias("n")), "mix-parts")
+    group = ["s0", "s1", "size", "salt"]
+    # rank and join have the same keys, so rows move once
+    ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy("id", "tie")))
+    joined = ranked.join(locate(parts), group)
+    upto = lambda n: F.floor((F.col("from") + n * F.col("rate")) / F.lit(UNIT))
+    copies = (upto(F.col("rank")) - upto(F.col("rank") - 1)).cast("int")
+    own = joined.select(*(f"c{i}" for i in range(len(columns))), "size", "source_size", "target", copies.alias("copies"))
+    return own.toDF(*columns, *added(columns))
+
+
+def added(columns: list[str]) -> list[str]:
+    """Names of the added columns beside these."""
+    names = []
+    for name in ADDED:
+        while name in columns:
+            name = "_" + name
+        names.append(name)
+    return names
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """``docs`` with every row repeated as the mix says: the mixture itself."""
-    docs = docs.drop(*OWN)
-    rows = mix_documents(docs)
-    return rows.where(F.col("_copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    columns = docs.columns
+    rows = mix_documents(docs).toDF(*(f"c{i}" for i in range(len(columns))), *ADDED)
+    copies = rows.where(F.col("_copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return copies.select(*(f"c{i}" for i in range(len(columns)))).toDF(*columns)
 
 
 def op3_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix of all documents: words each of them gives."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    rows = mix_documents(docs)
-    return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").cast("double").alias("target"), (F.col("_size") * F.col("_copies")).cast("long").alias("taken"), F.col("_copies").alias("copies"))
+    """The mix of all documents: words each of them gives. Texts are read once, for their sizes."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    narrow = materialise(docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")), "mix-sizes")
+    rows = mix_documents(narrow, F.col("size"), F.col("tie"))
+    return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).cast("long").alias("taken"), F.col("_copies").alias("copies"))
