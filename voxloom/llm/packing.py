@@ -8,7 +8,9 @@ an unbounded knapsack dynamic program over the classes with the master's prices.
 counts are rounded down, what is left over is packed first-fit decreasing, and the n-th
 piece of a class (pieces ranked by id) takes the n-th place that the patterns hold for
 it. Only the histogram and the pattern table, both bounded by the number of classes,
-meet the driver; ranks are taken within (class, salt), so no class is one task's.
+meet the driver; ranks are taken within (class, salt), with as many salts as keep a part
+near PART_ROWS, so no class is one task's. A full piece is a sequence by itself and is
+numbered by its row number, without any ranking or shuffle.
 
 Padding: a sequence is padded to the capacity unless its length is a power of two, so
 the last underfull sequences are left whole.
@@ -19,6 +21,7 @@ documents; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import warnings
 import zlib
 
 import numpy as np
@@ -32,10 +35,12 @@ from voxloom.llm.tokens import encode_all, read_spec, worker_tokenizer
 CAPACITY = 4096
 UNIT = 8
 END_ID = 2
-SALTS = 64
 #: Column generation ends when the bound of the prices is this close to the master's value.
 GAP = 2e-4
+#: Columns after which the plan is taken as it is, with a warning that states the gap.
 MAX_COLUMNS = 6000
+#: Pieces of one class that are ranked in one part, about.
+PART_ROWS = 200_000
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
@@ -112,7 +117,12 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap:
     inverse = np.diag(1 / basis.diagonal())
     x = basis.diagonal() ** -1.0 * demand
     filled = float(sizes @ demand) / capacity
-    for step in range(MAX_COLUMNS):
+    step = -1
+    while True:
+        step += 1
+        if step == MAX_COLUMNS:
+            warnings.warn(f"column generation stopped after {MAX_COLUMNS} columns: {x.sum():.1f} sequences, no fewer than {max(filled, x.sum() / value):.1f} are needed", stacklevel=2)
+            break
         prices = inverse.sum(axis=0)
         value, pattern = knapsack(sizes, prices, capacity)
         # no packing needs fewer bins than the words fill, nor fewer than the scaled prices allow
@@ -197,19 +207,24 @@ def places(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFrame:
-    """Adds sequence_id and offset to stored pieces (doc_id, start, length, ...)."""
+    """Adds sequence_id and offset to stored pieces (doc_id, start, length, ..., and _piece, a number of its own)."""
     spark = cut.sparkSession
-    sized = cut.withColumn("_class", F.ceil(F.col("length") / F.lit(unit)).cast("int")).withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    parts = sized.groupBy("_class", "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    # at most (capacity / unit) * SALTS rows
-    parts = materialise(parts, "pack-classes")
-    counts = {r["_class"]: r["n"] for r in parts.groupBy("_class").agg(F.sum("_n").alias("n")).collect()}
-    where = spark.sparkContext.broadcast(places(plan_patterns(counts, capacity // unit)))
+    full = cut.where(F.col("length") == capacity)
+    sized = cut.where(F.col("length") < capacity).withColumn("_class", F.ceil(F.col("length") / F.lit(unit)).cast("int"))
+    # at most capacity / unit rows
+    counts = {r["_class"]: r["n"] for r in sized.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).collect()}
+    salts = max(1, -(-max(counts.values(), default=0) // PART_ROWS))
+    sized = sized.withColumn("_salt", F.pmod(F.xxhash64("_piece"), F.lit(salts)).cast("int"))
+    # at most capacity / unit rows a salt: one row for PART_ROWS pieces
+    parts = materialise(sized.groupBy("_class", "_salt").agg(F.count(F.lit(1)).alias("_n")), "pack-classes")
+    plan = plan_patterns(counts, capacity // unit)
+    planned = sum(times for _, times in plan)
+    where = spark.sparkContext.broadcast(places(plan))
     before = Window.partitionBy("_class").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     base = parts.select("_class", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    rank = F.row_number().over(Window.partitionBy("_class", "_salt").orderBy("doc_id", "start", "ids_crc32"))
-    ranked = sized.withColumn("_rank", rank).join(F.broadcast(base), ["_class", "_salt"]).withColumn("_rank", F.col("_rank") - 1 + F.col("_base")).drop("_base", "_salt")
-    names = [f for f in ranked.columns if f not in ("_class", "_rank")]
+    rank = F.row_number().over(Window.partitionBy("_class", "_salt").orderBy("doc_id", "start", "ids_crc32", "_piece"))
+    ranked = sized.withColumn("_rank", rank).join(base, ["_class", "_salt"]).withColumn("_rank", F.col("_rank") - 1 + F.col("_base")).drop("_base", "_salt")
+    names = [f for f in ranked.columns if f not in ("_class", "_rank", "_piece")]
     schema = ", ".join([f"`{f}` {ranked.schema[f].dataType.simpleString()}" for f in names] + ["sequence_id long", "_slot long"])
 
     def locate(frames):
@@ -229,11 +244,14 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFram
 
     placed = ranked.mapInPandas(locate, schema)
     prior = Window.partitionBy("sequence_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(prior), F.lit(0)).cast("long")).drop("_slot")
+    packed = placed.withColumn("offset", F.coalesce(F.sum("length").over(prior), F.lit(0)).cast("long")).drop("_slot")
+    alone = full.select(*names, (F.col("_piece") + planned).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return packed.unionByName(alone)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, unit: int = UNIT) -> DataFrame:
-    return pack(materialise(pieces(docs, tokenizer_path, capacity), "pieces"), capacity, unit)
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece; sequence numbers may have gaps."""
+    return pack(materialise(pieces(docs, tokenizer_path, capacity).withColumn("_piece", F.monotonically_increasing_id()), "pieces"), capacity, unit)
 
 
 def default_tokenizer() -> str:
@@ -243,6 +261,7 @@ def default_tokenizer() -> str:
 
 
 def op8_column_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` cut and packed into sequences of at most 4096 ids."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = pack_documents(docs, default_tokenizer())
     return found.select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset")
