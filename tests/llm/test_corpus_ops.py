@@ -77,12 +77,24 @@ def test_language(spark, odd, none):
         assert (got[k].lang_pred, got[k].score) == ("und", 0.0)
     assert langid.train_model(none).predict("some words") == ("und", 0.0)
     assert langid.identify(none, model).count() == 0
-    # blocks count the same n-grams as the whole, but for the blanks at their ends
-    whole = np.bincount(langid.gram_indices(LONG), minlength=langid.WIDTH)
-    old, langid.BLOCK = langid.BLOCK, 1000
-    parts = langid.gram_counts(LONG)
-    langid.BLOCK = old
-    assert ((parts > 0) >= (whole > 0)).all()
+    # blocks count the same n-grams as the whole
+    for text in (LONG, "", "a", "é" * 1999, "x" * 1000):
+        whole = langid.gram_counts(text)
+        old, langid.BLOCK = langid.BLOCK, 1000
+        parts = langid.gram_counts(text)
+        langid.BLOCK = old
+        assert (parts == whole).all() and whole.sum() == 3 * (len(text) + 2) - 3
+
+
+def test_rare_languages_keep_their_rows(spark):
+    counts = {f"l{i}": 3000 for i in range(19)} | {"rare": 90}
+    take = langid.quotas(counts, 1600)
+    assert take["rare"] == 80 and sum(take.values()) == 1600
+    assert langid.quotas({"a": 5, "b": 3000}, 100) == {"a": 5, "b": 95}
+    docs = spark.range(5 * 3000 + 90).selectExpr("id AS doc_id", "'t' AS text", "IF(id < 90, 'rare', concat('l', cast(id % 5 AS string))) AS lang")
+    counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    got = {r["lang"]: r["count"] for r in langid._sample(docs, counts, 420).groupBy("lang").count().collect()}
+    assert got == langid.quotas(counts, 420) and got["rare"] == 70
 
 
 def test_temperature_lowers_loss():
@@ -111,12 +123,38 @@ def test_sharding(spark, odd, none):
     moved = [(a[2], b[2]) for a, b in zip(old, new) if a[2] != b[2]]
     assert moved and all(b == 4 for _, b in moved) and new[0][0] == 1
     path = scratch_path(spark, "map")
-    sharding.save_map(spark, old, path)
-    sharding.save_map(spark, new, path)
+    for rows in (old, new, old, new):  # a version stored again is not doubled
+        sharding.save_map(spark, rows, path)
     assert sharding.load_map(spark, path).select("version").distinct().collect()[0][0] == 1
     assert sharding.load_map(spark, path, 0).count() == 64
 
 
+def test_sharding_stores_loads_and_edits_its_map(spark):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "repeat('ab ', cast(id % 50 AS int)) AS text")
+    path = scratch_path(spark, "map")
+    first = {r.doc_id: r for r in sharding.shard_documents(docs, 8, 256, path).collect()}
+    again = {r.doc_id: r for r in sharding.shard_documents(docs, 8, 256, path).collect()}
+    assert again == first and spark.read.parquet(path).count() == 256  # nothing moved: no new version
+    # another number of shards edits the map: little more moves than the new shard holds
+    grown = {r.doc_id: r for r in sharding.shard_documents(docs, 9, 256, path).collect()}
+    moved = [k for k in first if grown[k].shard != first[k].shard]
+    size = np.bincount([r.shard for r in grown.values()], weights=[r.size for r in grown.values()])
+    assert 0.1 < len(moved) / 4000 < 0.2 and size.max() / size.min() < 1.1
+    assert spark.read.parquet(path).where("version = 1").count() == 256
+    assert all(grown[k].virtual_slot == first[k].virtual_slot for k in first)
+    # the map is what places the rows
+    other = [(2, s, (r + 1) % 9, b, n) for _, s, r, b, n in sharding.stored_map(spark, path)]
+    sharding.save_map(spark, other, path)
+    turned = {r.doc_id: r for r in sharding.assign(sharding.sized(docs, 256).withColumn("_row", F.monotonically_increasing_id()), sharding.load_map(spark, path)).collect()}
+    assert all(turned[k].shard == (grown[k].shard + 1) % 9 for k in grown)
+    # one record repeated very often: still a gapless place for each row
+    same = spark.range(5000).selectExpr("7 AS doc_id", "'same' AS text")
+    rows = sharding.shard_documents(same, 4, 16).collect()
+    assert len({r.shard for r in rows}) == 1 and sorted(r.slot for r in rows) == list(range(5000))
+    with pytest.raises(ValueError):
+        sharding.shard_documents(docs, 8, 128, path)
+
+
 def test_mixing(spark, odd, none):
     docs = spark.range(4000).selectExpr("id AS doc_id", "concat('s', cast(id % 4 AS string)) AS source", "repeat('w ', cast(1 + (id * 7) % 90 AS int)) AS text")
     rows = mixing.mix_documents(docs).collect()
@@ -133,11 +171,54 @@ def test_mixing(spark, odd, none):
     got = mixing.mix_documents(odd).collect()
     assert len(got) == 11 and all(r._size * r._copies <= 2 * r._size for r in got)
     assert mixing.mixed(none).count() == 0
-    clash = odd.withColumns({c: F.lit(1) for c in ("rate", "k", "start", "_size", "_rank", "mean", "target", "source_size")})
+    assert mixing.added(["_size", "__size", "a"]) == ["___size", "_source_size", "_target", "_copies"]
+    named = odd.withColumns({"_size": F.lit("kept"), "_rank": F.lit(5)})
+    assert {(r["_size"], r["_rank"]) for r in mixing.mixed(named).collect()} == {("kept", 5)}
+    clash = odd.withColumns({c: F.lit(1) for c in ("rate", "k", "start", "_rank", "mean", "target", "source_size")})
     again = mixing.mix_documents(clash)
     assert sorted(again.select("doc_id", "_size", "_copies").collect(), key=str) == sorted(mixing.mix_documents(odd).select("doc_id", "_size", "_copies").collect(), key=str)
 
 
+def brute_targets(sizes):
+    """Targets by the rule itself: fix what exceeds its cap, share the rest again, until none is above."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    budget, fixed = 1.5 * sum(sizes.values()), {}
+    while True:
+        free = [s for s in order if s not in fixed]
+        share = budget - sum(fixed.values())
+        got = {s: share * weight[s] / sum(weight[f] for f in free) for s in free}
+        over = [s for s in free if got[s] > 2 * sizes[s]]
+        if not over:
+            return fixed | got
+        fixed |= {s: 2.0 * sizes[s] for s in over}
+
+
+def test_targets_equal_the_rule(spark):
+    rng = np.random.default_rng(13)
+    for n in (1, 2, 3, 7, 20):
+        sizes = {(None if i == 0 else f"s{i}" if i % 2 else f"é{i}"): int(rng.integers(0, 10 ** rng.integers(1, 6))) for i in range(n)}
+        got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+        want = brute_targets(sizes)
+        assert got.keys() == want.keys() and all(abs(got[s] - want[s]) <= 1e-6 * max(1, want[s]) for s in want)
+
+
+def test_mix_has_the_tilted_rates(spark):
+    docs = spark.range(6000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'hot', concat('s', cast(id % 5 AS string))) AS source", "repeat('w ', cast(1 + (id * 7) % 90 AS int)) AS text")
+    rows = mixing.mix_documents(docs).toPandas()
+    for _, g in rows.groupby("source"):
+        mean, target, full = g["_size"].mean(), g["_target"].iloc[0], g["_target"].iloc[0] >= 2 * g["_source_size"].iloc[0]
+        lo, hi = -64.0, 64.0
+        for _ in range(200):  # bisection on the one multiplier
+            lam = (lo + hi) / 2
+            rate = np.minimum(2.0, np.exp(np.minimum(lam * g["_size"] / mean, 1.0)))
+            lo, hi = (lo, lam) if (rate * g["_size"]).sum() > target else (lam, hi)
+        rate = 2.0 if full else rate
+        assert abs((g["_size"] * g["_copies"]).sum() - target) <= 90
+        # copies are the floor or the ceiling of the rate
+        assert (np.abs(g["_copies"] - rate) < 1 + 1e-4).all()
+
+
 def test_longest_match():
     def greedy(word, vocab):
         n, at = 0, 0
@@ -181,6 +262,19 @@ def test_quality(spark, odd, none):
     assert quality.scored(none, model).count() == 0
 
 
+def test_quality_learns_from_labelled_documents_only(spark):
+    good = [(i, f"the {w} sat by the quiet river and looked at the moon") for i, w in enumerate("dog cat bird fish".split() * 12)]
+    bad = [(200 + i, f"{w}$$$ {w}### {w}%%% {w}$$$ {w}***") for i, w in enumerate("dog cat bird fish".split() * 12)]
+    docs = spark.createDataFrame(good + bad + good[:3], "doc_id long, text string")
+    labels = spark.range(1000, 30000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality").union(spark.createDataFrame([(i, 1) for i, _ in good] + [(i, 0) for i, _ in bad], "doc_id long, quality int"))
+    model = quality.train_model(docs, labels)
+    assert all((r._quality >= 0.3) == (r.doc_id < 200) for r in quality.scored(docs, model).collect())
+    one = quality.train_model(docs, labels.where("doc_id < 200 OR doc_id >= 1000"))
+    assert one.score("x") > 0.99  # of these documents all have label 1
+    at, v = quality.merged(np.array([5, 2, 5]), np.array([1.0, 2.0, 3.0]))
+    assert at.tolist() == [2, 5] and v.tolist() == [2.0, 4.0]
+
+
 def test_audio():
     rate, t = 8000, np.arange(8000 * 6) / 8000
     rng = np.random.default_rng(5)
@@ -365,6 +459,20 @@ def test_simhash(spark, odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_simhash_links_texts_not_ids(spark):
+    rng = np.random.default_rng(16)
+    words = [f"w{i}" for i in range(400)]
+    one, two = (" ".join(rng.choice(words, 300)) for _ in range(2))
+    near = one + " end"
+    assert bin(brute_fingerprint(one) ^ brute_fingerprint(near)).count("1") <= 3 < bin(brute_fingerprint(one) ^ brute_fingerprint(two)).count("1")
+    docs = spark.createDataFrame([(None, one), (None, two), (3, near), (4, one), (4, two)], "doc_id long, text string")
+    got = {(r.doc_id, int.from_bytes(r.fp, "big")): r.component_id for r in simhash.near_duplicates(docs).collect()}
+    a, b, c = (brute_fingerprint(t) for t in (one, two, near))
+    assert got == {(None, a): 3, (3, c): 3, (4, a): 3, (None, b): 4, (4, b): 4}
+    lone = spark.createDataFrame([(None, one), (None, one)], "doc_id long, text string")
+    assert [r.component_id for r in simhash.near_duplicates(lone).collect()] == [None, None]
+
+
 def test_pipeline_drops_only_similar_texts(spark):
     rng = np.random.default_rng(4)
     words = np.array([f"w{i}" for i in range(3000)])
@@ -428,6 +536,34 @@ def test_graph_search(spark):
     assert graph_ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_graph_ties_go_to_the_smaller_id(spark):
+    # distinct vectors of equal score to the queries: the first component decides, the rest differ
+    rows = [(0, [1.0] + [0.0] * 8)] + [(i, [1.0] + [float(i >> b & 1) for b in range(8)]) for i in range(1, 200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(graph_ann.nearest(df, F.col("vec_id") == 0, 20).collect(), key=lambda r: r["rank"])
+    assert [r.vec_id for r in got] == list(range(1, 21)) and {r.score for r in got} == {1.0}
+    old, graph_ann.SHARD_ROWS = graph_ann.SHARD_ROWS, 60
+    try:
+        got = sorted(graph_ann.nearest(df, F.col("vec_id") == 0, 20).collect(), key=lambda r: r["rank"])
+    finally:
+        graph_ann.SHARD_ROWS = old
+    assert [r.vec_id for r in got] == list(range(1, 21))
+
+
+def test_graph_keeps_doubles(spark):
+    rng = np.random.default_rng(18)
+    v = rng.normal(size=(120, 6)) * np.array([1.0, 1.0, 1.0, 1.0, 1.0, 1e-9])
+    df = lambda x: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    for x in (v, v * 1e140, np.vstack([v, [1e300, 0, 0, 0, 0, 0]])):
+        with np.errstate(over="ignore"):
+            score = x @ x.T
+        for q in (0, 20):
+            got = sorted((r for r in graph_ann.nearest(df(x), F.col("vec_id") % 20 == 0, 20).where(F.col("query_id") == q).collect()), key=lambda r: r["rank"])
+            assert len(got) == 20 and all(r.score == pytest.approx(score[q, r.vec_id], rel=1e-12) for r in got)
+            want = np.lexsort((np.arange(len(x)), -np.where(np.arange(len(x)) == q, -np.inf, score[q])))[:20]
+            assert [r.vec_id for r in got] == want.tolist()
+
+
 def test_fold(spark):
     got = spark.range(50).select("id", fold("id").alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in got)

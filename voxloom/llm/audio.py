@@ -392,6 +392,7 @@ def align(media: DataFrame, key: str, column: str, references: DataFrame) -> Dat
 
 
 def op6_chroma_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of the ``documents`` media column and where recordings of ``benchmark`` lie in it."""
     media = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet").withColumn("media", F.col("text").cast("binary"))
     references = fingerprints(media("benchmark"), "item_id", "media")
     return align(media("documents"), "doc_id", "media", references).withColumnRenamed("key", "doc_id")

@@ -165,6 +165,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
 
 def op4_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and greedy word pieces of every text of ``documents``."""
     import public_tokenizers
 
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
