@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.plans import joins, kernels, points, rings, surfaces, text
+from voxloom.plans import joins, kernels, points, poses, rings, surfaces, text
 
-MODULES = (points, joins, rings, text, kernels, surfaces)
+MODULES = (points, joins, rings, text, kernels, surfaces, poses)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,7 +1,8 @@
-"""Spatial and relational joins: small-side arrays, grid buckets, range joins, components."""
+"""Spatial and relational joins: trees of cells, grid buckets, range joins, components."""
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import product
 
@@ -12,37 +13,23 @@ from voxloom.functions import geometry as G
 from voxloom.session import stored
 
 
-def with_small_side(df: DataFrame, small: DataFrame, out: str, limit: int = 100_000) -> DataFrame:
-    """Adds ``out``: all rows of ``small`` as one array of structs, the same in each row.
-
-    Map-only afterwards. The size is counted first; a larger side is refused, because it
-    belongs in a bucketed join.
-    """
-    n = small.limit(limit + 1).count()
-    if n > limit:
-        raise ValueError(f"{n} rows or more are too many for an array in each row")
-    one = small.agg(F.sort_array(F.collect_list(F.struct(*small.columns))).alias(out))
-    return df.crossJoin(F.broadcast(one))
+#: Levels of the tree of cells at most, and levels between stored tables.
+MAX_DEPTH, CUT = 24, 6
 
 
 def squared(a: list[Column], b: list[Column]) -> Column:
     return reduce(lambda s, t: s + t, [(x - y) * (x - y) for x, y in zip(a, b, strict=True)])
 
 
-def nearest_of_few(df: DataFrame, dims: list[str], centres: DataFrame, key: str) -> DataFrame:
-    """Adds near_key and near_d2, the nearest centre and its squared distance; ties to the smaller key."""
-    both = with_small_side(df, centres.select(key, *dims), "_c")
-    best = F.array_min(F.transform("_c", lambda c: F.struct(squared([F.col(d) for d in dims], [c[d] for d in dims]).alias("d2"), c[key].alias("k"))))
-    return both.withColumn("_b", best).withColumn("near_key", F.col("_b.k")).withColumn("near_d2", F.col("_b.d2")).drop("_b", "_c")
-
-
-def within_or_nearest(df: DataFrame, dims: list[str], centres: DataFrame, key: str, radius: float) -> DataFrame:
-    """One row per (row, centre) where the centre is the nearest or lies within the radius."""
-    both = with_small_side(df, centres.select(key, *dims), "_c")
-    ranked = both.withColumn("_d", F.transform("_c", lambda c: F.struct(squared([F.col(d) for d in dims], [c[d] for d in dims]).alias("d2"), c[key].alias("k"))))
-    ranked = ranked.withColumn("_n", F.array_min("_d"))
-    kept = ranked.withColumn("_m", F.explode(F.filter("_d", lambda s: (s["d2"] <= radius * radius) | (s["k"] == F.col("_n.k")))))
-    return kept.withColumn("centre", F.col("_m.k")).withColumn("nearest", F.col("_m.k") == F.col("_n.k")).drop("_c", "_d", "_n", "_m")
+def near(df: DataFrame, key: list[str], dims: list[str], centres: DataFrame, centre: str, radius: float, size: float) -> DataFrame:
+    """(key, centre, nearest): each row with the nearest centre and with all within the radius. ``key`` names one position."""
+    own = nearest(df, key, centres, centre, dims, size).where("near IS NOT NULL").select(*key, F.col("near").alias("centre"), F.lit(True).alias("nearest"))
+    grid = [f"_k{i}" for i in range(len(dims))]
+    right = centres.select(F.col(centre).alias("centre"), *(F.col(d).alias(f"_b{d}") for d in dims), *(c.alias(k) for k, c in zip(grid, cells(dims, radius), strict=True)))
+    at = df.select(*key, *(d for d in dims if d not in key)).distinct()
+    hit = spread(at, dims, radius).join(right, grid).where(squared([F.col(d) for d in dims], [F.col(f"_b{d}") for d in dims]) <= radius * radius)
+    both = own.unionByName(hit.select(*key, "centre", F.lit(False).alias("nearest")))
+    return both.groupBy(*key, "centre").agg(F.max("nearest").alias("nearest"))
 
 
 def cells(dims: list[str], size: float) -> list[Column]:
@@ -71,26 +58,51 @@ def beyond_radius(df: DataFrame, others: DataFrame, dims: list[str], radius: flo
     return df.join(hit.select(*df.columns).distinct(), df.columns, "left_anti")
 
 
-def nearest(df: DataFrame, key: str, refs: DataFrame, ref_key: str, dims: list[str], size: float, rounds: int = 24) -> DataFrame:
-    """(key, near, d2): exact nearest reference of each row, ties to the smaller key.
+def nearest(df: DataFrame, key: str | list[str], refs: DataFrame, ref_key: str, dims: list[str], size: float) -> DataFrame:
+    """(key, near, d2): exact nearest reference of each row, ties to the smaller key; both null without one.
 
-    Rows look into their cell and its neighbours; an answer within one cell's width is
-    final. The rest try again with cells twice as wide.
+    Branch and bound down a tree of cells, from one cell over all references to cells of
+    about ``size``. A level joins each row's cells with their occupied parts and keeps the
+    parts that may hold the nearest: no further than the least distance within which some
+    part surely holds a reference. Only the references of the last cells meet a row, and
+    those at one place count once, so far rows and crowded cells cost no more than others.
+    Rows with a null coordinate have no nearest; equal keys are taken as one row.
     """
-    done, open_ = None, df.select(key, *dims)
-    if refs.limit(1).count() == 0:
-        return df.select(key, F.lit(None).cast(refs.schema[ref_key].dataType).alias("near"), F.lit(None).cast("double").alias("d2"))
-    for k in range(rounds):
-        if open_.limit(1).count() == 0:
-            break
-        width = size * 2**k
-        right = refs.select(F.col(ref_key).alias("near"), *(F.col(d).alias(f"_b{d}") for d in dims), *(c.alias(f"_k{i}") for i, c in enumerate(cells(dims, width))))
-        hit = spread(open_, dims, width).join(right, [f"_k{i}" for i in range(len(dims))])
-        best = hit.groupBy(key).agg(F.min(F.struct(squared([F.col(d) for d in dims], [F.col(f"_b{d}") for d in dims]).alias("d2"), "near")).alias("m")).select(key, "m.near", "m.d2")
-        sure = best.where(F.col("d2") <= width * width)
-        done = sure if done is None else done.unionByName(sure)
-        open_ = stored(open_.join(sure.select(key), key, "left_anti"))
-    return done
+    key = [key] if isinstance(key, str) else key
+    known = reduce(lambda a, c: a & c, [F.col(d).isNotNull() for d in dims])
+    kind = refs.schema[ref_key].dataType
+    none = [F.lit(None).cast(kind).alias("near"), F.lit(None).cast("double").alias("d2")]
+    e = refs.where(known).agg(*(f(F.col(d).cast("double")).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    if e[0] is None:
+        return df.select(*key, *none)
+    width = max(e[f"hi_{d}"] - e[f"lo_{d}"] for d in dims)
+    depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(width / size)))) if width > 0 else 0
+    at = [F.least(F.floor((F.col(d) - e[f"lo_{d}"]) / (width / 2**depth)), F.lit(2**depth - 1)) if width > 0 else F.lit(0) for d in dims]
+    grid = [f"_k{i}" for i in range(len(dims))]
+    places = refs.where(known).groupBy(*(F.col(d).cast("double").alias(f"_b{d}") for d in dims)).agg(F.min(ref_key).alias("near"))
+    places = stored(places.withColumnsRenamed({f"_b{d}": d for d in dims}).withColumns({k: c.cast("long") for k, c in zip(grid, at, strict=True)}), "places")
+    low, high = [f"_l{d}" for d in dims], [f"_h{d}" for d in dims]
+    leaves = stored(places.groupBy(*grid).agg(*(F.min(d).alias(c) for d, c in zip(dims, low, strict=True)), *(F.max(d).alias(c) for d, c in zip(dims, high, strict=True))), "cells")
+    open_ = df.where(known).select(*key, *(d for d in dims if d not in key)).dropDuplicates(key).withColumns({k: F.lit(0).cast("long") for k in grid})
+    rows = [*key, *(d for d in dims if d not in key)]
+    for level in range(1, depth + 1):
+        shift = depth - level
+        parts = leaves.groupBy(*(F.shiftright(k, shift).alias(k) for k in grid)).agg(*(F.min(c).alias(c) for c in low), *(F.max(c).alias(c) for c in high))
+        parts = parts.select(*(F.col(k).alias(f"_p{k}") for k in grid), *(F.shiftright(k, 1).alias(k) for k in grid), *low, *high)
+        met = open_.join(parts, grid)
+        off = [F.greatest(F.col(a) - F.col(d), F.col(d) - F.col(b), F.lit(0.0)) for d, a, b in zip(dims, low, high, strict=True)]
+        far = [F.greatest(F.abs(F.col(a) - F.col(d)), F.abs(F.col(b) - F.col(d))) for d, a, b in zip(dims, low, high, strict=True)]
+        part = F.struct(F.aggregate(F.array(*(v * v for v in off)), F.lit(0.0), lambda s, v: s + v).alias("least"), *(F.col(f"_p{k}").alias(k) for k in grid))
+        most = F.aggregate(F.array(*(v * v for v in far)), F.lit(0.0), lambda s, v: s + v)
+        seen = met.groupBy(*rows).agg(F.min(most).alias("_most"), F.collect_list(part).alias("_parts"))
+        kept = F.filter("_parts", lambda p: p["least"] <= F.col("_most") * (1 + 1e-9))
+        open_ = seen.select(*rows, F.explode(kept).alias("_c")).select(*rows, *(F.col(f"_c.{k}").alias(k) for k in grid))
+        if level % CUT == 0:
+            open_ = stored(open_, "open")
+    right = places.select("near", *(F.col(d).alias(f"_b{d}") for d in dims), *grid)
+    d2 = squared([F.col(d) for d in dims], [F.col(f"_b{d}") for d in dims])
+    best = open_.join(right, grid).groupBy(*key).agg(F.min(F.struct(d2.alias("d2"), "near")).alias("_m")).select(*key, "_m.near", "_m.d2")
+    return best.unionByName(df.where(~known).select(*key, *none))
 
 
 def tile_grid(df: DataFrame, x: str, y: str, size: float, overlap: float) -> DataFrame:
@@ -111,11 +123,11 @@ def tile_members(df: DataFrame, x: str, y: str, x0: float, y0: float, size: floa
     return both.where(inside(x, x0, "tx") & inside(y, y0, "ty")).withColumn("owner", own(x, x0, "tx") & own(y, y0, "ty"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) by spreading the least label, with a stored table per round."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) by spreading the least label, with a stored table per round, until a round moves nothing."""
     both = stored(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
     label = stored(both.select(F.col("u").alias("node")).distinct().withColumn("component", F.col("node")))
-    for _ in range(rounds):
+    while True:
         heard = both.join(label, both["v"] == label["node"]).groupBy("u").agg(F.min("component").alias("m"))
         step = label.join(heard, label["node"] == heard["u"], "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
         # hop over the label's own label
@@ -124,8 +136,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         moved = nxt.join(label.withColumnRenamed("component", "was"), "node").where("component <> was").limit(1).count()
         label = nxt
         if not moved:
-            break
-    return label
+            return label
 
 
 def closest_approach(p: list[str], d: list[str], q: list[str], e: list[str]) -> dict[str, Column]:
@@ -144,8 +155,3 @@ def mutual_nearest(pairs: DataFrame, a: str, b: str, distance: str) -> DataFrame
     near_b = pairs.groupBy(a).agg(F.min(F.struct(distance, b)).alias("_m")).select(a, F.col(f"_m.{b}").alias(b), F.col(f"_m.{distance}").alias(distance))
     near_a = pairs.groupBy(b).agg(F.min(F.struct(distance, a)).alias("_m")).select(b, F.col(f"_m.{a}").alias(a))
     return near_b.join(near_a, [a, b])
-
-
-def rank_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The struct-min row of each key: one partial aggregate instead of a sort."""
-    return df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_m")).select(*keys, "_m.*")

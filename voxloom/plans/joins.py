@@ -6,12 +6,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voxloom.functions import geometry as G
+from voxloom.operators import arcs as A
 from voxloom.operators import joins as J
 from voxloom.operators import points as P
 from voxloom.plans.points import CLOUD, cloud
 from voxloom.session import table
 
 VEC = "v AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)"
+ARCS = """arcs AS (SELECT id, pano, grp, sx, sy, sz, ex, ey, ez, nx / k AS nx, ny / k AS ny, nz / k AS nz FROM (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS k FROM (SELECT *, sy * ez - sz * ey AS nx, sz * ex - sx * ez AS ny, sx * ey - sy * ex AS nz FROM
+ (SELECT vec_id AS id, label % 4 AS pano, vec_id % 3 AS grp, px / a AS sx, py / a AS sy, pz / a AS sz, qx / b AS ex, qy / b AS ey, qz / b AS ez FROM (SELECT *, greatest(sqrt(px * px + py * py + pz * pz), 1e-10) AS a, greatest(sqrt(qx * qx + qy * qy + qz * qz), 1e-10) AS b FROM
+ (SELECT vec_id, label, embedding[1]::DOUBLE AS px, embedding[2]::DOUBLE AS py, embedding[3]::DOUBLE AS pz, embedding[4]::DOUBLE AS qx, embedding[5]::DOUBLE AS qy, embedding[6]::DOUBLE AS qz FROM embeddings))))) WHERE k > 1e-6)"""
 CENTRES = "cen AS (SELECT s_suppkey AS k, s_suppkey % 50 + 0.5::DOUBLE AS x, (s_suppkey * 7) % 100 + 0.5::DOUBLE AS z FROM supplier)"
 SEG = """seg AS (SELECT s_suppkey AS id, s_suppkey % 3 AS grp, (s_suppkey % 7)::DOUBLE AS px, (s_suppkey % 5)::DOUBLE AS py, (s_suppkey % 4)::DOUBLE AS pz,
  CASE WHEN s_suppkey % 3 = 0 THEN 1.0::DOUBLE ELSE 0.05 END AS dx, CASE WHEN s_suppkey % 3 = 1 THEN 1.0::DOUBLE ELSE 0.05 END AS dy, CASE WHEN s_suppkey % 3 = 2 THEN 1.0::DOUBLE ELSE 0.05 END AS dz FROM supplier)"""
@@ -33,14 +37,21 @@ def segments(spark, sf):
     )
 
 
+def places(spark, sf):
+    """Places of the points with their numbers of points: equal points need one search."""
+    return cloud(spark, sf).groupBy("x", "z").agg(F.count(F.lit(1)).alias("n"))
+
+
 def q_nearest_centre(spark, sf):
-    near = J.nearest_of_few(cloud(spark, sf).select("pid", "x", "z"), ["x", "z"], centres(spark, sf), "k")
-    return near.groupBy("near_key").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("near_d2"), 6).alias("far"))
+    at = places(spark, sf)
+    near = J.nearest(at, ["x", "z"], centres(spark, sf), "k", ["x", "z"], 2.0).join(at, ["x", "z"])
+    return near.groupBy(F.col("near").alias("near_key")).agg(F.sum("n").alias("n"), F.round(F.max("d2"), 6).alias("far"))
 
 
 def q_local_membership(spark, sf):
-    m = J.within_or_nearest(cloud(spark, sf).select("pid", "x", "z"), ["x", "z"], centres(spark, sf), "k", 2.0)
-    return m.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("nearest").cast("int")).alias("own"))
+    at = places(spark, sf)
+    m = J.near(at, ["x", "z"], ["x", "z"], centres(spark, sf), "k", 2.0, 2.0).join(at, ["x", "z"])
+    return m.groupBy("centre").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("nearest"), F.col("n")).otherwise(0)).alias("own"))
 
 
 def q_tile_grid(spark, sf):
@@ -102,41 +113,39 @@ def q_line_intersections(spark, sf):
     return hit.select("id", "o_id", "grp", *(F.round(F.col("p" + c) + F.col("s") * F.col("d" + c), 6).alias(c) for c in "xyz"), F.round("gap", 6).alias("gap"))
 
 
-def q_arc_intersections(spark, sf):
-    n = vectors(spark, sf).withColumn("grp", F.col("vec_id") % 3)
-    o = n.select(*(F.col(c).alias("o_" + c) for c in n.columns))
-    pairs = n.join(o, (F.col("grp") + 1) % 3 == F.col("o_grp"))
-    c = G.cross(("x", "y", "z"), ("o_x", "o_y", "o_z"))
-    pairs = pairs.withColumns({f"c{i}": v for i, v in zip("xyz", c, strict=True)}).withColumn("len", G.norm(("cx", "cy", "cz"))).where("len > 1e-6")
-    both = pairs.withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1))))
-    return both.select("vec_id", "o_vec_id", "sign", *(F.round(F.col("sign") * F.col("c" + i) / F.col("len"), 6).alias(i) for i in "xyz"))
+def arcs(spark, sf):
+    """Great-circle arcs (id, pano, grp, s, e, n) of two directions of each embedding, for those that are not parallel."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", *(F.element_at("embedding", i + 1).cast("double").alias(f"{p}{c}") for p, o in (("p", 0), ("q", 3)) for i, c in enumerate("xyz", o)))
+    s, t = G.unit(("px", "py", "pz")), G.unit(("qx", "qy", "qz"))
+    u = e.select(F.col("vec_id").alias("id"), (F.col("label") % 4).alias("pano"), (F.col("vec_id") % 3).alias("grp"), *(v.alias(f"s{c}") for v, c in zip(s, "xyz", strict=True)), *(v.alias(f"e{c}") for v, c in zip(t, "xyz", strict=True)))
+    n = G.cross(("sx", "sy", "sz"), ("ex", "ey", "ez"))
+    u = u.withColumns({f"n{c}": v for v, c in zip(n, "xyz", strict=True)}).withColumn("len", G.norm(("nx", "ny", "nz"))).where("len > 1e-6")
+    return u.select("id", "pano", "grp", *(p + c for p in "se" for c in "xyz"), *((F.col(f"n{c}") / F.col("len")).alias(f"n{c}") for c in "xyz"))
 
 
 def q_arc_distance(spark, sf):
-    v = vectors(spark, sf)
-    ux, uy, uz = G.unit(("x", "y", "z"))
-    u = v.select("vec_id", ux.alias("x"), uy.alias("y"), uz.alias("z"))
-    arcs = u.select((F.col("vec_id") % 4).alias("grp"), F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("z").alias("nz"))
-    d = F.asin(F.least(F.abs(G.dot(("x", "y", "z"), ("nx", "ny", "nz"))), F.lit(1.0)))
-    near = u.crossJoin(F.broadcast(arcs)).groupBy("vec_id", "grp").agg(F.min(d).alias("d"))
-    every = u.select("vec_id").crossJoin(spark.range(5).select(F.col("id").alias("grp")))
-    return every.join(near, ["vec_id", "grp"], "left").select("vec_id", "grp", F.round(F.coalesce("d", F.lit(G.PI)), 6).alias("d"))
+    """Queries are the points of a sphere, a fixed number; arcs are the data. Group 3 has none and so counts as pi away."""
+    near = A.arc_distance(A.sphere(spark, 3), arcs(spark, sf), ["grp"])
+    every = A.sphere(spark, 3).select("q").crossJoin(spark.range(4).select(F.col("id").alias("grp")))
+    return every.join(near, ["q", "grp"], "left").select("q", "grp", F.round(F.coalesce("d", F.lit(G.PI)), 6).alias("d"))
 
 
 def q_cost_matrix(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("ch", "d"))
-    t, r = e.where("label % 2 = 0"), e.where("label % 2 = 1")
-    both = t.select(F.col("vec_id").alias("t"), "ch", F.col("d").alias("a")).join(r.select(F.col("vec_id").alias("r"), "ch", F.col("d").alias("b")), "ch")
-    return both.groupBy("t", "r").agg((-F.count_if(F.abs(F.col("a").cast("double") - F.col("b").cast("double")) < 0.1)).alias("cost"))
+    """The matrix itself is the result: one row for every pair of a translation and a rotation."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    block = F.lit(16)
+    t = e.where("label % 2 = 0").select(F.col("vec_id").alias("t"), F.col("embedding").alias("a"), F.pmod(F.hash("vec_id"), block).alias("block"))
+    r = e.where("label % 2 = 1").select(F.col("vec_id").alias("r"), F.col("embedding").alias("b"), F.explode(F.sequence(F.lit(0), block - 1)).alias("block"))
+    near = F.aggregate(F.zip_with("a", "b", lambda x, y: F.when(F.abs(x.cast("double") - y.cast("double")) < 0.1, 1).otherwise(0)), F.lit(0), lambda s, v: s + v)
+    return t.join(r, "block").select("t", "r", (-near).cast("long").alias("cost"))
 
 
 def q_mutual_nearest(spark, sf):
     v = vectors(spark, sf)
-    a = v.where("label % 2 = 0").select(F.col("vec_id").alias("a"), *(F.col(c).alias("a" + c) for c in "xyz"))
-    b = v.where("label % 2 = 1").select(F.col("vec_id").alias("b"), *(F.col(c).alias("b" + c) for c in "xyz"))
-    d = J.squared([F.col("a" + c) for c in "xyz"], [F.col("b" + c) for c in "xyz"])
-    pairs = a.crossJoin(F.broadcast(b)).select("a", "b", d.alias("d"))
-    return J.mutual_nearest(pairs, "a", "b", "d").select("a", "b", F.round("d", 8).alias("d"))
+    a, b = (v.where(f"label % 2 = {k}").select("vec_id", *"xyz") for k in (0, 1))
+    to_b = J.nearest(a, "vec_id", b, "vec_id", list("xyz"), 0.05).select(F.col("vec_id").alias("a"), F.col("near").alias("b"), "d2")
+    to_a = J.nearest(b, "vec_id", a, "vec_id", list("xyz"), 0.05).select(F.col("vec_id").alias("b"), F.col("near").alias("a"))
+    return to_b.join(to_a, ["a", "b"]).select("a", "b", F.round("d2", 8).alias("d"))
 
 
 def q_merge_offsets(spark, sf):
@@ -157,7 +166,8 @@ def q_aspect_match(spark, sf):
     b = p.where("p_size > 25").select("p_brand", F.col("p_partkey").alias("b"), (F.col("p_retailprice") / F.col("p_size")).alias("rb"))
     pairs = a.join(b, "p_brand").select("a", "b", F.abs(F.col("ra") - F.col("rb")).alias("d"))
     r = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
-    two = pairs.withColumn("k", r).where("k <= 2").groupBy("a").agg(F.min_by("b", "k").alias("b"), F.min("d").alias("d"), F.max("d").alias("second"))
+    # a room with one candidate is matched, but has no runner-up to compare with
+    two = pairs.withColumn("k", r).where("k <= 2").groupBy("a").agg(F.min_by("b", "k").alias("b"), F.min("d").alias("d"), F.max(F.when(F.col("k") == 2, F.col("d"))).alias("second"))
     return two.select("a", "b", F.round("d", 6).alias("d"), F.round(F.try_divide("second", "d"), 4).alias("contrast"))
 
 
@@ -227,18 +237,16 @@ SQL = {
  s AS (SELECT *, (b * g - c * f) / (a * c - b * b) AS s, (a * g - b * f) / (a * c - b * b) AS t FROM k),
  h AS (SELECT *, sqrt(pow(wx + s * dx - t * ex, 2) + pow(wy + s * dy - t * ey, 2) + pow(wz + s * dz - t * ez, 2)) AS gap FROM s)
  SELECT id, o_id, grp, round(px + s * dx, 6) AS x, round(py + s * dy, 6) AS y, round(pz + s * dz, 6) AS z, round(gap, 6) AS gap FROM h WHERE s BETWEEN -0.2 AND 4.2 AND t BETWEEN -0.2 AND 4.2 AND gap < 0.2""",
-    "arc_intersections": f"""WITH {VEC}, n AS (SELECT *, vec_id % 3 AS grp FROM v), p AS (SELECT a.vec_id, b.vec_id AS o_vec_id, a.y * b.z - a.z * b.y AS cx, a.z * b.x - a.x * b.z AS cy, a.x * b.y - a.y * b.x AS cz FROM n a JOIN n b ON (a.grp + 1) % 3 = b.grp),
- l AS (SELECT *, sqrt(cx * cx + cy * cy + cz * cz) AS len FROM p) SELECT vec_id, o_vec_id, s AS sign, round(s * cx / len, 6) AS x, round(s * cy / len, 6) AS y, round(s * cz / len, 6) AS z FROM l, (VALUES (1), (-1)) t(s) WHERE len > 1e-6""",
-    "arc_distance": f"""WITH {VEC}, u AS (SELECT vec_id, x / k AS x, y / k AS y, z / k AS z FROM (SELECT *, greatest(sqrt(x * x + y * y + z * z), 1e-10) AS k FROM v)),
- d AS (SELECT q.vec_id, a.vec_id % 4 AS grp, min(asin(least(abs(q.x * a.x + q.y * a.y + q.z * a.z), 1.0))) AS d FROM u q, u a GROUP BY 1, 2)
- SELECT u.vec_id, g AS grp, round(coalesce(d, pi()), 6) AS d FROM u CROSS JOIN range(5) t(g) LEFT JOIN d ON d.vec_id = u.vec_id AND d.grp = g""",
+    "arc_distance": f"""WITH {ARCS}, {A.sphere_sql(3)}, k AS (SELECT q, grp, s.x * sx + s.y * sy + s.z * sz AS cs, s.x * ex + s.y * ey + s.z * ez AS ce, s.x * nx + s.y * ny + s.z * nz AS cn, sx * ex + sy * ey + sz * ez AS se FROM sphere s, arcs),
+ d AS (SELECT q, grp, min(CASE WHEN cs - se * ce >= 0 AND ce - se * cs >= 0 THEN asin(least(abs(cn), 1.0)) ELSE acos(least(greatest(greatest(cs, ce), -1.0), 1.0)) END) AS d FROM k GROUP BY q, grp)
+ SELECT sphere.q, g AS grp, round(coalesce(d, pi()), 6) AS d FROM sphere CROSS JOIN range(4) t(g) LEFT JOIN d ON d.q = sphere.q AND d.grp = g""",
     "cost_matrix": "WITH e AS (SELECT vec_id, label, i AS ch, embedding[i + 1]::DOUBLE AS d FROM embeddings, range(64) t(i)) SELECT t.vec_id AS t, r.vec_id AS r, -count(*) FILTER (abs(t.d - r.d) < 0.1) AS cost FROM e t JOIN e r USING (ch) WHERE t.label % 2 = 0 AND r.label % 2 = 1 GROUP BY 1, 2",
     "mutual_nearest": f"""WITH {VEC}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d FROM v a, v b WHERE a.label % 2 = 0 AND b.label % 2 = 1),
  r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS ra, row_number() OVER (PARTITION BY b ORDER BY d, a) AS rb FROM p) SELECT a, b, round(d, 8) AS d FROM r WHERE ra = 1 AND rb = 1""",
     "merge_offsets": "WITH n AS (SELECT CAST(o_custkey % 16 AS INT) AS tile, count(*) AS n_vertices FROM orders GROUP BY 1) SELECT tile, n_vertices, CAST(coalesce(sum(n_vertices) OVER (ORDER BY tile ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM n",
     "name_lookup": "SELECT coalesce(n_name, '(skipped)') AS name, count(*) AS n FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey + CASE WHEN c_custkey % 10 = 0 THEN 100 ELSE 0 END GROUP BY 1",
     "aspect_match": """WITH p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, abs(a.p_retailprice / a.p_size - b.p_retailprice / b.p_size) AS d FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size <= 25 AND b.p_size > 25),
- r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM p) SELECT x.a, x.b, round(x.d, 6) AS d, round(CASE WHEN x.d = 0 THEN NULL ELSE y.d / x.d END, 4) AS contrast FROM r x JOIN r y ON x.a = y.a AND x.k = 1 AND y.k = 2""",
+ r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM p) SELECT x.a, x.b, round(x.d, 6) AS d, round(CASE WHEN x.d = 0 THEN NULL ELSE y.d / x.d END, 4) AS contrast FROM r x LEFT JOIN r y ON x.a = y.a AND y.k = 2 WHERE x.k = 1""",
     "boundary_distance": f"""WITH {CLOUD}, p AS (SELECT pid, min(x) AS x, min(z) AS y FROM pts GROUP BY pid), r AS (SELECT * FROM (VALUES (5.0::DOUBLE, 10.0::DOUBLE, 45.0::DOUBLE, 10.0::DOUBLE), (45, 10, 45, 80), (45, 80, 5, 60), (5, 60, 5, 10)) t(ax, ay, bx, b_y)),
  k AS (SELECT *, least(greatest(((x - ax) * (bx - ax) + (y - ay) * (b_y - ay)) / ((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)), 0), 1) AS t, (ay > y) <> (b_y > y) AND x < (bx - ax) * (y - ay) / (b_y - ay) + ax AS hit FROM p, r)
  SELECT pid, round(min(sqrt(pow(ax + t * (bx - ax) - x, 2) + pow(ay + t * (b_y - ay) - y, 2))), 6) AS d, count(*) FILTER (hit) % 2 = 1 AS inside FROM k GROUP BY pid""",

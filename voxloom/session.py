@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,9 +32,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder that spark.checkpoint.dir names; a local one is set only where none is."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/voxloom-checkpoints")
-    return df.checkpoint()
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A fresh path in the folder that spark.checkpoint.dir names; a local one only where none is set and the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/voxloom-tables"
+    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, kind: str = "round") -> DataFrame:
+    """``df`` written once to the shared folder and read back: cuts the lineage, keeps sizes for the planner."""
+    path = shared_folder(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
