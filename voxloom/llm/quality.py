@@ -43,7 +43,7 @@ EPOCHS = 5
 THRESHOLD = 0.3
 TOKEN = re.compile(r"[^\W\d_]+|\d|[^\w\s]|_")
 #: Words kept in a worker's hash cache.
-CACHE = 150_000
+CACHE = 100_000
 
 
 

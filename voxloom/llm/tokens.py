@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words in a generation of a worker's cache; two generations are kept, about 200 bytes a word.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: Bytes of text whose words are numbered at once.
 RUN_BYTES = 8_000_000
 #: Letters, marks and digits whose pieces are known without the library's pattern.
