@@ -53,66 +53,82 @@ def rotation_candidates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-def _area(p: np.ndarray) -> float:
-    return 0.0 if len(p) < 3 else 0.5 * abs(float(np.dot(p[:, 0], np.roll(p[:, 1], -1)) - np.dot(p[:, 1], np.roll(p[:, 0], -1))))
+def overlap_areas(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Areas of the intersections of k pairs of simple polygons (k x n x 2 and k x m x 2), convex or not.
 
+    Between neighbouring event heights (vertices and crossings) the common width is linear
+    in y, so its value in the middle times the height is exact. All pairs and heights are
+    one array program; short rings are padded by repeating their last vertex.
+    """
+    if not len(p):
+        return np.zeros(0)
+    a, b = p[:, :, None, :], np.roll(p, -1, axis=1)[:, :, None, :]
+    c, d = q[:, None, :, :], np.roll(q, -1, axis=1)[:, None, :, :]
+    r, s, w = b - a, d - c, c - a
+    den = r[..., 0] * s[..., 1] - r[..., 1] * s[..., 0]
+    ok = np.abs(den) > 1e-12
+    den = np.where(ok, den, 1)
+    t, u = (w[..., 0] * s[..., 1] - w[..., 1] * s[..., 0]) / den, (w[..., 0] * r[..., 1] - w[..., 1] * r[..., 0]) / den
+    ok &= (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+    y = np.where(ok, a[..., 1] + t * r[..., 1], a[..., 1])
+    ys = np.sort(np.concatenate([p[:, :, 1], q[:, :, 1], y.reshape(len(p), -1)], axis=1), axis=1)
+    mid, height = (ys[:, 1:] + ys[:, :-1]) / 2, np.diff(ys, axis=1)
+
+    def crossings(ring):
+        one, two = ring[:, None, :, :], np.roll(ring, -1, axis=1)[:, None, :, :]
+        at = mid[:, :, None]
+        on = (one[..., 1] > at) != (two[..., 1] > at)
+        rise = np.where(on, two[..., 1] - one[..., 1], 1)
+        return np.where(on, one[..., 0] + (at - one[..., 1]) * (two[..., 0] - one[..., 0]) / rise, np.inf)
+
+    x = np.concatenate([crossings(p), crossings(q)], axis=2)
+    first = np.arange(x.shape[2]) < p.shape[1]
+    order = np.argsort(x, axis=2, kind="stable")
+    x, first = np.take_along_axis(x, order, axis=2), first[order]
+    there = np.isfinite(x)
+    both = (np.cumsum(first & there, axis=2) % 2 == 1) & (np.cumsum(~first & there, axis=2) % 2 == 1)
+    gap = np.where(both[:, :, :-1] & there[:, :, 1:], x[:, :, 1:] - np.where(there, x, 0)[:, :, :-1], 0)
+    return (gap.sum(axis=2) * height).sum(axis=1)
 
-def spans(ring: np.ndarray, y: float) -> list[tuple[float, float]]:
-    """Inside intervals of a simple polygon on the line at height y."""
-    a, b = ring, np.roll(ring, -1, axis=0)
-    on = (a[:, 1] > y) != (b[:, 1] > y)
-    x = np.sort(a[on, 0] + (y - a[on, 1]) * (b[on, 0] - a[on, 0]) / (b[on, 1] - a[on, 1]))
-    return list(zip(x[::2], x[1::2], strict=False))
 
+def overlap_area(p: np.ndarray, q: np.ndarray) -> float:
+    """The same of one pair; rings of fewer than three vertices have no area."""
+    return 0.0 if len(p) < 3 or len(q) < 3 else float(overlap_areas(p[None], q[None])[0])
 
-def _crossings(p: np.ndarray, q: np.ndarray) -> list[float]:
-    """Heights at which edges of two rings cross."""
-    out = []
-    for a, b in zip(p, np.roll(p, -1, axis=0), strict=True):
-        c, d = q, np.roll(q, -1, axis=0)
-        r, s = b - a, d - c
-        den = r[0] * s[:, 1] - r[1] * s[:, 0]
-        ok = np.abs(den) > 1e-12
-        w = c - a
-        t = np.where(ok, (w[:, 0] * s[:, 1] - w[:, 1] * s[:, 0]) / np.where(ok, den, 1), -1)
-        u = np.where(ok, (w[:, 0] * r[1] - w[:, 1] * r[0]) / np.where(ok, den, 1), -1)
-        hit = ok & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-        out += (a[1] + t[hit] * r[1]).tolist()
-    return out
 
+def areas(p: np.ndarray) -> np.ndarray:
+    """Areas of k rings (k x n x 2)."""
+    n = np.roll(p, -1, axis=1)
+    return 0.5 * np.abs((p[..., 0] * n[..., 1] - n[..., 0] * p[..., 1]).sum(axis=1))
 
-def overlap_area(p: np.ndarray, q: np.ndarray) -> float:
-    """Area of the intersection of two simple polygons, convex or not.
 
-    Between neighbouring event heights (vertices and crossings) the common width is linear
-    in y, so its value in the middle times the height is exact.
-    """
-    if len(p) < 3 or len(q) < 3:
-        return 0.0
-    ys = np.unique(np.r_[p[:, 1], q[:, 1], _crossings(p, q)])
-    total = 0.0
-    for lo, hi in zip(ys[:-1], ys[1:], strict=True):
-        mid = (lo + hi) / 2
-        width = sum(max(0.0, min(b, d) - max(a, c)) for a, b in spans(p, mid) for c, d in spans(q, mid))
-        total += width * (hi - lo)
-    return total
-
-
-def fit_scores(p: np.ndarray, q: np.ndarray) -> tuple[float, float, float]:
-    """(intersection over union, share of p inside q, intersection area)."""
-    inter, a, b = overlap_area(p, q), _area(p), _area(q)
+def padded(rings: list) -> np.ndarray:
+    """Rings of (x, y) structs as one array; empty ones become a point."""
+    made = [np.array([(v["x"], v["y"]) for v in r], dtype=float).reshape(-1, 2) for r in rings]
+    width = max([3, *(len(r) for r in made)])
+    return np.array([np.vstack([r, np.repeat(r[-1:] if len(r) else np.zeros((1, 2)), width - len(r), axis=0)]) for r in made])
+
+
+def fit_scores(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(intersection over union, share of p inside q, intersection area) of k pairs of rings."""
+    inter, a, b = overlap_areas(p, q), areas(p), areas(q)
     union = a + b - inter
-    return (inter / union if union > 0 else 0.0, inter / a if a > 0 else 0.0, inter)
+    return np.where(union > 1e-12, inter / np.where(union > 1e-12, union, 1), 0), np.where(a > 1e-12, inter / np.where(a > 1e-12, a, 1), 0), inter
+
+
+#: Pairs of rings measured at once.
+PAIRS = 2000
 
 
 def polygon_overlap(pairs: DataFrame) -> DataFrame:
     """(id, p, q: arrays of (x, y) structs) to (id, iou, inside, overlap)."""
 
     def run(frames):
-        ring = lambda r: np.array([(v["x"], v["y"]) for v in r], dtype=float).reshape(-1, 2)
         for frame in frames:
-            rows = [fit_scores(ring(p), ring(q)) for p, q in zip(frame["p"], frame["q"], strict=True)]
-            yield pd.DataFrame({"id": frame["id"], "iou": [r[0] for r in rows], "inside": [r[1] for r in rows], "overlap": [r[2] for r in rows]})
+            for at in range(0, len(frame), PAIRS):
+                part = frame.iloc[at : at + PAIRS]
+                iou, inside, overlap = fit_scores(padded(part["p"]), padded(part["q"]))
+                yield pd.DataFrame({"id": part["id"], "iou": iou, "inside": inside, "overlap": overlap})
 
     return pairs.select("id", "p", "q").mapInPandas(run, "id long, iou double, inside double, overlap double")
 
