@@ -35,7 +35,7 @@ def test_overlap_not_convex():
     ell = np.array([(0, 0), (4, 0), (4, 1), (1, 1), (1, 4), (0, 4)], dtype=float)
     assert abs(kernels.overlap_area(ell, square(0, 0, 2, 2)) - 3) < 1e-9
     assert kernels.overlap_area(ell, square(2, 2, 1, 1)) == 0
-    assert abs(kernels._area(kernels.clip_convex(square(-2, -2, 9, 9), (0, 0, 3, 2))) - 6) < 1e-9
+    assert abs(kernels.areas(kernels.clip_convex(square(-2, -2, 9, 9), (0, 0, 3, 2))[None])[0] - 6) < 1e-9
 
 
 def test_assignment_is_least():

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.plans import joins, kernels, layouts, points, poses, rings, surfaces, text
+from voxloom.plans import files, joins, kernels, layouts, points, poses, rings, surfaces, text
 
-MODULES = (points, joins, rings, text, kernels, surfaces, poses, layouts)
+MODULES = (points, joins, rings, text, kernels, surfaces, poses, layouts, files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

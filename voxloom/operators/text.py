@@ -10,10 +10,10 @@ PROGRESS = r"^\[PROGRESS\] (\d+) (\d+) (.*)$"
 
 
 def parse_progress(line: Column) -> Column:
-    """struct(current, total, message), or null where the trimmed line is no progress line."""
+    """struct(current, total, message), or null where the trimmed line is no progress line; a number over 32 bits is null."""
     t = F.trim(line)
     part = lambda i: F.regexp_extract(t, PROGRESS, i)
-    made = F.struct(part(1).cast("int").alias("current"), part(2).cast("int").alias("total"), part(3).alias("message"))
+    made = F.struct(part(1).try_cast("int").alias("current"), part(2).try_cast("int").alias("total"), part(3).alias("message"))
     return F.when(t.rlike(PROGRESS), made)
 
 
@@ -26,19 +26,22 @@ def route_lines(lines: DataFrame, line: str) -> DataFrame:
 def obj_vertices(lines: DataFrame) -> DataFrame:
     """(obj, vid from 1, x, y, z) of the ``v`` records of (obj, n, line) text."""
     v = lines.where(F.col("line").rlike(r"^v\s")).withColumn("p", F.split(F.trim("line"), r"\s+"))
-    at = lambda i: F.element_at("p", i).try_cast("double")
+    at = lambda i: F.get("p", F.lit(i - 1)).try_cast("double")
     return v.select("obj", F.row_number().over(Window.partitionBy("obj").orderBy("n")).alias("vid"), at(2).alias("x"), at(3).alias("y"), at(4).alias("z"))
 
 
 def obj_segments(lines: DataFrame) -> DataFrame:
-    """Segments of ``l`` records with their end points and the material in force: two joins by 1-based index."""
+    """Segments of ``l`` records with their end points and the material in force: two joins by 1-based index.
+
+    An end whose vertex is missing or no number is null.
+    """
     w = Window.partitionBy("obj").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    named = lines.withColumn("material", F.last(F.when(F.col("line").startswith("usemtl "), F.substring("line", 8, 1000)), ignorenulls=True).over(w))
+    named = lines.withColumn("material", F.last(F.when(F.col("line").startswith("usemtl "), F.expr("substring(line, 8)")), ignorenulls=True).over(w))
     rec = named.where(F.col("line").rlike(r"^l\s")).withColumn("p", F.split(F.trim("line"), r"\s+"))
-    rec = rec.select("obj", F.row_number().over(Window.partitionBy("obj").orderBy("n")).alias("seg"), F.coalesce("material", F.lit("default")).alias("material"), F.element_at("p", 2).cast("int").alias("a"), F.element_at("p", 3).cast("int").alias("b"))
+    rec = rec.select("obj", F.row_number().over(Window.partitionBy("obj").orderBy("n")).alias("seg"), F.coalesce("material", F.lit("default")).alias("material"), F.get("p", F.lit(1)).try_cast("int").alias("a"), F.get("p", F.lit(2)).try_cast("int").alias("b"))
     v = obj_vertices(lines)
     end = lambda k, s: v.select("obj", F.col("vid").alias(k), *(F.col(c).alias(s + c) for c in "xyz"))
-    return rec.join(end("a", "s"), ["obj", "a"]).join(end("b", "e"), ["obj", "b"]).drop("a", "b")
+    return rec.join(end("a", "s"), ["obj", "a"], "left").join(end("b", "e"), ["obj", "b"], "left").drop("a", "b")
 
 
 def obj_lines(segments: DataFrame) -> DataFrame:
@@ -54,8 +57,9 @@ def xyz_line(x, y, z) -> Column:
 
 def cam_text(t: list, rot: list, focal: float, px: float, py: float) -> Column:
     """Two lines: position and rotation with 12 decimals; focal length, distortion, aspect and centre."""
-    nums = F.concat_ws(" ", *(F.format_string("%.12f", F.col(c)) for c in [*t, *rot]))
-    return F.concat(nums, F.lit(f"\n{focal:.12f} 0 0 1 {px:.12f} {py:.12f}"))
+    # a null number makes the whole text null: left out, it would shift the numbers after it
+    nums = [x for c in [*t, *rot] for x in (F.lit(" "), F.when(F.col(c).isNotNull(), F.format_string("%.12f", F.col(c))))]
+    return F.concat(*nums[1:], F.lit(f"\n{focal:.12f} 0 0 1 {px:.12f} {py:.12f}"))
 
 
 def parse_cam(text: Column) -> Column:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voxloom.operators import arcs as A
+from voxloom.operators import joins as J
 from voxloom.operators import kernels as K
 from voxloom.plans.joins import VEC, vectors
 from voxloom.plans.points import cloud
-from voxloom.session import table
+from voxloom.session import stored, table
 
-SPHERE = [tuple(round(float(c), 12) for c in p) for p in K.icosphere(1)]
+LEVEL, CELL = 5, 0.05
 
 
 def q_polygon_overlap(spark, sf):
@@ -21,19 +23,31 @@ def q_polygon_overlap(spark, sf):
 
 
 def q_direction_vote(spark, sf):
-    """Three rounds: each line votes for its closest sphere point; lines along the winner leave."""
+    """Three rounds over 10,242 points: each line votes for its closest point of the sphere; lines along the winner leave.
+
+    A line's closest point lies within a cell's width, so lines and points meet in cells. A
+    point and its opposite count as the one of smaller number.
+    """
     lines = vectors(spark, sf).select("vec_id", "x", "y", "z")
     n = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
     lines = lines.where(n > 1e-9).select("vec_id", *((F.col(c) / n).alias(c) for c in "xyz"))
-    sphere = F.array(*(F.struct(F.lit(i).alias("i"), *(F.lit(c).alias(k) for c, k in zip(p, "xyz", strict=True))) for i, p in enumerate(SPHERE)))
+    points = A.sphere(spark, LEVEL).select(F.col("q").alias("i"), *(F.col(c).alias("p" + c) for c in "xyz"))
+    # both of a pair of opposite points stand in the table, so the nearer of the two is met
+    same = points.select(F.round("px", 9).alias("a"), F.round("py", 9).alias("b"), F.round("pz", 9).alias("c"), "i")
+    pair = same.join(same.select((-F.col("a")).alias("a"), (-F.col("b")).alias("b"), (-F.col("c")).alias("c"), F.col("i").alias("o")), ["a", "b", "c"]).select("i", F.least("i", "o").alias("point"))
+    right = J.spread(points.join(pair, "i").select("point", "px", "py", "pz"), ["px", "py", "pz"], CELL)
+    own = lines.select("vec_id", *"xyz", *(c.alias(f"_k{i}") for i, c in enumerate(J.cells(list("xyz"), CELL))))
+    score = F.round(F.abs(F.col("x") * F.col("px") + F.col("y") * F.col("py") + F.col("z") * F.col("pz")), 9)
+    near = own.join(F.broadcast(right), ["_k0", "_k1", "_k2"]).groupBy("vec_id", *"xyz").agg((-F.max(F.struct(score.alias("d"), (-F.col("point")).alias("p")))["p"]).alias("point"))
+    near = stored(near, "votes")
     out = None
     for k in range(3):
-        score = F.transform(sphere, lambda s: F.struct(F.round(F.abs(s["x"] * F.col("x") + s["y"] * F.col("y") + s["z"] * F.col("z")), 9).alias("d"), (-s["i"]).alias("i")))
-        votes = lines.select((-F.array_max(score)["i"]).alias("point")).groupBy("point").agg(F.count(F.lit(1)).alias("votes"))
-        win = votes.orderBy(F.col("votes").desc(), "point").limit(1).select(F.lit(k).alias("round"), "point", "votes")
-        out = win if out is None else out.union(win)
-        at = F.element_at(sphere, F.col("point") + 1)
-        lines = lines.crossJoin(F.broadcast(win)).where(F.abs(at["x"] * F.col("x") + at["y"] * F.col("y") + at["z"] * F.col("z")) < 0.95).select("vec_id", "x", "y", "z")
+        votes = near.groupBy("point").agg(F.count(F.lit(1)).alias("votes"))
+        win = votes.orderBy(F.col("votes").desc(), "point").limit(1)
+        one = win.select(F.lit(k).alias("round"), "point", "votes")
+        out = one if out is None else out.union(one)
+        at = win.select(F.col("point").alias("i")).join(points, "i").select("px", "py", "pz")
+        near = near.crossJoin(F.broadcast(at)).where(F.abs(F.col("x") * F.col("px") + F.col("y") * F.col("py") + F.col("z") * F.col("pz")) < 0.95).drop("px", "py", "pz")
     return out
 
 
@@ -55,15 +69,14 @@ def q_merge_arcs(spark, sf):
 
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 
-_POINTS = ", ".join(f"({i}, {x!r}::DOUBLE, {y!r}::DOUBLE, {z!r}::DOUBLE)" for i, (x, y, z) in enumerate(SPHERE))
 SQL = {
     "polygon_overlap": """WITH p AS (SELECT p_partkey AS id, p_size % 7 + 1.0::DOUBLE AS w, p_partkey % 5 + 1.0::DOUBLE AS h, p_partkey % 4 * 0.5::DOUBLE AS s FROM part),
  o AS (SELECT id, w, h, greatest(least(w, s + 3) - s, 0) * greatest(least(h, s + 2) - s, 0) AS o FROM p) SELECT id, round(o / (w * h + 6 - o), 6) AS iou, round(o / (w * h), 6) AS inside, round(o, 6) AS overlap FROM o""",
-    "direction_vote": f"""WITH {VEC}, s AS (SELECT * FROM (VALUES {_POINTS}) t(i, a, b, c)), l0 AS (SELECT vec_id, x / n AS x, y / n AS y, z / n AS z FROM (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM v) WHERE n > 1e-9),
+    "direction_vote": f"""WITH {VEC}, {A.sphere_sql(LEVEL)}, l AS (SELECT vec_id, x / n AS x, y / n AS y, z / n AS z FROM (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM v) WHERE n > 1e-9),
+ s AS (SELECT vec_id, l.x, l.y, l.z, q, round(abs(l.x * sphere.x + l.y * sphere.y + l.z * sphere.z), 9) AS d FROM l, sphere), l0 AS (SELECT vec_id, any_value(x) AS x, any_value(y) AS y, any_value(z) AS z, arg_max(q, (d, -q)) AS point FROM s GROUP BY vec_id),
 """
     + ",\n".join(
-        f""" r{k} AS (SELECT vec_id, i, row_number() OVER (PARTITION BY vec_id ORDER BY round(abs(a * x + b * y + c * z), 9) DESC, i) AS k FROM l{k}, s), w{k} AS (SELECT i AS point, count(*) AS votes FROM r{k} WHERE k = 1 GROUP BY i ORDER BY votes DESC, point LIMIT 1),
- l{k + 1} AS (SELECT l{k}.* FROM l{k}, w{k}, s WHERE s.i = point AND abs(a * x + b * y + c * z) < 0.95)"""
+        f""" w{k} AS (SELECT point, count(*) AS votes FROM l{k} GROUP BY point ORDER BY votes DESC, point LIMIT 1), l{k + 1} AS (SELECT l{k}.* FROM l{k}, (SELECT sphere.* FROM w{k} JOIN sphere ON q = point) p WHERE abs(l{k}.x * p.x + l{k}.y * p.y + l{k}.z * p.z) < 0.95)"""
         for k in range(3)
     )
     + " SELECT 0 AS round, * FROM w0 UNION ALL SELECT 1, * FROM w1 UNION ALL SELECT 2, * FROM w2",

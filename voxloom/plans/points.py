@@ -98,8 +98,7 @@ def q_voxel_downsample(spark, sf):
 def q_occupancy_candidates(spark, sf):
     pts = cloud(spark, sf)
     cells = pts.select(F.floor(F.col("x") / 2).cast("int").alias("cx"), F.floor(F.col("z") / 2).cast("int").alias("cz")).groupBy("cx", "cz").agg(F.count(F.lit(1)).alias("n")).where("n > 50")
-    grid = spark.range(0, 60).select(F.col("id").cast("int").alias("cx")).crossJoin(spark.range(0, 60).select(F.col("id").cast("int").alias("cz")))
-    return grid.join(cells, ["cx", "cz"]).select("cx", "cz", (F.col("cx") * 2.0 + 1).alias("x"), (F.col("cz") * 2.0 + 1).alias("z"), "n")
+    return cells.select("cx", "cz", (F.col("cx") * 2.0 + 1).alias("x"), (F.col("cz") * 2.0 + 1).alias("z"), "n")
 
 
 def q_depth_image(spark, sf):
@@ -219,7 +218,7 @@ SQL = {
  SELECT bin, count(*) AS n, round(any_value(lo) + (bin + 0.5) * 0.05, 6) AS level FROM b GROUP BY bin ORDER BY n DESC, bin LIMIT 1""",
     "voxel_downsample": f"""WITH {CLOUD}, e AS (SELECT min(x) AS x0, min(y) AS y0, min(z) AS z0 FROM pts)
  SELECT CAST(floor((x - x0) / 4.0 + 0.5) AS BIGINT) AS vx, CAST(floor((y - y0) / 4.0 + 0.5) AS BIGINT) AS vy, CAST(floor((z - z0) / 4.0 + 0.5) AS BIGINT) AS vz, count(*) AS n, round(avg(x) + 1e-9, 5) AS x, round(avg(y) + 1e-9, 5) AS y, round(avg(z) + 1e-9, 5) AS z, round(avg(r) + 1e-9, 5) AS r FROM pts, e GROUP BY 1, 2, 3""",
-    "occupancy_candidates": f"WITH {CLOUD} SELECT CAST(floor(x / 2) AS INT) AS cx, CAST(floor(z / 2) AS INT) AS cz, floor(x / 2) * 2.0 + 1 AS x, floor(z / 2) * 2.0 + 1 AS z, count(*) AS n FROM pts GROUP BY 1, 2, 3, 4 HAVING count(*) > 50 AND cx BETWEEN 0 AND 59 AND cz BETWEEN 0 AND 59",
+    "occupancy_candidates": f"WITH {CLOUD} SELECT CAST(floor(x / 2) AS INT) AS cx, CAST(floor(z / 2) AS INT) AS cz, floor(x / 2) * 2.0 + 1 AS x, floor(z / 2) * 2.0 + 1 AS z, count(*) AS n FROM pts GROUP BY 1, 2, 3, 4 HAVING count(*) > 50",
     "depth_image": f"WITH {PROJ} SELECT pano, ((CAST(round_even(u, 0) AS INT) % 256) + 256) % 256 AS pu, least(greatest(CAST(round_even(v, 0) AS INT), 0), 127) AS pv, round(min(depth), 6) AS depth FROM proj GROUP BY 1, 2, 3",
     "depth_compare": f"""WITH {PROJ}, d AS (SELECT pano, CAST(round_even(u, 0) AS INT) % 36 AS pu, least(greatest(CAST(round_even(v, 0) AS INT), 0), 17) AS pv, min(depth) AS depth FROM proj GROUP BY 1, 2, 3),
  m AS (SELECT s AS shift, (pu + s * 2) % 36 AS pu, pv, depth AS other FROM d, range(18) t(s) WHERE pano = 'cam1'), b AS (SELECT shift, depth, other FROM d JOIN m USING (pu, pv) WHERE pano = 'cam0'),

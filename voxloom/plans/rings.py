@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions import geometry as G
@@ -104,7 +106,7 @@ def q_corner_rebuild(spark, sf):
 
 
 def q_dilate(spark, sf):
-    m = mask(spark, sf).where("(u * 7 + v * 3 + id) % 11 = 0 AND id < 3").select("id", "u", "v", (F.col("u") + F.col("v")).cast("double").alias("c"))
+    m = mask(spark, sf).select("id", "u", "v", (F.col("u") + F.col("v")).cast("double").alias("c"))
     return R.dilate(m, ["id"], ["c"], 51, 40, 1).select("id", "u", "v", F.round(F.col("c") + 1e-9, 6).alias("c"))
 
 
@@ -116,7 +118,9 @@ def q_mask_difference(spark, sf):
 
 def q_mask_union(spark, sf):
     m = mask(spark, sf)
-    return m.where("id = 1").select("u", "v").union(m.where("id = 2").select("u", "v")).distinct().groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    parts = [m.where(F.col("id") % 4 == k).select((F.col("id") / 4).cast("int").alias("g"), "u", "v") for k in range(4)]
+    # a set per group of four masks
+    return reduce(DataFrame.union, parts).distinct().groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_mask_classes(spark, sf):
@@ -148,7 +152,7 @@ def q_azimuth_max(spark, sf):
 
 
 def q_circular_shift(spark, sf):
-    return mask(spark, sf).where("id = 0").select(F.pmod(F.col("u") + 37, F.lit(51)).alias("u"), "v").groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"))
+    return mask(spark, sf).select("id", F.pmod(F.col("u") + 37, F.lit(51)).alias("u"), "v").groupBy("id", "u").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"))
 
 
 def q_intersection_groups(spark, sf):
@@ -221,16 +225,16 @@ SQL = {
  SELECT k, run, d, round(sum(w), 4) AS w, round(sum(x * w) / sum(w), 5) AS x FROM r GROUP BY k, run, d""",
     "corner_rebuild": f"""WITH {RING}, d AS (SELECT *, i % 3 - 1.0::DOUBLE AS dx, i % 2 + 0.5::DOUBLE AS dy FROM ring), n AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS u, coalesce(lead(y) OVER w, first_value(y) OVER w) AS v, coalesce(lead(dx) OVER w, first_value(dx) OVER w) AS du, coalesce(lead(dy) OVER w, first_value(dy) OVER w) AS dv FROM d WINDOW w AS (PARTITION BY k ORDER BY i)),
  s AS (SELECT *, dx * dv - dy * du AS den FROM n) SELECT k, i, round(CASE WHEN abs(den) > 1e-9 THEN x + ((u - x) * dv - (v - y) * du) / den * dx ELSE (x + u) / 2 END, 5) AS cx, round(CASE WHEN abs(den) > 1e-9 THEN y + ((u - x) * dv - (v - y) * du) / den * dy ELSE (y + v) / 2 END, 5) AS cy FROM s""",
-    "dilate": f"""WITH {MASK}, f AS (SELECT id, u, v, (u + v)::DOUBLE AS c FROM m WHERE (u * 7 + v * 3 + id) % 11 = 0 AND id < 3), n AS (SELECT id, u + i AS u, v + j AS v, avg(c) AS c FROM f, (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j) WHERE (i <> 0 OR j <> 0) AND u + i BETWEEN 0 AND 50 AND v + j BETWEEN 0 AND 39 GROUP BY 1, 2, 3)
+    "dilate": f"""WITH {MASK}, f AS (SELECT id, u, v, (u + v)::DOUBLE AS c FROM m), n AS (SELECT id, u + i AS u, v + j AS v, avg(c) AS c FROM f, (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j) WHERE (i <> 0 OR j <> 0) AND u + i BETWEEN 0 AND 50 AND v + j BETWEEN 0 AND 39 GROUP BY 1, 2, 3)
  SELECT id, u, v, round(c + 1e-9, 6) AS c FROM f UNION ALL SELECT n.id, n.u, n.v, round(n.c + 1e-9, 6) FROM n ANTI JOIN f ON f.id = n.id AND f.u = n.u AND f.v = n.v""",
     "mask_difference": f"WITH {MASK}, d AS (SELECT DISTINCT u, v FROM m WHERE id < 9 EXCEPT SELECT u, v FROM m WHERE id >= 9) SELECT u, count(*) AS n FROM d GROUP BY u",
-    "mask_union": f"WITH {MASK}, d AS (SELECT u, v FROM m WHERE id = 1 UNION SELECT u, v FROM m WHERE id = 2) SELECT v, count(*) AS n FROM d GROUP BY v",
+    "mask_union": f"WITH {MASK}, d AS (SELECT DISTINCT id // 4 AS g, u, v FROM m) SELECT g, v, count(*) AS n FROM d GROUP BY g, v",
     "mask_classes": f"WITH {MASK}, w AS (SELECT count(*) AS w FROM (SELECT DISTINCT u, v FROM m)), c AS (SELECT id, count(*) AS n FROM m GROUP BY id) SELECT id, n, round(n / w, 6) AS share, CASE WHEN n / 2000.0 > 0.70 THEN 'junk' WHEN n / w > 0.85 THEN 'outline' ELSE 'room' END AS class FROM c, w",
     "column_coverage": f"WITH {MASK}, c AS (SELECT id, u, count(*) / 40 AS s FROM m GROUP BY 1, 2) SELECT id, count(*) AS n_columns, round(max(s), 4) AS top FROM c WHERE s > 0.6 GROUP BY id",
     "column_boundary": f"WITH {MASK} SELECT id, u, min(v) AS first, max(v) AS last FROM m GROUP BY id, u",
     "largest_mask": f"WITH {MASK} SELECT id, count(*) AS n FROM m GROUP BY id ORDER BY n DESC, id LIMIT 1",
     "azimuth_max": f"WITH {CLOUD} SELECT CAST(least(floor((atan2(y - 5, x - 25) + pi()) / (2 * pi() / 64)), 63) AS INT) AS bin, round(max(sqrt((x - 25) * (x - 25) + (y - 5) * (y - 5))), 6) AS far, count(*) AS n FROM pts GROUP BY 1",
-    "circular_shift": f"WITH {MASK} SELECT (u + 37) % 51 AS u, count(*) AS n, CAST(sum(v) AS BIGINT) AS s FROM m WHERE id = 0 GROUP BY 1",
+    "circular_shift": f"WITH {MASK} SELECT id, (u + 37) % 51 AS u, count(*) AS n, CAST(sum(v) AS BIGINT) AS s FROM m GROUP BY 1, 2",
     "intersection_groups": "WITH e AS (SELECT s_suppkey, s_suppkey % 3 AS grp FROM supplier UNION ALL SELECT s_suppkey, (s_suppkey % 3 + 1) % 3 FROM supplier) SELECT grp, count(*) AS n, CAST(sum(s_suppkey) AS BIGINT) AS s FROM e GROUP BY grp",
     "top_k_longest": "SELECT o_orderkey, round(o_totalprice, 2) AS length FROM orders ORDER BY length DESC, o_orderkey LIMIT 25",
     "top_k_diverse": """WITH o AS (SELECT o_custkey % 24 AS r, o_orderkey AS t, round(o_totalprice, 2) AS cost FROM orders), b AS (SELECT r FROM o GROUP BY r ORDER BY min(cost), r LIMIT 5), k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY cost, t) AS k FROM o WHERE r IN (SELECT r FROM b))

@@ -43,7 +43,8 @@ def q_cube_rays(spark, sf):
 
 
 def q_mask_components(spark, sf):
-    m = mask(spark, sf).where("id = 3 AND (u * 5 + v * 3) % 4 < 2").select("u", "v")
+    # masks lie side by side, further apart than neighbours are
+    m = mask(spark, sf).select((F.col("id") * 64 + F.col("u")).alias("u"), "v")
     return S.pixel_components(m, 4).groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("u"), F.min("v").alias("v"))
 
 
@@ -82,9 +83,9 @@ SQL = {
  SELECT u, v, face, round(r, 5) AS r, round(g, 5) AS g, round(b, 5) AS b FROM k WHERE n = 1""",
     "cube_rays": """WITH p AS (SELECT c, (i + 0.5) / 16 * 2 - 1 AS a, (j + 0.5) / 16 * 2 - 1 AS b FROM range(6) f(c), range(16) t(i), range(16) u(j)), d AS (SELECT c, sum(1 / sqrt(a * a + b * b + 1)) AS s FROM p GROUP BY c)
  SELECT CAST(c AS INT) AS cube, CAST(256 AS BIGINT) AS n, round(CASE c WHEN 0 THEN s WHEN 1 THEN -s ELSE 0 END + 1e-9, 5) AS sx, round(CASE c WHEN 2 THEN s WHEN 3 THEN -s ELSE 0 END + 1e-9, 5) AS sy, round(CASE c WHEN 4 THEN s WHEN 5 THEN -s ELSE 0 END + 1e-9, 5) AS sz FROM d""",
-    "mask_components": f"""WITH RECURSIVE {MASK}, p AS (SELECT DISTINCT u, v, v::BIGINT * 1048576 + u AS id FROM m WHERE id = 3 AND (u * 5 + v * 3) % 4 < 2), e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON abs(a.u - b.u) <= 1 AND abs(a.v - b.v) <= 1 AND a.id <> b.id),
- reach AS (SELECT id AS n, id AS o FROM p UNION SELECT reach.n, e.b FROM reach JOIN e ON reach.o = e.a), c AS (SELECT n, min(o) AS k FROM reach GROUP BY n)
- SELECT k AS component, count(*) AS n, min(u) AS u, min(v) AS v FROM c JOIN p ON p.id = c.n GROUP BY k HAVING count(*) >= 4""",
+    "mask_components": f"""WITH RECURSIVE {MASK}, p AS (SELECT id * 64 + u AS u, v, v::BIGINT * 1048576 + id * 64 + u AS k FROM m), e AS (SELECT a.k AS a, b.k AS b FROM p a, (VALUES (-1), (0), (1)) s(i), (VALUES (-1), (0), (1)) t(j), p b WHERE b.u = a.u + i AND b.v = a.v + j AND a.k <> b.k),
+ c(k, c) USING KEY (k) AS (SELECT k, k AS c FROM p UNION SELECT e.b, min(c.c) FROM c JOIN e ON c.k = e.a JOIN recurring.c AS r ON r.k = e.b WHERE c.c < r.c GROUP BY e.b)
+ SELECT c AS component, count(*) AS n, min(u) AS u, min(v) AS v FROM c JOIN p USING (k) GROUP BY c HAVING count(*) >= 4""",
     "orthogonal_triple": f"""WITH {UNIT}, d AS (SELECT * FROM un) SELECT a.i AS i, b.i AS j, c.i AS k FROM d a JOIN d b ON a.i < b.i AND abs(a.x * b.x + a.y * b.y + a.z * b.z) < 0.1 JOIN d c ON b.i < c.i AND abs(a.x * c.x + a.y * c.y + a.z * c.z) < 0.1 AND abs(b.x * c.x + b.y * c.y + b.z * c.z) < 0.1 ORDER BY 1, 2, 3 LIMIT 1""",
     "octahedra": "SELECT k AS kind, count(*) * n AS n FROM nation, (VALUES ('v', 6), ('f', 8)) t(k, n) GROUP BY k, n",
     "scale_consensus": """WITH s AS (SELECT a.p_size / b.p_size AS s FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey), h AS (SELECT least(CAST(floor((s - 0.2::DOUBLE) / ((2.5::DOUBLE - 0.2::DOUBLE) / 200)) AS INT), 199) AS bin, count(*) AS mass FROM s WHERE s BETWEEN 0.2 AND 2.5 GROUP BY 1)
