@@ -290,11 +290,60 @@ def test_audio():
     assert refs.best(audio.fingerprint(audio.chroma(other, rate))) is None
     assert len(hit.ids) == 2 and len(audio.media_print(None)) == 0 and len(audio.media_print(b"")) == 0
     assert len(audio.media_print(b"RIFF1234JUNK")) == 0 and len(audio.media_print(b"ab")) == 1
+
+
+def wav(x, rate):
     import struct
 
-    pcm = (song * 32000).astype("<i2").tobytes()
-    wav = b"RIFF" + struct.pack("<I", 36 + len(pcm)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, 2 * rate, 2, 16) + b"data" + struct.pack("<I", len(pcm)) + pcm
-    assert np.bitwise_count(audio.media_print(wav) ^ fp).sum() / (32 * len(fp)) < 0.02
+    pcm = (x * 32000).astype("<i2").tobytes()
+    return b"RIFF" + struct.pack("<I", 36 + len(pcm)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, 2 * rate, 2, 16) + b"data" + struct.pack("<I", len(pcm)) + pcm
+
+
+def test_audio_of_two_rates_aligns(spark):
+    rng = np.random.default_rng(21)
+    notes, others = (220 * 2 ** (rng.integers(0, 24, (30, 2)) / 12) for _ in range(2))
+
+    def play(notes, rate):
+        t = np.arange(int(0.4 * rate)) / rate
+        return np.concatenate([0.4 * (np.sin(2 * np.pi * a * t) + np.sin(2 * np.pi * b * t)) for a, b in notes])
+
+    high, low = play(notes, 44100), play(notes, 8000)
+    clip = high[int(3.07 * 44100) : int(9.2 * 44100)]
+    refs = spark.createDataFrame([(1, bytearray(wav(clip, 44100))), (2, bytearray(wav(play(others, 22050)[: 22050 * 6], 22050))), (3, bytearray(wav(clip[:4410], 44100)))], "id long, media binary")
+    media = spark.createDataFrame([(7, bytearray(wav(low, 8000))), (8, bytearray(wav(high, 44100))), (9, bytearray(wav(play(others, 8000), 8000))), (10, bytearray(b"RIFF----WAVEjunk"))], "id long, media binary")
+    got = {r.key: r for r in audio.align(media, "id", "media", audio.fingerprints(refs, "id", "media")).collect()}
+    for k in (7, 8):
+        assert got[k].ref_id == 1 and abs(got[k].matches[0].ref_sample / audio.SOUND.rate - 3.07) < 0.1, got[k]
+        assert {m.ref_id for m in got[k].matches} == {1}
+    assert got[9].ref_id == 2 and abs(got[9].matches[0].ref_sample) < 0.1 * audio.SOUND.rate
+    assert got[10].n_ints == 0 and got[10].ref_id is None
+    assert len(audio.resampled(np.zeros(44100, dtype=np.float32), 44100, 11025)) == 11025 and len(audio.resampled(np.zeros(8000, dtype=np.float32), 8000, 11025)) == 11025
+
+
+def brute_print(c):
+    """Filter values by plain sums over rectangles of chroma frames, bit by bit."""
+    wide, out = np.hstack([c, c]).astype(float), []
+    for at in range(len(c) - audio.SPAN + 1):
+        code = 0
+        for kind, y, h, w in audio.filters():
+            mean = lambda t0, t1, y0, y1, at=at: max(wide[at + t0 : at + t1, y0:y1].sum(), 0) / ((t1 - t0) * (y1 - y0)) + audio.FLOOR
+            half, quarter, mid = w // 2, max(1, w // 4), h // 2
+            ratio = [
+                lambda: mean(half, w, y, y + h) / mean(0, half, y, y + h),
+                lambda: (mean(0, half, y + mid, y + h) + mean(half, w, y, y + mid)) / (mean(0, half, y, y + mid) + mean(half, w, y + mid, y + h)),
+                lambda: 2 * mean(quarter, w - quarter, y, y + h) / (mean(0, quarter, y, y + h) + mean(w - quarter, w, y, y + h)),
+                lambda: mean(0, w, y + mid, y + h) / mean(0, w, y, y + mid),
+                lambda: mean(0, w, y, y + h) / mean(0, w, 0, 12),
+            ][kind]()
+            code = code << 2 | audio.GRAY[sum(np.log(ratio) > cut for cut in audio.CUTS)]
+        out.append(code)
+    return out
+
+
+def test_audio_filters_against_plain_sums():
+    x = audio.raw_pcm8(bytes(np.random.default_rng(22).integers(0, 256, 900).astype(np.uint8)))
+    c = audio.chroma(x)
+    assert audio.fingerprint(c).tolist() == brute_print(c)
 
 
 def test_audio_query_edges(spark, odd, none):

@@ -10,13 +10,19 @@ recording need not be a multiple of the hop. A reference under LONG samples has
 positions; it is looked for by the codes of single frames and held against the recording by
 the bits of a finer fingerprint.
 
+There are two profiles. A WAV of any rate is brought to 11,025 samples a second and cut into
+frames of 4,096 (some 2.7 Hz apart, enough for pitch classes from the second octave up), so that
+recordings of different rates align; its references are printed at every eighth of a hop and
+need 1.7 seconds. Any other bytes are 8-bit PCM in short frames, as suits texts.
+
 The registered query reads the text bytes of ``documents`` as 8-bit mono PCM, the media
 column at hand, and finds in each of them the recordings of the reference set
 ``benchmark``, read the same way. The reference set goes to the executors in blocks of at
 most BLOCK_INTS integers, so that what is broadcast does not grow with it.
 
 Edge cases: null and empty media have no fingerprint and align with nothing; a recording
-shorter than one position is padded with silence; repeated rows are alike; ties go to
+shorter than one position is padded with silence; a WAV reference under 1.7 seconds has too few
+positions and isn't found; recordings of the two profiles never meet; repeated rows are alike; ties go to
 the smaller reference id and offset; references that share an id or have none are all
 looked for; one under 19 samples is tried at every sample; an unreadable WAV raises nothing and has no
 fingerprint; extra columns are ignored.
@@ -26,6 +32,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from dataclasses import dataclass
 from functools import cache, reduce
 
 import numpy as np
@@ -35,7 +42,21 @@ from pyspark.sql import functions as F
 
 from voxloom.llm.common import bounded, materialise
 
+
+
+@dataclass(frozen=True)
+class Profile:
+    """How recordings of one kind are framed; references are printed from every ``step``-th sample below a hop on."""
+
+    rate: int
+    frame: int
+    hop: int
+    step: int
+
+
 RATE, FRAME, HOP = 8000, 64, 16
+TEXT, SOUND = Profile(RATE, FRAME, HOP, 1), Profile(11025, 4096, 1364, 170)
+PROFILES = {p.rate: p for p in (TEXT, SOUND)}
 LOW_HZ, HIGH_HZ = 28.0, 3520.0
 #: Frames under one position.
 SPAN = 8
@@ -83,6 +104,16 @@ def decode_wav(data: bytes) -> tuple[np.ndarray, int] | None:
     return None
 
 
+def resampled(x: np.ndarray, rate: int, to: int) -> np.ndarray:
+    """Samples at another rate: means over whole steps, then linear between them."""
+    k = max(1, rate // to)
+    x = x[: len(x) // k * k].reshape(-1, k).mean(axis=1) if k > 1 else x
+    if rate == k * to or not len(x):
+        return x.astype(np.float32)
+    at = np.arange(int(len(x) * to * k / rate)) * (rate / (to * k))
+    return np.interp(at, np.arange(len(x)), x).astype(np.float32)
+
+
 def raw_pcm8(data: bytes) -> np.ndarray:
     return (np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128
 
@@ -172,11 +203,12 @@ class References:
     of the references under LONG samples, by their place in ``prints``.
     """
 
-    def __init__(self, prints, short: dict[int, tuple[np.ndarray, int]] | None = None):
+    def __init__(self, prints, short: dict[int, tuple[np.ndarray, int]] | None = None, profile: Profile = TEXT):
+        self.profile = profile
         items = [(k, [v]) for k, v in sorted(prints.items())] if isinstance(prints, dict) else prints
         self.ids = [k for k, _ in items]
         # an entry is a reference at a shift at which it has positions enough
-        entries = [(r, p, fp) for r, (_, fps) in enumerate(items) for p, fp in enumerate(fps) if len(fp) >= MIN_POSITIONS]
+        entries = [(r, p * profile.step, fp) for r, (_, fps) in enumerate(items) for p, fp in enumerate(fps) if len(fp) >= MIN_POSITIONS]
         self.of, self.shift = (np.array([e[i] for e in entries], dtype=np.int64) for i in (0, 1))
         self.size = np.array([len(e[2]) for e in entries], dtype=np.int64)
         self.start = np.cumsum(self.size) - self.size
@@ -207,8 +239,8 @@ class References:
         """
         found: dict[tuple[int, int], tuple[float, int]] = {}
         for entry, offset, error, votes in self._voted(fp):
-            found[int(self.of[entry]), HOP * offset - int(self.shift[entry])] = (error, votes)
-        if x is not None:
+            found[int(self.of[entry]), self.profile.hop * offset - int(self.shift[entry])] = (error, votes)
+        if x is not None and self.short:
             for r, at, votes in self._short(x, rate, c):
                 error = self._fine_error(r, at, x, rate)
                 if error <= MAX_ERROR and ((r, at) not in found or (error, -votes) < (found[r, at][0], -found[r, at][1])):
@@ -275,7 +307,7 @@ class References:
     def best(self, fp: np.ndarray) -> tuple[int, int, float, int] | None:
         """(reference id, offset, share of differing bits, votes) with the least error, or None."""
         for error, votes, r, at in self.matches(fp)[:1]:
-            return self.ids[r], -(-at // HOP), error, votes
+            return self.ids[r], -(-at // self.profile.hop), error, votes
         return None
 
 
@@ -292,17 +324,26 @@ def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
     return float(differ) / (32 * (hi - lo)), hi - lo
 
 
-def samples(data: bytes | None) -> tuple[np.ndarray, int] | None:
-    """(samples, rate) of a WAV, or of any other bytes as raw 8-bit PCM; None if there is nothing to hear."""
+def samples(data: bytes | None) -> tuple[np.ndarray, Profile] | None:
+    """(samples, profile) of a WAV, or of any other bytes as raw 8-bit PCM; None if there is nothing to hear."""
     if not data:
         return None
-    return decode_wav(data) if data[:4] == b"RIFF" else (raw_pcm8(data), RATE)
+    if data[:4] != b"RIFF":
+        return raw_pcm8(data), TEXT
+    heard = decode_wav(data)
+    if heard is None or not len(heard[0]) or heard[1] <= 0:
+        return None
+    return resampled(*heard, SOUND.rate), SOUND
+
+
+def heard_chroma(x: np.ndarray, p: Profile) -> np.ndarray:
+    return chroma(x, p.rate, p.frame, p.hop)
 
 
 def media_print(data: bytes | None) -> np.ndarray:
     """Fingerprint of a WAV, or of any other bytes as raw 8-bit PCM."""
     heard = samples(data)
-    return np.zeros(0, dtype=np.uint32) if heard is None else fingerprint(chroma(*heard))
+    return np.zeros(0, dtype=np.uint32) if heard is None else fingerprint(heard_chroma(*heard))
 
 
 PRINTS = "key long, fp binary, shifted array<binary>, samples binary, rate int"
@@ -311,35 +352,37 @@ PRINTS = "key long, fp binary, shifted array<binary>, samples binary, rate int"
 def fingerprints(media: DataFrame, key: str, column: str) -> DataFrame:
     """(key, fp, shifted, samples, rate): fp is the packed integers, little-endian.
 
-    shifted has the integers from each sample below a hop on, the first of them fp; samples
-    (32-bit floats) are those of media under LONG samples.
+    shifted has the integers from each printed sample below a hop on, the first of them fp; samples
+    (32-bit floats) are those of raw media under LONG samples; rate tells the profile.
     """
 
     def run(frames):
         for frame in frames:
             rows = []
             for k, d in zip(frame["key"], frame["data"], strict=True):
-                x, rate = samples(d) or (np.zeros(0, dtype=np.float32), RATE)
-                fps = [fingerprint(chroma(x[p:], rate)).astype("<u4").tobytes() for p in range(HOP if len(x) else 1)]
-                rows.append((k, fps[0], fps, x.astype("<f4").tobytes() if len(x) < LONG else None, rate))
+                x, p = samples(d) or (np.zeros(0, dtype=np.float32), TEXT)
+                fps = [fingerprint(heard_chroma(x[at:], p)).astype("<u4").tobytes() for at in range(0, p.hop if len(x) else 1, p.step)]
+                rows.append((k, fps[0], fps, x.astype("<f4").tobytes() if p == TEXT and len(x) < LONG else None, p.rate))
             out = pd.DataFrame(rows, columns=["key", "fp", "shifted", "samples", "rate"])
             yield out.astype({"key": "Int64"})
 
     return bounded(media).select(F.col(key).cast("long").alias("key"), F.col(column).alias("data")).mapInPandas(run, PRINTS)
 
 
-def load(rows) -> References:
-    """References of rows as ``fingerprints`` gives them."""
+def load(rows, profile: Profile = TEXT) -> References:
+    """References of those rows, as ``fingerprints`` gives them, that have this profile."""
     numbers = lambda b: np.frombuffer(bytes(b), "<u4").astype(np.uint32)
     items, short = [], {}
     for r in rows:
+        if r["rate"] != profile.rate:
+            continue
         heard = None if r["samples"] is None else np.frombuffer(bytes(r["samples"]), "<f4").astype(np.float32)
         if heard is not None:
             short[len(items)] = (heard, r["rate"])
         # what lies past the end of a shift that is padded is no part of the reference
-        whole = [p for p in range(len(r["shifted"])) if heard is None or len(heard) - p >= FRAME + (SPAN - 1) * HOP]
+        whole = [p for p in range(len(r["shifted"])) if heard is None or len(heard) - p * profile.step >= profile.frame + (SPAN - 1) * profile.hop]
         items.append((r["key"], [numbers(r["shifted"][p]) for p in whole]))
-    return References(items, short)
+    return References(items, short, profile)
 
 
 FOUND = "array<struct<bit_error:double,votes:int,ref_id:long,ref_sample:long>>"
@@ -360,23 +403,24 @@ def align(media: DataFrame, key: str, column: str, references: DataFrame) -> Dat
     blocks = [r[0] for r in refs.select(part).distinct().collect()] or [0]
     sc = media.sparkSession.sparkContext
     passes = []
-    schema = f"rid long, key long, n_ints int, fp_crc32 long, matches {FOUND}"
+    schema = f"rid long, key long, n_ints int, fp_crc32 long, hop int, matches {FOUND}"
     source = bounded(media).select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("key"), F.col(column).alias("data"))
     for block in sorted(blocks):
-        shared = sc.broadcast(load(refs.where(part == block).collect()))
+        held = refs.where(part == block).collect()  # BLOCK_INTS integers, about
+        shared = sc.broadcast({rate: load(held, p) for rate, p in PROFILES.items()})
 
         def run(frames, shared=shared):
             own = shared.value
             for frame in frames:
                 rows = []
                 for rid, k, data in zip(frame["rid"], frame["key"], frame["data"], strict=True):
-                    heard = samples(data)
-                    c = chroma(*heard) if heard else np.zeros((0, 12), dtype=np.float32)
+                    x, p = samples(data) or (np.zeros(0, dtype=np.float32), TEXT)
+                    c, refs_ = heard_chroma(x, p), own[p.rate]
                     fp = fingerprint(c)
                     # a padded recording's last frames are silence, so it is framed again
-                    hits = own.matches(fp, *heard, c if len(heard[0]) >= FRAME + (SPAN - 1) * HOP else None) if len(fp) else []
-                    rows.append((rid, k, len(fp), zlib.crc32(fp.astype("<u4").tobytes()), [(e, v, own.ids[r], at) for e, v, r, at in hits]))
-                out = pd.DataFrame(rows, columns=["rid", "key", "n_ints", "fp_crc32", "matches"])
+                    hits = refs_.matches(fp, x, p.rate, c if len(x) >= p.frame + (SPAN - 1) * p.hop else None) if len(fp) else []
+                    rows.append((rid, k, len(fp), zlib.crc32(fp.astype("<u4").tobytes()), p.hop, [(e, v, refs_.ids[r], at) for e, v, r, at in hits]))
+                out = pd.DataFrame(rows, columns=["rid", "key", "n_ints", "fp_crc32", "hop", "matches"])
                 yield out.astype({"key": "Int64"})
 
         passes.append(source.mapInPandas(run, schema))
@@ -385,10 +429,10 @@ def align(media: DataFrame, key: str, column: str, references: DataFrame) -> Dat
         order = lambda m: F.struct(m["bit_error"], -m["votes"], m["ref_id"].isNull(), m["ref_id"], m["ref_sample"])
         after = lambda a, b: F.when(order(a) < order(b), -1).when(order(a) > order(b), 1).otherwise(0)
         # one row per block
-        joined = found.groupBy("rid").agg(*(F.first(c).alias(c) for c in ("key", "n_ints", "fp_crc32")), F.flatten(F.collect_list("matches")).alias("matches"))
+        joined = found.groupBy("rid").agg(*(F.first(c).alias(c) for c in ("key", "n_ints", "fp_crc32", "hop")), F.flatten(F.collect_list("matches")).alias("matches"))
         found = joined.withColumn("matches", F.array_sort("matches", after))
     top = F.get("matches", F.lit(0))
-    return found.select("key", "n_ints", "fp_crc32", top["ref_id"].alias("ref_id"), F.ceil(top["ref_sample"] / HOP).cast("int").alias("ref_offset"), top["bit_error"].alias("bit_error"), top["votes"].alias("votes"), "matches")
+    return found.select("key", "n_ints", "fp_crc32", top["ref_id"].alias("ref_id"), F.ceil(top["ref_sample"] / F.col("hop")).cast("int").alias("ref_offset"), top["bit_error"].alias("bit_error"), top["votes"].alias("votes"), "matches")
 
 
 def op6_chroma_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
