@@ -41,11 +41,6 @@ def clamp(x, low: float, high: float) -> Column:
     return F.least(F.greatest(col(x), F.lit(low)), F.lit(high))
 
 
-def safe_acos(x) -> Column:
-    """acos of a value that rounding may have pushed past one."""
-    return F.acos(clamp(x, -1.0, 1.0))
-
-
 def half_even(x, step: float) -> Column:
     """Nearest multiple of ``step``, halves to even."""
     return F.bround(col(x) / F.lit(step)) * F.lit(step)
@@ -125,6 +120,12 @@ def rotation_from_ypr(yaw, pitch, roll) -> list[list[Column]]:
     ]
 
 
+def ypr_of(rot: list[list]) -> tuple[Column, Column, Column]:
+    """(yaw, pitch, roll) of such a rotation; pitch within a quarter turn."""
+    r = [[col(c) for c in row] for row in rot]
+    return F.atan2(r[1][0], r[0][0]), F.asin(clamp(-r[2][0], -1.0, 1.0)), F.atan2(r[2][1], r[2][2])
+
+
 def snap_cardinal(nx, ny, nz) -> Column:
     """Nearest horizontal axis ('+x', '-x', '+z', '-z') of a wall normal, or 'floor' / 'ceiling' (y up). Ties go to z."""
     nx, ny, nz = col(nx), col(ny), col(nz)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions import geometry as G
+from voxloom.session import stored
 
 #: Table contracts of the spatial engine.
 POINTS = "pid long, x double, y double, z double, r double, g double, b double"
@@ -93,14 +96,39 @@ def voxels(points: DataFrame, size: float, values: tuple[str, ...]) -> DataFrame
     return points.select(*at, *values).groupBy("vx", "vy", "vz").agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(c) for c in values))
 
 
+def quantiles(df: DataFrame, keys: list[str], value: Column, probs: tuple[float, ...]) -> DataFrame:
+    """(keys, q0, q1, ...): exact quantiles of each key, interpolated between ranks; nulls and NaN don't count.
+
+    Values are counted, range partitioned and written once; a value's rank is the number of
+    its key's rows in earlier ranges and before it in its own, so no task holds a whole key.
+    """
+    v = df.select(*keys, value.cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
+    v = v.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    part = stored(v.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()), "sorted")
+    n = part.groupBy(*keys, "_part").agg(F.sum("_c").alias("_n"))
+    # one row per key and range
+    w = Window.partitionBy(*keys)
+    base = n.withColumns({"_base": F.coalesce(F.sum("_n").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_total": F.sum("_n").over(w)}).drop("_n")
+    base = base.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_part").alias("_of"), "_base", "_total")
+    same = [F.col("_part") == F.col("_of"), *(F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys))]
+    placed = part.join(base, reduce(lambda a, b: a & b, same)).drop("_of", *(f"_k{i}" for i in range(len(keys))))
+    placed = placed.withColumn("_end", F.col("_base") + F.sum("_c").over(Window.partitionBy(*keys, "_part").orderBy("_v")))
+    place = lambda p: (F.col("_total") - 1) * F.lit(float(p))
+    holds = lambda at: (at >= F.col("_end") - F.col("_c")) & (at < F.col("_end"))
+    low = lambda p: F.max(F.when(holds(F.floor(place(p))), F.col("_v")))
+    high = lambda p: F.max(F.when(holds(F.ceil(place(p))), F.col("_v")))
+    share = lambda p: F.max(place(p) - F.floor(place(p)))
+    wanted = reduce(lambda a, b: a | b, [holds(F.floor(place(p))) | holds(F.ceil(place(p))) for p in probs])
+    return placed.where(wanted).groupBy(*keys).agg(*((low(p) + (high(p) - low(p)) * share(p)).alias(f"q{i}") for i, p in enumerate(probs)))
+
+
 def error_stats(df: DataFrame, error: Column, below: tuple[float, ...] = ()) -> DataFrame:
     """Mean, exact p50 / p90 / p95, maximum, and the share under each bound."""
     e = df.select(error.alias("e"))
-    q = lambda p: F.percentile("e", F.lit(p))
-    return e.agg(
-        F.count(F.lit(1)).alias("n"), F.avg("e").alias("mean"), q(0.5).alias("p50"), q(0.9).alias("p90"), q(0.95).alias("p95"), F.max("e").alias("max"),
-        *(F.avg(F.when(F.col("e") < b, 1.0).otherwise(0.0)).alias(f"below_{str(b).replace('.', '_')}") for b in below),
-    )
+    q = quantiles(e, [], F.col("e"), (0.5, 0.9, 0.95)).toDF("p50", "p90", "p95")
+    rest = e.agg(F.count(F.lit(1)).alias("n"), F.avg("e").alias("mean"), F.max("e").alias("max"), *(F.avg(F.when(F.col("e") < b, 1.0).otherwise(0.0)).alias(f"below_{str(b).replace('.', '_')}") for b in below))
+    # one row each
+    return rest.crossJoin(F.broadcast(q)).select("n", "mean", "p50", "p90", "p95", "max", *rest.columns[3:])
 
 
 def bilinear(samples: DataFrame, pixels: DataFrame, width: int, height: int, channels: tuple[str, ...]) -> DataFrame:
@@ -131,7 +159,7 @@ def shift_correlation(a: DataFrame, b: DataFrame, width: int, shifts: int, least
         "shift", F.pmod(F.col("pu") + (F.col("shift") * F.lit(width // shifts)), F.lit(width)).cast("int").alias("pu"), "pv", F.col("depth").alias("other")
     )
     both = a.select("pu", "pv", "depth").join(moved, ["pu", "pv"])
-    scale = both.groupBy("shift").agg(F.percentile(F.col("depth") / F.col("other"), F.lit(0.5)).alias("scale"))
+    scale = quantiles(both, ["shift"], F.col("depth") / F.col("other"), (0.5,)).withColumnRenamed("q0", "scale")
     # one row per shift
     scaled = both.join(F.broadcast(scale), "shift")
     return (
@@ -143,17 +171,12 @@ def shift_correlation(a: DataFrame, b: DataFrame, width: int, shifts: int, least
 
 def low_density_trim(df: DataFrame, value: str, quantile: float) -> DataFrame:
     """Rows at or above the exact quantile of ``value``."""
-    cut = df.agg(F.percentile(value, F.lit(quantile)).alias("_cut"))
+    cut = quantiles(df, [], F.col(value), (quantile,)).toDF("_cut")
     return df.crossJoin(F.broadcast(cut)).where(F.col(value) >= F.col("_cut")).drop("_cut")
 
 
 def percentile_stretch(df: DataFrame, value: str, low: float, high: float, out: str) -> DataFrame:
     """``value`` clipped and scaled so that its two quantiles become 0 and 1."""
-    q = df.agg(F.percentile(value, F.lit(low)).alias("_lo"), F.percentile(value, F.lit(high)).alias("_hi"))
+    q = quantiles(df, [], F.col(value), (low, high)).toDF("_lo", "_hi")
     s = F.coalesce(F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
     return df.crossJoin(F.broadcast(q)).withColumn(out, G.clamp(s, 0.0, 1.0)).drop("_lo", "_hi")
-
-
-def normal_ranked(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """First row of each key in an order that has no ties."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

@@ -121,10 +121,10 @@ def q_color_error(spark, sf):
     pts = cloud(spark, sf).where("r <= 1 and g <= 1 and b <= 1")
     pts = C.with_ciede2000(C.with_lab(C.with_lab(pts, ("r", "g", "b"), "p"), ("b", "r", "g"), "q"), "p", "q", "de")
     l2 = F.sqrt(F.pow(F.col("r") - F.col("b"), 2) + F.pow(F.col("g") - F.col("r"), 2) + F.pow(F.col("b") - F.col("g"), 2))
-    return pts.select("g", "de", l2.alias("l2"), (F.col("b") - F.col("r")).alias("bias")).groupBy(F.round("g", 2).alias("g")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("de"), 5).alias("de"), F.round(F.percentile("l2", F.lit(0.5)), 6).alias("l2"), F.round(F.avg("bias"), 6).alias("bias"),
-        F.round(F.avg(F.when(F.col("de") < 5, 1.0).otherwise(0.0)), 6).alias("under5"),
-    )
+    e = pts.select(F.round("g", 2).alias("g"), "de", l2.alias("l2"), (F.col("b") - F.col("r")).alias("bias"))
+    middle = P.quantiles(e, ["g"], F.col("l2"), (0.5,))
+    rest = e.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("de"), 5).alias("de"), F.round(F.avg("bias"), 6).alias("bias"), F.round(F.avg(F.when(F.col("de") < 5, 1.0).otherwise(0.0)), 6).alias("under5"))
+    return rest.join(middle, "g").select("g", "n", "de", F.round("q0", 6).alias("l2"), "bias", "under5")
 
 
 def q_low_density_trim(spark, sf):
@@ -143,7 +143,7 @@ def q_percentile_stretch(spark, sf):
 
 def q_height_band(spark, sf):
     pts = cloud(spark, sf)
-    q = pts.agg(F.percentile("z", F.lit(0.05)).alias("floor"), F.percentile("z", F.lit(0.95)).alias("ceiling"))
+    q = P.quantiles(pts, [], F.col("z"), (0.05, 0.95)).toDF("floor", "ceiling")
     band = pts.crossJoin(F.broadcast(q)).where((F.col("z") > F.col("floor") + 0.3) & (F.col("z") < F.col("ceiling") - 0.3))
     return band.groupBy("y").agg(F.count(F.lit(1)).alias("n")).select(F.round("y", 4).alias("y"), "n")
 

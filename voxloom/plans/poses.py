@@ -228,6 +228,24 @@ def q_rotation_scores(spark, sf):
     return both.groupBy("r").agg(F.count_if(hit).alias("score")).orderBy(F.col("score").desc(), "r").limit(6)
 
 
+def q_camera_points(spark, sf):
+    """Points in the frames of cameras with full rotations."""
+    cams = spark.sql("SELECT * FROM VALUES (0, 0.3D, 0.2D, -0.1D), (1, -1.2D, 0.7D, 0.4D), (2, 2.5D, -0.6D, 1.1D) AS t(cam, yaw, pitch, roll)")
+    rot = G.rotation_from_ypr("yaw", "pitch", "roll")
+    cams = cams.select("cam", *(rot[i][j].alias(f"m{i}{j}") for i in range(3) for j in range(3)))
+    at = lines3d(spark, sf).crossJoin(F.broadcast(cams))
+    c = at.select("cam", *(v.alias(k) for v, k in zip(G.world_to_camera(A.S, MATRIX, (1.0, 2.0, 0.5)), "xyz", strict=True)))
+    return c.groupBy("cam").agg(F.count(F.lit(1)).alias("n"), *(F.round(F.sum(k), 4).alias(k) for k in "xyz"))
+
+
+def q_rotation_angles(spark, sf):
+    """Yaw, pitch and roll of rotations made of them come back."""
+    n = table(spark, sf, "nation").select("n_nationkey", (F.col("n_nationkey") * 0.25 - 3).alias("yaw"), (F.col("n_nationkey") * 0.1 - 1.2).alias("pitch"), (F.col("n_nationkey") * -0.2 + 2).alias("roll"))
+    rot = G.rotation_from_ypr("yaw", "pitch", "roll")
+    m = n.select("n_nationkey", *(rot[i][j].alias(f"m{i}{j}") for i in range(3) for j in range(3)))
+    return m.select("n_nationkey", *(F.round(v, 6).alias(k) for v, k in zip(G.ypr_of(MATRIX), ("yaw", "pitch", "roll"), strict=True)))
+
+
 def q_position_grid(spark, sf):
     """Positions every half metre over the lines' box, at 45 % of its height."""
     s = lines3d(spark, sf)
@@ -294,6 +312,9 @@ SQL = {
  k AS (SELECT *, dx * dx + dy * dy + dz * dz AS a, dx * gx + dy * gy + dz * gz AS b, gx * gx + gy * gy + gz * gz AS c, dx * wx + dy * wy + dz * wz AS f, gx * wx + gy * wy + gz * wz AS g FROM p), s AS (SELECT *, (b * g - c * f) / (a * c - b * b) AS s, (a * g - b * f) / (a * c - b * b) AS t FROM k),
  h AS (SELECT *, sqrt(pow(wx + s * dx - t * gx, 2) + pow(wy + s * dy - t * gy, 2) + pow(wz + s * dz - t * gz, 2)) AS gap FROM s) SELECT id, o_id, round((sx + s * dx + ox + t * gx) / 2, 6) AS x, round((sy + s * dy + oy + t * gy) / 2, 6) AS y, round((sz + s * dz + oz + t * gz) / 2, 6) AS z FROM h WHERE s BETWEEN 0 AND 1 AND t BETWEEN 0 AND 1 AND gap < 0.35""",
     "rotation_scores": f"WITH {ARCS}, {TURNS_SQL} SELECT r, count(*) FILTER (abs(m00 * nx + m01 * ny + m02 * nz + 0.2::DOUBLE * (m20 * nx + m21 * ny + m22 * nz)) > 0.9) AS score FROM arcs, turns GROUP BY r ORDER BY score DESC, r LIMIT 6",
+    "camera_points": f"""WITH {LINES}, c AS (SELECT * FROM (VALUES (0, 0.3::DOUBLE, 0.2::DOUBLE, -0.1::DOUBLE), (1, -1.2, 0.7, 0.4), (2, 2.5, -0.6, 1.1)) t(cam, w, p, r)), d AS (SELECT cam, w, p, r, sx - 1 AS x, sy - 2 AS y, sz - 0.5 AS z FROM lines, c)
+ SELECT cam, count(*) AS n, round(sum(cos(w) * cos(p) * x + (cos(w) * sin(p) * sin(r) - sin(w) * cos(r)) * y + (cos(w) * sin(p) * cos(r) + sin(w) * sin(r)) * z), 4) AS x, round(sum(sin(w) * cos(p) * x + (sin(w) * sin(p) * sin(r) + cos(w) * cos(r)) * y + (sin(w) * sin(p) * cos(r) - cos(w) * sin(r)) * z), 4) AS y, round(sum(-sin(p) * x + cos(p) * sin(r) * y + cos(p) * cos(r) * z), 4) AS z FROM d GROUP BY cam""",
+    "rotation_angles": "SELECT n_nationkey, round(n_nationkey * 0.25::DOUBLE - 3, 6) AS yaw, round(n_nationkey * 0.1::DOUBLE - 1.2, 6) AS pitch, round(n_nationkey * -0.2::DOUBLE + 2, 6) AS roll FROM nation",
     "position_grid": f"WITH {LINES}, e AS (SELECT min(least(sx, ex)) AS x0, max(greatest(sx, ex)) AS x1, min(least(sy, ey)) AS y0, max(greatest(sy, ey)) AS y1, min(least(sz, ez)) AS z0, max(greatest(sz, ez)) AS z1 FROM lines) SELECT i::INT AS i, j::INT AS j, round(x0 + 0.5::DOUBLE * i, 6) AS x, round(y0 + 0.5::DOUBLE * j, 6) AS y, round(z0 + 0.45::DOUBLE * (z1 - z0), 6) AS z FROM e, range(1000) a(i), range(1000) b(j) WHERE i <= floor((x1 - x0) / 0.5) AND j <= floor((y1 - y0) / 0.5)",
     "signed_rotations": f"WITH {UNIT} SELECT d::INT AS det, 24::BIGINT AS n, round(sum(8 * (abs(x) + abs(y) + abs(z))), 4) AS s FROM un, (VALUES (1), (-1)) t(d) GROUP BY d",
 }
