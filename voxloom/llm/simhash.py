@@ -29,7 +29,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.llm.common import bounded, materialise
@@ -187,8 +187,8 @@ def tiles(distinct: DataFrame, n_tiles: int, words: int, radius: int, first_radi
     return ordered.select("fp", "node", "_part").mapInPandas(run, TILES)
 
 
-def links(distinct: DataFrame, radius: int, words: int, first_radius: int | None = None) -> DataFrame:
-    """Edges (a, b) of a forest with the components of all links among distinct (fp, node)."""
+def links(distinct: DataFrame, radius: int, words: int, first_radius: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Forests (a, b) with the components of all links among distinct (fp, node): nodes and their roots within a tile, and roots across tiles."""
     first_radius = radius if first_radius is None else first_radius
     n = distinct.count()
     stored = materialise(tiles(distinct, max(1, -(-n // TILE)), words, radius, first_radius), "tiles")
@@ -214,15 +214,16 @@ def links(distinct: DataFrame, radius: int, words: int, first_radius: int | None
         by = {t: (np.frombuffer(f, dtype="<u8").reshape(-1, words), np.frombuffer(i, dtype="<i8"), np.frombuffer(r, dtype="<i4").astype(np.int64)) for t, f, i, r in zip(frame["tile"], frame["fps"], frame["ids"], frame["roots"], strict=True)}
         (fa, ia, ra), (fb, ib, rb) = by[a], by[b]
         i, j = compare(fa, fb, radius, first_radius, False, np.concatenate([ra, rb + len(ra)]))
-        return pd.DataFrame({"a": ia[i], "b": ib[j]})
+        return pd.DataFrame({"a": ia[ra[i]], "b": ib[rb[j]]})
 
     dealt = stored.mapInPandas(pairs, "a long, b long, tile long, fps binary, ids binary, roots binary")
     across = spread_pairs(dealt, len(meta)).groupBy("a", "b").applyInPandas(run, "a long, b long")
-    return stored.select("ids", "roots").mapInPandas(within, "a long, b long").unionByName(across)
+    return stored.select("ids", "roots").mapInPandas(within, "a long, b long"), across
 
 
-def _digest(edges: DataFrame):
-    return edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+def _watched(edges: DataFrame, state: Observation) -> DataFrame:
+    """``edges`` whose number and sum of hashes are taken while they are written."""
+    return edges.observe(state, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
 
 
 def spread_pairs(dealt: DataFrame, n_tiles: int) -> DataFrame:
@@ -231,27 +232,32 @@ def spread_pairs(dealt: DataFrame, n_tiles: int) -> DataFrame:
     return dealt.repartition(max(1, min(pairs, MAX_TASKS)), "a", "b")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable, by alternating large and small stars.
+def components(stars: DataFrame, across: DataFrame) -> DataFrame:
+    """(node, component) of every node that is not its component's label.
 
-    Every round is stored; rounds grow with the logarithm of the longest path, and the loop
-    ends only when a round changes nothing.
+    ``stars``: (a, b) of a node and its root within a tile; ``across``: (a, b) of two roots.
+    Only roots take part in the rounds of alternating large and small stars; every round is
+    stored, and the loop ends when a round changes nothing. Rounds grow with the logarithm
+    of the longest path of roots.
     """
-    both = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    was = _digest(both)
-    while True:
+    state = Observation()
+    both = materialise(_watched(across.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), state), "edges")
+    was = state.get
+    while was["n"]:
         around = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = around.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = around.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         nxt = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        nxt = materialise(nxt, "edges")
-        both, now = nxt, _digest(nxt)
+        state = Observation()
+        both, now = materialise(_watched(nxt, state), "edges"), state.get
         if now == was:
             break
         was = now
-    return both.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = both.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    root = both.select(F.col("u").alias("b"), F.col("v").alias("top"))
+    return roots.union(stars.join(root, "b", "left").select("a", F.coalesce("top", "b")))
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, words: int = 1, first_radius: int | None = None) -> DataFrame:
@@ -259,7 +265,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, words: int = 1
     stored = materialise(fingerprints(docs, k, words), "fingerprints")
     # a node is a fingerprint; it is numbered where it is stored, once
     distinct = materialise(stored.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "distinct")
-    found = components(links(distinct, radius, words, first_radius))
+    found = components(*links(distinct, radius, words, first_radius))
     linked = distinct.join(found, "node", "left").withColumn("class", F.coalesce("component", "node"))
     named = linked.groupBy("class").agg(F.min("least").alias("component_id"))
     return stored.join(linked.join(named, "class").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
@@ -315,8 +321,8 @@ def similar(a: list[np.ndarray], b: list[np.ndarray], ca: np.ndarray, cb: np.nda
     return left, right
 
 
-def similar_links(sets: DataFrame, least: float) -> DataFrame:
-    """Edges (a, b) of a forest with the components of all similar pairs of (doc_id, class, n, shingles) within a class.
+def similar_links(sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Forests (a, b), as ``links`` gives them, with the components of all similar pairs of (doc_id, class, n, shingles) within a class.
 
     Sets lie in tiles in order of class, so that a tile meets only those that share a class
     with it. A tile is bounded in rows and in bytes (one longer set is a tile by itself).
@@ -375,10 +381,10 @@ def similar_links(sets: DataFrame, least: float) -> DataFrame:
             by[row.tile] = (found, *(np.frombuffer(getattr(row, c), dtype="<i8") for c in ("classes", "ids", "roots")))
         (sa, ca, ia, ra), (sb, cb, ib, rb) = by[key[0]], by[key[1]]
         i, j = similar(sa, sb, ca, cb, least, False, np.concatenate([ra, rb + len(ra)]))
-        return pd.DataFrame({"a": ia[np.array(i, dtype=int)], "b": ib[np.array(j, dtype=int)]})
+        return pd.DataFrame({"a": ia[ra[np.array(i, dtype=int)]], "b": ib[rb[np.array(j, dtype=int)]]})
 
     dealt = stored.mapInPandas(pairs, "a long, b long, tile long, ids binary, classes binary, sizes binary, sets binary, roots binary")
-    return stored.select("ids", "roots").mapInPandas(within, "a long, b long").unionByName(spread_pairs(dealt, len(meta)).groupBy("a", "b").applyInPandas(run, "a long, b long"))
+    return stored.select("ids", "roots").mapInPandas(within, "a long, b long"), spread_pairs(dealt, len(meta)).groupBy("a", "b").applyInPandas(run, "a long, b long")
 
 
 def similar_classes(docs: DataFrame, k: int, least: float, radius: int, words: int, first_radius: int) -> DataFrame:
@@ -389,12 +395,12 @@ def similar_classes(docs: DataFrame, k: int, least: float, radius: int, words: i
     """
     stored = materialise(shingle_sets(docs, k, words, False), "fingerprints")
     distinct = materialise(stored.groupBy("fp", "digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "distinct")
-    near = components(links(distinct.where("n > 0").select("fp", F.col("doc_id").alias("node")), radius, words, first_radius))
-    # a component's smallest node is not among its nodes
+    near = components(*links(distinct.where("n > 0").select("fp", F.col("doc_id").alias("node")), radius, words, first_radius))
+    # the node that names a component is not among its nodes
     candidates = materialise(near.union(near.select("component", "component")).distinct(), "candidates")
     texts = docs.join(candidates, docs["doc_id"] == candidates["node"]).select("doc_id", "text", "component")
     sets = materialise(shingle_sets(texts, k, words, True).select("doc_id", "n", "shingles"), "sets").join(candidates.select(F.col("node").alias("doc_id"), F.col("component").alias("class")), "doc_id")
-    found = components(similar_links(sets, least))
+    found = components(*similar_links(sets, least))
     classes = distinct.join(found, distinct["doc_id"] == found["node"], "left").select("fp", "digest", F.coalesce("component", "doc_id").alias("component_id"))
     return stored.join(classes, ["fp", "digest"]).select("doc_id", "component_id")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions import geometry as G
@@ -12,13 +12,13 @@ from voxloom.operators.joins import components
 
 
 def plane_lines(planes: DataFrame, parallel: float = 0.99) -> DataFrame:
-    """(a, b, point, direction) of the crossing lines of all plane pairs a < b that are not near parallel.
+    """(a, b, point, direction) of the crossing lines of all plane pairs a < b of one room that are not near parallel.
 
-    ``planes``: (pid, nx, ny, nz, d) with unit normals and n . p + d = 0. The point is the
+    ``planes``: (room, pid, nx, ny, nz, d) with unit normals and n . p + d = 0. The point is the
     one of the line that is nearest to the origin.
     """
     o = planes.select(*(F.col(c).alias("o_" + c) for c in planes.columns))
-    pairs = planes.join(o, F.col("pid") < F.col("o_pid")).withColumn("dot", G.dot(("nx", "ny", "nz"), ("o_nx", "o_ny", "o_nz"))).where(F.abs("dot") < parallel)
+    pairs = planes.join(o, (F.col("room") == F.col("o_room")) & (F.col("pid") < F.col("o_pid"))).withColumn("dot", G.dot(("nx", "ny", "nz"), ("o_nx", "o_ny", "o_nz"))).where(F.abs("dot") < parallel)
     ux, uy, uz = G.cross(("nx", "ny", "nz"), ("o_nx", "o_ny", "o_nz"))
     den = F.lit(1.0) - F.col("dot") * F.col("dot")
     k1, k2 = (F.col("o_d") * F.col("dot") - F.col("d")) / den, (F.col("d") * F.col("dot") - F.col("o_d")) / den
@@ -99,14 +99,19 @@ def translation_grid(points: DataFrame, n: int) -> DataFrame:
     return axes.select(F.explode("x").alias("x"), "y", "z").select("x", F.explode("y").alias("y"), "z").select("x", "y", F.explode("z").alias("z"))
 
 
-def orthogonal_triple(directions: DataFrame, limit: float = 0.1) -> DataFrame:
-    """First (i, j, k) by rank of three directions whose pairwise |cos| is below the limit."""
-    d = directions.select("i", "x", "y", "z")
-    named = lambda p: d.select(*(F.col(c).alias(p + c) for c in ("i", "x", "y", "z")))
+def orthogonal_triple(directions: DataFrame, limit: float = 0.1, keep: int = 60) -> DataFrame:
+    """First (i, j, k) by rank of three directions whose pairwise |cos| is below the limit, among the ``keep`` longest.
+
+    ``directions``: (i, x, y, z, length). Ranks go by length, ties to the smaller i; a scene has few main directions.
+    """
+    top = directions.orderBy(F.col("length").desc(), "i").limit(keep)
+    # at most ``keep`` rows from here on
+    d = top.withColumn("n", F.row_number().over(Window.orderBy(F.col("length").desc(), "i"))).select("n", "i", "x", "y", "z")
+    named = lambda p: d.select(*(F.col(c).alias(p + c) for c in ("n", "i", "x", "y", "z")))
     off = lambda p, q: F.abs(G.dot((p + "x", p + "y", p + "z"), (q + "x", q + "y", q + "z"))) < limit
-    ab = named("a").join(named("b"), F.col("ai") < F.col("bi")).where(off("a", "b"))
-    abc = ab.join(named("c"), F.col("bi") < F.col("ci")).where(off("a", "c") & off("b", "c"))
-    return abc.agg(F.min(F.struct("ai", "bi", "ci")).alias("_m")).where("_m is not null").select(F.col("_m.ai").alias("i"), F.col("_m.bi").alias("j"), F.col("_m.ci").alias("k"))
+    ab = named("a").join(F.broadcast(named("b")), F.col("an") < F.col("bn")).where(off("a", "b"))
+    abc = ab.join(F.broadcast(named("c")), F.col("bn") < F.col("cn")).where(off("a", "c") & off("b", "c"))
+    return abc.agg(F.min(F.struct("an", "bn", "cn", "ai", "bi", "ci")).alias("_m")).where("_m is not null").select(F.col("_m.ai").alias("i"), F.col("_m.bi").alias("j"), F.col("_m.ci").alias("k"))
 
 
 def octahedron_lines(points: DataFrame, radius: float) -> DataFrame:

@@ -17,7 +17,8 @@ ARCS = """arcs AS (SELECT id, pano, grp, sx, sy, sz, ex, ey, ez, nx / k AS nx, n
  (SELECT vec_id AS id, label % 4 AS pano, vec_id % 3 AS grp, px / a AS sx, py / a AS sy, pz / a AS sz, qx / b AS ex, qy / b AS ey, qz / b AS ez FROM (SELECT *, greatest(sqrt(px * px + py * py + pz * pz), 1e-10) AS a, greatest(sqrt(qx * qx + qy * qy + qz * qz), 1e-10) AS b FROM
  (SELECT vec_id, label, embedding[1]::DOUBLE AS px, embedding[2]::DOUBLE AS py, embedding[3]::DOUBLE AS pz, embedding[4]::DOUBLE AS qx, embedding[5]::DOUBLE AS qy, embedding[6]::DOUBLE AS qz FROM embeddings))))) WHERE k > 1e-6)"""
 CENTRES = "cen AS (SELECT s_suppkey AS k, s_suppkey % 50 + 0.5::DOUBLE AS x, (s_suppkey * 7) % 100 + 0.5::DOUBLE AS z FROM supplier)"
-SEG = """seg AS (SELECT s_suppkey AS id, s_suppkey % 3 AS grp, (s_suppkey % 7)::DOUBLE AS px, (s_suppkey % 5)::DOUBLE AS py, (s_suppkey % 4)::DOUBLE AS pz,
+#: Segments stand in rooms of 60, 40 apart.
+SEG = """seg AS (SELECT s_suppkey AS id, s_suppkey % 3 AS grp, (s_suppkey % 7 + s_suppkey // 60 * 40)::DOUBLE AS px, (s_suppkey % 5)::DOUBLE AS py, (s_suppkey % 4)::DOUBLE AS pz,
  CASE WHEN s_suppkey % 3 = 0 THEN 1.0::DOUBLE ELSE 0.05 END AS dx, CASE WHEN s_suppkey % 3 = 1 THEN 1.0::DOUBLE ELSE 0.05 END AS dy, CASE WHEN s_suppkey % 3 = 2 THEN 1.0::DOUBLE ELSE 0.05 END AS dz FROM supplier)"""
 
 
@@ -32,7 +33,7 @@ def centres(spark, sf):
 def segments(spark, sf):
     c = F.col("s_suppkey")
     return table(spark, sf, "supplier").select(
-        c.alias("id"), (c % 3).alias("grp"), (c % 7).cast("double").alias("px"), (c % 5).cast("double").alias("py"), (c % 4).cast("double").alias("pz"),
+        c.alias("id"), (c % 3).alias("grp"), (c % 7 + F.floor(c / 60) * 40).cast("double").alias("px"), (c % 5).cast("double").alias("py"), (c % 4).cast("double").alias("pz"),
         *(F.when(c % 3 == k, 1.0).otherwise(0.05).alias(n) for k, n in enumerate(("dx", "dy", "dz"))),
     )
 
@@ -91,9 +92,10 @@ def q_chamfer_filter(spark, sf):
 
 def q_scale_candidates(spark, sf):
     p = table(spark, sf, "part")
-    a = p.select("p_brand", F.col("p_partkey").alias("ka"), F.col("p_retailprice").alias("ea"))
-    b = p.select("p_brand", F.col("p_partkey").alias("kb"), F.col("p_retailprice").alias("eb"))
-    ratio = a.join(b, "p_brand").where("ka < kb").select((F.col("ea") / F.col("eb")).alias("s")).where("s BETWEEN 0.2 AND 2.5")
+    plan = F.floor(F.col("p_partkey") / 100).alias("plan")  # edges of one floor plan are compared
+    a = p.select(plan, F.col("p_partkey").alias("ka"), F.col("p_retailprice").alias("ea"))
+    b = p.select(plan, F.col("p_partkey").alias("kb"), F.col("p_retailprice").alias("eb"))
+    ratio = a.join(b, "plan").where("ka < kb").select((F.col("ea") / F.col("eb")).alias("s")).where("s BETWEEN 0.2 AND 2.5")
     return ratio.groupBy(G.histogram_bin("s", 0.2, 2.5, 200).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -105,9 +107,11 @@ def q_corner_pair_ratios(spark, sf):
 
 
 def q_line_intersections(spark, sf):
-    a = segments(spark, sf)
-    b = a.select(*(F.col(c).alias("o_" + c) for c in a.columns))
-    pairs = a.join(b, (F.col("grp") + 1) % 3 == F.col("o_grp"))
+    # segments that meet have their middles within 5 of each other
+    a = segments(spark, sf).withColumns({f"m{c}": F.col(f"p{c}") + 2 * F.col(f"d{c}") for c in "xyz"})
+    middle = ["mx", "my", "mz"]
+    b = a.select(*(F.col(c).alias("o_" + c) for c in a.columns), *(c.alias(f"_k{i}") for i, c in enumerate(J.cells(middle, 5.0))))
+    pairs = J.spread(a, middle, 5.0).join(b, ["_k0", "_k1", "_k2"]).where((F.col("grp") + 1) % 3 == F.col("o_grp"))
     k = J.closest_approach(["px", "py", "pz"], ["dx", "dy", "dz"], ["o_px", "o_py", "o_pz"], ["o_dx", "o_dy", "o_dz"])
     hit = pairs.withColumns({n: v for n, v in k.items()}).where("s BETWEEN -0.2 AND 4.2 AND t BETWEEN -0.2 AND 4.2 AND gap < 0.2")
     return hit.select("id", "o_id", "grp", *(F.round(F.col("p" + c) + F.col("s") * F.col("d" + c), 6).alias(c) for c in "xyz"), F.round("gap", 6).alias("gap"))
@@ -162,9 +166,10 @@ def q_name_lookup(spark, sf):
 
 def q_aspect_match(spark, sf):
     p = table(spark, sf, "part")
-    a = p.where("p_size <= 25").select("p_brand", F.col("p_partkey").alias("a"), (F.col("p_retailprice") / F.col("p_size")).alias("ra"))
-    b = p.where("p_size > 25").select("p_brand", F.col("p_partkey").alias("b"), (F.col("p_retailprice") / F.col("p_size")).alias("rb"))
-    pairs = a.join(b, "p_brand").select("a", "b", F.abs(F.col("ra") - F.col("rb")).alias("d"))
+    plan = F.floor(F.col("p_partkey") / 200).alias("plan")  # rooms of one floor plan
+    a = p.where("p_size <= 25").select("p_brand", plan, F.col("p_partkey").alias("a"), (F.col("p_retailprice") / F.col("p_size")).alias("ra"))
+    b = p.where("p_size > 25").select("p_brand", plan, F.col("p_partkey").alias("b"), (F.col("p_retailprice") / F.col("p_size")).alias("rb"))
+    pairs = a.join(b, ["plan", "p_brand"]).select("a", "b", F.abs(F.col("ra") - F.col("rb")).alias("d"))
     r = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
     # a room with one candidate is matched, but has no runner-up to compare with
     two = pairs.withColumn("k", r).where("k <= 2").groupBy("a").agg(F.min_by("b", "k").alias("b"), F.min("d").alias("d"), F.max(F.when(F.col("k") == 2, F.col("d"))).alias("second"))
@@ -230,7 +235,7 @@ SQL = {
  reach AS (SELECT a AS n, b AS m FROM e UNION SELECT reach.n, e.b FROM reach JOIN e ON reach.m = e.a), c AS (SELECT n, least(n, min(m)) AS k FROM reach GROUP BY n)
  SELECT k AS component, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM c JOIN v ON v.vec_id = c.n GROUP BY k""",
     "chamfer_filter": f"WITH {VEC} SELECT vec_id FROM v a WHERE vec_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM v b WHERE b.vec_id % 2 = 1 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 0.06 * 0.06::DOUBLE)",
-    "scale_candidates": "WITH s AS (SELECT a.p_retailprice / b.p_retailprice AS s FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey) SELECT least(CAST(floor((s - 0.2::DOUBLE) / ((2.5::DOUBLE - 0.2::DOUBLE) / 200)) AS INT), 199) AS bin, count(*) AS n FROM s WHERE s BETWEEN 0.2 AND 2.5 GROUP BY 1",
+    "scale_candidates": "WITH s AS (SELECT a.p_retailprice / b.p_retailprice AS s FROM part a JOIN part b ON a.p_partkey // 100 = b.p_partkey // 100 AND a.p_partkey < b.p_partkey) SELECT least(CAST(floor((s - 0.2::DOUBLE) / ((2.5::DOUBLE - 0.2::DOUBLE) / 200)) AS INT), 199) AS bin, count(*) AS n FROM s WHERE s BETWEEN 0.2 AND 2.5 GROUP BY 1",
     "corner_pair_ratios": "SELECT a.n_nationkey AS k, b.n_nationkey AS o_k, round(sqrt(pow(a.n_nationkey % 5 - b.n_nationkey % 5, 2) + pow(a.n_nationkey // 5 - b.n_nationkey // 5, 2)), 6) AS d FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
     "line_intersections": f"""WITH {SEG}, p AS (SELECT a.*, b.id AS o_id, b.dx AS ex, b.dy AS ey, b.dz AS ez, a.px - b.px AS wx, a.py - b.py AS wy, a.pz - b.pz AS wz FROM seg a JOIN seg b ON (a.grp + 1) % 3 = b.grp),
  k AS (SELECT *, dx * dx + dy * dy + dz * dz AS a, dx * ex + dy * ey + dz * ez AS b, ex * ex + ey * ey + ez * ez AS c, dx * wx + dy * wy + dz * wz AS f, ex * wx + ey * wy + ez * wz AS g FROM p),
@@ -245,7 +250,7 @@ SQL = {
  r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS ra, row_number() OVER (PARTITION BY b ORDER BY d, a) AS rb FROM p) SELECT a, b, round(d, 8) AS d FROM r WHERE ra = 1 AND rb = 1""",
     "merge_offsets": "WITH n AS (SELECT CAST(o_custkey % 16 AS INT) AS tile, count(*) AS n_vertices FROM orders GROUP BY 1) SELECT tile, n_vertices, CAST(coalesce(sum(n_vertices) OVER (ORDER BY tile ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM n",
     "name_lookup": "SELECT coalesce(n_name, '(skipped)') AS name, count(*) AS n FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey + CASE WHEN c_custkey % 10 = 0 THEN 100 ELSE 0 END GROUP BY 1",
-    "aspect_match": """WITH p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, abs(a.p_retailprice / a.p_size - b.p_retailprice / b.p_size) AS d FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size <= 25 AND b.p_size > 25),
+    "aspect_match": """WITH p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, abs(a.p_retailprice / a.p_size - b.p_retailprice / b.p_size) AS d FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey // 200 = b.p_partkey // 200 AND a.p_size <= 25 AND b.p_size > 25),
  r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM p) SELECT x.a, x.b, round(x.d, 6) AS d, round(CASE WHEN x.d = 0 THEN NULL ELSE y.d / x.d END, 4) AS contrast FROM r x LEFT JOIN r y ON x.a = y.a AND y.k = 2 WHERE x.k = 1""",
     "boundary_distance": f"""WITH {CLOUD}, p AS (SELECT pid, min(x) AS x, min(z) AS y FROM pts GROUP BY pid), r AS (SELECT * FROM (VALUES (5.0::DOUBLE, 10.0::DOUBLE, 45.0::DOUBLE, 10.0::DOUBLE), (45, 10, 45, 80), (45, 80, 5, 60), (5, 60, 5, 10)) t(ax, ay, bx, b_y)),
  k AS (SELECT *, least(greatest(((x - ax) * (bx - ax) + (y - ay) * (b_y - ay)) / ((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)), 0), 1) AS t, (ay > y) <> (b_y > y) AND x < (bx - ax) * (y - ay) / (b_y - ay) + ax AS hit FROM p, r)

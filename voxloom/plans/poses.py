@@ -315,6 +315,6 @@ SQL = {
     "camera_points": f"""WITH {LINES}, c AS (SELECT * FROM (VALUES (0, 0.3::DOUBLE, 0.2::DOUBLE, -0.1::DOUBLE), (1, -1.2, 0.7, 0.4), (2, 2.5, -0.6, 1.1)) t(cam, w, p, r)), d AS (SELECT cam, w, p, r, sx - 1 AS x, sy - 2 AS y, sz - 0.5 AS z FROM lines, c)
  SELECT cam, count(*) AS n, round(sum(cos(w) * cos(p) * x + (cos(w) * sin(p) * sin(r) - sin(w) * cos(r)) * y + (cos(w) * sin(p) * cos(r) + sin(w) * sin(r)) * z), 4) AS x, round(sum(sin(w) * cos(p) * x + (sin(w) * sin(p) * sin(r) + cos(w) * cos(r)) * y + (sin(w) * sin(p) * cos(r) - cos(w) * sin(r)) * z), 4) AS y, round(sum(-sin(p) * x + cos(p) * sin(r) * y + cos(p) * cos(r) * z), 4) AS z FROM d GROUP BY cam""",
     "rotation_angles": "SELECT n_nationkey, round(n_nationkey * 0.25::DOUBLE - 3, 6) AS yaw, round(n_nationkey * 0.1::DOUBLE - 1.2, 6) AS pitch, round(n_nationkey * -0.2::DOUBLE + 2, 6) AS roll FROM nation",
-    "position_grid": f"WITH {LINES}, e AS (SELECT min(least(sx, ex)) AS x0, max(greatest(sx, ex)) AS x1, min(least(sy, ey)) AS y0, max(greatest(sy, ey)) AS y1, min(least(sz, ez)) AS z0, max(greatest(sz, ez)) AS z1 FROM lines) SELECT i::INT AS i, j::INT AS j, round(x0 + 0.5::DOUBLE * i, 6) AS x, round(y0 + 0.5::DOUBLE * j, 6) AS y, round(z0 + 0.45::DOUBLE * (z1 - z0), 6) AS z FROM e, range(1000) a(i), range(1000) b(j) WHERE i <= floor((x1 - x0) / 0.5) AND j <= floor((y1 - y0) / 0.5)",
+    "position_grid": f"WITH {LINES}, e AS (SELECT min(least(sx, ex)) AS x0, max(greatest(sx, ex)) AS x1, min(least(sy, ey)) AS y0, max(greatest(sy, ey)) AS y1, min(least(sz, ez)) AS z0, max(greatest(sz, ez)) AS z1 FROM lines) SELECT i::INT AS i, j::INT AS j, round(x0 + 0.5::DOUBLE * i, 6) AS x, round(y0 + 0.5::DOUBLE * j, 6) AS y, round(z0 + 0.45::DOUBLE * (z1 - z0), 6) AS z FROM e, range(20000) a(i), range(100) b(j) WHERE i <= floor((x1 - x0) / 0.5) AND j <= floor((y1 - y0) / 0.5)",
     "signed_rotations": f"WITH {UNIT} SELECT d::INT AS det, 24::BIGINT AS n, round(sum(8 * (abs(x) + abs(y) + abs(z))), 4) AS s FROM un, (VALUES (1), (-1)) t(d) GROUP BY d",
 }

@@ -20,7 +20,8 @@ def units(spark, sf):
 
 
 def q_plane_lines(spark, sf):
-    p = units(spark, sf).select(F.col("i").alias("pid"), *(F.col(c).alias("n" + c) for c in "xyz"), (F.col("i") % 5 - 2.0).alias("d"))
+    # planes meet within rooms of 40
+    p = units(spark, sf).select(F.floor(F.col("i") / 40).alias("room"), F.col("i").alias("pid"), *(F.col(c).alias("n" + c) for c in "xyz"), (F.col("i") % 5 - 2.0).alias("d"))
     return S.plane_lines(p).select("a", "b", *((F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("px", "py", "pz", "ux", "uy", "uz")))
 
 
@@ -49,7 +50,9 @@ def q_mask_components(spark, sf):
 
 
 def q_orthogonal_triple(spark, sf):
-    return S.orthogonal_triple(units(spark, sf))
+    v = vectors(spark, sf)
+    n = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    return S.orthogonal_triple(v.where(n > 1e-9).select(F.col("vec_id").alias("i"), *((F.col(c) / n).alias(c) for c in "xyz"), F.round(n, 9).alias("length")))
 
 
 def q_octahedra(spark, sf):
@@ -59,8 +62,9 @@ def q_octahedra(spark, sf):
 
 def q_scale_consensus(spark, sf):
     p = table(spark, sf, "part")
-    a, b = (p.select("p_brand", F.col("p_partkey").alias("k" + c), F.col("p_size").alias("e" + c)) for c in "ab")
-    ratio = a.join(b, "p_brand").where("ka < kb").select((F.col("ea") / F.col("eb")).alias("s"))
+    plan = F.floor(F.col("p_partkey") / 100).alias("plan")
+    a, b = (p.select(plan, F.col("p_partkey").alias("k" + c), F.col("p_size").alias("e" + c)) for c in "ab")
+    ratio = a.join(b, "plan").where("ka < kb").select((F.col("ea") / F.col("eb")).alias("s"))
     return S.histogram_consensus(ratio, F.col("s"), 0.2, 2.5, 200, 3, 5)
 
 
@@ -71,7 +75,7 @@ def q_translation_grid(spark, sf):
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 
 SQL = {
-    "plane_lines": f"""WITH {UNIT}, p AS (SELECT i, x, y, z, i % 5 - 2.0::DOUBLE AS d FROM un), q AS (SELECT a.i AS a, b.i AS b, a.x AS ax, a.y AS ay, a.z AS az, a.d AS ad, b.x AS bx, b.y AS b_y, b.z AS bz, b.d AS bd, a.x * b.x + a.y * b.y + a.z * b.z AS k FROM p a JOIN p b ON a.i < b.i),
+    "plane_lines": f"""WITH {UNIT}, p AS (SELECT i, x, y, z, i % 5 - 2.0::DOUBLE AS d FROM un), q AS (SELECT a.i AS a, b.i AS b, a.x AS ax, a.y AS ay, a.z AS az, a.d AS ad, b.x AS bx, b.y AS b_y, b.z AS bz, b.d AS bd, a.x * b.x + a.y * b.y + a.z * b.z AS k FROM p a JOIN p b ON a.i < b.i AND a.i // 40 = b.i // 40),
  r AS (SELECT *, (bd * k - ad) / (1 - k * k) AS s, (ad * k - bd) / (1 - k * k) AS t FROM q WHERE abs(k) < 0.99)
  SELECT a, b, round(s * ax + t * bx, 5) + 0.0::DOUBLE AS px, round(s * ay + t * b_y, 5) + 0.0::DOUBLE AS py, round(s * az + t * bz, 5) + 0.0::DOUBLE AS pz, round(ay * bz - az * b_y, 5) AS ux, round(az * bx - ax * bz, 5) AS uy, round(ax * b_y - ay * bx, 5) AS uz FROM r""",
     "ray_hits": """WITH t AS (SELECT s_suppkey AS face, (s_suppkey % 6)::DOUBLE AS ax, (s_suppkey % 7)::DOUBLE AS ay, s_suppkey % 5 + 1.0::DOUBLE AS az FROM supplier), r AS (SELECT n_nationkey AS ray, n_nationkey % 5 + 0.3::DOUBLE AS ox, n_nationkey % 4 + 0.4::DOUBLE AS oy FROM nation),
@@ -86,8 +90,9 @@ SQL = {
     "mask_components": f"""WITH RECURSIVE {MASK}, p AS (SELECT id * 64 + u AS u, v, v::BIGINT * 1048576 + id * 64 + u AS k FROM m), e AS (SELECT a.k AS a, b.k AS b FROM p a, (VALUES (-1), (0), (1)) s(i), (VALUES (-1), (0), (1)) t(j), p b WHERE b.u = a.u + i AND b.v = a.v + j AND a.k <> b.k),
  c(k, c) USING KEY (k) AS (SELECT k, k AS c FROM p UNION SELECT e.b, min(c.c) FROM c JOIN e ON c.k = e.a JOIN recurring.c AS r ON r.k = e.b WHERE c.c < r.c GROUP BY e.b)
  SELECT c AS component, count(*) AS n, min(u) AS u, min(v) AS v FROM c JOIN p USING (k) GROUP BY c HAVING count(*) >= 4""",
-    "orthogonal_triple": f"""WITH {UNIT}, d AS (SELECT * FROM un) SELECT a.i AS i, b.i AS j, c.i AS k FROM d a JOIN d b ON a.i < b.i AND abs(a.x * b.x + a.y * b.y + a.z * b.z) < 0.1 JOIN d c ON b.i < c.i AND abs(a.x * c.x + a.y * c.y + a.z * c.z) < 0.1 AND abs(b.x * c.x + b.y * c.y + b.z * c.z) < 0.1 ORDER BY 1, 2, 3 LIMIT 1""",
+    "orthogonal_triple": f"""WITH {VEC}, u AS (SELECT vec_id AS i, x / n AS x, y / n AS y, z / n AS z, row_number() OVER (ORDER BY round(n, 9) DESC, vec_id) AS n FROM (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM v) WHERE n > 1e-9), d AS (SELECT * FROM u WHERE n <= 60)
+ SELECT a.i AS i, b.i AS j, c.i AS k FROM d a JOIN d b ON a.n < b.n AND abs(a.x * b.x + a.y * b.y + a.z * b.z) < 0.1 JOIN d c ON b.n < c.n AND abs(a.x * c.x + a.y * c.y + a.z * c.z) < 0.1 AND abs(b.x * c.x + b.y * c.y + b.z * c.z) < 0.1 ORDER BY a.n, b.n, c.n LIMIT 1""",
     "octahedra": "SELECT k AS kind, count(*) * n AS n FROM nation, (VALUES ('v', 6), ('f', 8)) t(k, n) GROUP BY k, n",
-    "scale_consensus": """WITH s AS (SELECT a.p_size / b.p_size AS s FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey), h AS (SELECT least(CAST(floor((s - 0.2::DOUBLE) / ((2.5::DOUBLE - 0.2::DOUBLE) / 200)) AS INT), 199) AS bin, count(*) AS mass FROM s WHERE s BETWEEN 0.2 AND 2.5 GROUP BY 1)
+    "scale_consensus": """WITH s AS (SELECT a.p_size / b.p_size AS s FROM part a JOIN part b ON a.p_partkey // 100 = b.p_partkey // 100 AND a.p_partkey < b.p_partkey), h AS (SELECT least(CAST(floor((s - 0.2::DOUBLE) / ((2.5::DOUBLE - 0.2::DOUBLE) / 200)) AS INT), 199) AS bin, count(*) AS mass FROM s WHERE s BETWEEN 0.2 AND 2.5 GROUP BY 1)
  SELECT bin, mass FROM h t WHERE mass >= greatest((SELECT sum(mass) / 200 FROM h), 1) AND NOT EXISTS (SELECT 1 FROM h o WHERE abs(o.bin - t.bin) <= 3 AND o.bin <> t.bin AND (o.mass > t.mass OR (o.mass = t.mass AND o.bin < t.bin))) ORDER BY mass DESC, bin LIMIT 5""",
 }
