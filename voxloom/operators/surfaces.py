@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import geometry as G
 from voxloom.operators.joins import components
+from voxloom.operators.points import quantiles
 
 
 def plane_lines(planes: DataFrame, parallel: float = 0.99) -> DataFrame:
@@ -95,8 +96,9 @@ def translation_grid(points: DataFrame, n: int) -> DataFrame:
     base = (n / math.prod(share)) ** (1 / 3)
     counts = [max(1, 2 * int(base * s / 2) + 1) if base * s < n else n | 1 for s in share]
     counts = [min(c, 2 * int(n ** (1 / 2)) + 1) for c in counts]
-    axes = points.agg(*(F.percentile(c, F.array(*(F.lit((k + 0.5) / m) for k in range(m)))).alias(c) for c, m in zip("xyz", counts, strict=True)))
-    return axes.select(F.explode("x").alias("x"), "y", "z").select("x", F.explode("y").alias("y"), "z").select("x", "y", F.explode("z").alias("z"))
+    axes = [quantiles(points, [], F.col(c), tuple((k + 0.5) / m for k in range(m))).select(F.explode(F.array(*(F.col(f"q{k}") for k in range(m)))).alias(c)) for c, m in zip("xyz", counts, strict=True)]
+    # at most about n rows in all
+    return axes[0].crossJoin(F.broadcast(axes[1])).crossJoin(F.broadcast(axes[2]))
 
 
 def orthogonal_triple(directions: DataFrame, limit: float = 0.1, keep: int = 60) -> DataFrame:

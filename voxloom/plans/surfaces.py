@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxloom.operators import surfaces as S
 from voxloom.plans.joins import VEC, vectors
-from voxloom.plans.points import cloud
+from voxloom.plans.points import CLOUD, cloud
 from voxloom.plans.rings import MASK, mask
 from voxloom.session import table
 
@@ -93,6 +93,14 @@ SQL = {
     "orthogonal_triple": f"""WITH {VEC}, u AS (SELECT vec_id AS i, x / n AS x, y / n AS y, z / n AS z, row_number() OVER (ORDER BY round(n, 9) DESC, vec_id) AS n FROM (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM v) WHERE n > 1e-9), d AS (SELECT * FROM u WHERE n <= 60)
  SELECT a.i AS i, b.i AS j, c.i AS k FROM d a JOIN d b ON a.n < b.n AND abs(a.x * b.x + a.y * b.y + a.z * b.z) < 0.1 JOIN d c ON b.n < c.n AND abs(a.x * c.x + a.y * c.y + a.z * c.z) < 0.1 AND abs(b.x * c.x + b.y * c.y + b.z * c.z) < 0.1 ORDER BY a.n, b.n, c.n LIMIT 1""",
     "octahedra": "SELECT k AS kind, count(*) * n AS n FROM nation, (VALUES ('v', 6), ('f', 8)) t(k, n) GROUP BY k, n",
+    "translation_grid": f"""WITH {CLOUD}, e AS (SELECT count(*) AS n, pow(greatest(max(x) - min(x), 1e-9), 2) AS sx, pow(greatest(max(y) - min(y), 1e-9), 2) AS sy, pow(greatest(max(z) - min(z), 1e-9), 2) AS sz FROM pts), b AS (SELECT *, pow(200 / (sx * sy * sz), 1.0::DOUBLE / 3) AS b FROM e),
+ """
+    + ", ".join(
+        f"""m{c} AS (SELECT n, least(CASE WHEN b * s{c} < 200 THEN greatest(1, 2 * CAST(trunc(b * s{c} / 2) AS INT) + 1) ELSE 201 END, 29) AS m FROM b), r{c} AS (SELECT {c} AS v, row_number() OVER (ORDER BY {c}) - 1 AS i FROM pts),
+ p{c} AS (SELECT (k + 0.5::DOUBLE) / m * (n - 1) AS p FROM m{c}, range(201) t(k) WHERE k < m), a{c} AS (SELECT l.v + (h.v - l.v) * (p - floor(p)) AS {c} FROM p{c} JOIN r{c} l ON l.i = floor(p) JOIN r{c} h ON h.i = ceil(p))"""
+        for c in "xyz"
+    )
+    + " SELECT round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM ax, ay, az",
     "scale_consensus": """WITH s AS (SELECT a.p_size / b.p_size AS s FROM part a JOIN part b ON a.p_partkey // 100 = b.p_partkey // 100 AND a.p_partkey < b.p_partkey), h AS (SELECT least(CAST(floor((s - 0.2::DOUBLE) / ((2.5::DOUBLE - 0.2::DOUBLE) / 200)) AS INT), 199) AS bin, count(*) AS mass FROM s WHERE s BETWEEN 0.2 AND 2.5 GROUP BY 1)
  SELECT bin, mass FROM h t WHERE mass >= greatest((SELECT sum(mass) / 200 FROM h), 1) AND NOT EXISTS (SELECT 1 FROM h o WHERE abs(o.bin - t.bin) <= 3 AND o.bin <> t.bin AND (o.mass > t.mass OR (o.mass = t.mass AND o.bin < t.bin))) ORDER BY mass DESC, bin LIMIT 5""",
 }
