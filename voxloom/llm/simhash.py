@@ -217,7 +217,7 @@ def links(distinct: DataFrame, radius: int, words: int, first_radius: int | None
         return pd.DataFrame({"a": ia[ra[i]], "b": ib[rb[j]]})
 
     dealt = stored.mapInPandas(pairs, "a long, b long, tile long, fps binary, ids binary, roots binary")
-    across = spread_pairs(dealt, len(meta)).groupBy("a", "b").applyInPandas(run, "a long, b long")
+    across = spread_pairs(dealt, max(1, -(-n // TILE))).groupBy("a", "b").applyInPandas(run, "a long, b long")
     return stored.select("ids", "roots").mapInPandas(within, "a long, b long"), across
 
 
@@ -226,10 +226,12 @@ def _watched(edges: DataFrame, state: Observation) -> DataFrame:
     return edges.observe(state, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
 
 
-def spread_pairs(dealt: DataFrame, n_tiles: int) -> DataFrame:
-    """Pairs of tiles over about as many tasks: they are few and small, but each is much work, so they must not be coalesced by size."""
-    pairs = max(1, n_tiles * (n_tiles - 1) // 2)
-    return dealt.repartition(max(1, min(pairs, MAX_TASKS)), "a", "b")
+def spread_pairs(dealt: DataFrame, full: int) -> DataFrame:
+    """Pairs of tiles over tasks of about one pair of full tiles each (``full``: tiles if all were full).
+
+    The pairs are few and small, but each is much work, so they must not be coalesced by size.
+    """
+    return dealt.repartition(max(1, min(full * (full + 1) // 2, MAX_TASKS)), "a", "b")
 
 
 def components(stars: DataFrame, across: DataFrame) -> DataFrame:
@@ -384,7 +386,7 @@ def similar_links(sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
         return pd.DataFrame({"a": ia[ra[np.array(i, dtype=int)]], "b": ib[rb[np.array(j, dtype=int)]]})
 
     dealt = stored.mapInPandas(pairs, "a long, b long, tile long, ids binary, classes binary, sizes binary, sets binary, roots binary")
-    return stored.select("ids", "roots").mapInPandas(within, "a long, b long"), spread_pairs(dealt, len(meta)).groupBy("a", "b").applyInPandas(run, "a long, b long")
+    return stored.select("ids", "roots").mapInPandas(within, "a long, b long"), spread_pairs(dealt, n_parts).groupBy("a", "b").applyInPandas(run, "a long, b long")
 
 
 def similar_classes(docs: DataFrame, k: int, least: float, radius: int, words: int, first_radius: int) -> DataFrame:
