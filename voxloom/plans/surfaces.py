@@ -87,9 +87,9 @@ SQL = {
  SELECT u, v, face, round(r, 5) AS r, round(g, 5) AS g, round(b, 5) AS b FROM k WHERE n = 1""",
     "cube_rays": """WITH p AS (SELECT c, (i + 0.5) / 16 * 2 - 1 AS a, (j + 0.5) / 16 * 2 - 1 AS b FROM range(6) f(c), range(16) t(i), range(16) u(j)), d AS (SELECT c, sum(1 / sqrt(a * a + b * b + 1)) AS s FROM p GROUP BY c)
  SELECT CAST(c AS INT) AS cube, CAST(256 AS BIGINT) AS n, round(CASE c WHEN 0 THEN s WHEN 1 THEN -s ELSE 0 END + 1e-9, 5) AS sx, round(CASE c WHEN 2 THEN s WHEN 3 THEN -s ELSE 0 END + 1e-9, 5) AS sy, round(CASE c WHEN 4 THEN s WHEN 5 THEN -s ELSE 0 END + 1e-9, 5) AS sz FROM d""",
-    "mask_components": f"""WITH RECURSIVE {MASK}, p AS (SELECT id * 64 + u AS u, v, v::BIGINT * 1048576 + id * 64 + u AS k FROM m), e AS (SELECT a.k AS a, b.k AS b FROM p a, (VALUES (-1), (0), (1)) s(i), (VALUES (-1), (0), (1)) t(j), p b WHERE b.u = a.u + i AND b.v = a.v + j AND a.k <> b.k),
- c(k, c) USING KEY (k) AS (SELECT k, k AS c FROM p UNION SELECT e.b, min(c.c) FROM c JOIN e ON c.k = e.a JOIN recurring.c AS r ON r.k = e.b WHERE c.c < r.c GROUP BY e.b)
- SELECT c AS component, count(*) AS n, min(u) AS u, min(v) AS v FROM c JOIN p USING (k) GROUP BY c HAVING count(*) >= 4""",
+    "mask_components": f"""WITH RECURSIVE {MASK}, p AS (SELECT id * 64 + u AS u, v, v::BIGINT * 1048576 + id * 64 + u AS k, id * 64 + u - row_number() OVER (PARTITION BY v ORDER BY id * 64 + u) AS g FROM m), r AS (SELECT v, g, min(u) AS lo, max(u) AS hi, min(k) AS k, count(*) AS n FROM p GROUP BY v, g),
+ e AS (SELECT a.k AS a, b.k AS b FROM r a JOIN r b ON abs(a.v - b.v) = 1 AND a.lo <= b.hi + 1 AND b.lo <= a.hi + 1), reach AS (SELECT k AS n, k AS o FROM r UNION SELECT reach.n, e.b FROM reach JOIN e ON reach.o = e.a), c AS (SELECT n AS k, min(o) AS c FROM reach GROUP BY n)
+ SELECT c AS component, CAST(sum(n) AS BIGINT) AS n, min(lo) AS u, min(v) AS v FROM c JOIN r USING (k) GROUP BY c HAVING sum(n) >= 4""",
     "orthogonal_triple": f"""WITH {VEC}, u AS (SELECT vec_id AS i, x / n AS x, y / n AS y, z / n AS z, row_number() OVER (ORDER BY round(n, 9) DESC, vec_id) AS n FROM (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM v) WHERE n > 1e-9), d AS (SELECT * FROM u WHERE n <= 60)
  SELECT a.i AS i, b.i AS j, c.i AS k FROM d a JOIN d b ON a.n < b.n AND abs(a.x * b.x + a.y * b.y + a.z * b.z) < 0.1 JOIN d c ON b.n < c.n AND abs(a.x * c.x + a.y * c.y + a.z * c.z) < 0.1 AND abs(b.x * c.x + b.y * c.y + b.z * c.z) < 0.1 ORDER BY a.n, b.n, c.n LIMIT 1""",
     "octahedra": "SELECT k AS kind, count(*) * n AS n FROM nation, (VALUES ('v', 6), ('f', 8)) t(k, n) GROUP BY k, n",
