@@ -61,7 +61,8 @@ def beyond_radius(df: DataFrame, others: DataFrame, dims: list[str], radius: flo
 def nearest(df: DataFrame, key: str | list[str], refs: DataFrame, ref_key: str, dims: list[str], size: float) -> DataFrame:
     """(key, near, d2): exact nearest reference of each row, ties to the smaller key; both null without one.
 
-    Branch and bound down a tree of cells, from one cell over all references to cells of
+    A row that finds a reference within ``size`` in its own or a neighbouring cell is done. For
+    the others: branch and bound down a tree of cells, from one cell over all references to cells of
     about ``size``. A level joins each row's cells with their occupied parts and keeps the
     parts that may hold the nearest: no further than the least distance within which some
     part surely holds a reference. Only the references of the last cells meet a row, and
@@ -83,8 +84,16 @@ def nearest(df: DataFrame, key: str | list[str], refs: DataFrame, ref_key: str,
     places = stored(places.withColumnsRenamed({f"_b{d}": d for d in dims}).withColumns({k: c.cast("long") for k, c in zip(grid, at, strict=True)}), "places")
     low, high = [f"_l{d}" for d in dims], [f"_h{d}" for d in dims]
     leaves = stored(places.groupBy(*grid).agg(*(F.min(d).alias(c) for d, c in zip(dims, low, strict=True)), *(F.max(d).alias(c) for d, c in zip(dims, high, strict=True))), "cells")
-    open_ = df.where(known).select(*key, *(d for d in dims if d not in key)).dropDuplicates(key).withColumns({k: F.lit(0).cast("long") for k in grid})
     rows = [*key, *(d for d in dims if d not in key)]
+    d2 = squared([F.col(d) for d in dims], [F.col(f"_b{d}") for d in dims])
+    every = df.where(known).select(*rows).dropDuplicates(key)
+    close = spread(places.drop(*grid), dims, size).withColumnsRenamed({d: f"_b{d}" for d in dims})
+    found = every.withColumns({k: c for k, c in zip(grid, cells(dims, size), strict=True)}).join(close, grid, "left").groupBy(*rows).agg(F.min(F.when(F.col("near").isNotNull(), F.struct(d2.alias("d2"), "near"))).alias("_m"))
+    found = stored(found.select(*rows, F.when(F.col("_m.d2") <= size * size, F.col("_m")).alias("_m")), "close")
+    sure = found.where("_m IS NOT NULL").select(*key, "_m.near", "_m.d2").unionByName(df.where(~known).select(*key, *none))
+    open_ = found.where("_m IS NULL").select(*rows, *(F.lit(0).cast("long").alias(k) for k in grid))
+    if open_.limit(1).count() == 0:
+        return sure
     for level in range(1, depth + 1):
         shift = depth - level
         parts = leaves.groupBy(*(F.shiftright(k, shift).alias(k) for k in grid)).agg(*(F.min(c).alias(c) for c in low), *(F.max(c).alias(c) for c in high))
@@ -100,9 +109,8 @@ def nearest(df: DataFrame, key: str | list[str], refs: DataFrame, ref_key: str,
         if level % CUT == 0:
             open_ = stored(open_, "open")
     right = places.select("near", *(F.col(d).alias(f"_b{d}") for d in dims), *grid)
-    d2 = squared([F.col(d) for d in dims], [F.col(f"_b{d}") for d in dims])
     best = open_.join(right, grid).groupBy(*key).agg(F.min(F.struct(d2.alias("d2"), "near")).alias("_m")).select(*key, "_m.near", "_m.d2")
-    return best.unionByName(df.where(~known).select(*key, *none))
+    return best.unionByName(sure)
 
 
 def tile_grid(df: DataFrame, x: str, y: str, size: float, overlap: float) -> DataFrame:
