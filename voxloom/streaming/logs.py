@@ -32,11 +32,11 @@ def first_seen(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def stage_states(events: DataFrame, idle: int = 30 * 24 * 3600 * 1000) -> DataFrame:
+def stage_states(events: DataFrame, late: str = "400 days", idle: int = 30 * 24 * 3600 * 1000) -> DataFrame:
     """Running (user_id, seen, state): 'error' stays until a later 'signup' retries; any other event activates.
 
     A batch's events of a user are taken in order of time, whatever frames they come in. The
-    state of a user who is silent for ``idle`` milliseconds is given up.
+    state of a user from whom nothing came for ``idle`` milliseconds of event time, behind the watermark, is given up.
     """
 
     def step(key, frames, state: GroupState):
@@ -44,14 +44,16 @@ def stage_states(events: DataFrame, idle: int = 30 * 24 * 3600 * 1000) -> DataFr
             state.remove()
             return
         seen, name = state.get if state.exists else (0, "pending")
-        for kind in pd.concat(list(frames)).sort_values(["ts", "event_id"])["event_type"]:
+        own = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        for kind in own["event_type"]:
             seen += 1
             name = "error" if kind == "error" else "complete" if kind == "purchase" and name != "error" else "active" if name != "error" or kind == "signup" else name
         state.update((seen, name))
-        state.setTimeoutDuration(idle)
+        last = int(own["ts"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle)
         yield pd.DataFrame({"user_id": [key[0]], "seen": [seen], "state": [name]})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, seen long, state string", "seen long, state string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, "user_id long, seen long, state string", "seen long, state string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def route(lines: DataFrame, progress_sink, log_sink):
