@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import audio, castore, graph_ann, langid, mixing, packing, quality, sharding, simhash, wordpiece
+from voxloom.llm import alignment, audio, castore, divergence, graph_ann, langid, mixing, packing, quality, sharding, simhash, winnowing, wordpiece
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_column_generation": packing.op8_column_generation,
         "op9_tiled_simhash": simhash.op9_tiled_simhash,
         "op10_pruned_graph": graph_ann.op10_pruned_graph,
+        "op11_radix_audit": divergence.op11_radix_audit,
+        "op12_byte_labels": alignment.op12_byte_labels,
+        "op13_winnowing": winnowing.op13_winnowing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_radix_audit": divergence.SQL, "op13_winnowing": winnowing.SQL}
