@@ -6,17 +6,16 @@ token, or both. A pattern scans the labels for spans up to each both-label; the
 count the tokens of one group. The last tokens of a group are a link, and a link's weight is
 the number of links of the whole corpus between the same two ids.
 
-* Texts are cut before each space that follows no white space. No A piece holds white space after
-  another character and no B piece has a space after another character, so tokens of whole
-  texts are the tokens of these chunks; chunks are kept in a cache bounded in entries and in the length of each.
-  Texts with U+2581, and any whose chunk does not give back its bytes, are encoded whole.
+* A's merges stand in the order of its ids, so a rank-based encoder made of the same file gives the same ids
+  several times faster; it takes texts of Latin letters and common marks. All others, and files whose merges
+  stand otherwise, go through the tokenizers library.
 * Of two linked ids one's bytes end with the other's, so an id has at most one partner a byte of its own
   length: all id pairs that can ever be linked are some 600,000, known from the vocabularies alone.
   Their counts are a table of fixed size, which every task adds up on its own and which is sent to all.
 
 Edge cases: a null or empty text, and one that a tokenizer does not give back byte by byte, has no tokens (zeros,
 empty groups); ties for an id's best partner all count; repeated rows count each; an
-empty table gives no rows; extra columns are ignored. An unbroken chunk is encoded in one call.
+empty table gives no rows; extra columns are ignored. A text is encoded in one call; nothing is kept between texts.
 """
 
 from __future__ import annotations
@@ -33,17 +32,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.llm.common import bounded, materialise
-from voxloom.llm.tokens import _byte_letters, _Made, read_spec
+from voxloom.llm.tokens import _byte_letters, read_spec
 
 TOKENS = "doc_id {id}, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>, n_bytes array<int>"
-#: Chunks in a generation of the cache, and characters of a chunk that is kept.
-CACHE_CHUNKS, CHUNK_CHARS = 60_000, 48
-#: A space that follows no white space begins a chunk.
-CHUNK = re.compile(r" +[^ ]*(?:(?<=\s) +[^ ]*)*")
+#: Texts that the rank-based encoder takes: characters of which all libraries know the class.
+PLAIN = re.compile("[\t\n\r -~\u00a0-\u024f\u2010-\u2027]*")
 #: Labels: '.' none, 'a' an A token ends here, 'b' a B token, '|' both.
 LABELS = np.frombuffer(b".ab|", dtype=np.uint8)
 SPAN = re.compile(rb"[^|]*\|")
 MARK = "▁"
+#: The pattern by which a byte-level file cuts texts: a fixed value of the format.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def entry_bytes(spec: str) -> list[bytes]:
@@ -77,53 +76,59 @@ def pair_keys(a: list[bytes], b: list[bytes]) -> np.ndarray:
 
 
 class Pair:
-    """Both tokenizers, and a cache of aligned chunks: each five runs of 32-bit numbers."""
+    """Both tokenizers, with the bytes of their entries."""
 
     def __init__(self, spec: str, model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_str(spec)
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.a.encode_special_tokens = True
+        self.spec, self.library = spec, None
         self.b = SentencePieceProcessor(model_proto=model)
         self.bytes_a, self.bytes_b = entry_bytes(spec), piece_bytes(self.b)
-        self.space = self.b.piece_to_id(MARK)
-        self.chunks = _Made(self.aligned)
-
-    def aligned(self, chunk: str) -> tuple[bytes, ...] | None:
-        """a_ids, b_ids, a_sizes, b_sizes and n_bytes of a text with its leading space; None if a tokenizer loses bytes."""
-        raw = chunk.encode()
-        a = self.a.encode(chunk, add_special_tokens=False).ids
-        b = self.b.encode(chunk[1:]) if len(chunk) > 1 else [self.space]
-        of_a, of_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(of_a) != raw or b"".join(of_b) != raw:
+        self.len_a, self.len_b = (np.array([len(e) for e in x], dtype=np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.ranks = self._ranks(json.loads(spec))
+
+    def _ranks(self, raw: dict):
+        """A rank-based encoder of the file, if its merges stand in the order of their ids and its pattern is the known one."""
+        import tiktoken
+
+        vocab, special = raw["model"]["vocab"], {t["id"] for t in raw["added_tokens"]}
+        joined = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in raw["model"]["merges"]]
+        pre = raw["pre_tokenizer"]
+        if raw["normalizer"] or pre["type"] != "ByteLevel" or not pre["use_regex"] or pre["add_prefix_space"] or any(vocab[m] != 256 + i for i, m in enumerate(joined)):
             return None
-        label = np.zeros(len(raw), dtype=np.uint8)
-        label[np.cumsum([len(e) for e in of_a]) - 1] += 1
-        label[np.cumsum([len(e) for e in of_b]) - 1] += 2
-        spans = SPAN.findall(LABELS[label].tobytes())
-        sizes = ([s.count(b"a") + 1 for s in spans], [s.count(b"b") + 1 for s in spans], [len(s) for s in spans])
-        return tuple(np.array(x, dtype=np.int32).tobytes() for x in (a, b, *sizes))
+        ranks = {e: i for i, e in enumerate(self.bytes_a) if i not in special}
+        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def ids_a(self, text: str) -> list[int]:
+        if self.ranks and PLAIN.fullmatch(text):
+            return self.ranks.encode_ordinary(text)
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.spec)
+            self.library.no_truncation()
+            self.library.no_padding()
+            self.library.encode_special_tokens = True
+        return self.library.encode(text, add_special_tokens=False).ids
 
     def text(self, text: str | None) -> tuple[bytes, ...]:
-        """The five runs of a whole text; empty if it has no tokens."""
+        """a_ids, b_ids, a_sizes, b_sizes and n_bytes as 32-bit numbers; empty if a tokenizer loses bytes."""
         if not text:
             return (b"",) * 5
-        whole = " " + text
-        if MARK not in text:
-            # a chunk too long for the cache is aligned on its own
-            found = [self.chunks[c] if len(c) <= CHUNK_CHARS else self.aligned(c) for c in CHUNK.findall(whole)]
-            if None not in found:
-                return tuple(map(b"".join, zip(*found)))
-        return self.aligned(whole) or (b"",) * 5
-
-    def texts(self, texts):
-        for t in texts:
-            self.chunks = self.chunks.aged(CACHE_CHUNKS)
-            yield self.text(t)
+        raw = (" " + text).encode()
+        a, b = self.ids_a(" " + text), self.b.encode(text)
+        if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
+            return (b"",) * 5
+        a, b = np.array(a, dtype=np.int32), np.array(b, dtype=np.int32)
+        label = np.zeros(len(raw), dtype=np.uint8)
+        label[np.cumsum(self.len_a[a]) - 1] += 1
+        label[np.cumsum(self.len_b[b]) - 1] += 2
+        sizes = np.fromiter(map(len, SPAN.findall(LABELS[label].tobytes())), dtype=np.int64)
+        # labels of each tokenizer up to a span's end, that of both among them
+        upto = np.cumsum(sizes) - 1
+        counts = (np.diff(np.cumsum((label & bit) > 0)[upto], prepend=0) for bit in (1, 2))
+        return (a.tobytes(), b.tobytes(), *(x.astype(np.int32).tobytes() for x in (*counts, sizes)))
 
 
 _worker: dict[int, Pair] = {}
@@ -150,7 +155,7 @@ def align_tokens(docs: DataFrame, spec: str, model: bytes) -> DataFrame:
     def kernel(batches):
         pair = worker_pair(files)
         for batch in batches:
-            runs = list(pair.texts(batch.column("text").to_pylist()))
+            runs = [pair.text(t) for t in batch.column("text").to_pylist()]
             columns = [_lists([r[k] for r in runs]) for k in range(5)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "a_ids", "b_ids", "a_sizes", "b_sizes", "n_bytes"])
 
