@@ -27,24 +27,6 @@ def plane_lines(planes: DataFrame, parallel: float = 0.99) -> DataFrame:
     return pairs.select(F.col("pid").alias("a"), F.col("o_pid").alias("b"), *(v.alias("p" + c) for c, v in at.items()), ux.alias("ux"), uy.alias("uy"), uz.alias("uz"))
 
 
-def ray_hits(rays: DataFrame, triangles: DataFrame, limit: float = math.inf, eps: float = 1e-9) -> DataFrame:
-    """(ray, face, t): the nearest triangle in front of each ray; ties to the smaller face.
-
-    ``rays``: (ray, ox..oz, dx..dz, kx, ky) and ``triangles``: (face, ax..cz, kx, ky), where
-    (kx, ky) is the cell in which both were bucketed; a triangle stands in every cell that it
-    may be met in.
-    """
-    j = rays.join(triangles, ["kx", "ky"])
-    sub = lambda p, q: tuple(F.col(p + c) - F.col(q + c) for c in "xyz")
-    j = j.withColumns({f"e{c}": v for c, v in zip("xyz", sub("b", "a"), strict=True)} | {f"f{c}": v for c, v in zip("xyz", sub("c", "a"), strict=True)} | {f"s{c}": v for c, v in zip("xyz", sub("o", "a"), strict=True)})
-    v = lambda p: tuple(p + c for c in "xyz")
-    j = j.withColumns({f"h{c}": x for c, x in zip("xyz", G.cross(v("d"), v("f")), strict=True)} | {f"q{c}": x for c, x in zip("xyz", G.cross(v("s"), v("e")), strict=True)})
-    j = j.withColumn("det", G.dot(v("e"), v("h"))).where(F.abs("det") > eps)
-    j = j.withColumns({"u": G.dot(v("s"), v("h")) / F.col("det"), "w": G.dot(v("d"), v("q")) / F.col("det"), "t": G.dot(v("f"), v("q")) / F.col("det")})
-    hit = j.where((F.col("u") >= 0) & (F.col("w") >= 0) & (F.col("u") + F.col("w") <= 1) & (F.col("t") > eps) & (F.col("t") <= limit))
-    return hit.groupBy("ray").agg(F.min(F.struct("t", "face")).alias("_m")).select("ray", "_m.face", "_m.t")
-
-
 def bake(faces: DataFrame, size: int, slack: float = 0.01) -> DataFrame:
     """(u, v, face, r, g, b) of the texels that faces (face, u0..v2, r0..b2) cover in a square atlas.
 

@@ -25,13 +25,6 @@ def q_plane_lines(spark, sf):
     return S.plane_lines(p).select("a", "b", *((F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("px", "py", "pz", "ux", "uy", "uz")))
 
 
-def q_ray_hits(spark, sf):
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("face"), (F.col("s_suppkey") % 6).cast("double").alias("ax"), (F.col("s_suppkey") % 7).cast("double").alias("ay"), (F.col("s_suppkey") % 5 + 1.0).alias("az"))
-    tri = s.select("face", "ax", "ay", "az", (F.col("ax") + 2).alias("bx"), F.col("ay").alias("by"), F.col("az").alias("bz"), F.col("ax").alias("cx"), (F.col("ay") + 2).alias("cy"), (F.col("az") + 0.5).alias("cz"), F.lit(0).alias("kx"), F.lit(0).alias("ky"))
-    rays = table(spark, sf, "nation").select(F.col("n_nationkey").alias("ray"), (F.col("n_nationkey") % 5 + 0.3).alias("ox"), (F.col("n_nationkey") % 4 + 0.4).alias("oy"), F.lit(0.0).alias("oz"), F.lit(0.1).alias("dx"), F.lit(0.05).alias("dy"), F.lit(1.0).alias("dz"), F.lit(0).alias("kx"), F.lit(0).alias("ky"))
-    return S.ray_hits(rays, tri).select("ray", "face", F.round("t", 6).alias("t"))
-
-
 def q_texture_bake(spark, sf):
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("face"), (F.col("s_suppkey") % 6 / 8.0).alias("u0"), (F.col("s_suppkey") % 5 / 8.0).alias("v0"))
     f = s.select("face", "u0", "v0", (F.col("u0") + 0.3).alias("u1"), F.col("v0").alias("v1"), F.col("u0").alias("u2"), (F.col("v0") + 0.3).alias("v2"), *(F.lit(float(k == i)).alias(c + str(i)) for i in range(3) for k, c in enumerate("rgb")))
@@ -78,10 +71,6 @@ SQL = {
     "plane_lines": f"""WITH {UNIT}, p AS (SELECT i, x, y, z, i % 5 - 2.0::DOUBLE AS d FROM un), q AS (SELECT a.i AS a, b.i AS b, a.x AS ax, a.y AS ay, a.z AS az, a.d AS ad, b.x AS bx, b.y AS b_y, b.z AS bz, b.d AS bd, a.x * b.x + a.y * b.y + a.z * b.z AS k FROM p a JOIN p b ON a.i < b.i AND a.i // 40 = b.i // 40),
  r AS (SELECT *, (bd * k - ad) / (1 - k * k) AS s, (ad * k - bd) / (1 - k * k) AS t FROM q WHERE abs(k) < 0.99)
  SELECT a, b, round(s * ax + t * bx, 5) + 0.0::DOUBLE AS px, round(s * ay + t * b_y, 5) + 0.0::DOUBLE AS py, round(s * az + t * bz, 5) + 0.0::DOUBLE AS pz, round(ay * bz - az * b_y, 5) AS ux, round(az * bx - ax * bz, 5) AS uy, round(ax * b_y - ay * bx, 5) AS uz FROM r""",
-    "ray_hits": """WITH t AS (SELECT s_suppkey AS face, (s_suppkey % 6)::DOUBLE AS ax, (s_suppkey % 7)::DOUBLE AS ay, s_suppkey % 5 + 1.0::DOUBLE AS az FROM supplier), r AS (SELECT n_nationkey AS ray, n_nationkey % 5 + 0.3::DOUBLE AS ox, n_nationkey % 4 + 0.4::DOUBLE AS oy FROM nation),
- h AS (SELECT ray, face, (az + (oy - ay) * 0.25) / (1 - 0.05 * 0.25::DOUBLE) AS t, ax, ay, ox, oy FROM r, t),
- k AS (SELECT *, (ox + 0.1 * t - ax) / 2 AS u, (oy + 0.05 * t - ay) / 2 AS w FROM h), m AS (SELECT *, row_number() OVER (PARTITION BY ray ORDER BY t, face) AS n FROM k WHERE u >= 0 AND w >= 0 AND u + w <= 1 AND t > 1e-9)
- SELECT ray, face, round(t, 6) AS t FROM m WHERE n = 1""",
     "texture_bake": """WITH f AS (SELECT s_suppkey AS face, s_suppkey % 6 / 8.0::DOUBLE AS u0, s_suppkey % 5 / 8.0::DOUBLE AS v0 FROM supplier), t AS (SELECT CAST(i AS INT) AS u, CAST(j AS INT) AS v, i / 32.0::DOUBLE AS x, j / 32.0::DOUBLE AS y FROM range(33) a(i), range(33) b(j)),
  w AS (SELECT u, v, face, (x - u0) / 0.3::DOUBLE AS g, (y - v0) / 0.3::DOUBLE AS b FROM f, t), k AS (SELECT *, 1 - g - b AS r, row_number() OVER (PARTITION BY u, v ORDER BY face DESC) AS n FROM w WHERE g > -0.01 AND g < 1.01 AND b > -0.01 AND b < 1.01 AND 1 - g - b > -0.01 AND 1 - g - b < 1.01)
  SELECT u, v, face, round(r, 5) AS r, round(g, 5) AS g, round(b, 5) AS b FROM k WHERE n = 1""",
