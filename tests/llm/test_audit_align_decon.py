@@ -165,6 +165,15 @@ def test_alignment_of_odd_rows(spark, odd, none, files, pair):
     assert alignment.summary(*alignment.align(none, *files)).collect() == []
 
 
+def test_group_lists(spark, odd, files, pair):
+    found = {r.doc_id: r for r in alignment.align_tokens(odd.where("text LIKE 'The cat%' AND doc_id IS NOT NULL"), *files).collect()}
+    assert found
+    for r in found.values():
+        groups = brute_groups(pair, TEXTS[0])
+        assert (r.a_ids, r.b_ids) == ([i for a, _ in groups for i in a], [i for _, b in groups for i in b]) and sum(r.n_bytes) == len(TEXTS[0]) + 1
+        assert (r.a_sizes, r.b_sizes) == ([len(a) for a, _ in groups], [len(b) for _, b in groups])
+
+
 def test_long_text_equals_the_library(pair):
     a, b, sizes_a, sizes_b, lengths = (np.frombuffer(x, np.int32) for x in pair.text(LONG))
     assert a.tolist() == library().encode(" " + LONG, add_special_tokens=False).ids and b.tolist() == pair.b.encode(LONG)

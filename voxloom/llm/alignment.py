@@ -27,6 +27,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ from voxloom.llm.tokens import _byte_letters, read_spec
 TOKENS = "doc_id {id}, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>, n_bytes array<int>"
 #: Texts that the rank-based encoder takes: characters of which all libraries know the class.
 PLAIN = re.compile("[\t\n\r -~\u00a0-\u024f\u2010-\u2027]*")
+#: Bytes of text whose tokens are lists at one time.
+RUN = 1 << 20
 #: Labels: '.' none, 'a' an A token ends here, 'b' a B token, '|' both.
 LABELS = np.frombuffer(b".ab|", dtype=np.uint8)
 SPAN = re.compile(rb"[^|]*\|")
@@ -148,19 +151,38 @@ def _lists(runs: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(runs), dtype=np.int32)))
 
 
-def align_tokens(docs: DataFrame, spec: str, model: bytes) -> DataFrame:
-    """Per row of ``docs``: doc_id, the ids of both tokenizers, and the numbers of A tokens, B tokens and bytes of each group."""
-    files = docs.sparkSession.sparkContext.broadcast((spec, model))
+def slices(batch: pa.RecordBatch, sizes: pa.Array):
+    """Parts of a batch of about RUN bytes each, so that lists of numbers never exist for more than one part."""
+    ends = np.cumsum(np.asarray(sizes.fill_null(0)), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + RUN, side="right")))
+        yield batch.slice(at, until - at)
+        at = until
+
+
+def aligner(files: Broadcast):
+    """Maps batches (doc_id, text) to batches of TOKENS."""
 
     def kernel(batches):
         pair = worker_pair(files)
         for batch in batches:
-            runs = [pair.text(t) for t in batch.column("text").to_pylist()]
-            columns = [_lists([r[k] for r in runs]) for k in range(5)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "a_ids", "b_ids", "a_sizes", "b_sizes", "n_bytes"])
+            for part in slices(batch, pc.binary_length(batch.column("text"))):
+                runs = [pair.text(t) for t in part.column("text").to_pylist()]
+                columns = [_lists([r[k] for r in runs]) for k in range(5)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "a_ids", "b_ids", "a_sizes", "b_sizes", "n_bytes"])
+
+    return kernel
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return bounded(docs.select("doc_id", F.col("text").cast("string").alias("text")))
 
-    schema = TOKENS.format(id=docs.schema["doc_id"].dataType.simpleString())
-    return bounded(docs.select("doc_id", F.col("text").cast("string").alias("text"))).mapInArrow(kernel, schema)
+
+def align_tokens(docs: DataFrame, spec: str, model: bytes) -> DataFrame:
+    """Per row of ``docs``: doc_id, the ids of both tokenizers, and the numbers of A tokens, B tokens and bytes of each group."""
+    files = docs.sparkSession.sparkContext.broadcast((spec, model))
+    return _texts(docs).mapInArrow(aligner(files), TOKENS.format(id=docs.schema["doc_id"].dataType.simpleString()))
 
 
 def _links(batch: pa.RecordBatch, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,19 +193,50 @@ def _links(batch: pa.RecordBatch, keys: np.ndarray) -> tuple[np.ndarray, np.ndar
     return found, np.r_[0, np.cumsum(np.asarray(batch.column("a_sizes").value_lengths()), dtype=np.int64)]
 
 
-def pair_counts(aligned: DataFrame, keys: np.ndarray) -> np.ndarray:
+def linked_documents(docs: DataFrame, spec: str, model: bytes, keys: np.ndarray) -> DataFrame:
+    """Per row: doc_id, n_a, n_b, the digest of the groups, and ``links``, the place in ``keys`` of each link's pair, 32 bits each.
+
+    All of it comes from the batches of ``align_tokens``, read in the same worker: the lists themselves don't leave it.
+    """
+    context = docs.sparkSession.sparkContext
+    files, sent = context.broadcast((spec, model)), context.broadcast(keys)
+    align = aligner(files)
+
+    def kernel(batches):
+        for batch in align(batches):
+            links, ends = _links(batch, sent.value)
+            lists = {c: (np.asarray(batch.column(c).flatten()).astype(np.int64), np.r_[0, np.cumsum(np.asarray(batch.column(c).value_lengths()), dtype=np.int64)]) for c in ("a_ids", "b_ids", "a_sizes", "b_sizes")}
+            digests = []
+            for i in range(batch.num_rows):
+                part = [v[e[i] : e[i + 1]] for v, e in lists.values()]
+                digests.append(hashlib.sha256(group_text(*part)).hexdigest() if len(part[0]) else "")
+            raw = links.astype("<i4").tobytes()
+            held = [raw[4 * a : 4 * b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+            sizes = [pa.array(np.diff(lists[c][1])) for c in ("a_ids", "b_ids")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *sizes, pa.array(digests, pa.string()), pa.array(held, pa.binary())], ["doc_id", "n_a", "n_b", "groups_sha256", "links"])
+
+    return _texts(docs).mapInArrow(kernel, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_a long, n_b long, groups_sha256 string, links binary")
+
+
+def _places(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all links of a batch, and the ends of each row's."""
+    held = batch.column("links").to_pylist()
+    return np.frombuffer(b"".join(held), dtype="<i4"), np.r_[0, np.cumsum([len(h) // 4 for h in held], dtype=np.int64)].astype(np.int64)
+
+
+def pair_counts(linked: DataFrame, keys: np.ndarray) -> np.ndarray:
     """Links of the whole corpus by place in ``keys``. Each task sends one row a pair it met: at most len(keys)."""
-    sent = aligned.sparkSession.sparkContext.broadcast(keys)
+    size = len(keys)
 
     def kernel(batches):
-        total = np.zeros(len(sent.value), dtype=np.int64)
+        total = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            total += np.bincount(_links(batch, sent.value)[0], minlength=len(total))
+            total += np.bincount(_places(batch)[0], minlength=size)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["k", "n"])
 
-    found = aligned.select("a_ids", "b_ids", "a_sizes", "b_sizes").mapInArrow(kernel, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(len(keys), dtype=np.int64)
+    found = bounded(linked.select("links")).mapInArrow(kernel, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(size, dtype=np.int64)
     out[found["k"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.int64)
     return out
 
@@ -220,28 +273,20 @@ class _Decimal(dict):
 _ENTRIES = _Decimal()
 
 
-def summary(aligned: DataFrame, keys: np.ndarray, counts: np.ndarray) -> DataFrame:
+def summary(linked: DataFrame, keys: np.ndarray, counts: np.ndarray) -> DataFrame:
     """Per row: numbers of tokens, groups and links, links of the best pair of their B id, summed counts and the digest of the groups."""
-    sent = aligned.sparkSession.sparkContext.broadcast((keys, counts, best_of_b(keys, counts)))
+    sent = linked.sparkSession.sparkContext.broadcast((counts, best_of_b(keys, counts).astype(np.int64)))
 
     def kernel(batches):
-        keys, counts, best = sent.value
         for batch in batches:
-            links, ends = _links(batch, keys)
-            lists = {c: (np.asarray(batch.column(c).flatten()).astype(np.int64), np.r_[0, np.cumsum(np.asarray(batch.column(c).value_lengths()), dtype=np.int64)]) for c in ("a_ids", "b_ids", "a_sizes", "b_sizes")}
-            total, good = (np.r_[0, np.cumsum(x[links], dtype=np.int64)] for x in (counts, best.astype(np.int64)))
-            digests = []
-            for i in range(batch.num_rows):
-                part = [v[e[i] : e[i + 1]] for v, e in lists.values()]
-                digests.append(hashlib.sha256(group_text(*part)).hexdigest() if len(part[0]) else "")
-            sizes = [np.diff(lists[c][1]) for c in ("a_ids", "b_ids")]
-            groups = np.diff(ends)
-            columns = [*sizes, groups, groups, np.diff(good[ends]), np.diff(total[ends])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns), pa.array(digests, pa.string())], NAMES)
+            places, ends = _places(batch)
+            total, good = (np.r_[0, np.cumsum(x[places], dtype=np.int64)][ends] for x in sent.value)
+            groups = pa.array(np.diff(ends))
+            columns = [batch.column(c) for c in ("doc_id", "n_a", "n_b")] + [groups, groups, pa.array(np.diff(good)), pa.array(np.diff(total)), batch.column("groups_sha256")]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
-    NAMES = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-    schema = f"doc_id {aligned.schema['doc_id'].dataType.simpleString()}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    return aligned.drop("n_bytes").mapInArrow(kernel, schema)
+    schema = f"doc_id {linked.schema['doc_id'].dataType.simpleString()}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+    return bounded(linked).mapInArrow(kernel, schema)
 
 
 def tokenizer_files() -> tuple[str, bytes]:
@@ -253,11 +298,12 @@ def tokenizer_files() -> tuple[str, bytes]:
 
 
 def align(docs: DataFrame, spec: str, model: bytes) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """(groups of every document, id pairs, their links in the corpus)."""
-    pair = Pair(spec, model)
-    keys = pair_keys(pair.bytes_a, pair.bytes_b)
-    aligned = materialise(align_tokens(docs, spec, model), "aligned")
-    return aligned, keys, pair_counts(aligned, keys)
+    """(links of every document, id pairs, their links in the corpus)."""
+    from sentencepiece import SentencePieceProcessor
+
+    keys = pair_keys(entry_bytes(spec), piece_bytes(SentencePieceProcessor(model_proto=model)))
+    linked = materialise(linked_documents(docs, spec, model, keys), "linked")
+    return linked, keys, pair_counts(linked, keys)
 
 
 def op12_byte_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
