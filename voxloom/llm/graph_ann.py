@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by a robust-pruned directed graph (operator 10).
 
-Largest inner product becomes smallest distance by one more coordinate that gives every
-vector the same length. Distinct vectors are dealt to shards by a hash; each shard builds
-its own graph: points enter in batches that double, a greedy beam search over the graph
+Vectors of nearly the same length (a band: lengths within some 5 %) are put in order by their inner product
+with a query nearly as by their angle to it, so each band has graphs of its own over unit vectors, however lengths
+vary. Distinct vectors of a band are dealt to shards by a hash; each shard builds its own
+graph: points enter in batches that double, a greedy beam search over the graph
 so far proposes neighbours, and relaxed pruning (an edge goes when a kept neighbour is
 closer to its end by the factor ALPHA) keeps few but diverse edges, with pruned reverse
 edges. A query runs a beam search in every shard; the beams' ends are scored again in
@@ -10,16 +11,15 @@ double precision on the original vectors and merged. A shard returns all that ti
 last place, and a beam whose own end still ties is widened until it doesn't, so that the
 cut by the smaller vec_id is made over all of them.
 
-Vectors keep their component type; only the graph works on a copy in 32 bits. Vectors whose
-largest components differ by a factor of 2 ** BAND or more lie in different graphs (a band
-each, scaled by itself), so that neither huge nor tiny ones lose their digits there. Where
-the edges lead to fewer nodes than are asked for, the shard is scanned instead.
+Vectors keep their component type; only the graph works on unit copies in 32 bits, so neither huge nor tiny
+vectors lose their digits there. Where the edges lead to fewer nodes than are asked for, the shard is scanned instead.
 
 Every row is indexed: rows with equal vectors share one node and come back by the k + 1
 smallest ids, found by a tree of partial top lists so that no group of copies is one
 task's. The graph's memory is bounded by SHARD_ROWS. A query set that is a share of the
 rows meets every shard, so the searches grow with rows x rows / SHARD_ROWS; larger shards
-lower that, at some recall for a given beam.
+lower that, at some recall for a given beam. Bands add a shard each at most: some 100 for lengths that
+vary by two powers of ten.
 
 Edge cases: vectors that are null, empty, zero or hold a null or non-finite component, and
 rows without an id, take no part; vectors of different lengths never meet; rows that
@@ -29,8 +29,6 @@ number ranks last); an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -42,8 +40,8 @@ SHARD_ROWS = 8192
 DEGREE, BUILD_BEAM, ALPHA = 32, 48, 1.2
 SEARCH_BEAM, EXPAND = 96, 4
 QUERY_BLOCK = 8192
-#: Powers of two in one band of magnitudes.
-BAND = 6
+#: Powers of two in one band of lengths, with 1 in the middle of a band.
+BAND = 0.07
 #: Scores this close, relative to the largest, may tie in 32 bits.
 TIE = 1e-5
 #: Searches that run as one array program.
@@ -175,7 +173,9 @@ def usable(vectors: DataFrame) -> DataFrame:
     v = F.transform("embedding", lambda c: F.when(c == 0, F.lit(0).cast(kind)).otherwise(c.cast(kind)))
     rows = vectors.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     largest = F.array_max(F.transform("v", lambda c: F.abs(c.cast("double"))))
-    band = F.floor(F.log2(largest) / BAND).cast("int")
+    # squares of parts of the largest component: no length overflows
+    scaled = F.aggregate(F.transform("v", lambda c: F.pow(c.cast("double") / largest, F.lit(2.0))), F.lit(0.0), lambda a, c: a + c)
+    band = F.floor((F.log2(largest) + F.log2(scaled) / 2) / BAND + 0.5).cast("int")
     return rows.select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"), F.size("v").alias("dim"), band.alias("band"))
 
 
@@ -188,19 +188,10 @@ def smallest_ids(rows: DataFrame, keep: int) -> DataFrame:
     return part
 
 
-def _lifted(v: np.ndarray, band: int) -> tuple[np.ndarray, float]:
-    """The graph's points and their length: scaled vectors in 32 bits with the coordinate that makes all lengths equal."""
-    small = np.ldexp(v.astype(np.float64), -BAND * band)
-    squares = (small * small).sum(axis=1)
-    longest = float(squares.max())
-    return np.hstack([small, np.sqrt(np.maximum(longest - squares, 0))[:, None]]).astype(np.float32), math.sqrt(longest)
-
-
-def _directions(q: np.ndarray, length: float) -> np.ndarray:
-    """Queries as points of that length: the order of inner products knows no query's length."""
-    unit = q.astype(np.float64) / np.abs(q).max(axis=1, keepdims=True).astype(np.float64)
-    unit *= length / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
-    return np.hstack([unit, np.zeros((len(q), 1))]).astype(np.float32)
+def _units(v: np.ndarray) -> np.ndarray:
+    """Vectors of length 1 in 32 bits: the graph's points, and queries, whose own length changes no order."""
+    unit = v.astype(np.float64) / np.abs(v).max(axis=1, keepdims=True).astype(np.float64)
+    return (unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
 def build_index(distinct: DataFrame, groups: DataFrame) -> DataFrame:
@@ -209,7 +200,7 @@ def build_index(distinct: DataFrame, groups: DataFrame) -> DataFrame:
 
     def build(key, frame):
         v = np.stack(frame["v"].to_numpy()).astype(dtype)
-        edges, entry = build_graph(_lifted(v, int(key[1]))[0])
+        edges, entry = build_graph(_units(v))
         keys = frame[["h1", "h2"]].to_numpy(dtype="<i8")
         return pd.DataFrame({"dim": [key[0]], "band": [key[1]], "shard": [key[2]], "entry": [entry], "vectors": [v.tobytes()], "keys": [keys.tobytes()], "edges": [edges.astype("<i4").tobytes()]})
 
@@ -223,12 +214,12 @@ def spread(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
     return df.repartition(int(max(1, min(tasks, MAX_TASKS))), *keys)
 
 
-def search_shard(v: np.ndarray, x: np.ndarray, edges: np.ndarray, entry: int, q: np.ndarray, lifted: np.ndarray, keep: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search_shard(v: np.ndarray, x: np.ndarray, edges: np.ndarray, entry: int, q: np.ndarray, units: np.ndarray, keep: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(lane, node, score) of each query's ``keep`` best and of all that tie with the last of them."""
     lanes = np.arange(len(q))
     out: list[tuple] = []
     while len(lanes):
-        ids, dist = beam_search(x, edges, entry, lifted[lanes], beam)
+        ids, dist = beam_search(x, edges, entry, units[lanes], beam)
         found = np.isfinite(dist)
         with np.errstate(over="ignore", invalid="ignore"):
             score = np.einsum("ijk,ik->ij", v[np.maximum(ids, 0)].astype(np.float64), q[lanes].astype(np.float64))
@@ -264,11 +255,11 @@ def search_index(index: DataFrame, queries: DataFrame, groups: DataFrame, blocks
             g, dim = graphs.iloc[0], int(key[0])
             v = np.frombuffer(g["vectors"], dtype=dtype).reshape(-1, dim)
             keys, edges = np.frombuffer(g["keys"], dtype="<i8").reshape(-1, 2), np.frombuffer(g["edges"], dtype="<i4").reshape(len(v), -1).astype(np.int64)
-            x, length = _lifted(v, int(key[1]))
+            x = _units(v)
             every = np.stack(wanted["v"].to_numpy()).astype(dtype)
             for at in range(0, len(every), LANES):
                 q = every[at : at + LANES]
-                lane, node, score = search_shard(v, x, edges, int(g["entry"]), q, _directions(q, length), keep, max(SEARCH_BEAM, keep))
+                lane, node, score = search_shard(v, x, edges, int(g["entry"]), q, _units(q), keep, max(SEARCH_BEAM, keep))
                 cols["q1"].append(wanted["h1"].to_numpy()[at + lane])
                 cols["q2"].append(wanted["h2"].to_numpy()[at + lane])
                 cols["h1"].append(keys[node, 0])
