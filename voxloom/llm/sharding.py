@@ -7,7 +7,8 @@ to the lightest shard, so shards come out near equal in bytes (law ``bytes``).
 
 A record's virtual slot is a hash of its id and its text's checksum, so equal texts under
 different ids scatter over slots and shards: a large group of copies can't fill one shard.
-Rows that agree in id and text are one record and share a virtual slot.
+Rows that agree in id and text are copies of one record: their number within the record joins the hash, so
+they spread over slots too. Copy 0 has the slot of the record itself; numbers do not depend on how the table is cut up.
 
 Edge cases: a null or empty text counts one byte; a null id hashes like any value; an
 empty table gives no rows and a map that spreads empty slots evenly. Columns beyond the
@@ -30,13 +31,22 @@ MAP_SCHEMA = "version int, virtual_slot int, shard int, bytes long, n_rows long"
 
 
 def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, virtual_slot) of each row; the text is left behind."""
+    """(doc_id, size, text_crc32, _row, virtual_slot) of each row; the text is left behind."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
+    rows = docs.select(
         "doc_id",
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-    ).withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    rows = materialise(rows.withColumns({"_record": F.xxhash64("doc_id", "text_crc32"), "_part": F.shiftright("_row", 33)}), "sized")
+    # copies before a part of the table, then those before the row in its part: no task ranks all copies of a record
+    parts = rows.groupBy("_record", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_record").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.select("_record", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    within = F.row_number().over(Window.partitionBy("_record", "_part").orderBy("_row")) - 1
+    numbered = rows.withColumn("_copy", within).join(base, ["_record", "_part"]).withColumn("_copy", F.col("_copy") + F.col("_base"))
+    return numbered.select("doc_id", "size", "text_crc32", "_row", shard_of(F.col("doc_id"), F.col("text_crc32"), slots, F.col("_copy")).alias("virtual_slot"))
 
 
 def slot_bytes(rows: DataFrame, slots: int = SLOTS) -> list[tuple[int, int, int]]:
@@ -146,7 +156,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_p
     """
     spark = docs.sparkSession
     path = map_path or scratch_path(spark, "slot-map")
-    rows = materialise(sized(docs, slots).withColumn("_row", F.monotonically_increasing_id()), "sized")
+    rows = materialise(sized(docs, slots), "slotted")
     loads = slot_bytes(rows, slots)
     old = stored_map(spark, path)
     if old and len(old) != slots:
@@ -157,9 +167,12 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_p
     return assign(rows, load_map(spark, path))
 
 
-def shard_of(doc_id: Column, text_crc32: Column, slots: int = SLOTS) -> Column:
-    """The virtual slot of one record, for routing a new record by a stored map."""
-    return F.pmod(F.xxhash64(doc_id, text_crc32), F.lit(slots)).cast("int")
+def shard_of(doc_id: Column, text_crc32: Column, slots: int = SLOTS, copy: Column | None = None) -> Column:
+    """The virtual slot of one record, or of a copy of it by number, for routing a new record by a stored map."""
+    own = F.xxhash64(doc_id, text_crc32)
+    if copy is not None:
+        own = F.when(copy == 0, own).otherwise(F.xxhash64(doc_id, text_crc32, copy.cast("long")))
+    return F.pmod(own, F.lit(slots)).cast("int")
 
 
 def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
