@@ -68,7 +68,8 @@ def vector(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and LETTER.search(text) is not None
+    # the class also holds numbers such as a half or a Roman numeral
+    return bool(text) and any(m.group().isalpha() for m in LETTER.finditer(text))
 
 
 @dataclass
@@ -131,20 +132,23 @@ def quotas(counts: dict[str, int], rows: int) -> dict[str, int]:
 
 
 def _sample(train: DataFrame, counts: dict[str, int], rows: int) -> DataFrame:
-    """Each language's quota of texts, the first by a hash of the id.
+    """Each language's quota of texts, the first by a hash of id and text.
 
     A hash threshold of about twice the quota comes first, so that the rank within a
-    language sorts a bounded number of rows however many it has.
+    language sorts a bounded number of rows however many it has; the rows of least hash stay in any case, so
+    that a language of one repeated row is not lost. A partition passes on no more than the largest quota.
     """
     take = quotas(counts, rows)
-    share, quota = F.lit(0.0), F.lit(0)
+    key = F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(1 << 30))
+    keyed = train.withColumn("_key", key)
+    least = {r["lang"]: r["k"] for r in keyed.groupBy("lang").agg(F.min("_key").alias("k")).collect()}  # one row a language
+    limit, quota = F.lit(0.0), F.lit(0)
     for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, (2.0 * take[lang] + 64) / n))).otherwise(share)
+        limit = F.when(F.col("lang") == lang, F.lit(max(min(1.0, (2.0 * take[lang] + 64) / n) * (1 << 30), least[lang] + 1.0))).otherwise(limit)
         quota = F.when(F.col("lang") == lang, F.lit(take[lang])).otherwise(quota)
-    key = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30))
-    near = train.withColumn("_key", key).where(F.col("_key") < share * F.lit(1 << 30))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_key", "doc_id"))
-    return near.withColumn("_n", rank).where(F.col("_n") <= quota).drop("_n")
+    near = keyed.where(F.col("_key") < limit).withColumn("_n", rank).where(F.col("_n") <= max(take.values(), default=0))
+    return near.where(F.col("_n") <= quota).drop("_n")
 
 
 def train_model(docs: DataFrame, fit_rows: int = FIT_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> LanguageModel:
