@@ -39,7 +39,7 @@ TOKENS = "doc_id {id}, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b
 #: Texts that the rank-based encoder takes: characters of which all libraries know the class.
 PLAIN = re.compile("[\t\n\r -~\u00a0-\u024f\u2010-\u2027]*")
 #: Bytes of text whose tokens are lists at one time.
-RUN = 1 << 20
+RUN = 1 << 18
 #: Labels: '.' none, 'a' an A token ends here, 'b' a B token, '|' both.
 LABELS = np.frombuffer(b".ab|", dtype=np.uint8)
 SPAN = re.compile(rb"[^|]*\|")
@@ -171,6 +171,8 @@ def aligner(files: Broadcast):
                 runs = [pair.text(t) for t in part.column("text").to_pylist()]
                 columns = [_lists([r[k] for r in runs]) for k in range(5)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "a_ids", "b_ids", "a_sizes", "b_sizes", "n_bytes"])
+        # an idle worker keeps no buffers
+        pa.default_memory_pool().release_unused()
 
     return kernel
 
