@@ -6,7 +6,7 @@ import math
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from voxloom.functions import geometry as G
@@ -132,19 +132,29 @@ def tile_members(df: DataFrame, x: str, y: str, x0: float, y0: float, size: floa
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) by spreading the least label, with a stored table per round, until a round moves nothing."""
-    both = stored(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
-    label = stored(both.select(F.col("u").alias("node")).distinct().withColumn("component", F.col("node")))
+    """(node, component): the least node that each node is linked with, by rounds of stars.
+
+    A round ties the larger neighbours of every node to its least neighbour, then the smaller ones; paths
+    shrink by halves. The edges of a round are stored once, and a count and checksum taken as they
+    are written tell when a round has changed nothing. Then every edge leads to its component's least node.
+    """
+    pairs = edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    every = stored(pairs.distinct(), "edges")
+    links, before = every.where("u <> v"), None
     while True:
-        heard = both.join(label, both["v"] == label["node"]).groupBy("u").agg(F.min("component").alias("m"))
-        step = label.join(heard, label["node"] == heard["u"], "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
-        # hop over the label's own label
-        up = step.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        nxt = stored(step.join(up, "component", "left").select("node", F.coalesce("root", "component").alias("component")))
-        moved = nxt.join(label.withColumnRenamed("component", "was"), "node").where("component <> was").limit(1).count()
-        label = nxt
-        if not moved:
-            return label
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")).distinct()
+        seen = Observation()
+        links = stored(small.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "stars")
+        now = (seen.get["n"], seen.get["x"])
+        if now == before:
+            break
+        before = now
+    nodes = every.select(F.col("u").alias("node")).union(every.select("v")).distinct()
+    return nodes.join(links.withColumnsRenamed({"u": "node", "v": "component"}), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def closest_approach(p: list[str], d: list[str], q: list[str], e: list[str]) -> dict[str, Column]:

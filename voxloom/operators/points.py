@@ -180,3 +180,27 @@ def percentile_stretch(df: DataFrame, value: str, low: float, high: float, out:
     q = quantiles(df, [], F.col(value), (low, high)).toDF("_lo", "_hi")
     s = F.coalesce(F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
     return df.crossJoin(F.broadcast(q)).withColumn(out, G.clamp(s, 0.0, 1.0)).drop("_lo", "_hi")
+
+
+def hash_key(pid: Column, seed: int) -> Column:
+    """A number below 2 ** 32 out of an id and a seed, by one multiplication: plain SQL can say the same."""
+    return F.pmod(F.pmod(pid.cast("long"), F.lit(1 << 31)) * F.lit(2654435761) + F.lit(seed * 40503), F.lit(1 << 32))
+
+
+def exact_sample(points: DataFrame, n: int, seed: int = 42, pid: str = "pid") -> DataFrame:
+    """Exactly ``n`` rows without replacement (all, if there are fewer): those of least hash, ties to the smaller id. ``pid`` is unique.
+
+    A histogram of the hash's leading 16 bits names the bucket in which the last row lies; rows below it are
+    taken, and only that bucket is sorted. The sample is the same however the rows are dealt.
+    """
+    keyed = points.withColumn("_h", hash_key(F.col(pid), seed)).withColumn("_b", F.shiftright("_h", 16))
+    counts = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    # one row a bucket, 65,536 at most
+    upto = counts.withColumn("_upto", F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
+    last = upto.where(F.col("_upto") >= n).agg(F.min(F.struct("_b", (F.col("_upto") - F.col("_n")).alias("_before"))).alias("_l"))
+    # one row
+    edge = keyed.crossJoin(F.broadcast(last))
+    below = edge.where(F.col("_l").isNull() | (F.col("_b") < F.col("_l._b"))).select(*points.columns)
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", pid))
+    cut = edge.where(F.col("_b") == F.col("_l._b")).withColumn("_r", rank).where(F.col("_r") <= n - F.col("_l._before")).select(*points.columns)
+    return below.unionByName(cut)
