@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.operators.points import quantiles
+from voxloom.session import stored
+
 
 def icosphere(level: int) -> np.ndarray:
     """Unit vectors of an icosahedron subdivided ``level`` times (10 * 4**level + 2 rows)."""
@@ -269,14 +272,16 @@ def floor_plane(points: DataFrame, n: int = 1000, tolerance: float = 0.05) -> Da
     flip: with the normal turned to +z the other points lie, by their median, below the
     plane's, so that the cloud has to be turned over. No row where no three points span a plane.
     """
-    best = plane_hypotheses(points, n, tolerance).orderBy(F.col("inliers").desc(), "h").limit(1)
+    best = stored(plane_hypotheses(points, n, tolerance).orderBy(F.col("inliers").desc(), "h").limit(1), "plane")
     p = points.select("x", "y", "z").crossJoin(F.broadcast(best))
     along = F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c") * F.col("z")
     # a normal along z is left as it is
     height = F.when(F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b")) < 1e-6, F.col("z")).otherwise(along)
     on = F.abs(along + F.col("d")) <= tolerance
-    sides = p.groupBy("h", "a", "b", "c", "d", "inliers").agg(F.percentile(F.when(on, height), F.lit(0.5)).alias("floor"), F.percentile(F.when(~on, height), F.lit(0.5)).alias("room"))
-    return sides.select("h", "a", "b", "c", "d", "inliers", F.coalesce(F.col("room") < F.col("floor"), F.lit(False)).alias("flip"))
+    sides = quantiles(p.select(on.alias("on"), height.alias("height")), ["on"], F.col("height"), (0.5,))
+    # two rows
+    flip = sides.agg((F.max(F.when(~F.col("on"), F.col("q0"))) < F.max(F.when(F.col("on"), F.col("q0")))).alias("flip"))
+    return best.crossJoin(F.broadcast(flip)).select("h", "a", "b", "c", "d", "inliers", F.coalesce("flip", F.lit(False)).alias("flip"))
 
 
 def merge_arcs(arcs: DataFrame, angle: float, passes: int = 3) -> DataFrame:

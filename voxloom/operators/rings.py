@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxloom.session import stored
+
 
 def ring_next(df: DataFrame, keys: list[str], order: str, names: list[str]) -> DataFrame:
     """Adds next_<name>: the value of the following vertex, the last vertex followed by the first."""
@@ -32,6 +34,13 @@ def transform_ring(ring: Column, scale, angle, tx, ty) -> Column:
     return F.transform(ring, lambda p: F.struct((scale * (c * p["x"] - s * p["y"]) + tx).alias("x"), (scale * (s * p["x"] + c * p["y"]) + ty).alias("y")))
 
 
+def transform_about_mean(ring: Column, scale: float, angle: float) -> Column:
+    """array<struct<x,y>> scaled and rotated about the mean of its vertices, which goes to the origin."""
+    mean = lambda k: F.aggregate(ring, F.lit(0.0), lambda a, p: a + p[k]) / F.size(ring)
+    centred = F.transform(ring, lambda p: F.struct((p["x"] - mean("x")).alias("x"), (p["y"] - mean("y")).alias("y")))
+    return transform_ring(centred, scale, angle, 0.0, 0.0)
+
+
 def expand_ring(ring: Column, margin: float) -> Column:
     """Each vertex pushed away from the vertex mean by ``margin``."""
     mean = lambda k: F.aggregate(ring, F.lit(0.0), lambda a, p: a + p[k]) / F.size(ring)
@@ -107,14 +116,22 @@ def line_meet(a: tuple, b: tuple, flat: float = 1e-9) -> tuple[Column, Column]:
     return F.when(ok, x + s * dx).otherwise((x + u) / 2), F.when(ok, y + s * dy).otherwise((y + v) / 2)
 
 
-def dilate(filled: DataFrame, keys: list[str], values: list[str], width: int, height: int, rounds: int) -> DataFrame:
-    """Empty neighbours of filled texels take the mean of their filled neighbours, round by round."""
+def dilate(filled: DataFrame, keys: list[str], values: list[str], width: int, height: int, rounds: int, whole: bool = False) -> DataFrame:
+    """Empty neighbours of filled texels take the mean of their filled neighbours, round by round; ``whole`` cuts it to whole numbers.
+
+    Only the texels of the last round can have empty neighbours that were not reached, but their
+    means take all filled ones; a round is stored, so that plans stay short.
+    """
     around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j))
-    for _ in range(rounds):
+    filled = filled.select(*keys, "u", "v", *values)
+    for k in range(rounds):
         near = filled.withColumn("_o", F.explode(around)).withColumns({"_u": F.col("u") + F.col("_o.i"), "_v": F.col("v") + F.col("_o.j")})
         near = near.where(F.col("_u").between(0, width - 1) & F.col("_v").between(0, height - 1))
-        ring = near.groupBy(*keys, F.col("_u").alias("u"), F.col("_v").alias("v")).agg(*(F.avg(c).alias(c) for c in values))
-        filled = filled.select(*keys, "u", "v", *values).unionByName(ring.join(filled, [*keys, "u", "v"], "left_anti"))
+        mean = lambda c: F.floor(F.avg(c)).cast("double") if whole else F.avg(c)
+        ring = near.groupBy(*keys, F.col("_u").alias("u"), F.col("_v").alias("v")).agg(*(mean(c).alias(c) for c in values))
+        filled = filled.unionByName(ring.join(filled, [*keys, "u", "v"], "left_anti"))
+        if k + 1 < rounds:
+            filled = stored(filled, "texels")
     return filled
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxloom.functions import geometry as G
 from voxloom.operators.joins import components
 from voxloom.operators.points import quantiles
+from voxloom.session import stored
 
 
 def plane_lines(planes: DataFrame, parallel: float = 0.99) -> DataFrame:
@@ -83,19 +84,25 @@ def translation_grid(points: DataFrame, n: int) -> DataFrame:
     return axes[0].crossJoin(F.broadcast(axes[1])).crossJoin(F.broadcast(axes[2]))
 
 
-def orthogonal_triple(directions: DataFrame, limit: float = 0.1, keep: int = 60) -> DataFrame:
-    """First (i, j, k) by rank of three directions whose pairwise |cos| is below the limit, among the ``keep`` longest.
+def orthogonal_triple(directions: DataFrame, limit: float = 0.1, first: int = 64) -> DataFrame:
+    """(i, j, k) of three directions whose pairwise |cos| is below the limit: the triple that is complete first when directions come by length.
 
-    ``directions``: (i, x, y, z, length). Ranks go by length, ties to the smaller i; a scene has few main directions.
+    ``directions``: (i, x, y, z, length); ties in length go to the smaller i. Of triples that the same direction
+    completes the one of smallest ranks counts. The longest 64, 128, 256, ... are searched until a triple is found or
+    all are in: none that a longer prefix holds could be complete earlier.
     """
-    top = directions.orderBy(F.col("length").desc(), "i").limit(keep)
-    # at most ``keep`` rows from here on
-    d = top.withColumn("n", F.row_number().over(Window.orderBy(F.col("length").desc(), "i"))).select("n", "i", "x", "y", "z")
-    named = lambda p: d.select(*(F.col(c).alias(p + c) for c in ("n", "i", "x", "y", "z")))
-    off = lambda p, q: F.abs(G.dot((p + "x", p + "y", p + "z"), (q + "x", q + "y", q + "z"))) < limit
-    ab = named("a").join(F.broadcast(named("b")), F.col("an") < F.col("bn")).where(off("a", "b"))
-    abc = ab.join(F.broadcast(named("c")), F.col("bn") < F.col("cn")).where(off("a", "c") & off("b", "c"))
-    return abc.agg(F.min(F.struct("an", "bn", "cn", "ai", "bi", "ci")).alias("_m")).where("_m is not null").select(F.col("_m.ai").alias("i"), F.col("_m.bi").alias("j"), F.col("_m.ci").alias("k"))
+    total, keep = directions.count(), first
+    while True:
+        d = stored(directions.orderBy(F.col("length").desc(), "i").limit(keep), "longest")
+        d = d.withColumn("n", F.row_number().over(Window.orderBy(F.col("length").desc(), "i"))).select("n", "i", "x", "y", "z")
+        named = lambda p: d.select(*(F.col(c).alias(p + c) for c in ("n", "i", "x", "y", "z")))  # noqa: B023, E731
+        off = lambda p, q: F.abs(G.dot((p + "x", p + "y", p + "z"), (q + "x", q + "y", q + "z"))) < limit
+        ab = named("a").join(named("b"), F.col("an") < F.col("bn")).where(off("a", "b"))
+        abc = ab.join(named("c"), F.col("bn") < F.col("cn")).where(off("a", "c") & off("b", "c"))
+        best = stored(abc.agg(F.min(F.struct("cn", "an", "bn", "ai", "bi", "ci")).alias("_m")).where("_m is not null").select(F.col("_m.ai").alias("i"), F.col("_m.bi").alias("j"), F.col("_m.ci").alias("k")), "triple")
+        if keep >= total or not best.isEmpty():
+            return best
+        keep *= 2
 
 
 def octahedron_lines(points: DataFrame, radius: float) -> DataFrame:

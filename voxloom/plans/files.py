@@ -41,7 +41,7 @@ def q_label_files(spark, sf):
     p = table(spark, sf, "part").select(F.concat("p_brand", F.lit(".vec")).alias("name"), F.col("p_partkey").alias("fid"), (F.col("p_size") % 5).cast("long").alias("label"))
     folder = written(spark, S.label_files(p), "labels")
     files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    return files.select("name", (F.length("content") / 8).cast("long").alias("n"), F.crc32("content").alias("crc"), F.lower(F.hex(F.substring("content", 1, 8))).alias("first")).select("name", "n", "first")
+    return files.select("name", (F.length("content") / 8).cast("long").alias("n"), F.sha2(F.lower(F.hex("content")), 256).alias("digest"))
 
 
 def q_npy_round_trip(spark, sf):
@@ -91,7 +91,7 @@ MESH = "p AS (SELECT p_brand, p_partkey AS vid, p_size * 1.0::DOUBLE AS x, p_ret
 SQL = {
     "ply_round_trip": f"WITH {CLOUD} SELECT printf('cloud_%02d.ply', (pid % 7)::INT) AS name, count(*) AS n, round(sum(x), 4) AS x, round(sum(y), 4) AS y, round(sum(z), 4) AS z, round(sum(round_even(r * 255, 0)), 2) AS r FROM pts WHERE r <= 1 GROUP BY 1",
     "mesh_round_trip": f"WITH {MESH} SELECT p_brand || '.ply' AS name, count(*) AS faces, round(sum(x), 4) AS x, round(sum(y), 4) AS y FROM p WHERE v2 IS NOT NULL GROUP BY 1",
-    "label_files": "SELECT p_brand || '.vec' AS name, count(*) AS n, '0' || arg_min(p_size % 5, p_partkey) || '00000000000000' AS first FROM part GROUP BY 1",
+    "label_files": "SELECT p_brand || '.vec' AS name, count(*) AS n, sha256(string_agg('0' || p_size % 5 || '00000000000000', '' ORDER BY p_partkey)) AS digest FROM part GROUP BY 1",
     "npy_round_trip": "WITH d AS (SELECT printf('d%d.npy', (l_suppkey % 3)::INT) AS name, (l_partkey % 40)::INT AS v, l_quantity::INT AS u, min(l_extendedprice) AS d FROM lineitem GROUP BY 1, 2, 3) SELECT name, count(*) AS n, max(u) AS u, max(v) AS v, round(sum(d), 2) AS d FROM d GROUP BY 1",
     "png_round_trip": f"WITH {CLOUD}, p AS (SELECT printf('i%d.png', (pid % 3)::INT) AS name, x::INT AS u, floor(y)::INT AS v, max(b) AS b FROM pts WHERE r <= 1 AND g <= 1 GROUP BY 1, 2, 3) SELECT name, max(u) AS u, max(v) AS v, count(*) FILTER (b > 0) AS n, sum(round_even(b * 255, 0))::BIGINT AS b FROM p GROUP BY 1",
     "glb_export": f"WITH {MESH} SELECT p_brand || '.glb' AS name, count(*) AS vertices, count(v2) AS triangles, 'meter' AS unit FROM p GROUP BY 1",

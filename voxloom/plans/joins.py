@@ -100,10 +100,17 @@ def q_scale_candidates(spark, sf):
 
 
 def q_corner_pair_ratios(spark, sf):
-    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), (F.col("n_nationkey") % 5).cast("double").alias("x"), F.floor(F.col("n_nationkey") / 5).cast("double").alias("y"), "n_regionkey")
-    o = n.select(*(F.col(c).alias("o_" + c) for c in n.columns))
-    pairs = n.join(o, (n["n_regionkey"] == o["o_n_regionkey"]) & (n["k"] < o["o_k"]))
-    return pairs.select("k", "o_k", F.round(F.sqrt(J.squared([F.col("x"), F.col("y")], [F.col("o_x"), F.col("o_y")])), 6).alias("d"))
+    """Scales at which a wall of the map may be a wall of a room of the same block: ratios of corner distances between 5 and 15."""
+    c = table(spark, sf, "customer").select(F.floor(F.col("c_custkey") / 12).alias("block"), F.col("c_custkey").alias("k"), (F.col("c_custkey") * 37 % 100).cast("double").alias("x"), (F.col("c_custkey") * 53 % 90).cast("double").alias("y"), (F.col("c_custkey") % 2).alias("room"))
+    # corners of rooms are in metres, those of the map in pixels
+    c = c.withColumns({d: F.when(F.col("room") == 1, F.col(d) / 8).otherwise(F.col(d)) for d in "xy"})
+    o = c.select(*(F.col(n).alias("o_" + n) for n in c.columns))
+    far = F.sqrt(J.squared([F.col("x"), F.col("y")], [F.col("o_x"), F.col("o_y")]))
+    pairs = c.join(o, (F.col("block") == F.col("o_block")) & (F.col("room") == F.col("o_room")) & (F.col("k") < F.col("o_k"))).select("block", "room", "k", "o_k", far.alias("d"))
+    walls = pairs.where(F.col("d") > F.when(F.col("room") == 1, 1.5).otherwise(15.0))
+    a = walls.where("room = 0").select("block", "k", "o_k", "d")
+    b = walls.where("room = 1").select("block", F.col("k").alias("r"), F.col("o_k").alias("o_r"), F.col("d").alias("e"))
+    return a.join(b, "block").select("k", "o_k", "r", "o_r", F.round(F.col("d") / F.col("e"), 6).alias("scale")).where("scale > 5 AND scale < 15")
 
 
 def q_line_intersections(spark, sf):
@@ -236,7 +243,9 @@ SQL = {
  SELECT k AS component, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM c JOIN v ON v.vec_id = c.n GROUP BY k""",
     "chamfer_filter": f"WITH {VEC} SELECT vec_id FROM v a WHERE vec_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM v b WHERE b.vec_id % 2 = 1 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 0.06 * 0.06::DOUBLE)",
     "scale_candidates": "WITH s AS (SELECT a.p_retailprice / b.p_retailprice AS s FROM part a JOIN part b ON a.p_partkey // 100 = b.p_partkey // 100 AND a.p_partkey < b.p_partkey) SELECT least(CAST(floor((s - 0.2::DOUBLE) / ((2.5::DOUBLE - 0.2::DOUBLE) / 200)) AS INT), 199) AS bin, count(*) AS n FROM s WHERE s BETWEEN 0.2 AND 2.5 GROUP BY 1",
-    "corner_pair_ratios": "SELECT a.n_nationkey AS k, b.n_nationkey AS o_k, round(sqrt(pow(a.n_nationkey % 5 - b.n_nationkey % 5, 2) + pow(a.n_nationkey // 5 - b.n_nationkey // 5, 2)), 6) AS d FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
+    "corner_pair_ratios": """WITH c AS (SELECT c_custkey // 12 AS block, c_custkey AS k, (c_custkey * 37 % 100)::DOUBLE / CASE WHEN c_custkey % 2 = 1 THEN 8 ELSE 1 END AS x, (c_custkey * 53 % 90)::DOUBLE / CASE WHEN c_custkey % 2 = 1 THEN 8 ELSE 1 END AS y, c_custkey % 2 AS room FROM customer),
+ p AS (SELECT a.block, a.room, a.k, b.k AS o_k, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM c a JOIN c b ON a.block = b.block AND a.room = b.room AND a.k < b.k)
+ SELECT a.k, a.o_k, b.k AS r, b.o_k AS o_r, round(a.d / b.d, 6) AS scale FROM p a JOIN p b ON a.block = b.block AND a.room = 0 AND b.room = 1 WHERE a.d > 15 AND b.d > 1.5 AND round(a.d / b.d, 6) > 5 AND round(a.d / b.d, 6) < 15""",
     "line_intersections": f"""WITH {SEG}, p AS (SELECT a.*, b.id AS o_id, b.dx AS ex, b.dy AS ey, b.dz AS ez, a.px - b.px AS wx, a.py - b.py AS wy, a.pz - b.pz AS wz FROM seg a JOIN seg b ON (a.grp + 1) % 3 = b.grp),
  k AS (SELECT *, dx * dx + dy * dy + dz * dz AS a, dx * ex + dy * ey + dz * ez AS b, ex * ex + ey * ey + ez * ez AS c, dx * wx + dy * wy + dz * wz AS f, ex * wx + ey * wy + ez * wz AS g FROM p),
  s AS (SELECT *, (b * g - c * f) / (a * c - b * b) AS s, (a * g - b * f) / (a * c - b * b) AS t FROM k),

@@ -177,7 +177,7 @@ def q_unassigned_points(spark, sf):
 
 
 def q_plane_adjacency(spark, sf):
-    """Pairs of plane patches with points within 0.8 of each other in (x, y), by grid cells, and how many such point pairs."""
+    """Adjacent planes: pairs of patches with points at most 0.15 apart, found in grid cells, and how many of their point pairs are at most 0.2 apart."""
     p = units(spark, sf).select("i", "x", "y", "z", (F.col("i") % 6).alias("g"))
     pairs = J.pairs_within(p, "i", ["x", "y", "z"], 0.2)
     near = pairs.join(p.select(F.col("i").alias("a"), F.col("g").alias("ga")), "a").join(p.select(F.col("i").alias("b"), F.col("g").alias("gb")), "b").where("ga <> gb")

@@ -63,7 +63,7 @@ def q_crop_pixels(spark, sf):
 
 
 def q_clip_to_front(spark, sf):
-    both = lines3d(spark, sf).crossJoin(F.broadcast(views(spark).where("name LIKE '%pitch0%'")))
+    both = lines3d(spark, sf).crossJoin(F.broadcast(views(spark)))
     rot = A.view_rotation(F.col("yaw"), F.col("pitch"))
     at = both.select("id", "name", *(v.alias(p + c) for p in "se" for v, c in zip(A.turned(G.sub((p + "x", p + "y", p + "z"), (2.0, 2.0, 1.0)), rot, back=True), "xyz", strict=True)))
     a, b = A.front_part(A.S, A.E)
@@ -114,7 +114,7 @@ def q_line_split(spark, sf):
     s = lines3d(spark, sf).withColumn("length", G.norm(G.sub(A.E, A.S)))
     extent = s.agg(*((F.max((F.col(f"s{c}") + F.col(f"e{c}")) / 2) - F.min((F.col(f"s{c}") + F.col(f"e{c}")) / 2)).alias(c) for c in "xyz")).select(((F.col("x") + F.col("y") + F.col("z")) / 3).alias("extent"))
     # one row
-    return s.crossJoin(F.broadcast(extent)).select("id", F.round("length", 6).alias("length"), (F.col("length") >= 0.1 * F.col("extent") * 4).alias("sparse"), (F.col("length") >= 0.2).alias("dense"))
+    return s.crossJoin(F.broadcast(extent)).select("id", F.round("length", 6).alias("length"), (F.col("length") >= 0.1 * F.col("extent")).alias("sparse"), (F.col("length") >= 0.2).alias("dense"))
 
 
 def q_classify_arcs(spark, sf):
@@ -221,11 +221,27 @@ def q_closest_midpoints(spark, sf):
     return hit.select("id", "o_id", *(F.round((F.col(f"s{c}") + F.col("s") * F.col(f"d{c}") + F.col(f"o_s{c}") + F.col("t") * F.col(f"o_d{c}")) / 2, 6).alias(c) for c in "xyz"))
 
 
+#: Main directions of the room in the rotation scores, and their two thresholds.
+TILT = [[0.98, 0.15, -0.12], [-0.16, 0.97, 0.17], [0.14, -0.15, 0.98]]
+ALONG, ACROSS = 0.15, 0.05
+
+
 def q_rotation_scores(spark, sf):
-    """Arc normals within 0.95 of a turned axis, per rotation candidate, best first; 24 candidates are a fixed number."""
+    """Both scores of every rotation candidate: arc normals along a turned main direction, one for each, and arcs whose circle passes within ACROSS of one."""
     both = arcs(spark, sf).crossJoin(F.broadcast(turns(spark)))
-    hit = F.abs(F.col("m00") * F.col("nx") + F.col("m01") * F.col("ny") + F.col("m02") * F.col("nz") + 0.2 * (F.col("m20") * F.col("nx") + F.col("m21") * F.col("ny") + F.col("m22") * F.col("nz"))) > 0.9
-    return both.groupBy("r").agg(F.count_if(hit).alias("score")).orderBy(F.col("score").desc(), "r").limit(6)
+    # R q for every main direction q
+    turned = [tuple(sum((F.col(f"m{i}{k}") * q[k] for k in range(3)), F.lit(0.0)) for i in range(3)) for q in TILT]
+    cos = [F.abs(G.dot(A.N, d)) for d in turned]
+    along = sum((F.when(c > 1 - ALONG, 1).otherwise(0) for c in cos), F.lit(0))
+    return both.groupBy("r").agg(F.sum(along).alias("score"), F.count_if(F.least(*cos) < ACROSS).alias("crossed"))
+
+
+def q_line_classes(spark, sf):
+    """3D lines by every axis they run along within 0.3, the same line under several if it does; lines along none are missing."""
+    d = lines3d(spark, sf).select("id", *(v.alias("d" + c) for v, c in zip(G.unit(G.sub(A.E, A.S)), "xyz", strict=True)))
+    v = units(spark, sf).select((-F.col("i") - 1).alias("id"), *(F.col(c).alias("d" + c) for c in "xyz"))
+    hit = F.filter(F.array(*(F.when(F.abs(f"d{c}") > 1 - 0.3, k) for k, c in enumerate("xyz"))), lambda k: k.isNotNull())
+    return d.unionByName(v).select("id", F.explode(hit).alias("axis"))
 
 
 def q_camera_points(spark, sf):
@@ -285,7 +301,7 @@ SQL = {
     "view_rotations": f"WITH ang AS (SELECT n_nationkey, radians((n_nationkey * 15 - 100)::DOUBLE) AS yaw, radians((n_nationkey - 12)::DOUBLE) AS pitch FROM nation), m AS (SELECT n_nationkey, {ROT} FROM ang) SELECT n_nationkey, " + ", ".join(f"round(m{i}{j} + 0.0, 6) AS m{i}{j}" for i in range(3) for j in range(3)) + " FROM m",
     "crop_pixels": f"""WITH {UNIT}, {VIEW}, c AS (SELECT name, m00 * x + m10 * y + m20 * z AS cx, m01 * x + m11 * y + m21 * z AS cy, m02 * x + m12 * y + m22 * z AS cz FROM un, views), p AS (SELECT name, round_even(0.5 * {CROP} / tan(radians({FOV}) / 2) * cx / cz + {(CROP - 1) / 2}, 0)::INT AS u, round_even(-(0.5 * {CROP} / tan(radians({FOV}) / 2)) * cy / cz + {(CROP - 1) / 2}, 0)::INT AS v FROM c WHERE cz > 1e-4)
  SELECT name, count(*) AS n, sum(u)::BIGINT AS u, sum(v)::BIGINT AS v FROM p WHERE u BETWEEN 0 AND {CROP} AND v BETWEEN 0 AND {CROP} GROUP BY name""",
-    "clip_to_front": f"""WITH {LINES}, {VIEW}, r AS (SELECT id, name, sx - 2 AS px, sy - 2 AS py, sz - 1 AS pz, ex - 2 AS qx, ey - 2 AS qy, ez - 1 AS qz, views.* EXCLUDE (name) FROM lines, views WHERE name LIKE '%pitch0%'),
+    "clip_to_front": f"""WITH {LINES}, {VIEW}, r AS (SELECT id, name, sx - 2 AS px, sy - 2 AS py, sz - 1 AS pz, ex - 2 AS qx, ey - 2 AS qy, ez - 1 AS qz, views.* EXCLUDE (name) FROM lines, views),
  c AS (SELECT id, name, m00 * px + m10 * py + m20 * pz AS sx, m01 * px + m11 * py + m21 * pz AS sy, m02 * px + m12 * py + m22 * pz AS sz, m00 * qx + m10 * qy + m20 * qz AS ex, m01 * qx + m11 * qy + m21 * qz AS ey, m02 * qx + m12 * qy + m22 * qz AS ez FROM r), k AS (SELECT *, CASE WHEN ez = sz THEN NULL ELSE (0.05 - sz) / (ez - sz) END AS k FROM c WHERE NOT (sz < 0.05 AND ez < 0.05))
  SELECT id, name, """ + ", ".join(f"round(CASE WHEN {own}z < 0.05 THEN s{c} + k * (e{c} - s{c}) ELSE {own}{c} END + 1e-9, 5) AS {p}{c}" for p, own in (("a", "s"), ("b", "e")) for c in "xyz") + " FROM k",
     "floor_rotation": f"WITH {UNIT}, k AS (SELECT *, sqrt(x * x + y * y) AS s, (1 - z) / (x * x + y * y) AS k FROM un WHERE x * x + y * y >= 1e-12), m AS (SELECT i, x, y, z, 1 - k * x * x AS m00, -k * x * y AS m01, -x AS m02, -k * x * y AS m10, 1 - k * y * y AS m11, -y AS m12, x AS m20, y AS m21, z AS m22 FROM k) SELECT i, " + ", ".join(f"round(m{i}{j} + 1e-9, 6) AS m{i}{j}" for i in range(3) for j in range(3)) + ", round(x * x + y * y + z * z, 6) AS up FROM m",
@@ -294,7 +310,7 @@ SQL = {
  p AS (SELECT o_orderkey, r * cos(vy) * sin(vx) + u0 * cos(vx) + v0 * sin(vy) * sin(vx) AS sx, r * cos(vy) * cos(vx) - u0 * sin(vx) + v0 * sin(vy) * cos(vx) AS sy, r * sin(vy) - v0 * cos(vy) AS sz, r * cos(vy) * sin(vx) + u1 * cos(vx) + v1 * sin(vy) * sin(vx) AS ex, r * cos(vy) * cos(vx) - u1 * sin(vx) + v1 * sin(vy) * cos(vx) AS ey, r * sin(vy) - v1 * cos(vy) AS ez FROM o),
  n AS (SELECT o_orderkey, sy * ez - sz * ey AS nx, sz * ex - sx * ez AS ny, sx * ey - sy * ex AS nz FROM p), k AS (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS k FROM n) SELECT o_orderkey, round(ny / k + 1e-9, 5) AS nx, round(-nx / k + 1e-9, 5) AS ny, round(nz / k + 1e-9, 5) AS nz FROM k WHERE k > 1e-6""",
     "arc_filters": f"WITH {ARCS}, f AS (SELECT pano, acos(least(greatest(sx * ex + sy * ey + sz * ez, -1.0), 1.0)) > 0.3 AS a, abs(asin(least(greatest((sz + ez) / greatest(sqrt(pow(sx + ex, 2) + pow(sy + ey, 2) + pow(sz + ez, 2)), 1e-10), -1.0), 1.0))) < pi() / 3 AS b FROM arcs) SELECT pano, count(*) AS n, count(*) FILTER (a) AS n_long, count(*) FILTER (b) AS n_level, count(*) FILTER (a AND b) AS n_both FROM f GROUP BY pano",
-    "line_split": f"WITH {LINES}, l AS (SELECT *, sqrt(pow(ex - sx, 2) + pow(ey - sy, 2) + pow(ez - sz, 2)) AS length FROM lines), e AS (SELECT (max((sx + ex) / 2) - min((sx + ex) / 2) + max((sy + ey) / 2) - min((sy + ey) / 2) + max((sz + ez) / 2) - min((sz + ez) / 2)) / 3 AS extent FROM lines) SELECT id, round(length, 6) AS length, length >= 0.1::DOUBLE * extent * 4 AS sparse, length >= 0.2 AS dense FROM l, e",
+    "line_split": f"WITH {LINES}, l AS (SELECT *, sqrt(pow(ex - sx, 2) + pow(ey - sy, 2) + pow(ez - sz, 2)) AS length FROM lines), e AS (SELECT (max((sx + ex) / 2) - min((sx + ex) / 2) + max((sy + ey) / 2) - min((sy + ey) / 2) + max((sz + ez) / 2) - min((sz + ez) / 2)) / 3 AS extent FROM lines) SELECT id, round(length, 6) AS length, length >= 0.1::DOUBLE * extent AS sparse, length >= 0.2 AS dense FROM l, e",
     "classify_arcs": f"WITH {ARCS}, c AS (SELECT pano, abs(nx) AS a, abs(ny) AS b, abs(nz) AS c FROM arcs) SELECT pano, CASE WHEN least(a, b, c) >= 0.2 THEN NULL WHEN a <= b AND a <= c THEN 0 WHEN b <= c THEN 1 ELSE 2 END AS axis, count(*) AS n FROM c GROUP BY ALL",
     "range_overlap": """WITH r AS (SELECT l_linenumber, (l_partkey % 100)::DOUBLE / 100 AS a0, (l_suppkey % 97)::DOUBLE / 97 AS a1, (l_orderkey % 89)::DOUBLE / 89 AS b0, l_quantity / 51 AS b1 FROM lineitem),
  p AS (SELECT *, CASE WHEN a1 < a0 THEN 1.0 ELSE a1 END AS ae, CASE WHEN a1 < a0 THEN a1 ELSE 0 END AS af, CASE WHEN b1 < b0 THEN 1.0 ELSE b1 END AS be, CASE WHEN b1 < b0 THEN b1 ELSE 0 END AS bf FROM r)
@@ -311,7 +327,9 @@ SQL = {
     "closest_midpoints": f"""WITH {LINES}, p AS (SELECT a.*, b.id AS o_id, b.sx AS ox, b.sy AS oy, b.sz AS oz, a.ex - a.sx AS dx, a.ey - a.sy AS dy, a.ez - a.sz AS dz, b.ex - b.sx AS gx, b.ey - b.sy AS gy, b.ez - b.sz AS gz, a.sx - b.sx AS wx, a.sy - b.sy AS wy, a.sz - b.sz AS wz FROM lines a JOIN lines b ON (a.grp + 1) % 3 = b.grp),
  k AS (SELECT *, dx * dx + dy * dy + dz * dz AS a, dx * gx + dy * gy + dz * gz AS b, gx * gx + gy * gy + gz * gz AS c, dx * wx + dy * wy + dz * wz AS f, gx * wx + gy * wy + gz * wz AS g FROM p), s AS (SELECT *, (b * g - c * f) / (a * c - b * b) AS s, (a * g - b * f) / (a * c - b * b) AS t FROM k),
  h AS (SELECT *, sqrt(pow(wx + s * dx - t * gx, 2) + pow(wy + s * dy - t * gy, 2) + pow(wz + s * dz - t * gz, 2)) AS gap FROM s) SELECT id, o_id, round((sx + s * dx + ox + t * gx) / 2, 6) AS x, round((sy + s * dy + oy + t * gy) / 2, 6) AS y, round((sz + s * dz + oz + t * gz) / 2, 6) AS z FROM h WHERE s BETWEEN 0 AND 1 AND t BETWEEN 0 AND 1 AND gap < 0.35""",
-    "rotation_scores": f"WITH {ARCS}, {TURNS_SQL} SELECT r, count(*) FILTER (abs(m00 * nx + m01 * ny + m02 * nz + 0.2::DOUBLE * (m20 * nx + m21 * ny + m22 * nz)) > 0.9) AS score FROM arcs, turns GROUP BY r ORDER BY score DESC, r LIMIT 6",
+    "rotation_scores": f"WITH {ARCS}, {TURNS_SQL}, c AS (SELECT r, " + ", ".join("abs(" + " + ".join(f"n{c} * (" + " + ".join(f"m{i}{k} * {q[k]}::DOUBLE" for k in range(3)) + ")" for i, c in enumerate("xyz")) + f") AS c{j}" for j, q in enumerate(TILT)) + f" FROM arcs, turns) SELECT r, sum((c0 > {1 - ALONG})::INT + (c1 > {1 - ALONG})::INT + (c2 > {1 - ALONG})::INT)::BIGINT AS score, count(*) FILTER (least(c0, c1, c2) < {ACROSS}) AS crossed FROM c GROUP BY r",
+    "line_classes": f"""WITH {LINES}, {UNIT}, d AS (SELECT id, (ex - sx) / k AS x, (ey - sy) / k AS y, (ez - sz) / k AS z FROM (SELECT *, greatest(sqrt(pow(ex - sx, 2) + pow(ey - sy, 2) + pow(ez - sz, 2)), 1e-10) AS k FROM lines) UNION ALL SELECT -i - 1, x, y, z FROM un)
+ SELECT id, 0::INT AS axis FROM d WHERE abs(x) > 0.7 UNION ALL SELECT id, 1 FROM d WHERE abs(y) > 0.7 UNION ALL SELECT id, 2 FROM d WHERE abs(z) > 0.7""",
     "camera_points": f"""WITH {LINES}, c AS (SELECT * FROM (VALUES (0, 0.3::DOUBLE, 0.2::DOUBLE, -0.1::DOUBLE), (1, -1.2, 0.7, 0.4), (2, 2.5, -0.6, 1.1)) t(cam, w, p, r)), d AS (SELECT cam, w, p, r, sx - 1 AS x, sy - 2 AS y, sz - 0.5 AS z FROM lines, c)
  SELECT cam, count(*) AS n, round(sum(cos(w) * cos(p) * x + (cos(w) * sin(p) * sin(r) - sin(w) * cos(r)) * y + (cos(w) * sin(p) * cos(r) + sin(w) * sin(r)) * z), 4) AS x, round(sum(sin(w) * cos(p) * x + (sin(w) * sin(p) * sin(r) + cos(w) * cos(r)) * y + (sin(w) * sin(p) * cos(r) - cos(w) * sin(r)) * z), 4) AS y, round(sum(-sin(p) * x + cos(p) * sin(r) * y + cos(p) * cos(r) * z), 4) AS z FROM d GROUP BY cam""",
     "rotation_angles": "SELECT n_nationkey, round(n_nationkey * 0.25::DOUBLE - 3, 6) AS yaw, round(n_nationkey * 0.1::DOUBLE - 1.2, 6) AS pitch, round(n_nationkey * -0.2::DOUBLE + 2, 6) AS roll FROM nation",

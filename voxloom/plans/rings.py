@@ -52,6 +52,13 @@ def q_polygon_transform(spark, sf):
     return moved.select("k", F.explode("r").alias("p")).groupBy("k").agg(F.round(F.sum("p.x"), 5).alias("sx"), F.round(F.sum("p.y"), 5).alias("sy"), F.count(F.lit(1)).alias("n"))
 
 
+def q_polygon_about_centroid(spark, sf):
+    """Rings scaled and turned about the mean of their corners, which becomes the origin."""
+    c = ring(spark, sf).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("i", "x", "y"))).alias("r"))
+    turned = c.select("k", R.transform_about_mean(F.transform("r", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))), 1.5, 0.3).alias("r"))
+    return turned.select("k", F.posexplode("r").alias("i", "p")).select("k", "i", F.round("p.x", 5).alias("x"), F.round("p.y", 5).alias("y"))
+
+
 def q_polygon_expand(spark, sf):
     rings = spark.sql("SELECT 0 AS k, array(struct(0.0D AS x, 0.0D AS y), struct(4.0D AS x, 0.0D AS y), struct(4.0D AS x, 3.0D AS y), struct(0.0D AS x, 3.0D AS y)) AS r")
     return rings.select("k", F.posexplode(R.expand_ring(F.col("r"), 0.5)).alias("i", "p")).select("i", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
@@ -105,9 +112,14 @@ def q_corner_rebuild(spark, sf):
     return n.select("k", "i", F.round(x, 5).alias("cx"), F.round(y, 5).alias("cy"))
 
 
+#: Rounds that grow a texture over its gaps.
+ROUNDS = 8
+
+
 def q_dilate(spark, sf):
     m = mask(spark, sf).select("id", "u", "v", (F.col("u") + F.col("v")).cast("double").alias("c"))
-    return R.dilate(m, ["id"], ["c"], 51, 40, 1).select("id", "u", "v", F.round(F.col("c") + 1e-9, 6).alias("c"))
+    # whole numbers in every round, as in an image of bytes
+    return R.dilate(m, ["id"], ["c"], 51, 40, ROUNDS, whole=True)
 
 
 def q_mask_difference(spark, sf):
@@ -221,12 +233,17 @@ SQL = {
     "local_maxima": """WITH h AS (SELECT l_suppkey % 4 AS k, l_partkey % 60 AS t, count(*) AS v FROM lineitem GROUP BY 1, 2), n AS (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY k ORDER BY t) THEN 0 ELSE 1 END AS s FROM h),
  r AS (SELECT *, sum(s) OVER (PARTITION BY k ORDER BY t) AS run FROM n), f AS (SELECT k, run, min(t) AS a, max(t) AS b, any_value(v) AS v FROM r GROUP BY 1, 2), p AS (SELECT *, lag(v) OVER (PARTITION BY k ORDER BY run) AS x, lead(v) OVER (PARTITION BY k ORDER BY run) AS y FROM f)
  SELECT k, (a + b) // 2 AS t, v FROM p WHERE x < v AND y < v""",
+    "polygon_about_centroid": f"WITH {RING}, c AS (SELECT k, (row_number() OVER (PARTITION BY k ORDER BY i) - 1)::INT AS i, x - avg(x) OVER (PARTITION BY k) AS x, y - avg(y) OVER (PARTITION BY k) AS y FROM ring) SELECT k, i, round(1.5 * (cos(0.3) * x - sin(0.3) * y), 5) AS x, round(1.5 * (sin(0.3) * x + cos(0.3) * y), 5) AS y FROM c",
     "merge_collinear": f"""WITH {RING}, d AS (SELECT *, CAST(x > 50 AS INT) AS d, y + 1 AS w FROM ring), n AS (SELECT *, CASE WHEN lag(d) OVER (PARTITION BY k ORDER BY i) = d THEN 0 ELSE 1 END AS s FROM d), r AS (SELECT *, CAST(sum(s) OVER (PARTITION BY k ORDER BY i) AS BIGINT) AS run FROM n)
  SELECT k, run, d, round(sum(w), 4) AS w, round(sum(x * w) / sum(w), 5) AS x FROM r GROUP BY k, run, d""",
     "corner_rebuild": f"""WITH {RING}, d AS (SELECT *, i % 3 - 1.0::DOUBLE AS dx, i % 2 + 0.5::DOUBLE AS dy FROM ring), n AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS u, coalesce(lead(y) OVER w, first_value(y) OVER w) AS v, coalesce(lead(dx) OVER w, first_value(dx) OVER w) AS du, coalesce(lead(dy) OVER w, first_value(dy) OVER w) AS dv FROM d WINDOW w AS (PARTITION BY k ORDER BY i)),
  s AS (SELECT *, dx * dv - dy * du AS den FROM n) SELECT k, i, round(CASE WHEN abs(den) > 1e-9 THEN x + ((u - x) * dv - (v - y) * du) / den * dx ELSE (x + u) / 2 END, 5) AS cx, round(CASE WHEN abs(den) > 1e-9 THEN y + ((u - x) * dv - (v - y) * du) / den * dy ELSE (y + v) / 2 END, 5) AS cy FROM s""",
-    "dilate": f"""WITH {MASK}, f AS (SELECT id, u, v, (u + v)::DOUBLE AS c FROM m), n AS (SELECT id, u + i AS u, v + j AS v, avg(c) AS c FROM f, (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j) WHERE (i <> 0 OR j <> 0) AND u + i BETWEEN 0 AND 50 AND v + j BETWEEN 0 AND 39 GROUP BY 1, 2, 3)
- SELECT id, u, v, round(c + 1e-9, 6) AS c FROM f UNION ALL SELECT n.id, n.u, n.v, round(n.c + 1e-9, 6) FROM n ANTI JOIN f ON f.id = n.id AND f.u = n.u AND f.v = n.v""",
+    "dilate": f"WITH {MASK}, f0 AS (SELECT id, u, v, (u + v)::DOUBLE AS c FROM m), "
+    + ", ".join(
+        f"""f{k + 1} AS MATERIALIZED (SELECT * FROM f{k} UNION ALL SELECT * FROM (SELECT id, u + i AS u, v + j AS v, trunc(avg(c)) AS c FROM f{k}, (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j) WHERE (i <> 0 OR j <> 0) AND u + i BETWEEN 0 AND 50 AND v + j BETWEEN 0 AND 39 GROUP BY 1, 2, 3) n ANTI JOIN f{k} USING (id, u, v))"""
+        for k in range(ROUNDS)
+    )
+    + f" SELECT id, u, v, c FROM f{ROUNDS}",
     "mask_difference": f"WITH {MASK}, d AS (SELECT DISTINCT u, v FROM m WHERE id < 9 EXCEPT SELECT u, v FROM m WHERE id >= 9) SELECT u, count(*) AS n FROM d GROUP BY u",
     "mask_union": f"WITH {MASK}, d AS (SELECT DISTINCT id // 4 AS g, u, v FROM m) SELECT g, v, count(*) AS n FROM d GROUP BY g, v",
     "mask_classes": f"WITH {MASK}, w AS (SELECT count(*) AS w FROM (SELECT DISTINCT u, v FROM m)), c AS (SELECT id, count(*) AS n FROM m GROUP BY id) SELECT id, n, round(n / w, 6) AS share, CASE WHEN n / 2000.0 > 0.70 THEN 'junk' WHEN n / w > 0.85 THEN 'outline' ELSE 'room' END AS class FROM c, w",

@@ -79,8 +79,8 @@ SQL = {
     "mask_components": f"""WITH RECURSIVE {MASK}, p AS (SELECT id * 64 + u AS u, v, v::BIGINT * 1048576 + id * 64 + u AS k, id * 64 + u - row_number() OVER (PARTITION BY v ORDER BY id * 64 + u) AS g FROM m), r AS (SELECT v, g, min(u) AS lo, max(u) AS hi, min(k) AS k, count(*) AS n FROM p GROUP BY v, g),
  e AS (SELECT a.k AS a, b.k AS b FROM r a JOIN r b ON abs(a.v - b.v) = 1 AND a.lo <= b.hi + 1 AND b.lo <= a.hi + 1), reach AS (SELECT k AS n, k AS o FROM r UNION SELECT reach.n, e.b FROM reach JOIN e ON reach.o = e.a), c AS (SELECT n AS k, min(o) AS c FROM reach GROUP BY n)
  SELECT c AS component, CAST(sum(n) AS BIGINT) AS n, min(lo) AS u, min(v) AS v FROM c JOIN r USING (k) GROUP BY c HAVING sum(n) >= 4""",
-    "orthogonal_triple": f"""WITH {VEC}, u AS (SELECT vec_id AS i, x / n AS x, y / n AS y, z / n AS z, row_number() OVER (ORDER BY round(n, 9) DESC, vec_id) AS n FROM (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM v) WHERE n > 1e-9), d AS (SELECT * FROM u WHERE n <= 60)
- SELECT a.i AS i, b.i AS j, c.i AS k FROM d a JOIN d b ON a.n < b.n AND abs(a.x * b.x + a.y * b.y + a.z * b.z) < 0.1 JOIN d c ON b.n < c.n AND abs(a.x * c.x + a.y * c.y + a.z * c.z) < 0.1 AND abs(b.x * c.x + b.y * c.y + b.z * c.z) < 0.1 ORDER BY a.n, b.n, c.n LIMIT 1""",
+    "orthogonal_triple": f"""WITH {VEC}, u AS (SELECT vec_id AS i, x / n AS x, y / n AS y, z / n AS z, row_number() OVER (ORDER BY round(n, 9) DESC, vec_id) AS n FROM (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM v) WHERE n > 1e-9), d AS (SELECT * FROM u)
+ SELECT a.i AS i, b.i AS j, c.i AS k FROM d a JOIN d b ON a.n < b.n AND abs(a.x * b.x + a.y * b.y + a.z * b.z) < 0.1 JOIN d c ON b.n < c.n AND abs(a.x * c.x + a.y * c.y + a.z * c.z) < 0.1 AND abs(b.x * c.x + b.y * c.y + b.z * c.z) < 0.1 ORDER BY c.n, a.n, b.n LIMIT 1""",
     "octahedra": "SELECT k AS kind, count(*) * n AS n FROM nation, (VALUES ('v', 6), ('f', 8)) t(k, n) GROUP BY k, n",
     "translation_grid": f"""WITH {CLOUD}, e AS (SELECT count(*) AS n, pow(greatest(max(x) - min(x), 1e-9), 2) AS sx, pow(greatest(max(y) - min(y), 1e-9), 2) AS sy, pow(greatest(max(z) - min(z), 1e-9), 2) AS sz FROM pts), b AS (SELECT *, pow(200 / (sx * sy * sz), 1.0::DOUBLE / 3) AS b FROM e),
  """

@@ -59,7 +59,7 @@ def q_cam_files(spark, sf):
 def q_file_listing(spark, sf):
     p = table(spark, sf, "pages").select("page_id", "url")
     name = F.regexp_extract("url", r"/([0-9]+)(?:[?#].*)?$", 1)
-    return p.where(F.col("url").startswith("https")).select("page_id", name.try_cast("int").alias("idx"), F.regexp_extract("url", r"^https?://([^/]+)/", 1).alias("host")).where("idx is not null")
+    return p.select("page_id", name.try_cast("int").alias("idx"), F.regexp_extract("url", r"^https?://([^/]+)/", 1).alias("host")).where("idx is not null")
 
 
 def q_json_props(spark, sf):
@@ -139,7 +139,7 @@ SQL = {
     "obj_round_trip": f"WITH {OBJ} SELECT 'm' || (c % 3) AS material, count(*) AS n, round(sum(c::DOUBLE), 4) AS sx, round(sum(2.5::DOUBLE), 4) AS ez FROM s GROUP BY 1",
     "ply_to_xyz": "SELECT p_partkey, printf('%.6f %.6f %.6f', p_size::DOUBLE, p_retailprice, p_partkey / 3.0::DOUBLE) AS line FROM part",
     "cam_files": "SELECT n_nationkey AS k, CAST(length(concat_ws(' ', printf('%.12f', n_nationkey / 7.0::DOUBLE), printf('%.12f', n_nationkey * 2 / 7.0::DOUBLE), printf('%.12f', n_nationkey * 3 / 7.0::DOUBLE))) + 9 * 15 + 1 + 14 + 6 + 1 + 14 + 1 + 14 AS INT) AS len, round(n_nationkey / 7.0::DOUBLE, 9) AS t0, round(n_nationkey * 3 / 7.0::DOUBLE, 9) AS t2, 12 AS n FROM nation",
-    "file_listing": r"SELECT page_id, regexp_extract(url, '/([0-9]+)(?:[?#].*)?$', 1)::INT AS idx, regexp_extract(url, '^https?://([^/]+)/', 1) AS host FROM pages WHERE url LIKE 'https%' AND regexp_matches(url, '/([0-9]+)(?:[?#].*)?$')",
+    "file_listing": r"SELECT page_id, regexp_extract(url, '/([0-9]+)(?:[?#].*)?$', 1)::INT AS idx, regexp_extract(url, '^https?://([^/]+)/', 1) AS host FROM pages WHERE regexp_matches(url, '/([0-9]+)(?:[?#].*)?$')",
     "json_props": "SELECT event_type, count(CAST(props->>'k' AS INT)) AS n, CAST(sum(CAST(props->>'k' AS INT)) AS BIGINT) AS k FROM events GROUP BY 1",
     "json_sink": """SELECT n_nationkey, '{"name":"' || n_name || '","region":' || n_regionkey || '}' AS doc FROM nation""",
     "json_translation": "SELECT n_nationkey, n_nationkey + 0.5::DOUBLE AS x, -20.0::DOUBLE AS y, 7.0::DOUBLE AS z FROM nation WHERE n_nationkey % 4 <> 0",
