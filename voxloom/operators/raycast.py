@@ -18,6 +18,10 @@ from voxloom.session import stored
 
 O, D, A, B, C = (tuple(p + c for c in "xyz") for p in "odabc")
 KEYS = ("kx", "ky", "kz")
+#: Decimals of a hit's parameter: nearer ones than these tell are at one place.
+DIGITS = 9
+#: How far, in barycentric weights, an edge is still hit: rays do not slip between faces that share one.
+EDGE = 1e-9
 
 
 def _meet(eps: float) -> tuple[Column, Column, Column, Column]:
@@ -64,7 +68,7 @@ def steps(rays: DataFrame, low: tuple, high: tuple, size: float, limit: float) -
 
 
 def ray_hits(rays: DataFrame, triangles: DataFrame, size: float, limit: float = math.inf, eps: float = 1e-9, first: int = 8) -> DataFrame:
-    """(ray, face, t): the nearest triangle in front of each ray within ``limit``; ties to the smaller face. Rays without a hit have no row.
+    """(ray, face, t): the nearest triangle in front of each ray within ``limit``; ties, to DIGITS decimals, to the smaller face. Rays without a hit have no row.
 
     ``rays``: (ray, ox..oz, dx..dz), ``triangles``: (face, ax..cz); t is in lengths of d. Null
     coordinates, rays without direction and flat triangles meet nothing.
@@ -85,8 +89,8 @@ def ray_hits(rays: DataFrame, triangles: DataFrame, size: float, limit: float =
         step = F.sequence(F.lit(begin), F.least(F.lit(end), F.size("at") - 1) - 1)
         walk = left.withColumn("_i", F.explode(step)).withColumn("_m", (F.get("at", F.col("_i")) + F.get("at", F.col("_i") + 1)) / 2)
         walk = walk.select("ray", *O, *D, *(F.floor((F.col(O[k]) + F.col("_m") * F.col(D[k]) - low[k]) / size).alias(KEYS[k]) for k in range(3)))
-        met = walk.join(held, list(KEYS)).select("ray", "face", u.alias("u"), w.alias("w"), t.alias("t"))
-        met = met.where((F.col("u") >= 0) & (F.col("w") >= 0) & (F.col("u") + F.col("w") <= 1) & (F.col("t") > eps) & (F.col("t") <= limit))
+        met = walk.join(held, list(KEYS)).select("ray", "face", u.alias("u"), w.alias("w"), F.round(t, DIGITS).alias("t"))
+        met = met.where((F.col("u") >= -EDGE) & (F.col("w") >= -EDGE) & (F.col("u") + F.col("w") <= 1 + EDGE) & (F.col("t") > eps) & (F.col("t") <= limit))
         found = met.groupBy("ray").agg(F.min(F.struct("t", F.col("face").cast("long").alias("face"))).alias("_b"))
         reached = F.get("at", F.least(F.lit(end), F.size("at") - 1))
         over = (F.size("at") - 1 <= end) | (F.coalesce(F.col("best.t"), F.lit(math.inf)) <= reached)

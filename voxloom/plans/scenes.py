@@ -38,7 +38,7 @@ def q_ray_hits(spark, sf):
         k.alias("ray"), (k * 331 % 400 / 10.0 + 0.013).alias("ox"), (k * 57 % 100 / 10.0 + 0.017).alias("oy"), (k * 173 % 400 / 10.0 + 0.019).alias("oz"),
         ((k % 9 - 4) / 4.0).alias("dx"), ((k % 11 - 5) / 5.0).alias("dy"), ((k % 5 - 2) / 2.0).alias("dz"),
     )
-    return R.ray_hits(rays, triangles(spark, sf), VOXEL).select("ray", "face", F.round("t", 6).alias("t"))
+    return R.ray_hits(rays, triangles(spark, sf), VOXEL).select("ray", "face", F.round(F.col("t") + 1e-9, 6).alias("t"))
 
 
 def q_opposite_surface(spark, sf):
@@ -56,7 +56,7 @@ def q_opposite_surface(spark, sf):
     rays = stored(rays, "rays")
     hits = R.ray_hits(rays, tri, VOXEL, WALL_REACH)
     found = rays.select("ray", "kind", "off").join(hits, "ray").where(F.col("t") <= F.when(F.col("kind") == "wall", WALL_REACH).otherwise(HEIGHT_REACH))
-    return found.select("ray", "kind", F.col("face").alias("opposite"), F.round(F.col("t") + F.col("off"), 6).alias("distance"))
+    return found.select("ray", "kind", F.col("face").alias("opposite"), F.round(F.col("t") + F.col("off") + 1e-9, 6).alias("distance"))
 
 
 #: Sides of the hall whose surface the cloud samples, the voxel it is thinned to, and the search radius.
@@ -147,7 +147,7 @@ def hits_sql(rays: str, limit: str) -> str:
     """SQL of the nearest hit of every row of ``rays`` (ray, ox..dz) among all triangles."""
     return f"""met AS (SELECT *, ex * hx + ey * hy + ez * hz AS det FROM (SELECT *, dy * fz - dz * fy AS hx, dz * fx - dx * fz AS hy, dx * fy - dy * fx AS hz, sy * ez - sz * ey AS qx, sz * ex - sx * ez AS qy, sx * ey - sy * ex AS qz
  FROM (SELECT r.*, t.*, ox - ax AS sx, oy - ay AS sy, oz - az AS sz FROM {rays} r, tri t))),
- hit AS (SELECT *, (fx * qx + fy * qy + fz * qz) / det AS t FROM met WHERE abs(det) > 1e-9 AND (sx * hx + sy * hy + sz * hz) / det >= 0 AND (dx * qx + dy * qy + dz * qz) / det >= 0 AND (sx * hx + sy * hy + sz * hz) / det + (dx * qx + dy * qy + dz * qz) / det <= 1),
+ hit AS (SELECT *, round((fx * qx + fy * qy + fz * qz) / det, 9) AS t FROM met WHERE abs(det) > 1e-9 AND (sx * hx + sy * hy + sz * hz) / det >= -1e-9 AND (dx * qx + dy * qy + dz * qz) / det >= -1e-9 AND (sx * hx + sy * hy + sz * hz) / det + (dx * qx + dy * qy + dz * qz) / det <= 1 + 1e-9),
  best AS (SELECT * FROM hit WHERE t > 1e-9 AND t <= {limit} QUALIFY row_number() OVER (PARTITION BY ray ORDER BY t, face) = 1)"""
 
 
@@ -174,10 +174,10 @@ SQL = {
  d AS (SELECT *, sign((ay * bz - az * b_y) * cx + (az * bx - ax * bz) * cy + (ax * b_y - ay * bx) * cz) AS s FROM t)
  SELECT 0::INT AS k, ax AS x, ay AS y, az AS z FROM d UNION ALL SELECT 1, bx, b_y, bz FROM d UNION ALL SELECT 2, CASE WHEN s < 0 THEN -cx ELSE cx END, CASE WHEN s < 0 THEN -cy ELSE cy END, CASE WHEN s < 0 THEN -cz ELSE cz END FROM d""",
     "ray_hits": f"""WITH {TRIANGLES}, rays AS (SELECT c_custkey AS ray, (c_custkey * 331 % 400)::DOUBLE / 10 + 0.013::DOUBLE AS ox, (c_custkey * 57 % 100)::DOUBLE / 10 + 0.017::DOUBLE AS oy, (c_custkey * 173 % 400)::DOUBLE / 10 + 0.019::DOUBLE AS oz,
- (c_custkey % 9 - 4)::DOUBLE / 4 AS dx, (c_custkey % 11 - 5)::DOUBLE / 5 AS dy, (c_custkey % 5 - 2)::DOUBLE / 2 AS dz FROM customer), {hits_sql("rays", "'inf'::DOUBLE")} SELECT ray, face, round(t, 6) AS t FROM best""",
+ (c_custkey % 9 - 4)::DOUBLE / 4 AS dx, (c_custkey % 11 - 5)::DOUBLE / 5 AS dy, (c_custkey % 5 - 2)::DOUBLE / 2 AS dz FROM customer), {hits_sql("rays", "'inf'::DOUBLE")} SELECT ray, face, round(t + 1e-9, 6) AS t FROM best""",
     "opposite_surface": f"""WITH {TRIANGLES}, n AS (SELECT *, nx / k AS ux, ny / k AS uy, nz / k AS uz FROM (SELECT *, greatest(sqrt(nx * nx + ny * ny + nz * nz), 1e-10) AS k FROM (SELECT *, ey * fz - ez * fy AS nx, ez * fx - ex * fz AS ny, ex * fy - ey * fx AS nz FROM tri))),
  s AS (SELECT face AS ray, CASE WHEN abs(uy) <= 0.5 THEN 'wall' WHEN uy > 0 THEN 'floor' ELSE 'ceiling' END AS kind, (ax + bx + cx) / 3 AS mx, (ay + b_y + cy) / 3 AS my, (az + bz + cz) / 3 AS mz,
   CASE WHEN abs(uy) > 0.5 OR abs(ux) <= abs(uz) THEN 0.0::DOUBLE WHEN ux >= 0 THEN 1 ELSE -1 END AS dx, CASE WHEN uy > 0.5 THEN 1.0::DOUBLE WHEN uy < -0.5 THEN -1 ELSE 0 END AS dy, CASE WHEN abs(uy) > 0.5 OR abs(ux) > abs(uz) THEN 0.0::DOUBLE WHEN uz >= 0 THEN 1 ELSE -1 END AS dz FROM n),
  rays AS (SELECT ray, kind, o, mx + o * dx AS ox, my + o * dy AS oy, mz + o * dz AS oz, dx, dy, dz FROM (SELECT *, CASE WHEN kind = 'wall' THEN {OFF_WALL}::DOUBLE ELSE 0 END AS o FROM s)), {hits_sql("rays", f"CASE WHEN kind = 'wall' THEN {WALL_REACH} ELSE {HEIGHT_REACH} END")}
- SELECT ray, kind, face AS opposite, round(t + o, 6) AS distance FROM best""",
+ SELECT ray, kind, face AS opposite, round(t + o + 1e-9, 6) AS distance FROM best""",
 }
