@@ -87,7 +87,7 @@ def _points(column: pa.ListArray, row: int) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(found.field("i")), np.stack([np.asarray(found.field(c)) for c in "xyz"], axis=1)
 
 
-PAIRS = "cand long, track boolean, i2 long, i3 long, px double, py double, pz double, sx double, sy double, sz double, far double"
+PAIRS = "cand long, track boolean, i2 long, i3 long, px double, py double, pz double, sx double, sy double, sz double, far double, yaw double, pitch double, roll double"
 
 
 def pairs(groups: DataFrame, state: DataFrame, limit: float) -> DataFrame:
@@ -103,7 +103,7 @@ def pairs(groups: DataFrame, state: DataFrame, limit: float) -> DataFrame:
                 far = np.maximum(np.linalg.norm(seen, axis=1), 1e-6)
                 s = seen / far[:, None]
                 a, b = mutual(p, s, limit / 5 if v["grp"] == ALL else limit)
-                frame = pd.DataFrame({"cand": v["cand"], "track": v["track"], "i2": i2[a], "i3": i3[b], "px": p[a, 0], "py": p[a, 1], "pz": p[a, 2], "sx": s[b, 0], "sy": s[b, 1], "sz": s[b, 2], "far": far[b]})
+                frame = pd.DataFrame({"cand": v["cand"], "track": v["track"], "i2": i2[a], "i3": i3[b], "px": p[a, 0], "py": p[a, 1], "pz": p[a, 2], "sx": s[b, 0], "sy": s[b, 1], "sz": s[b, 2], "far": far[b], **{c: v[c] for c in ANGLES}})
                 if len(frame):
                     yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
 
@@ -122,10 +122,9 @@ def grouped(flat: DataFrame, solid: DataFrame) -> DataFrame:
     return both.join(single, "pano").withColumn("track", (F.col("grp") != ALL) == F.col("_some")).drop("_some")
 
 
-def translation_slopes(found: DataFrame, state: DataFrame) -> DataFrame:
+def translation_slopes(found: DataFrame) -> DataFrame:
     """(cand, now, g_tx..g_tz): the mean absolute difference of all pairs and its partial derivatives."""
     rot = G.rotation_from_ypr(*ANGLES)
-    j = found.join(state.select("cand", *ANGLES), "cand")
     s, p = [F.col("s" + c) for c in "xyz"], [F.col("p" + c) for c in "xyz"]
     sign = [F.signum(a - b) for a, b in zip(s, p, strict=True)]
     # s moves by -(1 - s s') R / far for a move of t
@@ -133,7 +132,7 @@ def translation_slopes(found: DataFrame, state: DataFrame) -> DataFrame:
     off = [a - along * b for a, b in zip(sign, s, strict=True)]
     slope = [-sum((off[r] * rot[r][c] for r in range(3)), F.lit(0.0)) / F.col("far") for c in range(3)]
     cost = sum((F.abs(a - b) for a, b in zip(p, s, strict=True)), F.lit(0.0))
-    return j.groupBy("cand").agg(F.avg(cost).alias("now"), *(F.avg(g).alias("g_" + n) for g, n in zip(slope, T, strict=True)))
+    return found.groupBy("cand").agg(F.avg(cost).alias("now"), *(F.avg(g).alias("g_" + n) for g, n in zip(slope, T, strict=True)))
 
 
 def turn_slopes(lines: DataFrame, state: DataFrame, inlier: float) -> DataFrame:
@@ -175,7 +174,7 @@ def refine_poses(
     state = candidates.select("cand", "pano", *T, *ANGLES, *(F.col(n).alias("was_" + n) for n in T), *(F.col(n).alias("first_" + n) for n in (*T, *ANGLES)))
     state = stored(begun(state, T, lr), "state")
     for k in range(1, steps_t + 1):
-        state = stored(moved(state, translation_slopes(pairs(groups, state, limit), state), T, k), "state")
+        state = stored(moved(state, translation_slopes(pairs(groups, state, limit)), T, k), "state")
     # the pairs that made the last step
     before = state.withColumns({n: F.col("was_" + n) for n in T})
     kept = stored(pairs(groups, before, limit).where("track").select("cand", "i2", "i3").join(state.select("cand", "pano"), "cand"), "matches")
