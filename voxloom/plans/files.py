@@ -14,6 +14,8 @@ def written(spark, files, kind):
     """The folder into which the files were written."""
     folder = shared_folder(spark, kind)
     S.write_files(files, folder)
+    if not S.is_whole(spark, folder):
+        raise OSError(f"{folder} is not whole")
     return folder
 
 

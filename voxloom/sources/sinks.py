@@ -18,6 +18,8 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from voxloom.sources.codecs import GLB_MAGIC, JSON_CHUNK, decode_ply, encode_ply, encode_png
 
 FILES = "name string, content binary"
+#: File that marks a folder as whole; Spark's readers pass over names that begin so.
+DONE = "_SUCCESS"
 #: Fixed values of the GLB and glTF formats: the binary chunk's kind, and the codes of component types and buffer targets.
 BIN_CHUNK, FLOAT32, UINT32, ARRAY_BUFFER, ELEMENT_BUFFER = 0x004E4942, 5126, 5125, 34962, 34963
 
@@ -29,7 +31,7 @@ class _FileWriter(DataSourceWriter):
     def write(self, rows) -> WriterCommitMessage:
         from pyarrow import fs
 
-        store, folder = fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else f"file://{self.path}")
+        store, folder = fs.FileSystem.from_uri(self.path)
         for row in rows:
             at = f"{folder.rstrip('/')}/{row.name}"
             store.create_dir(at.rsplit("/", 1)[0], recursive=True)
@@ -38,6 +40,15 @@ class _FileWriter(DataSourceWriter):
                 out.write(bytes(row.content))
         return WriterCommitMessage()
 
+    def commit(self, messages) -> None:
+        """Marks the folder as whole; a job that failed leaves none of its own, and ``write_files`` took the old one away."""
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(self.path)
+        store.create_dir(folder, recursive=True)
+        with store.open_output_stream(f"{folder.rstrip('/')}/{DONE}"):
+            pass
+
 
 class FileSink(DataSource):
     """Writes (name, content) rows as files under the option ``path``: any store that Arrow opens by its URI."""
@@ -53,10 +64,28 @@ class FileSink(DataSource):
         return _FileWriter(self.options)
 
 
+def qualified(spark: SparkSession, folder: str):
+    """(file system, path) of a folder as Spark itself would read it: a path without a scheme is in the default file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store, path.makeQualified(store.getUri(), store.getWorkingDirectory())
+
+
 def write_files(files: DataFrame, folder: str) -> None:
-    """Each row of (name, content) as a file under ``folder``; same names are replaced."""
-    files.sparkSession.dataSource.register(FileSink)
-    files.select("name", "content").write.format(FileSink.name()).mode("append").save(folder)
+    """Each row of (name, content) as a file under ``folder``; same names are replaced. DONE is there once all files are."""
+    spark = files.sparkSession
+    store, path = qualified(spark, folder)
+    store.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, DONE), False)
+    spark.dataSource.register(FileSink)
+    # file:/x is read by all, file:///x by Arrow too
+    uri = path.toString()
+    files.select("name", "content").write.format(FileSink.name()).mode("append").save(f"file://{uri[5:]}" if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+
+
+def is_whole(spark: SparkSession, folder: str) -> bool:
+    """Whether the last write to a folder came to its end."""
+    store, path = qualified(spark, folder)
+    return store.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, DONE))
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
