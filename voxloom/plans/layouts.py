@@ -159,15 +159,6 @@ def q_better_registration(spark, sf):
     return o.groupBy("o_custkey").agg(best.alias("m")).select("o_custkey", (-F.col("m.first")).alias("method"), F.col("m.fitness").alias("fitness"))
 
 
-def q_line_clip(spark, sf):
-    """Meeting lines of planes cut to the extents of both planes' boundaries, 0.05 longer, at least 0.1 long."""
-    b = ring(spark, sf).groupBy("k").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("hi > lo")
-    a = b.select(F.col("k").alias("a"), *(F.col(c).alias("a" + c) for c in ("lo", "hi")))
-    pairs = a.join(b.select((F.col("k") - 1).alias("a"), *(F.col(c).alias("b" + c) for c in ("lo", "hi"))), "a")
-    cut = pairs.select("a", (F.greatest("alo", "blo") - 0.05).alias("t0"), (F.least("ahi", "bhi") + 0.05).alias("t1"))
-    return cut.where("t1 - t0 >= 0.1").select("a", F.round("t0", 6).alias("t0"), F.round("t1", 6).alias("t1"))
-
-
 def q_unassigned_points(spark, sf):
     """Points that no plane of an earlier group holds, by exact place; of repeated planes the first owns a point."""
     p = cloud(spark, sf).select("x", "y", F.round("z", 6).alias("z"), (F.col("pid") % 5).alias("plane"))
@@ -454,7 +445,6 @@ SQL = {
     "face_edges": "WITH f AS (SELECT o_orderkey % 500 AS a, o_orderkey * 3 % 500 AS b, o_custkey % 500 AS c FROM orders), e AS (SELECT DISTINCT least(p, q) AS a, greatest(p, q) AS b FROM (SELECT a AS p, b AS q FROM f UNION ALL SELECT b, c FROM f UNION ALL SELECT c, a FROM f) WHERE p <> q) SELECT a % 10 AS k, count(*) AS n, sum(b - a)::BIGINT AS span FROM e GROUP BY 1",
     "paint_order": "WITH " + PROJ + ", r AS (SELECT pano, least(greatest(CAST(trunc(u) AS INT), 0), 63) AS pu, least(greatest(CAST(trunc(v) AS INT), 0), 31) AS pv, pid, round(depth, 9) AS d FROM proj) SELECT pano, pu, pv, pid FROM (SELECT *, row_number() OVER (PARTITION BY pano, pu, pv ORDER BY d, pid) AS n FROM r) WHERE n = 1",
     "better_registration": "WITH o AS (SELECT o_custkey, o_orderkey % 2 AS method, round(o_totalprice % 1000, 2) AS fitness FROM orders) SELECT o_custkey, method, fitness FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY fitness DESC, method) AS n FROM o) WHERE n = 1",
-    "line_clip": f"WITH {RING}, b AS (SELECT k, min(x) AS lo, max(x) AS hi FROM ring GROUP BY k HAVING max(x) > min(x)), c AS (SELECT p.k AS a, greatest(p.lo, q.lo) - 0.05 AS t0, least(p.hi, q.hi) + 0.05 AS t1 FROM b p JOIN b q ON q.k = p.k + 1) SELECT a, round(t0, 6) AS t0, round(t1, 6) AS t1 FROM c WHERE t1 - t0 >= 0.1",
     "unassigned_points": f"WITH {CLOUD}, p AS (SELECT x, y, round(z, 6) AS z, pid % 5 AS plane FROM pts), o AS (SELECT x, y, z, min(plane) AS owner FROM p WHERE plane < 3 GROUP BY 1, 2, 3) SELECT plane, count(*) AS n FROM p WHERE plane >= 3 AND NOT EXISTS (SELECT 1 FROM o WHERE o.x = p.x AND o.y = p.y AND o.z = p.z) GROUP BY plane UNION ALL SELECT owner, count(*) FROM o GROUP BY owner",
     "plane_adjacency": f"WITH {UNIT}, d AS (SELECT a.i % 6 AS ga, b.i % 6 AS gb, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM un a JOIN un b ON a.i < b.i) SELECT least(ga, gb) AS p, greatest(ga, gb) AS q, count(*) AS n, round(sqrt(min(d2)), 6) AS gap FROM d WHERE ga <> gb AND d2 <= 0.2 * 0.2::DOUBLE GROUP BY 1, 2 HAVING round(sqrt(min(d2)), 6) <= 0.15",
     "room_labels": f"WITH {CLOUD}, {ROOMS}, p AS (SELECT x / 4 AS x, y * 1.2 AS y, count(*) AS n FROM pts GROUP BY 1, 2), h AS (SELECT p.x, p.y, p.n, coalesce(max(room), -1) AS room FROM p LEFT JOIN rooms ON p.x >= x0 AND p.x < x1 AND p.y >= y0 AND p.y < y1 GROUP BY 1, 2, 3) SELECT room, sum(n)::BIGINT AS n FROM h GROUP BY room",

@@ -10,7 +10,9 @@ from voxloom.operators import directions as D
 from voxloom.operators import normals as N
 from voxloom.operators import raycast as R
 from voxloom.operators import refine as P
+from voxloom.operators import surfaces as S
 from voxloom.plans.joins import ARCS, arcs
+from voxloom.plans.surfaces import UNIT, units
 from voxloom.session import stored, table
 
 VOXEL = 2.0
@@ -131,15 +133,50 @@ def pose_tables(spark, sf):
     return poses, flat, solid, flat_lines, solid_lines
 
 
+#: Offsets of the starts from the true pose: along x and y, and in yaw.
+STARTS = ((0.25, -0.2, 0.02), (-0.3, 0.1, -0.03), (1.4, 1.2, 0.3))
+
+
+def starts(poses):
+    """Three starts a panorama."""
+    off = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(w).alias("dw")) for i, (a, b, w) in enumerate(STARTS))))
+    return poses.withColumn("_o", off).select((F.col("pano") * 3 + F.col("_o.c")).cast("long").alias("cand"), "pano", (F.col("tx") + F.col("_o.dx")).alias("tx"), (F.col("ty") + F.col("_o.dy")).alias("ty"), "tz", (F.col("yaw") + F.col("_o.dw")).alias("yaw"), "pitch", "roll")
+
+
+def q_pose_pairs(spark, sf):
+    """Mutual nearest intersections of every start: in each group under 0.5 apart, and over all groups under 0.1."""
+    poses, flat, solid, _, _ = pose_tables(spark, sf)
+    found = P.pairs(stored(P.grouped(flat, solid), "groups"), starts(poses), 0.5)
+    return found.groupBy("cand", "track").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("i2") * 7 + F.col("i3")).alias("ids"), F.round(F.sum(F.abs(F.col("px") - F.col("sx"))), 6).alias("off"))
+
+
 def q_refined_poses(spark, sf):
     """Three starts near every true pose, refined by 100 steps of translation and 50 of rotation."""
     poses, *rest = pose_tables(spark, sf)
-    off = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(w).alias("dw")) for i, (a, b, w) in enumerate(((0.25, -0.2, 0.02), (-0.3, 0.1, -0.03), (1.4, 1.2, 0.3))))))
-    starts = poses.withColumn("_o", off).select((F.col("pano") * 3 + F.col("_o.c")).cast("long").alias("cand"), "pano", (F.col("tx") + F.col("_o.dx")).alias("tx"), (F.col("ty") + F.col("_o.dy")).alias("ty"), "tz", (F.col("yaw") + F.col("_o.dw")).alias("yaw"), "pitch", "roll")
-    found = P.refine_poses(starts, *rest)
+    found = P.refine_poses(starts(poses), *rest)
     return found.select("cand", "pano", *(F.round(c, 4).alias(c) for c in (*P.T, *P.ANGLES, "cost", "turn_cost", "moved", "turned")), "reverted", "n0", "n1", "n2")
 
 
+#: Half the side of a plane's square, and the shortest crossing that is kept.
+HALF, SHORTEST = 1.5, 0.1
+
+
+def q_line_clip(spark, sf):
+    """Crossing lines of the planes of a room, cut to what lies within the extents of both planes' corners; what is shorter than SHORTEST goes."""
+    u = units(spark, sf).where("abs(z) < 0.999")
+    planes = u.select(F.floor(F.col("i") / 40).alias("room"), F.col("i").alias("pid"), *(F.col(c).alias("n" + c) for c in "xyz"), (F.col("i") % 5 / 4.0 - 0.5).alias("d"))
+    lines = S.plane_lines(planes)
+    # corners of a square on the plane, around its point nearest the origin: one side level, one uphill
+    side = G.unit(G.cross(("nx", "ny", "nz"), (0.0, 0.0, 1.0)))
+    up = G.cross(("nx", "ny", "nz"), side)
+    sign = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-HALF, HALF) for b in (-HALF, HALF))))
+    corner = planes.withColumn("_s", sign).select("pid", *((-F.col("d") * F.col("n" + c) + F.col("_s.a") * side[k] + F.col("_s.b") * up[k]).alias("v" + c) for k, c in enumerate("xyz")))
+    span = lambda p, lo, hi: lines.join(corner, F.col(p) == F.col("pid")).groupBy("a", "b").agg(*(f(G.dot(G.sub(("vx", "vy", "vz"), ("px", "py", "pz")), G.unit(("ux", "uy", "uz")))).alias(n) for f, n in ((F.min, lo), (F.max, hi))))
+    both = span("a", "lo", "hi").join(span("b", "o_lo", "o_hi"), ["a", "b"])
+    cut = both.select("a", "b", F.greatest("lo", "o_lo").alias("t0"), F.least("hi", "o_hi").alias("t1")).where(F.col("t1") - F.col("t0") >= SHORTEST)
+    return cut.select("a", "b", *((F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("t0", "t1")))
+
+
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 
 
@@ -159,7 +196,22 @@ ROUNDS_SQL = f"""{ARCS}, {A.sphere_sql(5)}, half AS MATERIALIZED (SELECT * FROM
 ) + ", won AS (" + " UNION ALL ".join(f"SELECT {k}::INT AS round, * FROM w{k}" for k in range(D.ROUNDS)) + ")"
 _FREE = " AND ".join(f"({c} < 1e-9 OR {c} > {h - 1e-9} OR {c} BETWEEN {RADIUS} + 1e-6 AND {h - RADIUS} - 1e-6)" for c, h in zip("xyz", HALL, strict=True))
 
+_ROT = "cos({w}) * cos({p}) AS m00, cos({w}) * sin({p}) * sin({r}) - sin({w}) * cos({r}) AS m01, cos({w}) * sin({p}) * cos({r}) + sin({w}) * sin({r}) AS m02, sin({w}) * cos({p}) AS m10, sin({w}) * sin({p}) * sin({r}) + cos({w}) * cos({r}) AS m11, sin({w}) * sin({p}) * cos({r}) - cos({w}) * sin({r}) AS m12, -sin({p}) AS m20, cos({p}) * sin({r}) AS m21, cos({p}) * cos({r}) AS m22".format(w="yaw", p="pitch", r="roll")
+_SEEN = "SELECT {keys}, cx / k AS x, cy / k AS y, cz / k AS z FROM (SELECT *, sqrt(cx * cx + cy * cy + cz * cz) AS k FROM (SELECT {keys}, " + ", ".join(f"m{r}0 * (x - tx) + m{r}1 * (y - ty) + m{r}2 * (z - tz) AS c{c}" for r, c in enumerate("xyz")) + " FROM solid JOIN {poses} USING (pano) {where}))"
+
 SQL = {
+    "pose_pairs": f"""WITH solid AS (SELECT c_nationkey AS pano, c_custkey AS i, c_custkey % 3 AS grp, (c_custkey * 37 % 100)::DOUBLE / 10 AS x, (c_custkey * 91 % 83)::DOUBLE / 8.3::DOUBLE AS y, (c_custkey * 53 % 31)::DOUBLE / 10 AS z FROM customer),
+ poses AS (SELECT n_nationkey AS pano, 5 + n_nationkey % 3 * 0.3::DOUBLE AS tx, 5 - n_nationkey % 4 * 0.2::DOUBLE AS ty, 1.5::DOUBLE AS tz, n_nationkey * 0.2::DOUBLE - 2.4::DOUBLE AS yaw, 0.05::DOUBLE AS pitch, -0.03::DOUBLE AS roll FROM nation), true_pose AS (SELECT *, {_ROT} FROM poses),
+ begun AS (SELECT pano, pano * 3 + c AS cand, tx + dx AS tx, ty + dy AS ty, tz, yaw + dw AS yaw, pitch, roll FROM poses, (VALUES {', '.join(f'({i}, {a}::DOUBLE, {b}::DOUBLE, {w}::DOUBLE)' for i, (a, b, w) in enumerate(STARTS))}) t(c, dx, dy, dw)), start AS (SELECT *, {_ROT} FROM begun),
+ flat AS ({_SEEN.format(keys='pano, i, grp', poses='true_pose', where='WHERE i % 5 <> 0')}), seen AS ({_SEEN.format(keys='pano, cand, i, grp', poses='start', where='')}),
+ d AS (SELECT cand, g = 3 AS whole, g, a.i AS i2, b.i AS i3, abs(a.x - b.x) AS off, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS d FROM flat a JOIN seen b USING (pano), (VALUES (0), (1), (2), (3)) t(g) WHERE g = 3 OR (a.grp = g AND b.grp = g)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY cand, g, i2 ORDER BY d, i3) AS k2, row_number() OVER (PARTITION BY cand, g, i3 ORDER BY d, i2) AS k3 FROM d)
+ SELECT cand, NOT whole AS track, count(*) AS n, sum(i2 * 7 + i3)::BIGINT AS ids, round(sum(off), 6) AS off FROM r WHERE k2 = 1 AND k3 = 1 AND d < CASE WHEN whole THEN 0.1 ELSE 0.5 END GROUP BY cand, whole""",
+    "line_clip": f"""WITH {UNIT}, p AS (SELECT i, x, y, z, (i % 5)::DOUBLE / 4 - 0.5::DOUBLE AS d FROM un WHERE abs(z) < 0.999), q AS (SELECT a.i AS a, b.i AS b, a.x AS ax, a.y AS ay, a.z AS az, a.d AS ad, b.x AS bx, b.y AS b_y, b.z AS bz, b.d AS bd, a.x * b.x + a.y * b.y + a.z * b.z AS k FROM p a JOIN p b ON a.i < b.i AND a.i // 40 = b.i // 40),
+ l AS (SELECT a, b, s * ax + t * bx AS px, s * ay + t * b_y AS py, s * az + t * bz AS pz, (ay * bz - az * b_y) / n AS ux, (az * bx - ax * bz) / n AS uy, (ax * b_y - ay * bx) / n AS uz FROM (SELECT *, (bd * k - ad) / (1 - k * k) AS s, (ad * k - bd) / (1 - k * k) AS t, greatest(sqrt(pow(ay * bz - az * b_y, 2) + pow(az * bx - ax * bz, 2) + pow(ax * b_y - ay * bx, 2)), 1e-10) AS n FROM q WHERE abs(k) < 0.99)),
+ c AS (SELECT i, -d * x + e * y / h - f * z * x / h AS vx, -d * y - e * x / h - f * z * y / h AS vy, -d * z + f * h AS vz FROM (SELECT *, sqrt(x * x + y * y) AS h FROM p), (VALUES ({-HALF}::DOUBLE), ({HALF}::DOUBLE)) a(e), (VALUES ({-HALF}::DOUBLE), ({HALF}::DOUBLE)) b(f)),
+ t AS (SELECT a, b, i = a AS own, min((vx - px) * ux + (vy - py) * uy + (vz - pz) * uz) AS lo, max((vx - px) * ux + (vy - py) * uy + (vz - pz) * uz) AS hi FROM l JOIN c ON c.i = l.a OR c.i = l.b GROUP BY a, b, i = a)
+ SELECT a, b, round(t0, 5) + 0.0::DOUBLE AS t0, round(t1, 5) + 0.0::DOUBLE AS t1 FROM (SELECT a, b, max(lo) AS t0, min(hi) AS t1 FROM t GROUP BY a, b) WHERE t1 - t0 >= {SHORTEST}""",
     "oriented_normals": f"""WITH k AS (SELECT l_partkey % 6 AS side, ((l_orderkey * 7919 + l_linenumber * 1237) % 10007)::DOUBLE / 10007 AS u, ((l_orderkey * 4337 + l_linenumber * 2741) % 9973)::DOUBLE / 9973 AS v FROM lineitem),
  p AS (SELECT side, {HALL[0]}::DOUBLE * CASE WHEN side // 2 = 0 THEN side % 2 ELSE u END AS x, {HALL[1]}::DOUBLE * CASE side // 2 WHEN 1 THEN side % 2 WHEN 0 THEN u ELSE v END AS y, {HALL[2]}::DOUBLE * CASE WHEN side // 2 = 2 THEN side % 2 ELSE v END AS z FROM k),
  t AS (SELECT side, round(avg(x), 9) AS x, round(avg(y), 9) AS y, round(avg(z), 9) AS z FROM p GROUP BY side, floor(x / {THIN}::DOUBLE), floor(y / {THIN}::DOUBLE), floor(z / {THIN}::DOUBLE)),
