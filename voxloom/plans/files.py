@@ -68,7 +68,7 @@ def q_glb_export(spark, sf):
 
 
 def q_layout_files(spark, sf):
-    c = table(spark, sf, "orders").where("o_orderkey % 3 = 0").groupBy(F.format_string("p%d.json", (F.col("o_custkey") % 11).cast("int")).alias("name")).agg(F.sort_array(F.collect_list(F.struct((F.col("o_orderkey") % 97).cast("double").alias("x"), (F.col("o_orderkey") % 31).cast("double").alias("y")))).alias("corners"))
+    c = table(spark, sf, "orders").groupBy(F.format_string("p%d.json", F.floor(F.col("o_custkey") / 10).cast("int")).alias("name")).agg(F.sort_array(F.collect_list(F.struct((F.col("o_orderkey") % 97).cast("double").alias("x"), (F.col("o_orderkey") % 31).cast("double").alias("y")))).alias("corners"))
     folder = written(spark, S.layout_files(c.withColumn("source", F.lit("floor"))), "layouts")
     back = spark.read.schema("layout_corners array<array<double>>, source string").option("wholetext", True).json(folder).select("*", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"))
     return back.select("name", "source", F.size("layout_corners").alias("n"), F.round(F.aggregate("layout_corners", F.lit(0.0), lambda a, p: a + p[0]), 4).alias("x"))
@@ -97,7 +97,7 @@ SQL = {
     "npy_round_trip": "WITH d AS (SELECT printf('d%d.npy', (l_suppkey % 3)::INT) AS name, (l_partkey % 40)::INT AS v, l_quantity::INT AS u, min(l_extendedprice) AS d FROM lineitem GROUP BY 1, 2, 3) SELECT name, count(*) AS n, max(u) AS u, max(v) AS v, round(sum(d), 2) AS d FROM d GROUP BY 1",
     "png_round_trip": f"WITH {CLOUD}, p AS (SELECT printf('i%d.png', (pid % 3)::INT) AS name, x::INT AS u, floor(y)::INT AS v, max(b) AS b FROM pts WHERE r <= 1 AND g <= 1 GROUP BY 1, 2, 3) SELECT name, max(u) AS u, max(v) AS v, count(*) FILTER (b > 0) AS n, sum(round_even(b * 255, 0))::BIGINT AS b FROM p GROUP BY 1",
     "glb_export": f"WITH {MESH} SELECT p_brand || '.glb' AS name, count(*) AS vertices, count(v2) AS triangles, 'meter' AS unit FROM p GROUP BY 1",
-    "layout_files": "SELECT printf('p%d.json', (o_custkey % 11)::INT) AS name, 'floor' AS source, count(*)::INT AS n, round(sum((o_orderkey % 97)::DOUBLE), 4) AS x FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1",
+    "layout_files": "SELECT printf('p%d.json', (o_custkey // 10)::INT) AS name, 'floor' AS source, count(*)::INT AS n, round(sum((o_orderkey % 97)::DOUBLE), 4) AS x FROM orders GROUP BY 1",
     "mtl_files": "SELECT n_nationkey % 10 / 10.0::DOUBLE AS r, count(*) AS n, round(sum(n_nationkey * 7 % 10 / 10.0::DOUBLE), 6) AS b FROM nation GROUP BY 1",
     "listed_files": "SELECT 'mask_' || n_nationkey || '.png' AS name, n_nationkey::INT AS idx, length(n_name)::BIGINT AS length FROM nation WHERE n_regionkey <> 1",
 }
