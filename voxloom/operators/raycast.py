@@ -24,13 +24,33 @@ DIGITS = 9
 EDGE = 1e-9
 
 
-def _meet(eps: float) -> tuple[Column, Column, Column, Column]:
-    """(det, u, w, t) of ray (o, d) and triangle (a, b, c): barycentric u and w, and the ray's parameter."""
-    e, f, s = G.sub(B, A), G.sub(C, A), G.sub(O, A)
-    h, q = G.cross(D, f), G.cross(s, e)
-    det = G.dot(e, h)
-    part = lambda v: F.when(F.abs(det) > eps, v / det)
-    return det, part(G.dot(s, h)), part(G.dot(D, q)), part(G.dot(f, q))
+def _gradients() -> dict[str, Column]:
+    """What a triangle gives to every ray: its normal n, and per barycentric weight u, w and 1 - u - w a gradient and an offset.
+
+    A point p of the plane has the weights g . p + k, so a ray costs five products of vectors
+    once its parameter is known, and the row's expressions stay small enough to be compiled.
+    """
+    e, f = G.sub(B, A), G.sub(C, A)
+    n = G.cross(e, f)
+    nn = G.dot(n, n)
+    gu, gw = (tuple(F.try_divide(c, nn) for c in G.cross(*v)) for v in ((f, n), (n, e)))
+    gv = tuple(-(p + q) for p, q in zip(gu, gw, strict=True))
+    out = dict(zip(("nx", "ny", "nz"), n, strict=True)) | {"nk": G.dot(n, A)}
+    for name, g, one in (("u", gu, 0.0), ("w", gw, 0.0), ("v", gv, 1.0)):
+        out |= dict(zip((name + "x", name + "y", name + "z"), g, strict=True)) | {name + "k": one - G.dot(g, A)}
+    return out
+
+
+def _meets(eps: float, limit: float) -> tuple[Column, Column]:
+    """(t, inside): the parameter of ray (o, d) on the plane of a row of ``_gradients``, null where they are parallel, and whether the triangle is hit."""
+    axes = lambda v: tuple(v + c for c in "xyz")
+    det = G.dot(D, axes("n"))
+    t = F.when(F.abs(det) > eps, (F.col("nk") - G.dot(O, axes("n"))) / det)
+    weight = lambda v: G.dot(O, axes(v)) + F.col("t") * G.dot(D, axes(v)) + F.col(v + "k")
+    inside = (F.col("t") > eps) & (F.col("t") <= limit)
+    for v in "uwv":
+        inside &= weight(v) >= -EDGE
+    return t, inside
 
 
 def voxels(triangles: DataFrame, low: tuple, size: float, pad: float) -> DataFrame:
@@ -80,17 +100,16 @@ def ray_hits(rays: DataFrame, triangles: DataFrame, size: float, limit: float =
     pad = 1e-6 * size
     low = tuple(min(e[6 * k : 6 * k + 6]) - pad for k in range(3))
     high = tuple(max(e[6 * k : 6 * k + 6]) + pad for k in range(3))
-    held = stored(voxels(every, low, size, pad), "voxels")
+    held = stored(voxels(every, low, size, pad).select("face", *KEYS, *(c.alias(k) for k, c in _gradients().items())), "voxels")
     left = stored(steps(rays.select("ray", *O, *D), low, high, size, limit), "walks").select("*", F.lit(None).cast("struct<t: double, face: bigint>").alias("best"))
-    _, u, w, t = _meet(eps)
+    t, inside = _meets(eps, limit)
     done, begin, count = [], 0, first
     while True:
         end = begin + count
         step = F.sequence(F.lit(begin), F.least(F.lit(end), F.size("at") - 1) - 1)
         walk = left.withColumn("_i", F.explode(step)).withColumn("_m", (F.get("at", F.col("_i")) + F.get("at", F.col("_i") + 1)) / 2)
         walk = walk.select("ray", *O, *D, *(F.floor((F.col(O[k]) + F.col("_m") * F.col(D[k]) - low[k]) / size).alias(KEYS[k]) for k in range(3)))
-        met = walk.join(held, list(KEYS)).select("ray", "face", u.alias("u"), w.alias("w"), F.round(t, DIGITS).alias("t"))
-        met = met.where((F.col("u") >= -EDGE) & (F.col("w") >= -EDGE) & (F.col("u") + F.col("w") <= 1 + EDGE) & (F.col("t") > eps) & (F.col("t") <= limit))
+        met = walk.join(held, list(KEYS)).withColumn("t", t).where(inside).select("ray", "face", F.round("t", DIGITS).alias("t"))
         found = met.groupBy("ray").agg(F.min(F.struct("t", F.col("face").cast("long").alias("face"))).alias("_b"))
         reached = F.get("at", F.least(F.lit(end), F.size("at") - 1))
         over = (F.size("at") - 1 <= end) | (F.coalesce(F.col("best.t"), F.lit(math.inf)) <= reached)
