@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.functions import geometry as G
 from voxloom.operators.points import quantiles
 from voxloom.session import stored
 
@@ -225,63 +226,117 @@ def assign_optimally(cost: np.ndarray) -> list[int]:
     return out
 
 
-def draw(pids: np.ndarray, h: int) -> np.ndarray:
-    """64-bit hash of each point id under hypothesis h."""
-    x = pids.astype(np.int64).view(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (h + 1)) & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(31))).view(np.int64)
+#: Fixed values of the draw: the prime that its arithmetic is modulo of, and the multipliers and steps of a hypothesis' line.
+PRIME = 2147483647
+SLOPE, SLOPE_STEP, SHIFT, SHIFT_STEP = 1103515245, 12345, 22695477, 1
+
+
+def draw(pids: np.ndarray, h: int | np.ndarray) -> np.ndarray:
+    """Key of each point id under hypothesis h: a line modulo PRIME, to the fifth power.
+
+    The power is a bijection modulo PRIME and breaks up the even steps that lines leave
+    between their least keys; all products fit 64 bits, so SQL says the same.
+    """
+    y = (pids.astype(np.int64) % PRIME * (1 + (h * SLOPE + SLOPE_STEP) % (PRIME - 1)) + (h * SHIFT + SHIFT_STEP) % PRIME) % PRIME
+    square = y * y % PRIME
+    return square * square % PRIME * y % PRIME
+
+
+#: Points held against all planes, and against all hypotheses, at once.
+ROWS, DRAWN = 1024, 512
 
 
 def plane_hypotheses(points: DataFrame, n: int, tolerance: float) -> DataFrame:
     """(h, a, b, c, d, inliers) of planes through hashed triples of points (pid unique).
 
-    Triples are the three points of least hash per hypothesis. Every partition gives its own
-    three, so that a hypothesis gathers three rows a partition, and the planes travel to the
-    points as a table of n rows. Triples on a line have no plane.
+    Triples are the three points of least key per hypothesis, the smaller pid on a tie. Every
+    partition gives its own three, so that a hypothesis gathers three rows a partition. The
+    planes, n rows of five numbers, go to the tasks, which read the points in blocks and hand
+    on one count a plane and partition. Triples on a line have no plane; points with a null
+    coordinate take no part.
     """
+    known = points.select("pid", *"xyz").where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
 
     def least(frames):
-        held: list[pd.DataFrame] = []
+        each = np.arange(n, dtype=np.int64)[:, None]
+        held, bound = None, np.full((n, 1), np.iinfo(np.int64).max)
         for f in frames:
-            pids = f["pid"].to_numpy()
-            parts = list(held)
-            for h in range(n):
-                k = draw(pids, h)
-                i = np.argpartition(k, 2)[:3] if len(k) > 3 else np.arange(len(k))
-                parts.append(pd.DataFrame({"h": h, "k": k[i], **{c: f[c].to_numpy()[i] for c in "xyz"}}))
-            held = [pd.concat(parts).sort_values(["h", "k"]).groupby("h").head(3)] if parts else []
-        yield from held
-
-    drawn = points.select("pid", "x", "y", "z").mapInPandas(least, "h int, k long, x double, y double, z double")
-    best = drawn.groupBy("h").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "x", "y", "z"))), 1, 3).alias("p")).where(F.size("p") == 3)
-    p = [[F.col("p")[i][c] for c in "xyz"] for i in range(3)]
-    e, g = [p[1][i] - p[0][i] for i in range(3)], [p[2][i] - p[0][i] for i in range(3)]
-    normal = [e[1] * g[2] - e[2] * g[1], e[2] * g[0] - e[0] * g[2], e[0] * g[1] - e[1] * g[0]]
-    planes = best.select("h", *(c.alias(k) for c, k in zip(normal, "abc", strict=True)), *(p[0][i].alias(f"p{i}") for i in range(3)))
-    size = F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b") + F.col("c") * F.col("c"))
-    planes = planes.withColumn("s", size).where("s > 1e-9").select("h", *((F.col(k) / F.col("s")).alias(k) for k in "abc"), "p0", "p1", "p2")
-    planes = planes.withColumn("d", -(F.col("a") * F.col("p0") + F.col("b") * F.col("p1") + F.col("c") * F.col("p2"))).drop("p0", "p1", "p2")
-    near = F.abs(F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c") * F.col("z") + F.col("d")) <= tolerance
-    return points.select("x", "y", "z").crossJoin(F.broadcast(planes)).groupBy("h", "a", "b", "c", "d").agg(F.count_if(near).alias("inliers"))
+            pids, xyz = f["pid"].to_numpy(), f[list("xyz")].to_numpy()
+            for at in range(0, len(pids), DRAWN):
+                k = draw(pids[None, at : at + DRAWN], each)
+                # only keys up to the third so far can be among the three least
+                h, i = np.nonzero(k <= bound)
+                new = pd.DataFrame({"h": h, "k": k[h, i], "pid": pids[at + i], **dict(zip("xyz", xyz[at + i].T, strict=True))})
+                held = pd.concat([held, new]).sort_values(["h", "k", "pid"])
+                place = held.groupby("h").cumcount()
+                third = held[place == 2]
+                bound[third["h"].to_numpy(), 0] = third["k"]
+                held = held[place < 3]
+        if held is not None:
+            yield held
+
+    drawn = known.mapInPandas(least, "h int, k long, pid long, x double, y double, z double")
+    best = drawn.groupBy("h").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "pid", *"xyz"))), 1, 3).alias("p")).where(F.size("p") == 3)
+    p = [tuple(F.col("p")[i][c] for c in "xyz") for i in range(3)]
+    normal = G.cross(G.sub(p[1], p[0]), G.sub(p[2], p[0]))
+    planes = best.select("h", *(c.alias(k) for k, c in zip("abc", normal, strict=True)), *(c.alias("p" + k) for k, c in zip("xyz", p[0], strict=True))).withColumn("s", G.norm(("a", "b", "c"))).where("s > 1e-9")
+    planes = planes.select("h", *((F.col(k) / F.col("s")).alias(k) for k in "abc"), "px", "py", "pz").withColumn("d", -G.dot(("a", "b", "c"), ("px", "py", "pz"))).drop("px", "py", "pz")
+    planes = stored(planes, "planes")
+    # n rows at most
+    rows = planes.collect()
+    ids, m = np.array([r["h"] for r in rows], dtype=np.int32), np.array([[r[k] for k in "abcd"] for r in rows]).reshape(-1, 4)
+
+    def count(frames):
+        total = np.zeros(len(ids), dtype=np.int64)
+        for f in frames:
+            xyz = f[list("xyz")].to_numpy()
+            for at in range(0, len(xyz), ROWS):
+                x = xyz[at : at + ROWS, :, None]
+                off = m[:, 0] * x[:, 0] + m[:, 1] * x[:, 1]
+                off += m[:, 2] * x[:, 2]
+                off += m[:, 3]
+                total += np.count_nonzero(np.abs(off, out=off) <= tolerance, axis=0)
+        yield pd.DataFrame({"h": ids, "inliers": total})
+
+    counts = known.select(*"xyz").mapInPandas(count, "h int, inliers long").groupBy("h").agg(F.sum("inliers").alias("inliers"))
+    return planes.join(counts, "h").select("h", *"abcd", "inliers")
+
+
+def refitted(on: DataFrame) -> DataFrame:
+    """(a, b, c, d): the plane of least squares through points (x, y, z), along the axis in which they spread least.
+
+    One row from one aggregation; none where the points lie on a line.
+    """
+    part = {k: F.covar_pop(*k) for k in ("xx", "xy", "xz", "yy", "yz", "zz")}
+    m = on.agg(*(F.avg(c).alias("m" + c) for c in "xyz"), *(v.alias(k) for k, v in part.items()))
+    v = {k: F.col(k) for k in part}
+    minor = {"x": v["yy"] * v["zz"] - v["yz"] * v["yz"], "y": v["xx"] * v["zz"] - v["xz"] * v["xz"], "z": v["xx"] * v["yy"] - v["xy"] * v["xy"]}
+    side = {"xy": v["xz"] * v["yz"] - v["xy"] * v["zz"], "xz": v["xy"] * v["yz"] - v["xz"] * v["yy"], "yz": v["xy"] * v["xz"] - v["yz"] * v["xx"]}
+    normal = {"x": (minor["x"], side["xy"], side["xz"]), "y": (side["xy"], minor["y"], side["yz"]), "z": (side["xz"], side["yz"], minor["z"])}
+    most = F.greatest(*minor.values())
+    pick = lambda i: F.when(most == minor["x"], normal["x"][i]).when(most == minor["y"], normal["y"][i]).otherwise(normal["z"][i])
+    n = m.select("mx", "my", "mz", most.alias("most"), *(pick(i).alias(k) for i, k in enumerate("abc"))).where("most > 0").withColumn("s", G.norm(("a", "b", "c")))
+    n = n.select("mx", "my", "mz", *((F.col(k) / F.col("s")).alias(k) for k in "abc"))
+    return n.select(*"abc", (-G.dot(("a", "b", "c"), ("mx", "my", "mz"))).alias("d"))
 
 
 def floor_plane(points: DataFrame, n: int = 1000, tolerance: float = 0.05) -> DataFrame:
-    """(h, a, b, c, d, inliers, flip) of the plane with most inliers, the smaller h on a tie.
+    """(h, a, b, c, d, inliers, flip) of the plane with most inliers, the smaller h on a tie, refitted to them.
 
     flip: with the normal turned to +z the other points lie, by their median, below the
     plane's, so that the cloud has to be turned over. No row where no three points span a plane.
     """
     best = stored(plane_hypotheses(points, n, tolerance).orderBy(F.col("inliers").desc(), "h").limit(1), "plane")
-    p = points.select("x", "y", "z").crossJoin(F.broadcast(best))
-    along = F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c") * F.col("z")
+    found = best.select("h", *(F.col(k).alias("_" + k) for k in "abcd"), "inliers")
+    near = F.abs(G.dot(("_a", "_b", "_c"), tuple("xyz")) + F.col("_d")) <= tolerance
+    sided = points.select(*"xyz").crossJoin(F.broadcast(found)).withColumn("on", near)
+    fit = stored(refitted(sided.where("on")), "plane")
     # a normal along z is left as it is
-    height = F.when(F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b")) < 1e-6, F.col("z")).otherwise(along)
-    on = F.abs(along + F.col("d")) <= tolerance
-    sides = quantiles(p.select(on.alias("on"), height.alias("height")), ["on"], F.col("height"), (0.5,))
+    height = F.when(F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b")) < 1e-6, F.col("z")).otherwise(G.dot(tuple("abc"), tuple("xyz")))
+    sides = quantiles(sided.crossJoin(F.broadcast(fit)).select("on", height.alias("height")), ["on"], F.col("height"), (0.5,))
     # two rows
     flip = sides.agg((F.max(F.when(~F.col("on"), F.col("q0"))) < F.max(F.when(F.col("on"), F.col("q0")))).alias("flip"))
-    return best.crossJoin(F.broadcast(flip)).select("h", "a", "b", "c", "d", "inliers", F.coalesce("flip", F.lit(False)).alias("flip"))
+    return best.select("h", "inliers").crossJoin(F.broadcast(fit)).crossJoin(F.broadcast(flip)).select("h", *"abcd", "inliers", F.coalesce("flip", F.lit(False)).alias("flip"))
 
 
 def merge_arcs(arcs: DataFrame, angle: float, passes: int = 3) -> DataFrame:
