@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.plans import files, joins, kernels, layouts, points, poses, regions, rings, scenes, surfaces, text
+from voxloom.plans import files, fits, joins, kernels, layouts, points, poses, regions, rings, scenes, surfaces, text
 
-MODULES = (points, joins, rings, text, kernels, surfaces, poses, layouts, files, scenes, regions)
+MODULES = (points, joins, rings, text, kernels, surfaces, poses, layouts, files, scenes, regions, fits)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

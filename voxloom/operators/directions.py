@@ -5,11 +5,14 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.functions import geometry as G
 from voxloom.operators import arcs as A
+from voxloom.operators.kernels import icosphere
 from voxloom.session import stored
 
 N = ("nx", "ny", "nz")
@@ -118,3 +121,44 @@ def vanishing_points(found: list[tuple[float, float, float]]) -> list[tuple[floa
     if sum(x * y for x, y in zip(cross(a, b), c, strict=True)) < 0:
         c = tuple(-v for v in c)
     return [a, b, c]
+
+
+#: Angle in degrees within which a winner silences its neighbours, and lines held against the sphere at once.
+SILENT, LINES = 30.0, 256
+
+
+def suppressed_votes(lines: DataFrame, circles: bool, level: int = 5, rounds: int = 3) -> DataFrame:
+    """(round, q, votes): winners among the points of a sphere, each silencing the points within SILENT degrees of its axis.
+
+    ``lines``: unit vectors (x, y, z). With ``circles`` they are normals of great circles and a
+    point's votes are the circles within ON_CIRCLE of it; else they are directions, and its votes
+    are the largest absolute cosine to one of them. The smaller q wins a tie; lines with
+    a null take no part, and without lines nobody wins. The sphere's size is fixed, so tasks
+    hand on one row a point.
+    """
+    spark = lines.sparkSession
+    # the points as the table of the sphere has them
+    points = icosphere(level).round(12)
+    known = lines.select(*"xyz").where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
+
+    def vote(frames):
+        total = None
+        for f in frames:
+            d = f[list("xyz")].to_numpy()
+            for at in range(0, len(d), LINES):
+                cosine = np.abs(points @ d[at : at + LINES].T)
+                new = (cosine < ON_CIRCLE).sum(axis=1) if circles else cosine.max(axis=1)
+                total = new if total is None else total + new if circles else np.maximum(total, new)
+        if total is not None:
+            yield pd.DataFrame({"q": np.arange(len(points)), "votes": np.round(total.astype(float), 9)})
+
+    votes = known.mapInPandas(vote, "q int, votes double").groupBy("q").agg((F.sum if circles else F.max)("votes").alias("votes"))
+    left = stored(votes.join(A.sphere(spark, level), "q"), "votes")
+    found = []
+    for k in range(rounds):
+        win = left.orderBy(F.col("votes").desc(), "q").first()
+        if win is None:
+            break
+        found.append((k, win["q"], win["votes"]))
+        left = left.where(F.abs(G.dot(tuple("xyz"), tuple(F.lit(win[c]) for c in "xyz"))) <= math.cos(math.radians(SILENT)))
+    return spark.createDataFrame(found, "round int, q int, votes double")
