@@ -19,8 +19,8 @@ from voxloom.session import stored
 RING = "array<struct<x: double, y: double>>"
 #: Decimals of an overlap: larger ones than these tell are equal.
 DIGITS = 9
-#: Scales of a plan that are searched in a round.
-SCALES = 8
+#: Scales of a plan that are searched in a round, and rows of a task.
+SCALES, TASK = 8, 500
 
 
 def inner_places(ring: np.ndarray, step: float) -> np.ndarray:
@@ -62,9 +62,14 @@ def _measured(step: float) -> Callable:
 
 
 def _turned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Best angle and overlap of each placed and scaled piece; the first angle on a tie. Rings, angles and rows make one array program."""
+    """Best angle and overlap of each placed and scaled piece; the first angle on a tie.
+
+    At an angle the piece's and the room's box bound the overlap, and only angles whose
+    bound reaches ``low`` are computed; a row without such an angle goes. Rings, angles and rows
+    make one array program.
+    """
     for f in frames:
-        rows = max(1, PAIRS // max([1, *(len(a) for a in f["angles"])]))
+        rows = max(1, 8 * PAIRS // max([1, *(len(a) for a in f["angles"])]))
         for i in range(0, len(f), rows):
             g = f.iloc[i : i + rows]
             ring, room = padded(g["centred"]), padded(g["room"])
@@ -73,19 +78,34 @@ def _turned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             c, s = np.cos(np.radians(angles))[..., None], np.sin(np.radians(angles))[..., None]
             x, y = (ring[:, None, :, k] * g["scale"].to_numpy()[:, None, None] for k in range(2))
             p = np.stack([c * x - s * y + g["tx"].to_numpy()[:, None, None], s * x + c * y + g["ty"].to_numpy()[:, None, None]], axis=-1)
-            iou = fit_scores(p.reshape(-1, *p.shape[2:]), np.repeat(room, angles.shape[1], axis=0))[0].reshape(angles.shape).round(DIGITS)
+            low, high = (g[[k + "x", k + "y"]].to_numpy()[:, None] for k in "lh")
+            own, other = (g["scale"] ** 2 * g["area"]).to_numpy()[:, None], g["room_area"].to_numpy()[:, None]
+            common = np.clip(np.minimum(p.max(axis=2), high) - np.maximum(p.min(axis=2), low), 0, None).prod(axis=-1)
+            common = np.minimum(common, np.minimum(own, other))
+            row, k = np.nonzero(common / (own + other - common) >= g["low"].to_numpy()[:, None] - 10.0**-DIGITS)
+            iou = np.full(angles.shape, -1.0)
+            for at in range(0, len(row), PAIRS):
+                one = row[at : at + PAIRS], k[at : at + PAIRS]
+                iou[one] = fit_scores(p[one], room[one[0]])[0].round(DIGITS)
             k = iou.argmax(axis=1)
             pick = np.arange(len(k))
-            yield pd.DataFrame({"plan": g["plan"], "piece": g["piece"], "no": g["no"], "place": g["place"], "turn": k, "angle": angles[pick, k], "iou": iou[pick, k], "tx": g["tx"], "ty": g["ty"]})
+            out = pd.DataFrame({"plan": g["plan"].to_numpy(), "piece": g["piece"].to_numpy(), "no": g["no"].to_numpy(), "place": g["place"].to_numpy(), "turn": k, "angle": angles[pick, k], "iou": iou[pick, k], "tx": g["tx"].to_numpy(), "ty": g["ty"].to_numpy()})
+            yield out[out["iou"] >= 0]
 
 
 def _searched(rows: DataFrame) -> DataFrame:
     """(plan, piece, no, best: overlap, turn, place and their values): the best of each piece and scale, first angle then first place on a tie."""
-    found = rows.select("plan", "piece", "no", "scale", "centred", "room", "angles", "place", "tx", "ty").mapInPandas(_turned, "plan long, piece long, no int, place int, turn int, angle double, iou double, tx double, ty double")
+    found = rows.mapInPandas(_turned, "plan long, piece long, no int, place int, turn int, angle double, iou double, tx double, ty double")
     order = F.struct("iou", (-F.col("turn")).alias("turn"), (-F.col("place")).alias("place"), "angle", "tx", "ty")
     return found.groupBy("plan", "piece", "no").agg(F.max(order).alias("best"))
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows in tasks of about TASK: the overlaps are the work, so neither a plan nor the rows' few bytes decide the tasks."""
+    held = stored(rows.select("plan", "piece", "no", "scale", "centred", "room", "angles", "place", "tx", "ty", "area", "room_area", "lx", "ly", "hx", "hy", "low"), "rows")
+    return held.repartition(held.count() // TASK + 1)
+
+
 def scale_sweep(pieces: DataFrame, scales: DataFrame, step: float = 1.0) -> DataFrame:
     """(plan, piece, scale, total, iou, angle, tx, ty): each plan's best shared scale and its pieces' best angles and places in their rooms.
 
@@ -94,7 +114,7 @@ def scale_sweep(pieces: DataFrame, scales: DataFrame, step: float = 1.0) -> Data
     centroid or on a grid of ``step`` inside the room; a scale's total is the sum of its
     pieces' best overlaps (intersection over union). Equal to the full grid: the areas bound the
     overlap at a scale, the part of the room's box within the piece's reach bounds it at a
-    place, and only what may still win is computed. Scales are taken in rounds of SCALES a
+    place, within the turned piece's box at an angle, and only what may still win is computed. Scales are taken in rounds of SCALES a
     plan, largest bound first. Rings that are null, not finite or without area leave their plan.
     """
     known = stored(pieces.select("plan", "piece", "ring", "room").mapInPandas(_measured(step), f"plan long, piece long, centred {RING}, area double, reach double, room_area double, lx double, ly double, hx double, hy double, places {RING}"), "pieces")
@@ -106,7 +126,7 @@ def scale_sweep(pieces: DataFrame, scales: DataFrame, step: float = 1.0) -> Data
     at = known.select("plan", "piece", F.posexplode("places").alias("place", "p")).select("plan", "piece", "place", F.col("p.x").alias("tx"), F.col("p.y").alias("ty"))
     at = stored(at, "places")
     # the centroids give each scale a total that is surely reached
-    first = stored(_searched(held.join(at.where("place = 0"), ["plan", "piece"])), "first")
+    first = stored(_searched(_dealt(held.withColumn("low", F.lit(0.0)).join(at.where("place = 0"), ["plan", "piece"]))), "first")
     low = first.select("plan", "piece", "no", F.col("best.iou").alias("low"))
     sums = held.groupBy("plan", "no", "scale").agg(F.sum("bound").alias("most"), F.count(F.lit(1)).alias("n"))
     left = stored(sums.join(low.groupBy("plan", "no").agg(F.sum("low").alias("least")), ["plan", "no"]), "scales")
@@ -126,8 +146,7 @@ def scale_sweep(pieces: DataFrame, scales: DataFrame, step: float = 1.0) -> Data
             break
         rows = held.join(turn, ["plan", "no"]).join(low, ["plan", "piece", "no"]).join(at, ["plan", "piece"])
         rows = rows.where(union(F.least(own, F.col("room_area"), near("x") * near("y"))) >= F.col("low") - slack)
-        # the pairs are the work: they are dealt evenly, whatever plan they belong to
-        now = stored(_searched(rows.repartition("plan", "piece", "no", "place")), "searched")
+        now = stored(_searched(_dealt(rows)), "searched")
         done = now if done is None else done.unionByName(now)
     if done is None:
         done = first.limit(0)
