@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from voxloom.operators import fits
+from voxloom.operators import fits, joins
 
 SHAPE = "array<struct<x: double, y: double>>"
 
@@ -22,3 +22,16 @@ def test_equal_pairs_are_aligned_once_in_their_own_tasks(spark, monkeypatch):
     assert sorted(r.id for r in got) == list(range(40))
     assert all((r.x, r.y) == pytest.approx((1 + r.id % 4, 0.5 + r.id % 4), abs=1e-3) for r in got)
     assert seen["rings"][0] == 4 and seen["aligned"][0] == 3
+
+
+def test_crowded_references_meet_few_rows(spark, monkeypatch):
+    seen, stored = {}, joins.stored
+    monkeypatch.setattr(joins, "stored", lambda df, kind="round": seen.setdefault(kind, stored(df, kind)) if kind == "lists" else stored(df, kind))
+    rng = np.random.default_rng(7)
+    refs, rows = np.vstack([rng.random((2000, 2)), [[500, 500]]]), np.vstack([rng.random((300, 2)), [[np.nan, 0]]])
+    table = lambda a, k: spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(a)], f"{k} long, x double, y double")
+    got = {r.q: r.near for r in joins.nearest(table(rows, "q"), "q", table(refs, "r"), "r", ["x", "y"], 2.0).collect()}
+    assert got.pop(300) is None
+    assert got == dict(enumerate(((rows[:300, None] - refs[None]) ** 2).sum(axis=2).argmin(axis=1).tolist()))
+    # all 2,000 lie within one cell of the side that is asked for
+    assert seen["lists"].selectExpr("max(size(_l))").first()[0] <= joins.MANY
