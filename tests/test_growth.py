@@ -48,3 +48,13 @@ def test_equal_plans_share_one_sweep(spark, monkeypatch):
     assert swept == [[0, 1, 5]] and len(got) == 12
     each = {(r.plan, r.piece): (r.scale, r.total, r.iou, r.angle, r.tx, r.ty) for r in own(pieces, scales, 1.0).collect()}
     assert got == each
+
+
+def test_cost_matrix_works_on_blocks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "SIDE", 8)
+    rng = np.random.default_rng(8)
+    p, q = rng.random((30, 4)).round(1), rng.random((20, 4)).round(1)
+    table = lambda a, k: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)] + [(99, None), (98, [0.5, None, float("nan")])], f"{k} long, _{k} array<double>")
+    got = {(r.a, r.b): r.n for r in joins.agreements(table(p, "a"), "a", table(q, "b"), "b", 4, 0.15).collect()}
+    assert len(got) == 32 * 22 and got[99, 0] == got[0, 99] == 0 and got[98, 98] == 1
+    assert all(got[i, j] == (np.abs(p[i] - q[j]) < 0.15).sum() for i in range(30) for j in range(20))
