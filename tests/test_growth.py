@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from voxloom.operators import fits, joins
+from voxloom.operators import fits, joins, refine
 
 SHAPE = "array<struct<x: double, y: double>>"
 
@@ -58,3 +58,19 @@ def test_cost_matrix_works_on_blocks(spark, monkeypatch):
     got = {(r.a, r.b): r.n for r in joins.agreements(table(p, "a"), "a", table(q, "b"), "b", 4, 0.15).collect()}
     assert len(got) == 32 * 22 and got[99, 0] == got[0, 99] == 0 and got[98, 98] == 1
     assert all(got[i, j] == (np.abs(p[i] - q[j]) < 0.15).sum() for i in range(30) for j in range(20))
+
+
+def test_descents_start_no_job_a_step(spark, monkeypatch):
+    kinds, stored = [], refine.stored
+    monkeypatch.setattr(refine, "stored", lambda df, kind: (kinds.append(kind), stored(df, kind))[1])
+    rng = np.random.default_rng(9)
+    room = rng.random((24, 3)) * 6
+    seen = room - [3.0, 3.0, 1.5]
+    seen /= np.linalg.norm(seen, axis=1)[:, None]
+    points = lambda v, lines: spark.createDataFrame([(1, i, i % 3, *map(float, p), *lines(i)) for i, p in enumerate(v)], "pano long, i long, grp int, x double, y double, z double, a long, b long")
+    line = lambda v: spark.createDataFrame([(1, i, *map(float, p)) for i, p in enumerate(v)], "pano long, line long, x double, y double, z double")
+    flat, solid = points(seen, lambda i: (2 * i, 2 * i + 1)), points(room, lambda i: ((i + 1) % 3, (i + 2) % 3))
+    normals = [np.cross(p, np.eye(3)[(i + k) % 3]) for i, p in enumerate(seen) for k in (1, 2)]
+    start = spark.createDataFrame([(0, 1, 3.1, 2.9, 1.45, 0.01, 0.0, 0.0)], "cand long, pano long, tx double, ty double, tz double, yaw double, pitch double, roll double")
+    one = refine.refine_poses(start, flat, solid, line([n / np.linalg.norm(n) for n in normals]), line(np.eye(3))).first()
+    assert len(kinds) < 10 and abs(one.tx - 3) < 0.05 and abs(one.ty - 3) < 0.05 and abs(one.yaw) < 0.02

@@ -1,10 +1,9 @@
-"""Pose refinement on the unit sphere: gradient descent whose state is a table.
+"""Pose refinement on the unit sphere: gradient descent of every candidate pose on its own.
 
-A candidate pose is one row with its translation, rotation angles, moments of the descent, learning
-rate and best cost. A step pairs the intersections seen from every candidate with those of its
-panorama (mutual nearest neighbours, per group and over all), sums the partial derivatives of all
-candidates in one aggregation, and writes the next state. Translation comes first; the
-pairs of its last step then fix the rotation by their line directions.
+A candidate pose is one row; candidates and the intersections of their panoramas meet in a join, and
+each candidate descends in a group of its own. A step pairs the intersections seen from the pose with those of the
+panorama (mutual nearest neighbours, per group and over all) and moves by the mean of their partial
+derivatives. Translation comes first; the pairs of its last step then fix the rotation by their line directions.
 
 Rows with a null coordinate take no part. A candidate without a pair keeps its pose; one that drifts
 too far gets its first pose back.
@@ -18,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions import geometry as G
@@ -30,32 +29,28 @@ DECAY_1, DECAY_2, FLOOR = 0.9, 0.999, 1e-8
 PATIENCE, FACTOR, GAIN = 5, 0.9, 1e-4
 #: Entries of a distance block in a task.
 BLOCK = 1 << 21
+#: Tasks over which candidates are dealt at most.
+TASKS = 4096
 #: The pseudo group of all intersections of a panorama.
 ALL = 3
 
 
-def begun(state: DataFrame, names: tuple, lr: float) -> DataFrame:
-    """State columns of a descent over three parameters ``names``."""
-    zero = {f"{m}_{n}": F.lit(0.0) for n in names for m in "mv"}
-    return state.withColumns(zero | {"lr": F.lit(lr), "best": F.lit(math.inf), "bad": F.lit(0), "cost": F.lit(None).cast("double")})
-
-
-def moved(state: DataFrame, slopes: DataFrame, names: tuple, step: int) -> DataFrame:
-    """The state after one step by ``slopes`` (cand, now, g_..); candidates without a row there stay."""
-    s = state.join(slopes, "cand", "left")
-    on = F.col("now").isNotNull()
-    out = {}
-    for n in names:
-        m = DECAY_1 * F.col("m_" + n) + (1 - DECAY_1) * F.col("g_" + n)
-        v = DECAY_2 * F.col("v_" + n) + (1 - DECAY_2) * F.col("g_" + n) * F.col("g_" + n)
-        move = F.col("lr") * (m / (1 - DECAY_1**step)) / (F.sqrt(v / (1 - DECAY_2**step)) + FLOOR)
-        out |= {"m_" + n: F.when(on, m).otherwise(F.col("m_" + n)), "v_" + n: F.when(on, v).otherwise(F.col("v_" + n)), n: F.when(on, F.col(n) - move).otherwise(F.col(n)), "was_" + n: F.when(on, F.col(n)).otherwise(F.col("was_" + n))}
-    better = F.col("now") < F.col("best") * (1 - GAIN)
-    bad = F.when(better, 0).otherwise(F.col("bad") + 1)
-    tired = bad > PATIENCE
-    out |= {"best": F.when(on & better, F.col("now")).otherwise(F.col("best")), "bad": F.when(on, F.when(tired, 0).otherwise(bad)).otherwise(F.col("bad"))}
-    out |= {"lr": F.when(on & tired, F.col("lr") * FACTOR).otherwise(F.col("lr")), "cost": F.coalesce("now", "cost")}
-    return s.withColumns(out).drop("now", *("g_" + n for n in names))
+def descend(x: np.ndarray, slopes, steps: int, lr: float) -> tuple[np.ndarray, np.ndarray, float | None]:
+    """(x, the x before the last step, its cost) after ``steps`` steps by ``slopes``: x to (cost, gradient), or to None where there is nothing to go by, and x stays."""
+    was, cost, best, bad = x, None, math.inf, 0
+    m = v = np.zeros(len(x))
+    for k in range(1, steps + 1):
+        found = slopes(x)
+        if found is None:
+            break
+        cost, g = found
+        m, v = DECAY_1 * m + (1 - DECAY_1) * g, DECAY_2 * v + (1 - DECAY_2) * g * g
+        was, x = x, x - lr * (m / (1 - DECAY_1**k)) / (np.sqrt(v / (1 - DECAY_2**k)) + FLOOR)
+        if cost < best * (1 - GAIN):
+            best, bad = cost, 0
+        elif (bad := bad + 1) > PATIENCE:
+            bad, lr = 0, lr * FACTOR
+    return x, was, cost
 
 
 def mutual(a: np.ndarray, b: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
@@ -87,6 +82,25 @@ def _points(column: pa.ListArray, row: int) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(found.field("i")), np.stack([np.asarray(found.field(c)) for c in "xyz"], axis=1)
 
 
+def met(p: np.ndarray, w: np.ndarray, t: np.ndarray, rot: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, s, far): places of the mutual pairs of 2D points and 3D points seen from a pose, directions and distances of the seen ones."""
+    seen = (w - t) @ rot.T
+    far = np.maximum(np.linalg.norm(seen, axis=1), 1e-6)
+    s = seen / far[:, None]
+    a, b = mutual(p, s, limit)
+    return a, b, s[b], far[b]
+
+
+def reach(grp: int, limit: float) -> float:
+    """The limit of a group's pairs: a fifth over all groups."""
+    return limit / 5 if grp == ALL else limit
+
+
+def dealt(rows: DataFrame, state: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` in one task for about each candidate: a row is small, its work is not, so that sizes do not tell how to deal them."""
+    return rows.repartition(max(1, min(state.count(), TASKS)), *keys)
+
+
 PAIRS = "cand long, track boolean, i2 long, i3 long, px double, py double, pz double, sx double, sy double, sz double, far double, yaw double, pitch double, roll double"
 
 
@@ -99,16 +113,13 @@ def pairs(groups: DataFrame, state: DataFrame, limit: float) -> DataFrame:
             for r in range(batch.num_rows):
                 v = {n: c[r].as_py() for n, c in cols.items()}
                 (i2, p), (i3, w) = _points(batch.column("flat"), r), _points(batch.column("solid"), r)
-                seen = (w - np.array([v[c] for c in T])) @ rotation(*(v[c] for c in ANGLES)).T
-                far = np.maximum(np.linalg.norm(seen, axis=1), 1e-6)
-                s = seen / far[:, None]
-                a, b = mutual(p, s, limit / 5 if v["grp"] == ALL else limit)
-                frame = pd.DataFrame({"cand": v["cand"], "track": v["track"], "i2": i2[a], "i3": i3[b], "px": p[a, 0], "py": p[a, 1], "pz": p[a, 2], "sx": s[b, 0], "sy": s[b, 1], "sz": s[b, 2], "far": far[b], **{c: v[c] for c in ANGLES}})
+                a, b, s, far = met(p, w, np.array([v[c] for c in T]), rotation(*(v[c] for c in ANGLES)), reach(v["grp"], limit))
+                frame = pd.DataFrame({"cand": v["cand"], "track": v["track"], "i2": i2[a], "i3": i3[b], "px": p[a, 0], "py": p[a, 1], "pz": p[a, 2], "sx": s[:, 0], "sy": s[:, 1], "sz": s[:, 2], "far": far, **{c: v[c] for c in ANGLES}})
                 if len(frame):
                     yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
 
     placed = groups.join(state.select("cand", "pano", *T, *ANGLES), "pano")
-    return placed.select("cand", "grp", "track", *T, *ANGLES, "flat", "solid").mapInArrow(match, PAIRS)
+    return dealt(placed.select("cand", "grp", "track", *T, *ANGLES, "flat", "solid"), state, "cand", "grp").mapInArrow(match, PAIRS)
 
 
 def grouped(flat: DataFrame, solid: DataFrame) -> DataFrame:
@@ -122,42 +133,85 @@ def grouped(flat: DataFrame, solid: DataFrame) -> DataFrame:
     return both.join(single, "pano").withColumn("track", (F.col("grp") != ALL) == F.col("_some")).drop("_some")
 
 
-def translation_slopes(found: DataFrame) -> DataFrame:
-    """(cand, now, g_tx..g_tz): the mean absolute difference of all pairs and its partial derivatives."""
-    rot = G.rotation_from_ypr(*ANGLES)
-    s, p = [F.col("s" + c) for c in "xyz"], [F.col("p" + c) for c in "xyz"]
-    sign = [F.signum(a - b) for a, b in zip(s, p, strict=True)]
+def translation_slope(groups: list, t: np.ndarray, rot: np.ndarray, limit: float) -> tuple[float, np.ndarray] | None:
+    """(cost, gradient) over the translation: the mean absolute difference of all pairs of ``groups`` (grp, 2D points, 3D points)."""
+    found = [(p[a], s, far) for grp, p, w in groups for a, _, s, far in (met(p, w, t, rot, reach(grp, limit)),)]
+    p, s, far = (np.concatenate(part) for part in zip(*found, strict=True))
+    if not len(p):
+        return None
+    sign = np.sign(s - p)
     # s moves by -(1 - s s') R / far for a move of t
-    along = sum((a * b for a, b in zip(sign, s, strict=True)), F.lit(0.0))
-    off = [a - along * b for a, b in zip(sign, s, strict=True)]
-    slope = [-sum((off[r] * rot[r][c] for r in range(3)), F.lit(0.0)) / F.col("far") for c in range(3)]
-    cost = sum((F.abs(a - b) for a, b in zip(p, s, strict=True)), F.lit(0.0))
-    return found.groupBy("cand").agg(F.avg(cost).alias("now"), *(F.avg(g).alias("g_" + n) for g, n in zip(slope, T, strict=True)))
+    off = sign - (sign * s).sum(axis=1)[:, None] * s
+    return float(np.abs(p - s).sum(axis=1).mean()), (-(off @ rot) / far[:, None]).mean(axis=0)
 
 
-def turn_slopes(lines: DataFrame, state: DataFrame, inlier: float) -> DataFrame:
-    """(cand, now, g_yaw..g_roll) of matched lines: ``lines`` (cand, n.., u.., w..) with a 2D normal and the two 3D directions it may lie by.
+def translated(groups: DataFrame, state: DataFrame, limit: float, steps: int, lr: float) -> DataFrame:
+    """(cand, at_tx..at_tz, was_tx..was_tz, move_cost): every candidate's translation after the descent and before its last step. Candidates descend on their own, each in one group."""
+    schema = "cand long, " + ", ".join(f"{k}{n} double" for k in ("at_", "was_") for n in T) + ", move_cost double"
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        v = {n: table.column(n)[0].as_py() for n in ("cand", *T, *ANGLES)}
+        parts = [(table.column("grp")[r].as_py(), *(_points(table.column(n), r)[1] for n in ("flat", "solid"))) for r in np.argsort(table.column("grp"))]
+        rot = rotation(*(v[c] for c in ANGLES))
+        x, was, cost = descend(np.array([v[c] for c in T]), lambda t: translation_slope(parts, t, rot, limit), steps, lr)
+        return pa.table({"cand": [v["cand"]]} | {k + n: [c] for k, at in (("at_", x), ("was_", was)) for n, c in zip(T, at.tolist(), strict=True)} | {"move_cost": pa.array([cost], pa.float64())})
+
+    placed = groups.join(state.select(F.col("cand").cast("long").alias("cand"), "pano", *T, *ANGLES), "pano")
+    return dealt(placed.select("cand", "grp", *T, *ANGLES, "flat", "solid"), state, "cand").groupBy("cand").applyInArrow(run, schema)
+
+
+def turn_slope(n: np.ndarray, u: np.ndarray, w: np.ndarray, turn: np.ndarray, inlier: float) -> tuple[float, np.ndarray] | None:
+    """(cost, gradient) over the angles of matched lines: a 2D normal and the two 3D directions the line may lie by.
 
     A line costs the lesser of the summed absolute products of its turned normal with either
     direction; the mean is over lines that cost under ``inlier``, over all where there are none.
     """
-    rot = G.rotation_from_ypr(*ANGLES)
-    cy, sy, cp, sp, cr, sr = (f(c) for c in ANGLES for f in (F.cos, F.sin))
-    zero = F.lit(0.0)
-    by_yaw = [[-rot[1][c] for c in range(3)], rot[0], [zero] * 3]
-    by_pitch = [[-cy * sp, cy * cp * sr, cy * cp * cr], [-sy * sp, sy * cp * sr, sy * cp * cr], [-cp, -sp * sr, -sp * cr]]
-    by_roll = [[zero, rot[r][2], -rot[r][1]] for r in range(3)]
-    j = lines.join(state.select("cand", *ANGLES), "cand")
-    n = [F.col("n" + c) for c in "xyz"]
-    turned = lambda m: [sum((n[r] * m[r][c] for r in range(3)), F.lit(0.0)) for c in range(3)]
-    j = j.withColumns({f"_r{c}": v for c, v in enumerate(turned(rot))} | {f"_{k}{c}": v for k, m in zip("ypq", (by_yaw, by_pitch, by_roll), strict=True) for c, v in enumerate(turned(m))})
-    cost = lambda d: sum((F.abs(F.col(f"_r{c}") * F.col(d + a)) for c, a in enumerate("xyz")), F.lit(0.0))
-    slope = lambda d, k: sum((F.signum(f"_r{c}") * F.abs(F.col(d + a)) * F.col(f"_{k}{c}") for c, a in enumerate("xyz")), F.lit(0.0))
-    first = cost("u") <= cost("w")
-    j = j.select("cand", F.least(cost("u"), cost("w")).alias("c"), *(F.when(first, slope("u", k)).otherwise(slope("w", k)).alias(a) for k, a in zip("ypq", ANGLES, strict=True)))
-    near = F.col("c") < inlier
-    mean = lambda v: F.coalesce(F.avg(F.when(near, v)), F.avg(v))
-    return j.groupBy("cand").agg(mean(F.col("c")).alias("now"), *(mean(F.col(a)).alias("g_" + a) for a in ANGLES))
+    rot = rotation(*turn)
+    (cy, cp, cr), (sy, sp, sr) = np.cos(turn), np.sin(turn)
+    by_yaw = np.array([-rot[1], rot[0], np.zeros(3)])
+    by_pitch = np.array([[-cy * sp, cy * cp * sr, cy * cp * cr], [-sy * sp, sy * cp * sr, sy * cp * cr], [-cp, -sp * sr, -sp * cr]])
+    by_roll = np.stack([np.zeros(3), rot[:, 2], -rot[:, 1]], axis=1)
+    turned = n @ rot
+    by_u, by_w = (np.abs(turned * d).sum(axis=1) for d in (u, w))
+    cost = np.minimum(by_u, by_w)
+    near = cost < inlier
+    near = near if near.any() else ~np.isnan(cost)
+    if not near.any():
+        return None
+    side = np.sign(turned) * np.abs(np.where((by_u <= by_w)[:, None], u, w))
+    return float(cost[near].mean()), np.array([(side * (n @ m)).sum(axis=1)[near].mean() for m in (by_yaw, by_pitch, by_roll)])
+
+
+def _by_lines(lines: DataFrame, state: DataFrame, of, schema: str) -> DataFrame:
+    """``of`` (slopes, angles) of every candidate that has ``lines`` (cand, n.., u.., w..), a row of ``schema``; slopes take angles and a limit."""
+
+    def run(key, lines, state):
+        n, u, w = (lines[[p + c for c in "xyz"]].to_numpy() for p in "nuw")
+        rows = [(key[0], *of(lambda x, inlier: turn_slope(n, u, w, x, inlier), state[list(ANGLES)].to_numpy()[0]))] if len(lines) and len(state) else []
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return dealt(lines, state, "cand").groupBy("cand").cogroup(state.select("cand", *ANGLES).groupBy("cand")).applyInPandas(run, schema)
+
+
+def turn_slopes(lines: DataFrame, state: DataFrame, inlier: float) -> DataFrame:
+    """(cand, now, g_yaw..g_roll) of matched lines (cand, n.., u.., w..) at the candidates' angles."""
+
+    def one(slopes, x):
+        now, g = slopes(x, inlier) or (None, [None] * 3)
+        return now, *g
+
+    return _by_lines(lines, state, one, "cand long, now double, " + ", ".join(f"g_{n} double" for n in ANGLES))
+
+
+def turned(lines: DataFrame, state: DataFrame, inlier: float, steps: int, lr: float) -> DataFrame:
+    """(cand, at_yaw..at_roll, cost): every candidate's angles after the descent over its lines."""
+
+    def all_steps(slopes, x):
+        x, _, cost = descend(x, lambda a: slopes(a, inlier), steps, lr)
+        return *x, cost
+
+    return _by_lines(lines, state, all_steps, "cand long, " + ", ".join(f"at_{n} double" for n in ANGLES) + ", cost double")
 
 
 def refine_poses(
@@ -171,10 +225,11 @@ def refine_poses(
     n0 to n2 count the pairs of each group.
     """
     groups = stored(grouped(flat, solid), "groups")
-    state = candidates.select("cand", "pano", *T, *ANGLES, *(F.col(n).alias("was_" + n) for n in T), *(F.col(n).alias("first_" + n) for n in (*T, *ANGLES)))
-    state = stored(begun(state, T, lr), "state")
-    for k in range(1, steps_t + 1):
-        state = stored(moved(state, translation_slopes(pairs(groups, state, limit)), T, k), "state")
+    state = candidates.select("cand", "pano", *T, *ANGLES, *(F.col(n).alias("first_" + n) for n in (*T, *ANGLES)))
+    # a candidate whose panorama has no intersections is not met, and stays
+    moves = stored(translated(groups, state, limit, steps_t, lr), "moves")
+    state = state.join(moves, "cand", "left").withColumns({n: F.coalesce("at_" + n, n) for n in T} | {"was_" + n: F.coalesce("was_" + n, n) for n in T}).drop(*("at_" + n for n in T))
+    state = stored(state, "state")
     # the pairs that made the last step
     before = state.withColumns({n: F.col("was_" + n) for n in T})
     kept = stored(pairs(groups, before, limit).where("track").select("cand", "i2", "i3").join(state.select("cand", "pano"), "cand"), "matches")
@@ -185,10 +240,9 @@ def refine_poses(
     one = both.select("cand", "pano", F.explode(F.array("a2", "b2")).alias("k2"), "a3", "b3")
     lines = one.join(line(flat_lines, "k2", "n"), ["pano", "k2"]).join(line(solid_lines, "a3", "u"), ["pano", "a3"]).join(line(solid_lines, "b3", "w"), ["pano", "b3"])
     lines = stored(lines.select("cand", *(p + c for p in "nuw" for c in "xyz")), "lines")
-    state = state.withColumnRenamed("cost", "move_cost").drop(*(m + n for n in T for m in ("m_", "v_", "was_")), "lr", "best", "bad")
-    state = stored(begun(state.withColumns({"was_" + n: F.col(n) for n in ANGLES}), ANGLES, lr), "state")
-    for k in range(1, steps_r + 1):
-        state = stored(moved(state, turn_slopes(lines, state, inlier), ANGLES, k), "state")
+    turns = stored(turned(lines, state, inlier, steps_r, lr), "turns")
+    state = state.join(turns, "cand", "left").withColumns({n: F.coalesce("at_" + n, n) for n in ANGLES})
+    state = stored(state.drop(*("at_" + n for n in ANGLES), *("was_" + n for n in T)), "state")
     now, was = G.rotation_from_ypr(*ANGLES), G.rotation_from_ypr(*("first_" + n for n in ANGLES))
     trace = sum((now[r][c] * was[r][c] for r in range(3) for c in range(3)), F.lit(0.0))
     far = G.norm(G.sub(T, tuple("first_" + n for n in T)))
