@@ -74,3 +74,19 @@ def test_descents_start_no_job_a_step(spark, monkeypatch):
     start = spark.createDataFrame([(0, 1, 3.1, 2.9, 1.45, 0.01, 0.0, 0.0)], "cand long, pano long, tx double, ty double, tz double, yaw double, pitch double, roll double")
     one = refine.refine_poses(start, flat, solid, line([n / np.linalg.norm(n) for n in normals]), line(np.eye(3))).first()
     assert len(kinds) < 10 and abs(one.tx - 3) < 0.05 and abs(one.ty - 3) < 0.05 and abs(one.yaw) < 0.02
+
+
+def test_mutual_pairs_meet_few_points(monkeypatch):
+    taken, root = [], np.sqrt
+    monkeypatch.setattr(np, "sqrt", lambda v: (taken.append(np.size(v)), root(v))[1])
+    rng = np.random.default_rng(10)
+    p = rng.normal(size=(3000, 3))
+    p /= np.linalg.norm(p, axis=1)[:, None]
+    # a crowd at one place counts once, and its first
+    a, b = np.vstack([p, np.repeat(p[:1], 1000, axis=0)]), np.vstack([np.repeat(p[:1], 1000, axis=0), p + rng.normal(size=p.shape) * 1e-3, [[np.nan, 0, 0]]])
+    i, j = refine.mutual(a, b, 0.1)
+    assert sum(taken) < 100 * (len(a) + len(b))
+    d = ((a[:3000, None] - b[None, 999:-1]) ** 2).sum(axis=2)
+    to_b, to_a = d.argmin(axis=1), d.argmin(axis=0)
+    want = [k for k in range(3000) if to_a[to_b[k]] == k and d[k, to_b[k]] < 0.01]
+    assert i.tolist() == want and j.tolist() == [0 if to_b[k] == 0 else to_b[k] + 999 for k in want]

@@ -27,8 +27,8 @@ T, ANGLES = ("tx", "ty", "tz"), ("yaw", "pitch", "roll")
 #: Fixed values of the descent: decay of both moments, floor of the step's divisor; patience, factor and least relative gain of the learning rate.
 DECAY_1, DECAY_2, FLOOR = 0.9, 0.999, 1e-8
 PATIENCE, FACTOR, GAIN = 5, 0.9, 1e-4
-#: Entries of a distance block in a task.
-BLOCK = 1 << 21
+#: Distances that a task takes at once, and points of a cell from which on it is cut.
+BLOCK, CROWD = 1 << 21, 2
 #: Tasks over which candidates are dealt at most.
 TASKS = 4096
 #: The pseudo group of all intersections of a panorama.
@@ -53,22 +53,83 @@ def descend(x: np.ndarray, slopes, steps: int, lr: float) -> tuple[np.ndarray, n
     return x, was, cost
 
 
+def within(a: np.ndarray, b: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of every point of ``a`` the place of its nearest in ``b``, the first of equal ones, and its distance; infinite where none is under ``limit``.
+
+    Points meet in cells whose size follows the crowd; those that have none in the cells next to theirs
+    look again in cells of twice the size. Distances in blocks of about BLOCK.
+    """
+    to, near = np.zeros(len(a), int), np.full(len(a), np.inf)
+    low, high = np.minimum(a.min(axis=0), b.min(axis=0)), np.maximum(a.max(axis=0), b.max(axis=0))
+    # no more cells along an axis than keys of 63 bits can tell
+    least = max(limit * 2.0**-20, float((high - low).max()) * 2.0**-20)
+    size = max(limit, least)
+    cell = lambda v: np.floor((v - low) / size).astype(np.int64) + 1
+
+    def order() -> np.ndarray:
+        wide = cell(high) + 2
+        return np.array([wide[1] * wide[2], wide[2], 1])
+
+    while size / 2 >= least and len(np.unique(cell(b) @ order())) * CROWD < len(b):
+        size /= 2
+    left = np.arange(len(a))
+    while len(left):
+        steps = order()
+        key = cell(b) @ steps
+        by = np.argsort(key, kind="stable")
+        key, own = key[by], cell(a[left]) @ steps
+        walk = np.argsort(own, kind="stable")
+        left, own = left[walk], own[walk]
+        # columns of three cells each, so that the cells next to one's own are nine runs of the sorted keys
+        columns = [i * steps[0] + j * steps[1] for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        first, past = (np.stack([np.searchsorted(key, own + c + e, how) for c in columns]) for e, how in ((-1, "left"), (1, "right")))
+        many = (past - first).sum(axis=0)
+        cut = np.searchsorted(np.cumsum(many), np.arange(BLOCK, many.sum() + BLOCK, BLOCK))
+        for i, j in zip((0, *(cut + 1)), (*(cut + 1), len(left)), strict=True):
+            i, j = min(i, len(left)), min(j, len(left))
+            count = (past[:, i:j] - first[:, i:j]).T.ravel()
+            if not count.sum():
+                continue
+            begin = np.cumsum(count) - count
+            place = by[np.arange(count.sum()) - np.repeat(begin - first[:, i:j].T.ravel(), count)]
+            whose = np.flatnonzero(many[i:j])
+            n = many[i:j][whose]
+            d = np.repeat(a[left[i:j][whose]], n, axis=0) - b[place]
+            d = np.sqrt((d * d).sum(axis=1))
+            at = np.cumsum(n) - n
+            best = np.minimum.reduceat(d, at)
+            to[left[i:j][whose]] = np.minimum.reduceat(np.where(d == np.repeat(best, n), place, len(b)), at)
+            near[left[i:j][whose]] = best
+        if size >= limit:
+            break
+        # nearer ones than a cell is wide all lie in the next cells
+        left = left[~(near[left] < size * (1 - 1e-9))]
+        size *= 2
+    near[near >= limit] = np.inf
+    return to, near
+
+
+def _firsts(v: np.ndarray) -> np.ndarray:
+    """Places, in order, of the first of equal points; none of points with a NaN."""
+    order = np.lexsort(v.T)
+    new = np.ones(len(v), dtype=bool)
+    new[1:] = (v[order[1:]] != v[order[:-1]]).any(axis=1)
+    return np.sort(order[new & ~np.isnan(v[order]).any(axis=1)])
+
+
 def mutual(a: np.ndarray, b: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs that are each other's nearest and under ``limit`` apart; the first of equal ones. Distances in blocks of BLOCK."""
-    if not len(a) or not len(b):
+    """Places of pairs that are each other's nearest and under ``limit`` apart; the first of equal ones. Points with a coordinate that is NaN take no part."""
+    sides = [_firsts(v) for v in (a, b)]
+    if not all(map(len, sides)):
         return np.zeros(0, int), np.zeros(0, int)
-    to_b, from_b, least = np.empty(len(a), int), np.zeros(len(b), int), np.full(len(b), np.inf)
-    near = np.empty(len(a))
-    rows = max(1, BLOCK // len(b))
-    for i in range(0, len(a), rows):
-        d = np.sqrt(((a[i : i + rows, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-        to_b[i : i + rows], near[i : i + rows] = d.argmin(axis=1), d.min(axis=1)
-        first = d.argmin(axis=0)
-        value = d[first, np.arange(len(b))]
-        from_b[value < least] = first[value < least] + i
-        least = np.minimum(least, value)
-    at = np.flatnonzero((from_b[to_b] == np.arange(len(a))) & (near < limit))
-    return at, to_b[at]
+    p, q = (v[s] for v, s in zip((a, b), sides, strict=True))
+    to_q, near = within(p, q, limit)
+    at = np.flatnonzero(near < limit)
+    # only these can be anyone's partner
+    asked, back = np.unique(to_q[at], return_inverse=True)
+    from_q, _ = within(q[asked], p, limit) if len(at) else (at, None)
+    at = at[from_q[back] == at]
+    return sides[0][at], sides[1][to_q[at]]
 
 
 def rotation(yaw: float, pitch: float, roll: float) -> np.ndarray:
