@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from voxloom.operators import fits, joins, refine
+from voxloom.operators import fits, joins, raycast, refine
 
 SHAPE = "array<struct<x: double, y: double>>"
 
@@ -90,3 +90,15 @@ def test_mutual_pairs_meet_few_points(monkeypatch):
     to_b, to_a = d.argmin(axis=1), d.argmin(axis=0)
     want = [k for k in range(3000) if to_a[to_b[k]] == k and d[k, to_b[k]] < 0.01]
     assert i.tolist() == want and j.tolist() == [0 if to_b[k] == 0 else to_b[k] + 999 for k in want]
+
+
+def test_equal_rays_walk_once_past_equal_triangles(spark, monkeypatch):
+    seen, stored = {}, raycast.stored
+    monkeypatch.setattr(raycast, "stored", lambda df, kind: seen.setdefault(kind, stored(df, kind)) if kind in ("walks", "voxels") else stored(df, kind))
+    names = lambda p: ", ".join(f"{q}{c} double" for q in p for c in "xyz")
+    faces = spark.createDataFrame([(30 - i, 0.2, 0.2, 1.0 + i % 2, 0.8, 0.2, 1.0 + i % 2, 0.2, 0.8, 1.0 + i % 2) for i in range(30)], "face long, " + names("abc"))
+    rays = spark.createDataFrame([(i, 0.3, 0.3, 0.0, 0.0, 0.0, 1.0 - 2 * (i % 4 == 0)) for i in range(40)] + [(99, None, *[1.0] * 5)], "ray long, " + names("od"))
+    got = {r.ray: (r.face, r.t) for r in raycast.ray_hits(rays, faces, 5.0).collect()}
+    # two triangles of fifteen copies each: the nearer, and of its copies the smallest
+    assert got == {i: (2, 1.0) for i in range(40) if i % 4}
+    assert seen["walks"].count() == 1 and seen["voxels"].select("face").distinct().count() == 2

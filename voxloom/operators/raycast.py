@@ -3,7 +3,8 @@
 Triangles stand in the voxels of their box that their plane cuts. A ray is cut at every
 voxel wall it crosses, so its steps are its voxels in order. Rays walk in rounds of 8, 16, 32, ...
 steps: a ray whose nearest hit lies within the steps walked so far is done, so only rays in
-empty space walk on, and the rounds grow with the logarithm of the grid.
+empty space walk on, and the rounds grow with the logarithm of the grid. Equal rays walk once, equal
+triangles stand once.
 """
 
 from __future__ import annotations
@@ -93,7 +94,10 @@ def ray_hits(rays: DataFrame, triangles: DataFrame, size: float, limit: float =
     ``rays``: (ray, ox..oz, dx..dz), ``triangles``: (face, ax..cz); t is in lengths of d. Null
     coordinates, rays without direction and flat triangles meet nothing.
     """
-    every = triangles.select("face", *A, *B, *C).where(" AND ".join(f"{c} IS NOT NULL" for c in (*A, *B, *C)))
+    known = triangles.where(" AND ".join(f"{c} IS NOT NULL" for c in (*A, *B, *C)))
+    # the smallest face of equal triangles wins every tie between them; equal rays have one hit
+    every = stored(known.groupBy(*A, *B, *C).agg(F.min("face").alias("face")), "faces")
+    each = stored(rays.groupBy(*O, *D).agg(F.min("ray").alias("once")), "rays")
     e = every.agg(*(f(F.col(p + c)) for c in "xyz" for p in "abc" for f in (F.min, F.max))).first()
     if e[0] is None:
         return rays.select("ray").limit(0).select("ray", *(F.lit(None).cast(t).alias(n) for n, t in (("face", triangles.schema["face"].dataType), ("t", "double"))))
@@ -101,7 +105,7 @@ def ray_hits(rays: DataFrame, triangles: DataFrame, size: float, limit: float =
     low = tuple(min(e[6 * k : 6 * k + 6]) - pad for k in range(3))
     high = tuple(max(e[6 * k : 6 * k + 6]) + pad for k in range(3))
     held = stored(voxels(every, low, size, pad).select("face", *KEYS, *(c.alias(k) for k, c in _gradients().items())), "voxels")
-    left = stored(steps(rays.select("ray", *O, *D), low, high, size, limit), "walks").select("*", F.lit(None).cast("struct<t: double, face: bigint>").alias("best"))
+    left = stored(steps(each.select(F.col("once").alias("ray"), *O, *D), low, high, size, limit), "walks").select("*", F.lit(None).cast("struct<t: double, face: bigint>").alias("best"))
     t, inside = _meets(eps, limit)
     done, begin, count = [], 0, first
     while True:
@@ -122,4 +126,5 @@ def ray_hits(rays: DataFrame, triangles: DataFrame, size: float, limit: float =
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    alike = rays.select("ray", *O, *D).join(each, [*O, *D]).select("ray", "once")
+    return alike.join(out.withColumnRenamed("ray", "once"), "once").select("ray", "face", "t")
