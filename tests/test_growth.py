@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from voxloom.operators import fits, joins, raycast, refine
+from voxloom.operators import arcs, fits, joins, raycast, refine, regions
 
 SHAPE = "array<struct<x: double, y: double>>"
 
@@ -102,3 +102,51 @@ def test_equal_rays_walk_once_past_equal_triangles(spark, monkeypatch):
     # two triangles of fifteen copies each: the nearer, and of its copies the smallest
     assert got == {i: (2, 1.0) for i in range(40) if i % 4}
     assert seen["walks"].count() == 1 and seen["voxels"].select("face").distinct().count() == 2
+
+
+def arc_table(spark, n):
+    rng = np.random.default_rng(11)
+    s, e = (v / np.linalg.norm(v, axis=1)[:, None] for v in rng.normal(size=(2, n, 3)))
+    k = np.cross(s, e)
+    k /= np.linalg.norm(k, axis=1)[:, None]
+    rows = [(i, f"p{i % 2}", i % 3, *map(float, (*s[i], *e[i], *k[i]))) for i in range(n)]
+    rows += [(n, None, 0, *rows[0][3:]), (n + 1, "p0", 1, None, *rows[1][4:])]
+    return s, e, k, spark.createDataFrame(rows, "id long, pano string, grp int, " + ", ".join(f"{p}{c} double" for p in "sen" for c in "xyz"))
+
+
+def test_meets_of_arcs_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(arcs, "SIDE", 8)
+    monkeypatch.setattr(arcs, "TURN", 20)
+    s, e, k, df = arc_table(spark, 90)
+    want = set()
+    for i in range(90):
+        for j in range(i % 2, 90, 2):
+            if (i + 1) % 3 == j % 3:
+                c = np.cross(k[i], k[j])
+                for p in (c, -c):
+                    if all(p @ u[t] - (s[t] @ e[t]) * (p @ v[t]) >= 0 for t in (i, j) for u, v in ((s, e), (e, s))):
+                        want.add((i, j, *(p / np.linalg.norm(p)).round(6)))
+    got = arcs.arc_meets(df, ["pano"])
+    assert {(r.id, r.o_id, *np.round([r.x, r.y, r.z], 6)) for r in got.collect()} == want and got.count() == len(want) > 50
+
+
+def test_arcs_count_their_meets_without_pairs(spark, monkeypatch):
+    monkeypatch.setattr(arcs, "SIDE", 8)
+    _, _, _, df = arc_table(spark, 60)
+    met = [(r.pano, r.id, r.o_id) for r in arcs.arc_meets(df, ["pano"]).collect()]
+    got = {(r.pano, r.id): (r.n, r.o_n) for r in arcs.arc_meet_counts(df, ["pano"]).collect()}
+    assert got == {(p, i): (sum(m[:2] == (p, i) for m in met), sum(m[::2] == (p, i) for m in met)) for p, a, b in met for i in (a, b)}
+
+
+def test_equal_groups_share_one_union(spark, monkeypatch):
+    seen, walk = [], regions.walked
+    monkeypatch.setattr(regions, "walked", lambda lines: (seen.append(lines.select("grp").distinct().count()), walk(lines))[1])
+    box = ((0.0, 0.0), (2.0, 0.0), (2.0, 1.0), (0.0, 1.0))
+    # groups of two boxes; in every fourth they are apart
+    rows = [(g, 2 * g + r, i, x + r * (1 + 3 * (g % 4 == 0)), y) for g in range(12) for r in range(2) for i, (x, y) in enumerate(box)]
+    df = spark.createDataFrame(rows, "grp long, ring long, seq int, x double, y double")
+    found = regions.shells(df, 2.0)
+    got = {}
+    for r in found.select("grp", "ring", "area").distinct().collect():
+        got.setdefault(r.grp, []).append(round(r.area, 9))
+    assert got == {g: [2.0, 2.0] if g % 4 == 0 else [3.0] for g in range(12)} and seen == [2]
