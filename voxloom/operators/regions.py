@@ -94,14 +94,29 @@ def walked(lines: DataFrame) -> DataFrame:
     return named.join(ring, F.col("p") == F.col("node")).select("grp", F.col("component").alias("ring"), *E)
 
 
+def alike(rings: DataFrame) -> DataFrame:
+    """(grp, once): the smallest of the groups whose rings are the same. A ring is told by the SHA-256 of its corners, a group by the number of its rings and the sums of theirs."""
+    known = rings.where("grp IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL")
+    at = known.groupBy("grp", "ring").agg(F.array_sort(F.collect_list(F.struct("seq", *(F.round(c, DIGITS).alias(c) for c in "xy")))).alias("c"))
+    digest = F.sha2(F.array_join(F.transform("c", lambda s: F.concat_ws(",", s["x"], s["y"])), ";"), 256)
+    parts = [F.sum(F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)")).alias(f"h{k}") for k in range(4)]
+    named = stored(at.select("grp", digest.alias("h")).groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *parts), "alike")
+    same = ["n", *(f"h{k}" for k in range(4))]
+    return named.join(named.groupBy(*same).agg(F.min("grp").alias("once")), same).select("grp", "once")
+
+
 def shells(rings: DataFrame, size: float) -> DataFrame:
     """(grp, ring, ax, ay, bx, by, area) of the rings around the union of each group; holes have a negative area.
 
-    For one ring that crosses itself this is its repair: a bow-tie gives two rings.
+    For one ring that crosses itself this is its repair: a bow-tie gives two rings. Groups of the same
+    rings share one union; ``ring`` is a name within its group.
     """
-    lines = stored(walked(outline(rings, size)), "rings")
+    groups = stored(alike(rings), "groups")
+    first = rings.join(groups.where("grp = once").select("grp"), "grp", "left_semi")
+    lines = stored(walked(outline(first, size)), "rings")
     area = lines.groupBy("grp", "ring").agg((F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")) / 2).alias("area"))
-    return lines.join(area, ["grp", "ring"])
+    found = stored(lines.join(area, ["grp", "ring"]), "areas")
+    return groups.join(found.withColumnRenamed("grp", "once"), "once").select("grp", "ring", *E, "area")
 
 
 def corners(found: DataFrame) -> DataFrame:
