@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from voxloom.operators import arcs, fits, joins, raycast, refine, regions
+from voxloom.sources import codecs, sinks
 
 SHAPE = "array<struct<x: double, y: double>>"
 
@@ -150,3 +151,21 @@ def test_equal_groups_share_one_union(spark, monkeypatch):
     for r in found.select("grp", "ring", "area").distinct().collect():
         got.setdefault(r.grp, []).append(round(r.area, 9))
     assert got == {g: [2.0, 2.0] if g % 4 == 0 else [3.0] for g in range(12)} and seen == [2]
+
+
+def test_large_ply_files_are_written_and_read_in_parts(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(codecs, "RANGE", 1000)
+    monkeypatch.setattr(codecs, "FRAME", 16)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        points = spark.range(500).selectExpr("concat('c', id % 2, '.ply') AS name", "499 - id AS pid", "id * 0.5D AS x", "id * 1D AS y", "-id * 1D AS z", "(id % 5) / 5D AS r")
+        parts = sinks.ply_files(points).groupBy("name").count().collect()
+        assert all(r["count"] > 1 for r in parts) and len(parts) == 2
+        sinks.write_files(sinks.ply_files(points), str(tmp_path / "ply"))
+        frames = codecs.read_ply(spark, str(tmp_path / "ply"))
+        got = sorted((r.path[-6:], r.pid, r.x, r.y, r.z, round(r.r, 2)) for r in frames.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted((f"c{i % 2}.ply", (499 - i) // 2, i * 0.5, float(i), -float(i), i % 5 / 5) for i in range(500))
+    whole = codecs.encode_ply({"x": [1.0], "y": [2.0], "z": [3.0]}, [[0, 0, 0]])
+    assert codecs.decode_ply(whole)[1] == [[0, 0, 0]]

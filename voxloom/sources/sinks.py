@@ -1,6 +1,6 @@
 """File sinks: tables become (name, content) rows on the executors, and a data source writes each row as a file.
 
-One file is made in one task, as one file is read in one; what is larger belongs in Parquet.
+One file is made in one task; a PLY file comes in parts, others whole: what is larger belongs in Parquet.
 """
 
 from __future__ import annotations
@@ -8,6 +8,7 @@ from __future__ import annotations
 import io
 import json
 import struct
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from voxloom.sources.codecs import GLB_MAGIC, JSON_CHUNK, decode_ply, encode_ply, encode_png
+from voxloom.sources.codecs import GLB_MAGIC, JSON_CHUNK, decode_ply, encode_ply, encode_png, ply_head, ply_rows
 
 FILES = "name string, content binary"
 #: File that marks a folder as whole; Spark's readers pass over names that begin so.
@@ -32,12 +33,14 @@ class _FileWriter(DataSourceWriter):
         from pyarrow import fs
 
         store, folder = fs.FileSystem.from_uri(self.path)
-        for row in rows:
-            at = f"{folder.rstrip('/')}/{row.name}"
+        # rows of one name that follow one another are parts of one file
+        for name, parts in groupby(rows, key=lambda row: row.name):
+            at = f"{folder.rstrip('/')}/{name}"
             store.create_dir(at.rsplit("/", 1)[0], recursive=True)
             # a task that runs again writes the same bytes to the same name
             with store.open_output_stream(at) as out:
-                out.write(bytes(row.content))
+                for row in parts:
+                    out.write(bytes(row.content))
         return WriterCommitMessage()
 
     def commit(self, messages) -> None:
@@ -104,9 +107,26 @@ def _bytes(df: DataFrame, key: str, order: list[str], make) -> DataFrame:
 
 
 def ply_files(points: DataFrame) -> DataFrame:
-    """Points (name, pid, x, y, z and any of r, g, b, nx, ny, nz) as PLY files, in order of pid."""
+    """Points (name, pid, x, y, z and any of r, g, b, nx, ny, nz) as PLY files, in order of pid.
+
+    A file comes in parts, rows of one name in order in one partition, so that no task holds a file.
+    """
     held = [c for c in ("x", "y", "z", "r", "g", "b", "nx", "ny", "nz") if c in points.columns]
-    return _bytes(points.select("name", "pid", *held), "name", ["pid"], lambda f: encode_ply({c: f[c].to_numpy() for c in held}))
+    counts = points.groupBy("name").agg(F.count(F.lit(1)).alias("_n"))
+    # a set number of partitions: others may be split where a name is large, and a file then lies in several
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # one row a file
+    ordered = points.select("name", "pid", *held).join(F.broadcast(counts), "name").repartition(n, "name").sortWithinPartitions("name", "pid")
+
+    def run(frames):
+        last = None
+        for frame in frames:
+            for name, f in frame.groupby("name", sort=False):
+                head = b"" if name == last else ply_head(held, int(f["_n"].iloc[0]))
+                last = name
+                yield pd.DataFrame({"name": [name], "content": [head + ply_rows({c: f[c].to_numpy() for c in held})]})
+
+    return ordered.mapInPandas(run, FILES)
 
 
 def mesh_files(vertices: DataFrame, faces: DataFrame) -> DataFrame:
