@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from voxloom.operators import arcs, fits, joins, raycast, refine, regions
+from voxloom.operators import arcs, fits, joins, kernels, raycast, refine, regions
 from voxloom.sources import codecs, sinks
 
 SHAPE = "array<struct<x: double, y: double>>"
@@ -169,3 +169,44 @@ def test_large_ply_files_are_written_and_read_in_parts(spark, monkeypatch, tmp_p
     assert got == sorted((f"c{i % 2}.ply", (499 - i) // 2, i * 0.5, float(i), -float(i), i % 5 / 5) for i in range(500))
     whole = codecs.encode_ply({"x": [1.0], "y": [2.0], "z": [3.0]}, [[0, 0, 0]])
     assert codecs.decode_ply(whole)[1] == [[0, 0, 0]]
+
+
+@pytest.mark.parametrize("small", [0, 10**9])
+def test_hypotheses_meet_few_points(spark, monkeypatch, small):
+    seen, stored = {}, kernels.stored
+    monkeypatch.setattr(kernels, "stored", lambda df, kind: seen.setdefault(kind, stored(df, kind)))
+    monkeypatch.setattr(kernels, "SHARE", 10**6)
+    monkeypatch.setattr(kernels, "MEET", 3)
+    monkeypatch.setattr(kernels, "SMALL", small)
+    rng = np.random.default_rng(12)
+    # every residue twice, so that the smaller pid comes first of equal keys
+    pids = rng.integers(0, 1 << 40, 10000)
+    pids = np.unique(np.r_[pids, pids + kernels.PRIME])
+    df = spark.createDataFrame([(int(p), i * 1.0, 0.0, 0.0) for i, p in enumerate(pids)], "pid long, x double, y double, z double").repartition(3)
+    got = {r.h: [(p.pid, p.x) for p in r.p] for r in kernels.triples(df, 6).collect()}
+    want = {h: np.lexsort((pids, kernels.draw(pids, h)))[:3].tolist() for h in range(6)}
+    assert got == {h: [(pids[i], float(i)) for i in at] for h, at in want.items()}
+    # some hypotheses met three points, the others drew from all
+    assert 0 < seen["triples"].count() < 6
+
+
+def test_planes_meet_few_points(monkeypatch):
+    monkeypatch.setattr(kernels, "LEAF", 16)
+    taken, size = [], np.abs
+    rng = np.random.default_rng(13)
+    xyz = np.c_[rng.integers(1, 51, 40000), rng.integers(0, 11, 40000), rng.uniform(0, 100, 40000)].T * 1.0
+    xyz[:, 7], xyz[2, 9], xyz[0, 11] = np.nan, np.inf, -np.inf
+    p = xyz.T[rng.integers(100, 40000, (200, 3))]
+    normal = np.cross(p[:, 1] - p[:, 0], p[:, 2] - p[:, 0])
+    planes = np.c_[normal, -(normal * p[:, 0]).sum(axis=1)] / np.linalg.norm(normal, axis=1)[:, None]
+    # neighbours that lie just at the tolerance, and planes without numbers
+    planes = np.r_[planes, [(0, 1, 0, -k - 0.05) for k in range(11)], [(0, 1, 0, -k - 1e-2 * 5) for k in range(11)], [(np.nan,) * 4]]
+    with np.errstate(invalid="ignore"):
+        off = planes[:, :1] * xyz[0] + planes[:, 1:2] * xyz[1]
+        off += planes[:, 2:3] * xyz[2]
+        off += planes[:, 3:]
+    want = np.count_nonzero(size(off) <= 0.05, axis=1)
+    monkeypatch.setattr(np, "abs", lambda v, **k: (taken.append(np.size(v)), size(v, **k))[1])
+    assert kernels.inlier_counts(xyz, planes, 0.05).tolist() == want.tolist() and want.max() > 3000
+    assert sum(taken) < off.size / 3
+    assert kernels.inlier_counts(xyz[:, :5], planes, 0.05).tolist() == np.count_nonzero(size(off[:, :5]) <= 0.05, axis=1).tolist()

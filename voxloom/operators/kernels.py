@@ -242,28 +242,60 @@ def draw(pids: np.ndarray, h: int | np.ndarray) -> np.ndarray:
     return square * square % PRIME * y % PRIME
 
 
-#: Points held against all planes, and against all hypotheses, at once.
-ROWS, DRAWN = 1024, 512
+#: Points held against all hypotheses at once; points in boxes at once, and those of a box; boxes held against all planes at once.
+DRAWN, HELD, LEAF, BOXES = 512, 1 << 19, 128, 64
+#: Points that a hypothesis meets on average when keys are turned back to points; the most keys a point for which they are; keys that are broadcast.
+MEET, SHARE, SMALL = 16, 16, 2_000_000
+
+
+def fifth_roots(k: np.ndarray) -> np.ndarray:
+    """The values modulo PRIME whose fifth powers are ``k``."""
+    out, power, e = np.ones_like(k), k % PRIME, pow(5, -1, PRIME - 1)
+    while e:
+        if e & 1:
+            out = out * power % PRIME
+        power, e = power * power % PRIME, e >> 1
+    return out
 
 
-def plane_hypotheses(points: DataFrame, n: int, tolerance: float) -> DataFrame:
-    """(h, a, b, c, d, inliers) of planes through hashed triples of points (pid unique).
+def triples(points: DataFrame, n: int) -> DataFrame:
+    """(h, p): the three points of least key per hypothesis, the smaller pid on a tie; none for a hypothesis with fewer.
 
-    Triples are the three points of least key per hypothesis, the smaller pid on a tie. Every
-    partition gives its own three, so that a hypothesis gathers three rows a partition. The
-    planes, n rows of five numbers, go to the tasks, which read the points in blocks and hand
-    on one count a plane and partition. Triples on a line have no plane; points with a null
-    coordinate take no part.
+    With many points the draw is turned round: the least keys 0, 1, 2, ... of a hypothesis
+    each belong to one residue of pid, and a join finds the points that have it. The more
+    points, the fewer keys, so that the work is no longer points times hypotheses. Where
+    three points are not met, or points are few, keys of all points are drawn; every
+    partition then gives its own three.
     """
-    known = points.select("pid", *"xyz").where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
+
+    def gathered(drawn):
+        return drawn.groupBy("h").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "pid", *"xyz"))), 1, 3).alias("p")).where(F.size("p") == 3)
+
+    def rooted(frames):
+        for f in frames:
+            yield pd.DataFrame({"k": f["id"], "root": fifth_roots(f["id"].to_numpy())})
+
+    spark, rows, left, found = points.sparkSession, points.count(), list(range(n)), None
+    keys = min(PRIME, -(-MEET * PRIME // max(rows, 1)))
+    if n * keys <= SHARE * rows:
+        slopes = [1 + (h * SLOPE + SLOPE_STEP) % (PRIME - 1) for h in left]
+        lines = spark.createDataFrame([(h, pow(s, -1, PRIME), (h * SHIFT + SHIFT_STEP) % PRIME) for h, s in zip(left, slopes, strict=True)], "h int, back long, shift long")
+        roots = spark.range(keys).mapInPandas(rooted, "k long, root long")
+        residues = roots.crossJoin(F.broadcast(lines)).select("h", "k", (F.pmod(F.col("root") - F.col("shift"), F.lit(PRIME)) * F.col("back") % PRIME).alias("_r"))
+        met = points.withColumn("_r", F.pmod("pid", F.lit(PRIME))).join(F.broadcast(residues) if n * keys <= SMALL else residues, "_r").drop("_r")
+        found = stored(gathered(met), "triples")
+        # n numbers at most
+        left = sorted(set(left) - {r["h"] for r in found.select("h").collect()})
+    if found is not None and not left:
+        return found
 
     def least(frames):
-        each = np.arange(n, dtype=np.int64)[:, None]
-        held, bound = None, np.full((n, 1), np.iinfo(np.int64).max)
+        each = np.array(left, dtype=np.int64)
+        held, bound = None, np.full((len(each), 1), np.iinfo(np.int64).max)
         for f in frames:
             pids, xyz = f["pid"].to_numpy(), f[list("xyz")].to_numpy()
             for at in range(0, len(pids), DRAWN):
-                k = draw(pids[None, at : at + DRAWN], each)
+                k = draw(pids[None, at : at + DRAWN], each[:, None])
                 # only keys up to the third so far can be among the three least
                 h, i = np.nonzero(k <= bound)
                 new = pd.DataFrame({"h": h, "k": k[h, i], "pid": pids[at + i], **dict(zip("xyz", xyz[at + i].T, strict=True))})
@@ -273,10 +305,65 @@ def plane_hypotheses(points: DataFrame, n: int, tolerance: float) -> DataFrame:
                 bound[third["h"].to_numpy(), 0] = third["k"]
                 held = held[place < 3]
         if held is not None:
-            yield held
+            yield held.assign(h=each[held["h"].to_numpy()])
+
+    drawn = gathered(points.mapInPandas(least, "h int, k long, pid long, x double, y double, z double"))
+    return drawn if found is None else found.union(drawn)
+
+
+def boxed(xyz: np.ndarray) -> np.ndarray:
+    """(3, boxes, LEAF) of ``xyz`` (3, LEAF times a power of two): halved by number along the widest side until LEAF are left."""
+    nodes = xyz[:, None]
+    while nodes.shape[2] > LEAF:
+        wide = np.ptp(nodes, axis=2).argmax(axis=0)
+        order = np.argpartition(nodes[wide, np.arange(len(wide))], nodes.shape[2] // 2, axis=1)
+        nodes = np.take_along_axis(nodes, order[None], axis=2).reshape(3, 2 * len(wide), -1)
+    return nodes
 
-    drawn = known.mapInPandas(least, "h int, k long, pid long, x double, y double, z double")
-    best = drawn.groupBy("h").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "pid", *"xyz"))), 1, 3).alias("p")).where(F.size("p") == 3)
+
+def inlier_counts(xyz: np.ndarray, planes: np.ndarray, tolerance: float) -> np.ndarray:
+    """Points (3, rows) within ``tolerance`` of each plane (a, b, c, d).
+
+    A box that lies wholly outside or inside a plane's slab, by more than the rounding of
+    the sums, is counted as one; only the points of the others are held against the plane.
+    """
+    normal, d = planes[:, :3].T, planes[:, 3]
+    steep, total = np.abs(normal), np.zeros(len(planes), dtype=np.int64)
+
+    def each(points, at):
+        off = normal[0, at] * points[0][:, None] + normal[1, at] * points[1][:, None]
+        off += normal[2, at] * points[2][:, None]
+        off += d[at]
+        total[at] += np.count_nonzero(np.abs(off, out=off) <= tolerance, axis=0)
+
+    at = 0
+    with np.errstate(invalid="ignore", over="ignore"):
+        while xyz.shape[1] - at >= LEAF:
+            size = LEAF << ((xyz.shape[1] - at) // LEAF).bit_length() - 1
+            boxes = boxed(xyz[:, at : at + size])
+            low, high = boxes.min(axis=2).T, boxes.max(axis=2).T
+            centre, half = (low + high) / 2, (high - low) / 2 + 1e-12 * np.maximum(np.abs(low), np.abs(high))
+            for b in range(0, len(low), BOXES):
+                far, reach = np.abs(centre[b : b + BOXES] @ normal + d), half[b : b + BOXES] @ steep + 1e-12 * (np.abs(d) + tolerance)
+                inside = far + reach <= tolerance
+                total += LEAF * np.count_nonzero(inside, axis=0)
+                # a box or plane with NaN is neither
+                for i, cut in enumerate(~(inside | (far - reach > tolerance)), b):
+                    each(boxes[:, i], np.flatnonzero(cut))
+            at += size
+        each(xyz[:, at:], np.arange(len(planes)))
+    return total
+
+
+def plane_hypotheses(points: DataFrame, n: int, tolerance: float) -> DataFrame:
+    """(h, a, b, c, d, inliers) of planes through hashed triples of points (pid unique).
+
+    The planes, n rows of five numbers, go to the tasks, which gather points in blocks and
+    hand on one count a plane and partition. Triples on a line have no plane; points with a
+    null coordinate take no part. The points are read three times.
+    """
+    known = points.select("pid", *"xyz").where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
+    best = triples(known, n)
     p = [tuple(F.col("p")[i][c] for c in "xyz") for i in range(3)]
     normal = G.cross(G.sub(p[1], p[0]), G.sub(p[2], p[0]))
     planes = best.select("h", *(c.alias(k) for k, c in zip("abc", normal, strict=True)), *(c.alias("p" + k) for k, c in zip("xyz", p[0], strict=True))).withColumn("s", G.norm(("a", "b", "c"))).where("s > 1e-9")
@@ -287,15 +374,15 @@ def plane_hypotheses(points: DataFrame, n: int, tolerance: float) -> DataFrame:
     ids, m = np.array([r["h"] for r in rows], dtype=np.int32), np.array([[r[k] for k in "abcd"] for r in rows]).reshape(-1, 4)
 
     def count(frames):
-        total = np.zeros(len(ids), dtype=np.int64)
+        total, parts, held = np.zeros(len(ids), dtype=np.int64), [], 0
         for f in frames:
-            xyz = f[list("xyz")].to_numpy()
-            for at in range(0, len(xyz), ROWS):
-                x = xyz[at : at + ROWS, :, None]
-                off = m[:, 0] * x[:, 0] + m[:, 1] * x[:, 1]
-                off += m[:, 2] * x[:, 2]
-                off += m[:, 3]
-                total += np.count_nonzero(np.abs(off, out=off) <= tolerance, axis=0)
+            parts.append(f[list("xyz")].to_numpy().T)
+            held += len(f)
+            if held >= HELD:
+                total += inlier_counts(np.hstack(parts), m, tolerance)
+                parts, held = [], 0
+        if parts:
+            total += inlier_counts(np.hstack(parts), m, tolerance)
         yield pd.DataFrame({"h": ids, "inliers": total})
 
     counts = known.select(*"xyz").mapInPandas(count, "h int, inliers long").groupBy("h").agg(F.sum("inliers").alias("inliers"))
@@ -326,6 +413,7 @@ def floor_plane(points: DataFrame, n: int = 1000, tolerance: float = 0.05) -> Da
     flip: with the normal turned to +z the other points lie, by their median, below the
     plane's, so that the cloud has to be turned over. No row where no three points span a plane.
     """
+    points = stored(points.select("pid", *"xyz"), "points")
     best = stored(plane_hypotheses(points, n, tolerance).orderBy(F.col("inliers").desc(), "h").limit(1), "plane")
     found = best.select("h", *(F.col(k).alias("_" + k) for k in "abcd"), "inliers")
     near = F.abs(G.dot(("_a", "_b", "_c"), tuple("xyz")) + F.col("_d")) <= tolerance
