@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from voxloom.llm import simhash
 from voxloom.operators import arcs, fits, joins, kernels, raycast, refine, regions
 from voxloom.sources import codecs, sinks
 
@@ -210,3 +211,34 @@ def test_planes_meet_few_points(monkeypatch):
     assert kernels.inlier_counts(xyz, planes, 0.05).tolist() == want.tolist() and want.max() > 3000
     assert sum(taken) < off.size / 3
     assert kernels.inlier_counts(xyz[:, :5], planes, 0.05).tolist() == np.count_nonzero(size(off[:, :5]) <= 0.05, axis=1).tolist()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tiles_meet_without_a_copy_for_each_other(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 8)
+    rng = np.random.default_rng(14)
+    fps = rng.integers(0, 1 << 63, (60, 2), dtype=np.uint64)
+    # every third differs from the one before in two bits
+    fps[2::3] = fps[1::3] ^ np.uint64(5)
+    df = spark.createDataFrame([(v.astype(">u8").tobytes(), i) for i, v in enumerate(fps)], "fp binary, node long")
+    within, across = simhash.links(df, 4, 2)
+    assert "CartesianProduct" in plan_of(across) and "Exchange" not in plan_of(across)
+    linked = [(r.a, r.b) for t in (within, across) for r in t.collect()]
+    assert sorted((min(x), max(x)) for x in linked) == [(i, i + 1) for i in range(1, 60, 3)]
+
+
+def test_sets_of_a_large_class_meet_where_they_are_stored(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SET_TILE", 4)
+    monkeypatch.setattr(simhash, "MEET", 2)
+    rng = np.random.default_rng(15)
+    own = [np.unique(rng.integers(0, 1 << 60, 20, dtype=np.uint64)) for _ in range(30)]
+    sets = [v for v in own for _ in range(2)]
+    rows = [(i, 7 if i < 52 else i, len(v), v.tobytes()) for i, v in enumerate(sets)]
+    df = spark.createDataFrame(rows, "doc_id long, class long, n long, shingles binary").repartition(3)
+    within, across = simhash.similar_links(df, 0.8)
+    assert "CartesianProduct" in plan_of(across)
+    linked = [(r.a, r.b) for t in (within, across) for r in t.collect()]
+    assert sorted((min(x), max(x)) for x in linked) == [(i, i + 1) for i in range(0, 52, 2)]

@@ -29,7 +29,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.llm.common import bounded, materialise
@@ -44,6 +44,8 @@ BLOCK = 128
 MAX_TASKS = 20_000
 #: Shingle sets in a tile that is verified, and bytes of them.
 SET_TILE, SET_BYTES = 2048, 16 << 20
+#: Other tiles up to which a tile of sets is sent to each of them.
+MEET = 8
 TILES = "tile long, low int, high int, fps binary, ids binary, roots binary"
 
 
@@ -192,9 +194,6 @@ def links(distinct: DataFrame, radius: int, words: int, first_radius: int | None
     first_radius = radius if first_radius is None else first_radius
     n = distinct.count()
     stored = materialise(tiles(distinct, max(1, -(-n // TILE)), words, radius, first_radius), "tiles")
-    # one short row per tile: its number and its range of population counts
-    meta = np.array([(r["tile"], r["low"], r["high"]) for r in stored.select("tile", "low", "high").collect()], dtype=np.int64).reshape(-1, 3)
-    meta = meta[np.argsort(meta[:, 0])]
 
     def within(frames):
         for frame in frames:
@@ -203,24 +202,31 @@ def links(distinct: DataFrame, radius: int, words: int, first_radius: int | None
                 child = np.flatnonzero(r != np.arange(len(r)))
                 yield pd.DataFrame({"a": i[child], "b": i[r[child]]})
 
-    def pairs(frames):
+    def run(frames):
         for frame in frames:
-            for tile, low, high, fps, ids, roots in frame.itertuples(index=False):
-                near = meta[(meta[:, 1] - high <= radius) & (low - meta[:, 2] <= radius) & (meta[:, 0] != tile), 0]
-                yield pd.DataFrame({"a": np.minimum(near, tile), "b": np.maximum(near, tile), "tile": tile, "fps": [fps] * len(near), "ids": [ids] * len(near), "roots": [roots] * len(near)})
+            for fa, ia, ra, fb, ib, rb in frame.itertuples(index=False):
+                (fa, fb), (ia, ib), (ra, rb) = ([np.frombuffer(x, dtype=kind) for x in side] for side, kind in (((fa, fb), "<u8"), ((ia, ib), "<i8"), ((ra, rb), "<i4")))
+                i, j = compare(fa.reshape(-1, words), fb.reshape(-1, words), radius, first_radius, False, np.concatenate([ra, rb + len(ra)]).astype(np.int64))
+                yield pd.DataFrame({"a": ia[ra[i]], "b": ib[rb[j]]})
 
-    def run(key, frame):
-        a, b = key
-        by = {t: (np.frombuffer(f, dtype="<u8").reshape(-1, words), np.frombuffer(i, dtype="<i8"), np.frombuffer(r, dtype="<i4").astype(np.int64)) for t, f, i, r in zip(frame["tile"], frame["fps"], frame["ids"], frame["roots"], strict=True)}
-        (fa, ia, ra), (fb, ib, rb) = by[a], by[b]
-        i, j = compare(fa, fb, radius, first_radius, False, np.concatenate([ra, rb + len(ra)]))
-        return pd.DataFrame({"a": ia[ra[i]], "b": ib[rb[j]]})
-
-    dealt = stored.mapInPandas(pairs, "a long, b long, tile long, fps binary, ids binary, roots binary")
-    across = spread_pairs(dealt, max(1, -(-n // TILE))).groupBy("a", "b").applyInPandas(run, "a long, b long")
+    near = (F.col("a_low") - F.col("b_high") <= radius) & (F.col("b_low") - F.col("a_high") <= radius)
+    across = bounded(tile_pairs(stored, near)).select(*(f"{side}_{c}" for side in "ab" for c in ("fps", "ids", "roots"))).mapInPandas(run, "a long, b long")
     return stored.select("ids", "roots").mapInPandas(within, "a long, b long"), across
 
 
+def tile_pairs(stored: DataFrame, near: Column) -> DataFrame:
+    """Every two different tiles that ``near`` lets meet, once, with their columns as a_.. and b_...
+
+    The stored tiles are read again for every task and not shuffled: a shuffle would hold a copy of a tile
+    for each other one, and so grow with the square of the tiles. Of two tiles either may be a, by
+    the evenness of their numbers, so that tasks get about as many pairs each.
+    """
+    a, b = (stored.select(*(F.col(c).alias(f"{side}_{c}") for c in stored.columns)) for side in "ab")
+    place = lambda c: F.shiftright(c, 20) + F.col(c).bitwiseAND((1 << 20) - 1)
+    once = (F.col("a_tile") < F.col("b_tile")) == ((place("a_tile") + place("b_tile")) % 2 == 0)
+    return a.join(b.hint("shuffle_replicate_nl"), (F.col("a_tile") != F.col("b_tile")) & once & near)
+
+
 def _watched(edges: DataFrame, state: Observation) -> DataFrame:
     """``edges`` whose number and sum of hashes are taken while they are written."""
     return edges.observe(state, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
@@ -367,26 +373,44 @@ def similar_links(sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
                 yield pd.DataFrame({"a": i[child], "b": i[r[child]]})
 
     columns = ["ids", "classes", "sizes", "sets", "roots"]
+    # tiles of a class that fills many are met where they are stored, as copies for each other one would grow with their square
+    first, last = np.sort(meta[:, 1]), np.sort(meta[:, 2])
+    others = np.searchsorted(first, meta[:, 2], side="right") - np.searchsorted(last, meta[:, 1], side="left") - 1
+    wide = meta[others > MEET, 0]
 
     def pairs(frames):
         for frame in frames:
             for row in frame.itertuples(index=False):
                 near = meta[(meta[:, 1] <= row.high) & (meta[:, 2] >= row.low) & (meta[:, 0] != row.tile), 0]
+                near = near[~np.isin(near, wide)] if row.tile in wide else near
                 for other in near.tolist():
                     yield pd.DataFrame([(min(other, row.tile), max(other, row.tile), row.tile, *(getattr(row, c) for c in columns))], columns=["a", "b", "tile", *columns])
 
-    def run(key, frame):
-        by = {}
-        for row in frame.itertuples(index=False):
-            sizes = np.frombuffer(row.sizes, dtype="<i8")
-            found = np.split(np.frombuffer(row.sets, dtype="<u8"), np.cumsum(sizes)[:-1])
-            by[row.tile] = (found, *(np.frombuffer(getattr(row, c), dtype="<i8") for c in ("classes", "ids", "roots")))
-        (sa, ca, ia, ra), (sb, cb, ib, rb) = by[key[0]], by[key[1]]
+    def linked(one, two):
+        (sa, ca, ia, ra), (sb, cb, ib, rb) = one, two
         i, j = similar(sa, sb, ca, cb, least, False, np.concatenate([ra, rb + len(ra)]))
         return pd.DataFrame({"a": ia[ra[np.array(i, dtype=int)]], "b": ib[rb[np.array(j, dtype=int)]]})
 
+    def unpacked(ids, classes, sizes, sets, roots):
+        ids, classes, sizes, roots = (np.frombuffer(x, dtype="<i8") for x in (ids, classes, sizes, roots))
+        return np.split(np.frombuffer(sets, dtype="<u8"), np.cumsum(sizes)[:-1]), classes, ids, roots
+
+    def run(key, frame):
+        by = {row.tile: unpacked(*(getattr(row, c) for c in columns)) for row in frame.itertuples(index=False)}
+        return linked(by[key[0]], by[key[1]])
+
+    def run_wide(frames):
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                yield linked(unpacked(*row[: len(columns)]), unpacked(*row[len(columns) :]))
+
     dealt = stored.mapInPandas(pairs, "a long, b long, tile long, ids binary, classes binary, sizes binary, sets binary, roots binary")
-    return stored.select("ids", "roots").mapInPandas(within, "a long, b long"), spread_pairs(dealt, n_parts).groupBy("a", "b").applyInPandas(run, "a long, b long")
+    across = spread_pairs(dealt, n_parts).groupBy("a", "b").applyInPandas(run, "a long, b long")
+    if len(wide):
+        many = stored.join(F.broadcast(stored.sparkSession.createDataFrame([(int(t),) for t in wide], "tile long")), "tile", "left_semi")
+        both = tile_pairs(many, (F.col("a_low") <= F.col("b_high")) & (F.col("b_low") <= F.col("a_high")))
+        across = across.unionByName(bounded(both).select(*(f"{side}_{c}" for side in "ab" for c in columns)).mapInPandas(run_wide, "a long, b long"))
+    return stored.select("ids", "roots").mapInPandas(within, "a long, b long"), across
 
 
 def similar_classes(docs: DataFrame, k: int, least: float, radius: int, words: int, first_radius: int) -> DataFrame:
