@@ -1,6 +1,7 @@
 """Work that grows with the input, not with copies, crowds or the number of input files."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from voxloom.llm import simhash
@@ -242,3 +243,25 @@ def test_sets_of_a_large_class_meet_where_they_are_stored(spark, monkeypatch):
     assert "CartesianProduct" in plan_of(across)
     linked = [(r.a, r.b) for t in (within, across) for r in t.collect()]
     assert sorted((min(x), max(x)) for x in linked) == [(i, i + 1) for i in range(0, 52, 2)]
+
+
+def test_simple_rings_overlap_by_their_sides(monkeypatch):
+    rng = np.random.default_rng(16)
+    ell = np.array([(0, 0), (3, 0), (3, 1), (1, 1), (1, 2), (0, 2)], float)
+    a = np.where(np.arange(600) % 3, rng.uniform(0, 7, 600), np.radians(90 * (np.arange(600) % 4)))
+    turn = np.array([[np.cos(a), np.sin(a)], [-np.sin(a), np.cos(a)]]).transpose(2, 0, 1)
+    p = ell @ turn + rng.uniform(-1, 1, (600, 1, 2)).round(1)
+    for q in (ell[::-1], np.array([(0, 0), (4, 0), (2, 3), (2, 3)], float)):
+        q = np.repeat(q[None], 600, axis=0)
+        assert np.allclose(kernels.simple_overlaps(p, q), kernels.overlap_areas(p, q), atol=1e-12)
+    bow = np.array([(0, 0), (2, 2), (2, 0), (0, 2)], float)
+    touching = np.array([(0, 0), (1, 1), (2, 0), (2, 2), (1, 1), (0, 2)], float)
+    assert [kernels.is_simple(r) for r in (ell, ell[::-1], np.vstack([ell, ell[:1]]), bow, touching)] == [True] * 3 + [False] * 2
+    slow = []
+    monkeypatch.setattr(fits, "overlap_areas", lambda p, q: (slow.append(len(p)), kernels.overlap_areas(p, q))[1])
+    made = [(0, i, 0, 0, 1.0, ring(r), ring(r), [0.0, 90.0], 0.0, 0.0, area, area, 0.0, 0.0, 3.0, 2.0, kernels.is_simple(r), 0.0) for i, (r, area) in enumerate(((ell, 4.0), (bow, 2.0)))]
+    names = ["plan", "piece", "no", "place", "scale", "centred", "room", "angles", "tx", "ty", "area", "room_area", "lx", "ly", "hx", "hy", "plain", "low"]
+    batch = pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*made, strict=True)), strict=True)))
+    got = next(fits._turned(iter([batch]))).to_pydict()
+    # only the ring that crosses itself goes the long way, at both angles
+    assert got["iou"] == [1.0, 1.0] and got["turn"] == [0, 0] and slow == [2]

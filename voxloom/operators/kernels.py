@@ -95,6 +95,61 @@ def overlap_areas(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (gap.sum(axis=2) * height).sum(axis=1)
 
 
+#: Pairs of simple rings whose sides meet at once: their arrays stay in a core's cache.
+SIDES = 512
+
+
+def simple_overlaps(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The same of k pairs of rings that are simple (``is_simple``), many times as fast.
+
+    A ring is the signed sum of the strips from below all points up to its sides, so the common area is the
+    signed sum over pairs of sides of what both strips share: the integral of the lesser of two lines.
+    """
+    out = np.zeros(len(p))
+    for at in range(0, len(p), SIDES):
+        sides = []
+        base = np.minimum(p[at : at + SIDES, :, 1].min(axis=1), q[at : at + SIDES, :, 1].min(axis=1))[:, None]
+        for ring, axis in ((p, 2), (q, 1)):
+            x, y = ring[at : at + SIDES, :, 0], ring[at : at + SIDES, :, 1] - base
+            ox, oy = np.roll(x, -1, axis=1), np.roll(y, -1, axis=1)
+            way = np.sign(((x - ox) * (y + oy)).sum(axis=1))[:, None]
+            wide = ox - x
+            slope = np.where(wide != 0, (oy - y) / np.where(wide != 0, wide, 1), 0)
+            sides.append([np.expand_dims(v, axis) for v in (np.minimum(x, ox), np.maximum(x, ox), x, y, slope, -np.sign(wide) * way)])
+        (al, ah, ax, ay, am, sa), (bl, bh, bx, by, bm, sb) = sides
+        low = np.maximum(al, bl)
+        wide = np.minimum(ah, bh) - low
+        k, i, j = np.nonzero(wide > 0)
+        low, wide = low[k, i, j], wide[k, i, j]
+        ax, ay, am, sa = (v[k, i, 0] for v in (ax, ay, am, sa))
+        bx, by, bm, sb = (v[k, 0, j] for v in (bx, by, bm, sb))
+        b = by + bm * (low - bx)
+        d = ay + am * (low - ax) - b
+        o = d + (am - bm) * wide
+        less, more = np.minimum(d, o), np.maximum(d, o)
+        cross = (less < 0) & (more > 0)
+        under = np.where(more <= 0, (d + o) / 2, np.where(cross, -less * less / np.where(cross, 2 * (more - less), 1), 0))
+        out[at : at + SIDES] = np.bincount(k, sa * sb * wide * (b + bm * wide / 2 + under), minlength=len(base))
+    return out
+
+
+def is_simple(ring: np.ndarray) -> bool:
+    """Whether no two sides of a ring meet but neighbours at their common vertex; repeated vertices count once."""
+    ring = ring[(ring != np.roll(ring, 1, axis=0)).any(axis=1)]
+    n = len(ring)
+    if n < 3:
+        return False
+    a, b = ring[:, None], np.roll(ring, -1, axis=0)[:, None]
+    side = lambda p, q, r: np.sign((q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0]))
+    c, d = a[None, :, 0], b[None, :, 0]
+    apart = (side(a, b, c) * side(a, b, d) > 0) | (side(c, d, a) * side(c, d, b) > 0)
+    box = lambda u, v: (np.minimum(u, v), np.maximum(u, v))
+    (al, ah), (cl, ch) = box(a, b), box(c, d)
+    apart |= ((ah < cl) | (ch < al)).any(axis=-1)
+    i, j = np.indices((n, n))
+    return bool((apart | np.isin((i - j) % n, (0, 1, n - 1))).all())
+
+
 def overlap_area(p: np.ndarray, q: np.ndarray) -> float:
     """The same of one pair; rings of fewer than three vertices have no area."""
     return 0.0 if len(p) < 3 or len(q) < 3 else float(overlap_areas(p[None], q[None])[0])
