@@ -265,3 +265,15 @@ def test_simple_rings_overlap_by_their_sides(monkeypatch):
     got = next(fits._turned(iter([batch]))).to_pydict()
     # only the ring that crosses itself goes the long way, at both angles
     assert got["iou"] == [1.0, 1.0] and got["turn"] == [0, 0] and slow == [2]
+
+
+def test_blocks_of_vectors_meet_without_copies(spark, monkeypatch):
+    monkeypatch.setattr(joins, "SIDE", 8)
+    rng = np.random.default_rng(17)
+    p, q = rng.random((50, 4)).round(1), rng.random((40, 4)).round(1)
+    table = lambda v, k: spark.createDataFrame([(i, w.tolist()) for i, w in enumerate(v)] + [(None, [None, 0.5])], f"{k} long, _{k} array<double>")
+    found = joins.agreements(table(p, "a"), "a", table(q, "b"), "b", 4, 0.15)
+    assert "CartesianProduct" in plan_of(found) and "Exchange" not in plan_of(found)
+    got = {(r.a, r.b): r.n for r in found.collect()}
+    assert len(got) == 51 * 41 and got[None, None] == 1
+    assert all(got[i, j] == (np.abs(p[i] - q[j]) < 0.15).sum() for i in range(50) for j in range(40))
