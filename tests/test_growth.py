@@ -1,5 +1,7 @@
 """Work that grows with the input, not with copies, crowds or the number of input files."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -277,3 +279,16 @@ def test_blocks_of_vectors_meet_without_copies(spark, monkeypatch):
     got = {(r.a, r.b): r.n for r in found.collect()}
     assert len(got) == 51 * 41 and got[None, None] == 1
     assert all(got[i, j] == (np.abs(p[i] - q[j]) < 0.15).sum() for i in range(50) for j in range(40))
+
+
+def test_blocks_of_arcs_are_copied_a_few_times(spark, monkeypatch):
+    monkeypatch.setattr(arcs, "SIDE", 8)
+    monkeypatch.setattr(arcs, "STRIPES", 2)
+    s, e, k, df = arc_table(spark, 150)
+    both = arcs._pairs(df, ["pano"], 3)
+    seen = [len(v) for r in both.collect() for v in (r.x, r.y)]
+    blocks = both.selectExpr("pano", "grp", "xxhash64(to_json(x)) AS x").distinct().count()
+    # each block meets all of the next group, but only two copies of it are sent
+    assert max(seen) <= 16 and len(seen) / 2 > 4 * blocks
+    sent = [int(x) for x in re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\), REPARTITION_BY_NUM", plan_of(both))]
+    assert set(sent) == {12}
