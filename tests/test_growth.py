@@ -292,3 +292,28 @@ def test_blocks_of_arcs_are_copied_a_few_times(spark, monkeypatch):
     assert max(seen) <= 16 and len(seen) / 2 > 4 * blocks
     sent = [int(x) for x in re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\), REPARTITION_BY_NUM", plan_of(both))]
     assert set(sent) == {12}
+
+
+def test_still_points_are_ordered_once_in_a_descent(monkeypatch):
+    asked, keys = [], refine.Cloud.keys
+    monkeypatch.setattr(refine.Cloud, "keys", lambda self, size, *at: (asked.append((id(self), size)) if not at else None, keys(self, size, *at))[1])
+    rng = np.random.default_rng(18)
+    w = rng.random((2000, 3)).round(2) * [8, 6, 3]
+    w = np.vstack([w, w[:300], [[np.nan, 0, 0], [np.inf, 1, 1]]])
+    t, rot = np.array([4.0, 3.0, 1.5]), refine.rotation(0.3, 0.05, -0.02)
+    p = refine.seen_from(w[:1500], t, rot)[0]
+    p = np.vstack([p, p[:100], [[np.nan, 0, 1]]])
+    for limit in (0.5, 0.1):
+        sight = refine.Sight(p, w, limit)
+        asked.clear()
+        for k in range(8):
+            at = t + rng.normal(0, 0.1, 3)
+            got = sight.met(at, rot)
+            with np.errstate(invalid="ignore"):
+                a, _, s, far = refine.met(p, w, at, rot, limit)
+            assert len(s) > 300 and all((x == y).all() for x, y in zip(got, (p[a], s, far), strict=True))
+        still = [x for x in asked if x[0] == id(sight.p)]
+        assert len(still) == len(set(still)) < 12
+    with np.errstate(invalid="ignore"):
+        assert all(len(v) == 0 for v in sight.met(np.full(3, np.nan), rot))
+    assert all(len(v) == 0 for v in refine.Sight(p[:0], w, 0.5).met(t, rot))

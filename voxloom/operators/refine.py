@@ -28,7 +28,7 @@ T, ANGLES = ("tx", "ty", "tz"), ("yaw", "pitch", "roll")
 DECAY_1, DECAY_2, FLOOR = 0.9, 0.999, 1e-8
 PATIENCE, FACTOR, GAIN = 5, 0.9, 1e-4
 #: Distances that a task takes at once, and points of a cell from which on it is cut.
-BLOCK, CROWD = 1 << 21, 2
+BLOCK, CROWD = 1 << 17, 3
 #: Tasks over which candidates are dealt at most.
 TASKS = 4096
 #: The pseudo group of all intersections of a panorama.
@@ -53,53 +53,93 @@ def descend(x: np.ndarray, slopes, steps: int, lr: float) -> tuple[np.ndarray, n
     return x, was, cost
 
 
-def within(a: np.ndarray, b: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of every point of ``a`` the place of its nearest in ``b``, the first of equal ones, and its distance; infinite where none is under ``limit``.
+class Cloud:
+    """Points and, for cells of every size met so far, their order by cells. Clouds of one box may meet; one that stays keeps its orders."""
 
-    Points meet in cells whose size follows the crowd; those that have none in the cells next to theirs
-    look again in cells of twice the size. Distances in blocks of about BLOCK.
-    """
-    to, near = np.zeros(len(a), int), np.full(len(a), np.inf)
-    low, high = np.minimum(a.min(axis=0), b.min(axis=0)), np.maximum(a.max(axis=0), b.max(axis=0))
-    # no more cells along an axis than keys of 63 bits can tell
-    least = max(limit * 2.0**-20, float((high - low).max()) * 2.0**-20)
-    size = max(limit, least)
-    cell = lambda v: np.floor((v - low) / size).astype(np.int64) + 1
+    def __init__(self, v: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.v, self.low, self.high, self.orders, self.start = v, low, high, {}, None
+        self.columns = [np.ascontiguousarray(c) for c in v.T]
+
+    def steps(self, size: float) -> tuple[int, int]:
+        """What a cell's key grows by along the first two axes."""
+        _, y, z = ((h - low) // size + 4 for h, low in zip(self.high.tolist(), self.low.tolist(), strict=True))
+        return int(y) * int(z), int(z)
+
+    def keys(self, size: float, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        x, y, z = (np.floor((c[at] - low) / size).astype(np.int64) + 1 for c, low in zip(self.columns, self.low, strict=True))
+        by_x, by_y = self.steps(size)
+        return x * by_x + y * by_y + z
+
+    def order(self, size: float) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys, and whose they are."""
+        if size not in self.orders:
+            key = self.keys(size)
+            by = np.argsort(key)
+            self.orders[size] = key[by], by
+        return self.orders[size]
 
-    def order() -> np.ndarray:
-        wide = cell(high) + 2
-        return np.array([wide[1] * wide[2], wide[2], 1])
 
-    while size / 2 >= least and len(np.unique(cell(b) @ order())) * CROWD < len(b):
+def first_size(b: Cloud, limit: float, least: float) -> float:
+    """The size of cells of which few hold a crowd of ``b``."""
+    size = max(limit, least)
+    while size / 2 >= least and np.count_nonzero(np.diff(b.order(size)[0])) + 1 < len(b.v) / CROWD:
         size /= 2
-    left = np.arange(len(a))
-    while len(left):
-        steps = order()
-        key = cell(b) @ steps
-        by = np.argsort(key, kind="stable")
-        key, own = key[by], cell(a[left]) @ steps
-        walk = np.argsort(own, kind="stable")
-        left, own = left[walk], own[walk]
+    return size
+
+
+def within(a: Cloud, b: Cloud, limit: float, size: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of every point of ``a`` the place of its nearest in ``b``, the first of equal ones, and its distance; infinite where none is under ``limit``.
+
+    Points meet in cells of a size that follows the crowd (``size``: where to begin, any gives the same); those that
+    have none in the cells next to theirs look again in cells of twice the size. Distances in blocks of about BLOCK.
+    """
+    to, near = np.zeros(len(a.v), int), np.full(len(a.v), np.inf)
+    # no more cells along an axis than keys of 63 bits can tell
+    least = max(limit * 2.0**-20, float((b.high - b.low).max()) * 2.0**-20)
+    size = first_size(b, limit, least) if size is None else size
+    left = None
+    while left is None or len(left):
+        by_x, by_y = b.steps(size)
+        key, by = b.order(size)
+        if left is None:
+            own, left = a.order(size)
+        else:
+            own = a.keys(size, left)
+            walk = np.argsort(own)
+            left, own = left[walk], own[walk]
         # columns of three cells each, so that the cells next to one's own are nine runs of the sorted keys
-        columns = [i * steps[0] + j * steps[1] for i in (-1, 0, 1) for j in (-1, 0, 1)]
-        first, past = (np.stack([np.searchsorted(key, own + c + e, how) for c in columns]) for e, how in ((-1, "left"), (1, "right")))
-        many = (past - first).sum(axis=0)
+        columns = [i * by_x + j * by_y for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        # points of a cell ask once
+        new = np.ones(len(own), dtype=bool)
+        new[1:] = own[1:] != own[:-1]
+        cell, asks = np.cumsum(new) - 1, own[new]
+        first, past = (np.stack([np.searchsorted(key, asks + (c + e), how) for c in columns], axis=1) for e, how in ((-1, "left"), (1, "right")))
+        many = (past - first).sum(axis=1)[cell]
         cut = np.searchsorted(np.cumsum(many), np.arange(BLOCK, many.sum() + BLOCK, BLOCK))
         for i, j in zip((0, *(cut + 1)), (*(cut + 1), len(left)), strict=True):
             i, j = min(i, len(left)), min(j, len(left))
-            count = (past[:, i:j] - first[:, i:j]).T.ravel()
-            if not count.sum():
+            whose = i + np.flatnonzero(many[i:j])
+            if not len(whose):
                 continue
-            begin = np.cumsum(count) - count
-            place = by[np.arange(count.sum()) - np.repeat(begin - first[:, i:j].T.ravel(), count)]
-            whose = np.flatnonzero(many[i:j])
-            n = many[i:j][whose]
-            d = np.repeat(a[left[i:j][whose]], n, axis=0) - b[place]
-            d = np.sqrt((d * d).sum(axis=1))
-            at = np.cumsum(n) - n
-            best = np.minimum.reduceat(d, at)
-            to[left[i:j][whose]] = np.minimum.reduceat(np.where(d == np.repeat(best, n), place, len(b)), at)
-            near[left[i:j][whose]] = best
+            begin, end = (v[cell[whose]].ravel() for v in (first, past))
+            count = end - begin
+            full = count > 0
+            begin, count = begin[full], count[full]
+            place = by[np.arange(count.sum()) + np.repeat(begin - (np.cumsum(count) - count), count)]
+            n, mine = many[whose], left[whose]
+            d = None
+            for p, q in zip(a.columns, b.columns, strict=True):
+                off = np.repeat(p[mine], n) - q[place]
+                d = off * off if d is None else d + off * off
+            d = np.sqrt(d)
+            best = np.minimum.reduceat(d, np.cumsum(n) - n)
+            near[mine] = best
+            hit = np.flatnonzero(d == np.repeat(best, n))
+            if len(hit) == len(mine):
+                to[mine] = place[hit]
+            else:
+                to[mine] = len(b.v)
+                np.minimum.at(to, np.repeat(mine, n)[hit], place[hit])
         if size >= limit:
             break
         # nearer ones than a cell is wide all lie in the next cells
@@ -117,19 +157,62 @@ def _firsts(v: np.ndarray) -> np.ndarray:
     return np.sort(order[new & ~np.isnan(v[order]).any(axis=1)])
 
 
+def partners(p: Cloud, q: Cloud, limit: float, sizes: tuple = (None, None)) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of two clouds that are each other's nearest and under ``limit`` apart; the first of equal ones."""
+    to_q, near = within(p, q, limit, sizes[1])
+    at = np.flatnonzero(near < limit)
+    if not len(at):
+        return at, at
+    # only these can be anyone's partner
+    asked, back = np.unique(to_q[at], return_inverse=True)
+    from_q, _ = within(Cloud(q.v[asked], q.low, q.high), p, limit, sizes[0])
+    at = at[from_q[back] == at]
+    return at, to_q[at]
+
+
 def mutual(a: np.ndarray, b: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
     """Places of pairs that are each other's nearest and under ``limit`` apart; the first of equal ones. Points with a coordinate that is NaN take no part."""
     sides = [_firsts(v) for v in (a, b)]
     if not all(map(len, sides)):
         return np.zeros(0, int), np.zeros(0, int)
     p, q = (v[s] for v, s in zip((a, b), sides, strict=True))
-    to_q, near = within(p, q, limit)
-    at = np.flatnonzero(near < limit)
-    # only these can be anyone's partner
-    asked, back = np.unique(to_q[at], return_inverse=True)
-    from_q, _ = within(q[asked], p, limit) if len(at) else (at, None)
-    at = at[from_q[back] == at]
-    return sides[0][at], sides[1][to_q[at]]
+    box = np.minimum(p.min(axis=0), q.min(axis=0)), np.maximum(p.max(axis=0), q.max(axis=0))
+    i, j = partners(Cloud(p, *box), Cloud(q, *box), limit)
+    return sides[0][i], sides[1][j]
+
+
+class Sight:
+    """What stays of a panorama's 2D points and a room's 3D points (of a group) while a pose descends: equal points count once, and the 2D points keep their cells."""
+
+    def __init__(self, p: np.ndarray, w: np.ndarray, limit: float):
+        p, self.w, self.limit, self.size = p[_firsts(p)], w[_firsts(np.where(np.isfinite(w), w, np.nan))], limit, None
+        # seen points lie on the unit sphere
+        self.p = Cloud(p, np.minimum(p.min(axis=0), -1.0) - 1e-9, np.maximum(p.max(axis=0), 1.0) + 1e-9) if len(p) else None
+
+    def met(self, t: np.ndarray, rot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(p, s, far) of the mutual pairs, as ``met`` finds them."""
+        none = np.zeros((0, 3)), np.zeros((0, 3)), np.zeros(0)
+        if self.p is None or not len(self.w):
+            return none
+        s, far = seen_from(self.w, t, rot)
+        known = ~np.isnan(s).any(axis=1)
+        if not known.all():
+            s, far = s[known], far[known]
+        if not len(s):
+            return none
+        q = Cloud(s, self.p.low, self.p.high)
+        if self.size is None:
+            least = max(self.limit * 2.0**-20, float((q.high - q.low).max()) * 2.0**-20)
+            self.size = tuple(first_size(c, self.limit, least) for c in (self.p, q))
+        i, j = partners(self.p, q, self.limit, self.size)
+        return self.p.v[i], s[j], far[j]
+
+
+def seen_from(w: np.ndarray, t: np.ndarray, rot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Directions and distances of 3D points seen from a pose."""
+    seen = (w - t) @ rot.T
+    far = np.maximum(np.linalg.norm(seen, axis=1), 1e-6)
+    return seen / far[:, None], far
 
 
 def rotation(yaw: float, pitch: float, roll: float) -> np.ndarray:
@@ -145,9 +228,7 @@ def _points(column: pa.ListArray, row: int) -> tuple[np.ndarray, np.ndarray]:
 
 def met(p: np.ndarray, w: np.ndarray, t: np.ndarray, rot: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, s, far): places of the mutual pairs of 2D points and 3D points seen from a pose, directions and distances of the seen ones."""
-    seen = (w - t) @ rot.T
-    far = np.maximum(np.linalg.norm(seen, axis=1), 1e-6)
-    s = seen / far[:, None]
+    s, far = seen_from(w, t, rot)
     a, b = mutual(p, s, limit)
     return a, b, s[b], far[b]
 
@@ -194,9 +275,9 @@ def grouped(flat: DataFrame, solid: DataFrame) -> DataFrame:
     return both.join(single, "pano").withColumn("track", (F.col("grp") != ALL) == F.col("_some")).drop("_some")
 
 
-def translation_slope(groups: list, t: np.ndarray, rot: np.ndarray, limit: float) -> tuple[float, np.ndarray] | None:
-    """(cost, gradient) over the translation: the mean absolute difference of all pairs of ``groups`` (grp, 2D points, 3D points)."""
-    found = [(p[a], s, far) for grp, p, w in groups for a, _, s, far in (met(p, w, t, rot, reach(grp, limit)),)]
+def translation_slope(groups: list[Sight], t: np.ndarray, rot: np.ndarray) -> tuple[float, np.ndarray] | None:
+    """(cost, gradient) over the translation: the mean absolute difference of all pairs of ``groups``."""
+    found = [g.met(t, rot) for g in groups]
     p, s, far = (np.concatenate(part) for part in zip(*found, strict=True))
     if not len(p):
         return None
@@ -213,9 +294,9 @@ def translated(groups: DataFrame, state: DataFrame, limit: float, steps: int, lr
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         v = {n: table.column(n)[0].as_py() for n in ("cand", *T, *ANGLES)}
-        parts = [(table.column("grp")[r].as_py(), *(_points(table.column(n), r)[1] for n in ("flat", "solid"))) for r in np.argsort(table.column("grp"))]
+        parts = [Sight(*(_points(table.column(n), r)[1] for n in ("flat", "solid")), reach(table.column("grp")[r].as_py(), limit)) for r in np.argsort(table.column("grp"))]
         rot = rotation(*(v[c] for c in ANGLES))
-        x, was, cost = descend(np.array([v[c] for c in T]), lambda t: translation_slope(parts, t, rot, limit), steps, lr)
+        x, was, cost = descend(np.array([v[c] for c in T]), lambda t: translation_slope(parts, t, rot), steps, lr)
         return pa.table({"cand": [v["cand"]]} | {k + n: [c] for k, at in (("at_", x), ("was_", was)) for n, c in zip(T, at.tolist(), strict=True)} | {"move_cost": pa.array([cost], pa.float64())})
 
     placed = groups.join(state.select(F.col("cand").cast("long").alias("cand"), "pano", *T, *ANGLES), "pano")
